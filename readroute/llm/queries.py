@@ -6,8 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readroute.llm import bpe as _bpe
+from readroute.llm import decontaminate as _decontaminate
+from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import token_counts as _token_counts
 from readroute.llm.common import load
 
@@ -21,6 +24,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and a digest of every text after the cut."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return _line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,10 +44,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
+        "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op8_token_counts": op8_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": _line_dedup.ORACLE_SQL,
+    }
