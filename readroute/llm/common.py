@@ -119,11 +119,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word, A-Z lower-cased, the same in every task."""
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit key of each word, A-Z lower-cased if `fold`, the same in every task."""
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[LOWER[data]] * up[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE_KEYS[LOWER[data] if fold else data] * up[: len(data)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

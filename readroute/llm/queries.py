@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from readroute.llm import bpe as _bpe
 from readroute.llm import decontaminate as _decontaminate
 from readroute.llm import line_dedup as _line_dedup
+from readroute.llm import quality as _quality
 from readroute.llm import token_counts as _token_counts
 from readroute.llm.common import load
 
@@ -42,12 +43,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op8_token_counts": op8_token_counts,
+        "op10_quality": op10_quality,
     }
 
 
