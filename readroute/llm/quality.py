@@ -28,16 +28,16 @@ SUPPORT = 0.75
 STEPS = 3
 #: Rows a group needs for an estimate of its own; smaller ones use the one of all rows.
 MIN_GROUP = 60
-#: Squared distance from which a row is an outlier.
-CUTOFF = 60.0
+#: Squared distance beyond which a row is an outlier: six standard deviations.
+CUTOFF = 36.0
 #: Least standard deviation of each transformed rate, so constant rates don't make all else an outlier.
-FLOORS = (0.08, 0.5, 0.12, 0.08)
-_CHI2_MEDIAN = 3.3567  # of four degrees of freedom
+FLOORS = (0.08, 0.5, 0.12, 0.08, 0.1)
+_CHI2_MEDIAN = 4.3515  # of five degrees of freedom
 _DIM = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i, _DIM)]
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
 
 def _repeat_words(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
                 n_lines.append(len(lines))
                 dup.append(len(lines) - len(set(lines)))
-            stats = [np.diff(bounds), text_sums(characters & ~SPACE[data], offsets), text_sums(_SYMBOLS[data], offsets), np.array(dup), text_sums(repeated, bounds), np.array(n_lines)]
+            stats = [np.diff(bounds), text_sums(characters & ~SPACE[data], offsets), text_sums(_SYMBOLS[data], offsets), np.array(dup), text_sums(repeated, bounds), np.array(n_lines), text_sums((data >= 65) & (data <= 90), offsets)]
             columns = [rows.column(i) for i in range(3)] + [pa.array(x.astype(np.int64)) for x in stats]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "source", *_STATS])
 
@@ -87,13 +87,14 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def rates() -> list[Column]:
-    """The transformed rates: word length, symbols, repeated lines, repeated words."""
+    """The transformed rates: word length, symbols, repeated lines, repeated words, capitals."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return [
         F.log(chars / words).alias("x0"),
         F.log1p(200 * F.col("n_symbols") / chars).alias("x1"),
         F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("x2"),
         F.sqrt(F.col("n_repeat_words") / words).alias("x3"),
+        F.sqrt(F.col("n_upper") / chars).alias("x4"),
     ]
 
 
@@ -133,7 +134,7 @@ def _from_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def estimate(vectors: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
-    """(g, n, centre m*, inverse scatter p*) of each group of (g, x0..x3) rows."""
+    """(g, n, centre m*, inverse scatter p*) of each group of (g, x0..x4) rows."""
     first = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(_DIM)])
     found = materialize(first.mapInPandas(_from_medians, _ESTIMATE))
     for _ in range(steps):
