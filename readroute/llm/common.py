@@ -33,6 +33,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes that part terms: all of ASCII but letters and digits.
+NOT_TERM = np.zeros(256, bool)
+NOT_TERM[:128] = True
+NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
 def split_key(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
@@ -103,10 +109,13 @@ def text_chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES
         lo = hi
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each word and, per text, the index of its first word (and the total)."""
-    inside = ~SPACE[data]
-    first, last = inside.copy(), inside
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word and, per text, the index of its first word (and the total).
+
+    `gaps` marks the bytes that part words.
+    """
+    inside = ~gaps[data]
+    first = inside.copy()
     gap = ~inside
     first[1:] &= gap[:-1]
     last = inside.copy()
@@ -127,6 +136,11 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def bounded_sample(rows: DataFrame, id_col: str, rate: Column) -> DataFrame:
+    """The rows whose id's hash falls under `rate`: the same rows in every run."""
+    return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < rate * (1 << 30))
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """The index of each text, repeated for each of its words."""
     return np.repeat(np.arange(len(counts)), counts)

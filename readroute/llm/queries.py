@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from readroute.llm import bpe as _bpe
 from readroute.llm import decontaminate as _decontaminate
+from readroute.llm import language as _language
 from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import quality as _quality
 from readroute.llm import token_counts as _token_counts
-from readroute.llm.common import load
+from readroute.llm import toxicity as _toxicity
+from readroute.llm.common import load, split_key
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +27,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("held_out", split_key(F.col("doc_id"), 4) == 2)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = _language.learn(docs.filter(split_key(F.col("doc_id"), 4) != 2))
+    return _held_out(_language.identify(docs, model))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and a digest of every text after the cut."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +51,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    machine = _toxicity.learn(docs, labels.filter(split_key(F.col("doc_id"), 4) != 2))
+    return _held_out(_toxicity.toxicity(docs, machine))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -49,9 +67,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": op2_language,
         "op3_line_dedup": op3_line_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
+        "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
         "op10_quality": op10_quality,
     }
