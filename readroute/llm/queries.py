@@ -15,6 +15,7 @@ from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import quality as _quality
 from readroute.llm import token_counts as _token_counts
 from readroute.llm import toxicity as _toxicity
+from readroute.llm import url_filter as _url_filter
 from readroute.llm.common import load, split_key
 
 
@@ -43,6 +44,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _url_filter.url_filter(load(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
         "op3_line_dedup": op3_line_dedup,
+        "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op7_toxicity": op7_toxicity,
