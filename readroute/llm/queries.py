@@ -12,6 +12,7 @@ from readroute.llm import bpe as _bpe
 from readroute.llm import decontaminate as _decontaminate
 from readroute.llm import language as _language
 from readroute.llm import line_dedup as _line_dedup
+from readroute.llm import ngram_join as _ngram_join
 from readroute.llm import quality as _quality
 from readroute.llm import token_counts as _token_counts
 from readroute.llm import toxicity as _toxicity
@@ -66,6 +67,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram_join.ngram_join(load(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(load(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_toxicity": op7_toxicity,
         "op8_token_counts": op8_token_counts,
+        "op9_ngram_join": op9_ngram_join,
         "op10_quality": op10_quality,
     }
 
