@@ -4,21 +4,63 @@ benchmark decontamination, encoding. Each stage reads what the one before it kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readroute.llm.bpe import bpe
 from readroute.llm.common import load, materialize
+from readroute.llm.decontaminate import leaks
+from readroute.llm.line_dedup import line_dedup
+from readroute.llm.ngram_join import ngram_join
+from readroute.llm.quality import quality
 from readroute.llm.queries import tokenizer_path
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is among `ids`, null ids too."""
+    picked = ids.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_kept"]), "left_semi").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; one of several rows of an id is enough."""
+    return _only(docs, quality(docs).filter("kept"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated passages cut; those with nothing left go. n_chars is counted anew."""
+    cut = line_dedup(docs.select(*COLUMNS))
+    left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each class of near-duplicates."""
+    joined = ngram_join(docs)
+    return _only(docs, joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = leaks(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti").select(*COLUMNS)
+
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens and digests of each document."""
     return bpe(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("ngram_join", near_duplicates),
+    ("decontamination", decontamination),
     ("bpe", encoding),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # outlier verdicts, similarity classes and tokens have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

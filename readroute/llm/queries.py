@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from readroute.llm import bpe as _bpe
 from readroute.llm import decontaminate as _decontaminate
 from readroute.llm import language as _language
+from readroute.llm import language_model as _language_model
 from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import ngram_join as _ngram_join
 from readroute.llm import quality as _quality
@@ -29,6 +30,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_model.language_model(load(spark, sf_dir, "documents"))
+
+
 def _held_out(scored: DataFrame) -> DataFrame:
     return scored.withColumn("held_out", split_key(F.col("doc_id"), 4) == 2)
 
@@ -77,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_model": op1_language_model,
         "op2_language": op2_language,
         "op3_line_dedup": op3_line_dedup,
         "op4_url_filter": op4_url_filter,
