@@ -119,12 +119,9 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n_words, n_tokens = [], []
             for text in batch.column(1).cast(pa.binary()):
                 words = (text.as_py() or b"").split()
-                new = set(words) - cache.keys()
-                if new:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                        new = set(words)
-                    cache.update((w, machine.count(w)) for w in new)
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                cache.update([(w, machine.count(w)) for w in set(words) if w not in cache])
                 n_words.append(len(words))
                 n_tokens.append(sum(map(cache.__getitem__, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
