@@ -33,7 +33,9 @@ SHINGLE = 5
 #: Most sets, and shingles, of one block of a tile.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Part keys that one task of the candidate stage sorts.
-KEYS_PER_TASK = 1_500_000
+KEYS_PER_TASK = 3_000_000
+#: Sets up to which the candidates are broadcast to the texts; more are joined by id.
+BROADCAST_SETS = 1_000_000
 #: Sets under this size take part with three salts at once.
 SMALL = 64
 _ODD = np.random.default_rng(77).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,7 +93,7 @@ def set_ids(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def part_keys(keys: np.ndarray, bounds: np.ndarray, band: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set index, digest) of the parts of each set under `band`, and whether each set is safe.
+    """(set index, digest) of the filled parts, and on how many each set agrees with a partner at least.
 
     Sets of band -1 take no part. Salt 0 cuts by the sorted keys themselves.
     """
@@ -105,13 +107,12 @@ def part_keys(keys: np.ndarray, bounds: np.ndarray, band: np.ndarray, salt: int)
     parts = PARTS[band[own]].astype(np.uint64)
     part = ((keys >> np.uint64(32)) * parts) >> np.uint64(32)
     if not len(own):
-        return own, keys, np.ones(len(band), bool)
+        return own, keys, np.zeros(len(band), np.int64)
     first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (part[1:] != part[:-1])))
     digest = np.add.reduceat(mix64(keys ^ np.uint64(0xDA942042E4DD58B5)), first)
     owner = own[first]
     digest = mix64(digest + part[first] * np.uint64(0xA0761D6478BD642F) + (band[owner].astype(np.uint64) * np.uint64(64) + np.uint64(salt)) * np.uint64(0xE7037ED1A0B428DB))
-    filled = np.bincount(owner, minlength=len(band))
-    return owner, digest, (band < 0) | (filled > DIFFER[band.clip(0)])
+    return owner, digest, np.bincount(owner, minlength=len(band)) - DIFFER[band.clip(0)]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,74 +123,113 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit(salts: list[int], only: list[int] | None, tasks: int):
-    """Blobs of part keys by task; band numbers whose sets were unsafe under every salt at task -1."""
+    """Blobs of part keys by task (kind 0), what each scheme of a set needs (1), unsafe bands (2).
+
+    A scheme of a set is a band and a salt, written as salt place * 2 + band parity, as
+    a set is in two neighbouring bands only.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, digests, unsafe, seen = [], [], set(), set()
+            entries, digests, dealt, unsafe, seen, n = [], [], [], set(), set(), 0
             for _, data, offsets in text_chunks(batch, "text"):
                 keys, bounds = shingle_sets(data, offsets)
                 ids, size = set_ids(keys, bounds), np.diff(bounds)
                 new = np.array([i not in seen and not seen.add(i) for i in ids.tolist()])  # one of each set
                 upper = np.searchsorted(LEAST, size, "right") - 1
                 for band in (upper, upper - 1):
-                    band = np.where(new & (band >= 0) & (size >= 4), band, -1)
+                    band = np.where(new & (band >= 0), band, -1)
                     if only is not None:
                         band = np.where(np.isin(band, only), band, -1)
                     safe = np.zeros(len(band), bool)
-                    for salt in salts:
-                        own_band = band if salt == salts[0] else np.where(size < SMALL, band, -1)
-                        owner, digest, ok = part_keys(keys, bounds, own_band, salt)
-                        safe |= ok & (own_band >= 0)
-                        sids.append(ids[owner])
+                    for place, salt in enumerate(salts):
+                        own_band = np.where(size < SMALL, band, -1) if place else band
+                        owner, digest, need = part_keys(keys, bounds, own_band, salt)
+                        takes = own_band >= 0
+                        safe |= takes & (need > 0)
+                        entries.append((ids[takes], own_band[takes] % 2 + 2 * place, np.maximum(need[takes], 1)))
+                        dealt.append((n + np.cumsum(takes) - 1)[owner])
                         digests.append(digest)
+                        n += int(takes.sum())
                     unsafe |= set(band[~safe & (band >= 0)].tolist())
-            if unsafe:
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(unsafe), pa.int32()), pa.array([int(b).to_bytes(8, "little") for b in unsafe], pa.binary())], names=["task", "blob"])
-            sid = np.concatenate(sids) if sids else np.zeros(0, np.int64)
-            digest = np.concatenate(digests) if digests else np.zeros(0, np.uint64)
-            # one dictionary of sets for each task's blob: n, ids, index of each key, low halves of the digests
-            to = ((digest >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(tasks + 1))
-            blobs = []
-            for k in range(tasks):
-                at = order[cut[k] : cut[k + 1]]
-                ids, index = np.unique(sid[at], return_inverse=True)
-                index = index.astype(np.uint16 if len(ids) < 1 << 16 else np.uint32)
-                head = np.array([len(ids), len(at)], np.uint32)
-                blobs.append(head.tobytes() + ids.tobytes() + index.tobytes() + digest[at].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(range(tasks), pa.int32()), pa.array(blobs, pa.binary())], names=["task", "blob"])
+            out = [(2, 0, int(b).to_bytes(8, "little")) for b in sorted(unsafe)]
+            if n:
+                sid, scheme, need = (np.concatenate([e[k] for e in entries]) for k in range(3))
+                entry, digest = np.concatenate(dealt).astype(np.uint32), np.concatenate(digests)
+                to = ((digest >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(to, kind="stable")  # keys of an entry stay together
+                cut = np.searchsorted(to[order], np.arange(tasks + 1))
+                out.append((1, int(sid[0]) % tasks, _pack(sid, need.astype(np.uint32), scheme.astype(np.uint8))))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    at = order[cut[k] : cut[k + 1]]
+                    own = entry[at]
+                    first = np.append(True, own[1:] != own[:-1])
+                    run = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+                    first = np.flatnonzero(run % 31 == 0)  # a count takes five bits
+                    count = np.diff(np.append(first, len(at)))
+                    code = (scheme[own[first]] << 5 | count).astype(np.uint8)
+                    out.append((0, k, _pack(sid[own[first]], digest[at].astype(np.uint32), code)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["kind", "task", "blob"])
 
     return emit
 
 
+def _pack(longs: np.ndarray, ints: np.ndarray, bytes_: np.ndarray) -> bytes:
+    return np.array([len(longs), len(ints), len(bytes_)], np.int64).tobytes() + longs.tobytes() + ints.tobytes() + bytes_.tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m, k = np.frombuffer(blob, np.int64, 3).tolist()
+    return np.frombuffer(blob, np.int64, n, 24), np.frombuffer(blob, np.uint32, m, 24 + 8 * n), np.frombuffer(blob, np.uint8, k, 24 + 8 * n + 4 * m)
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the sets under equal keys of a task; gives a forest, and the unsafe bands as (band, null)."""
-    sids, tokens, unsafe = [], [], set()
+    """(sid, scheme, token, null) of the keys that several sets of a task have; (sid, scheme, null, need);
+    and unsafe bands as (null, band, null, null)."""
+
+    def out(sid, scheme, token, need) -> pa.RecordBatch:
+        n = len(scheme)
+        columns = [pa.nulls(n, kind) if x is None else pa.array(x).cast(kind) for x, kind in ((sid, pa.int64()), (scheme, pa.int32()), (token, pa.int64()), (need, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["sid", "scheme", "token", "need"])
+
+    sids, schemes, tokens = [], [], []
     for batch in batches:
-        for task, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if task < 0:
-                unsafe.add(int.from_bytes(blob, "little"))
+        for kind, task, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == 2:
+                yield out(None, [int.from_bytes(blob, "little")], None, None)
+                continue
+            sid, ints, code = _unpack(blob)
+            if kind == 1:
+                yield out(sid, code, None, ints)
                 continue
-            n, m = np.frombuffer(blob, np.uint32, 2).tolist()
-            ids = np.frombuffer(blob, np.int64, n, 8)
-            kind = np.uint16 if n < 1 << 16 else np.uint32
-            index = np.frombuffer(blob, kind, m, 8 + 8 * n)
-            sids.append(ids[index])
-            tokens.append(np.frombuffer(blob, np.uint32, m, 8 + 8 * n + m * np.dtype(kind).itemsize).astype(np.uint64) | np.uint64(task) << np.uint64(32))
-    if unsafe:
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(unsafe), pa.int64()), pa.nulls(len(unsafe), pa.int64())], names=["u", "v"])
-    if not sids:
+            count = code & 31
+            sids.append(np.repeat(sid, count))
+            schemes.append(np.repeat(code >> 5, count))
+            tokens.append(ints.astype(np.int64) | task << 32)
+    if not tokens:
+        return
+    sid, scheme, token = np.concatenate(sids), np.concatenate(schemes), np.concatenate(tokens)
+    del sids, schemes, tokens
+    order = np.lexsort((sid, token))
+    # one row of each set under a key, then keys with several sets
+    order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (sid[order][1:] != sid[order][:-1]))]
+    same = token[order][1:] == token[order][:-1]
+    order = order[np.append(same, False) | np.append(False, same)]
+    for lo in range(0, len(order), 1 << 17):
+        at = order[lo : lo + (1 << 17)]
+        yield out(sid[at], scheme[at], token[at], None)
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): joins the sets under one token of the partition."""
+    rows = [(np.array(b.column(0)), np.array(b.column(1))) for b in batches]
+    if not rows:
         return
-    sid, token = np.concatenate(sids), np.concatenate(tokens)
-    del sids, tokens
+    token, sid = (np.concatenate([r[k] for r in rows]) for k in range(2))
     order = np.argsort(token)
-    sid, token = sid[order], token[order]
-    same = token[1:] == token[:-1]
-    u, v = sid[1:][same], sid[:-1][same]
-    apart = u != v
-    node, root = local_forest(u[apart], v[apart])
+    token, sid = token[order], sid[order]
+    same = (token[1:] == token[:-1]) & (sid[1:] != sid[:-1])
+    node, root = local_forest(sid[1:][same], sid[:-1][same])
     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
 
 
@@ -197,11 +237,13 @@ def candidate_edges(texts: DataFrame, tasks: int) -> DataFrame:
     """(u, v) between ids of sets: a forest over everything that may link."""
     salts, only, out = [0, 1, 2], None, None
     while True:
-        blobs = texts.select("text").mapInArrow(_emit(salts, only, tasks), "task int, blob binary")
-        found = materialize(blobs.repartitionById(tasks, F.greatest("task", F.lit(0))).mapInArrow(_match, "u long, v long"))
-        edges = found.filter("v is not null")
+        blobs = texts.select("text").mapInArrow(_emit(salts, only, tasks), "kind int, task int, blob binary")
+        found = materialize(blobs.repartitionById(tasks, F.col("task")).mapInArrow(_match, "sid long, scheme int, token long, need int"))
+        schemes = found.filter("sid is not null").groupBy("sid", "scheme").agg(F.collect_list("token").alias("tokens"), F.max("need").alias("need"))
+        alive = schemes.filter(F.size("tokens") >= F.col("need")).select(F.explode("tokens").alias("token"), "sid")
+        edges = alive.repartitionById(tasks, F.shiftright("token", 32).cast("int")).mapInArrow(_forest, "u long, v long")
         out = edges if out is None else out.unionAll(edges)
-        only = [r[0] for r in found.filter("v is null").select("u").distinct().collect()]  # bands: under 120
+        only = [r[0] for r in found.filter("sid is null").select("scheme").distinct().collect()]  # bands: under 120
         if not only:
             return out
         salts = [salts[-1] + k for k in (1, 2, 3)]
@@ -257,17 +299,18 @@ def tile_links(sets: list[np.ndarray], label: np.ndarray, query: np.ndarray | No
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows of one tile: (tile, sid, label, query, keys), sorted by tile."""
+    """Links within each run of rows of one tile: (tile, sid, label, query, text), sorted by tile."""
     held: list[tuple] = []
 
     def close() -> pa.RecordBatch:
         distinct = {}
-        for _, sid, label, query, keys in held:
+        for _, sid, label, query, text in held:
+            keys = distinct[sid][2] if sid in distinct else keys_of(text)
             distinct[sid] = (label, query or distinct.get(sid, (0, False))[1], keys)
         sids = np.array(list(distinct), np.int64)
         label = np.array([x[0] for x in distinct.values()], np.int64)
         query = np.array([x[1] for x in distinct.values()], bool)
-        links = tile_links([np.frombuffer(x[2], np.uint64) for x in distinct.values()], label, None if query.all() else query)
+        links = tile_links([x[2] for x in distinct.values()], label, None if query.all() else query)
         u, v = [a for a, _ in links], [b for _, b in links]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(sids[u]), pa.array(sids[v])], names=["u", "v"])
@@ -281,20 +324,23 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def keys_of(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]))[0]
+
+
 def tile_edges(rows: DataFrame) -> DataFrame:
-    """(u, v) links of (tile, sid, label, query, keys) rows."""
-    dealt = rows.select("tile", "sid", "label", "query", "keys").repartition("tile").sortWithinPartitions("tile")
+    """(u, v) links of (tile, sid, label, query, text) rows."""
+    dealt = rows.select("tile", "sid", "label", "query", "text").repartition("tile").sortWithinPartitions("tile")
     return dealt.mapInArrow(_tiles, "u long, v long")
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the set that they were chosen for: a repeated id may stand for other texts."""
     for batch in batches:
         for rows, data, offsets in text_chunks(batch, "text"):
-            keys, bounds = shingle_sets(data, offsets)
-            ids = set_ids(keys, bounds)
-            right = ids == np.array(rows.column(1))  # a repeated id may stand for other texts
-            blobs = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), pa.array(blobs, pa.binary())], names=["sid", "comp", "keys"]).filter(pa.array(right))
+            ids = set_ids(*shingle_sets(data, offsets))
+            yield rows.filter(pa.array(ids == np.array(rows.column(0))))
 
 
 def _block(of: Column, blocks: Column) -> Column:
@@ -303,32 +349,33 @@ def _block(of: Column, blocks: Column) -> Column:
 
 def set_links(texts: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v) verified links that join every pair of linked sets; sets: (sid, n, id)."""
-    member = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp")).join(sets, "sid")
-    chosen = member.select(F.col("id").alias("rep"), "sid", "comp")
-    held = texts.join(chosen, F.col("id").eqNullSafe(F.col("rep"))).select("text", "sid", "comp").mapInArrow(_keys, "sid long, comp long, keys binary")
+    member = materialize(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp")).join(sets, "sid"))
+    chosen = member.select(F.col("id").alias("rep"), "sid", "comp", "n")
+    chosen = F.broadcast(chosen) if member.count() <= BROADCAST_SETS else chosen
+    held = texts.join(chosen, F.col("id").eqNullSafe(F.col("rep"))).select("sid", "comp", F.col("n"), "text").mapInArrow(_right, "sid long, comp long, n long, text string")
     held = materialize(held)
     shape = member.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     many = materialize(shape.filter("blocks > 1"))
     large = many.count() > 0
     own = held.join(many, "comp", "left") if large else held.withColumn("blocks", F.lit(None).cast("long"))
     tile = F.xxhash64("comp", F.when(F.col("blocks").isNotNull(), _block(F.col("sid"), F.col("blocks"))).otherwise(0))
-    links = materialize(tile_edges(own.select(tile.alias("tile"), "sid", F.col("sid").alias("label"), F.lit(True).alias("query"), "keys")))
+    links = materialize(tile_edges(own.select(tile.alias("tile"), "sid", F.col("sid").alias("label"), F.lit(True).alias("query"), "text")))
     if not large:
         return links
     big = materialize(held.join(many, "comp"))  # what has more than one block
     for _ in range(2):  # representatives of what is joined meet in fewer blocks
         big_now = _labelled(big, links)
         heads = big_now.filter("sid = label")
-        shape = heads.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("keys")) / (8 * BLOCK_SHINGLES))).alias("parts"))
-        heads = heads.join(shape, "comp").select(F.xxhash64("comp", _block(F.col("sid"), F.col("parts"))).alias("tile"), "sid", "label", F.lit(True).alias("query"), "keys")
+        shape = heads.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+        heads = heads.join(shape, "comp").select(F.xxhash64("comp", _block(F.col("sid"), F.col("parts"))).alias("tile"), "sid", "label", F.lit(True).alias("query"), "text")
         links = materialize(links.unionAll(tile_edges(heads)))
     now = materialize(_labelled(big, links))
-    main = now.groupBy("comp", "label").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = now.groupBy("comp", "label").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     rest = now.join(main, "comp").filter("label <> main")
-    asked = rest.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.length("keys")) / (8 * BLOCK_SHINGLES))).alias("asks"))
-    ask = rest.join(asked, "comp").withColumn("ask", _block(F.col("sid"), F.col("asks"))).select("comp", "ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sid", "label", F.lit(True).alias("query"), "keys")
-    meet = now.join(asked, "comp").withColumn("block", _block(F.col("sid"), F.col("blocks"))).select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("ask"), "block", "sid", "label", F.lit(False).alias("query"), "keys")
-    across = ask.unionByName(meet).select(F.xxhash64("comp", "ask", "block").alias("tile"), "sid", "label", "query", "keys")
+    asked = rest.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("asks"))
+    ask = rest.join(asked, "comp").withColumn("ask", _block(F.col("sid"), F.col("asks"))).select("comp", "ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sid", "label", F.lit(True).alias("query"), "text")
+    meet = now.join(asked, "comp").withColumn("block", _block(F.col("sid"), F.col("blocks"))).select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("ask"), "block", "sid", "label", F.lit(False).alias("query"), "text")
+    across = ask.unionByName(meet).select(F.xxhash64("comp", "ask", "block").alias("tile"), "sid", "label", "query", "text")
     return links.unionAll(tile_edges(across))
 
 
