@@ -51,17 +51,22 @@ def assemble(df: DataFrame, spec: Spec) -> DataFrame:
     themselves go out, their own tags overlaid by new ones. Raw reads of removed and
     unassigned fragments carry only the QC tag beside their own.
     """
-    tags = new_tags(spec)
-    raw_tags = tags if not spec.qc_tag else F.filter(tags, lambda t: t["tag"] == spec.qc_tag)
     none = F.array().cast(f"array<{TAG}>")
-    df = df.withColumns({"_new": tags, "_raw": raw_tags if spec.qc_tag else none})
-    out = F.col("disposition").isin("assigned", "pass_through")
+    adds = bool(spec.tags or spec.qc_tag)
+    if adds:
+        df = df.withColumn("_new", new_tags(spec))
+
+    def with_tags(above: Column) -> Column:
+        return F.transform("reads", lambda r: r.withField("tags", overlay_tags(F.coalesce(r["tags"], none), above))).cast(f"array<{READ}>")
+
+    reads = F.col("reads").cast(f"array<{READ}>")
     if spec.templates:
-        made = F.array(*[body(t).withField("tags", F.col("_new")) for t in spec.templates]).cast(f"array<{READ}>")
+        made = F.array(*[body(t).withField("tags", F.col("_new") if adds else none) for t in spec.templates]).cast(f"array<{READ}>")
     else:
-        made = F.transform("reads", lambda r: r.withField("tags", overlay_tags(F.coalesce(r["tags"], none), F.col("_new")))).cast(f"array<{READ}>")
-    raw = F.transform("reads", lambda r: r.withField("tags", overlay_tags(F.coalesce(r["tags"], none), F.col("_raw")))).cast(f"array<{READ}>")
-    return df.withColumn("bodies", F.when(out, made).otherwise(raw)).drop("_new", "_raw")
+        made = with_tags(F.col("_new")) if adds else reads
+    raw = with_tags(F.filter("_new", lambda t: t["tag"] == spec.qc_tag)) if spec.qc_tag else reads
+    out = F.col("disposition").isin("assigned", "pass_through")
+    return df.withColumn("bodies", F.when(out, made).otherwise(raw)).drop("_new")
 
 
 def pattern(text: str, spec: Spec, ordinal: Column) -> Column:
@@ -80,7 +85,8 @@ def outputs(df: DataFrame, spec: Spec) -> DataFrame:
 
     Fragments whose pattern is not given have no rows.
     """
-    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", F.posexplode("bodies").alias("k", "body"))
+    # the outer form: from the plain one Catalyst infers a filter that repeats all of bodies
+    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", F.posexplode_outer("bodies").alias("k", "body")).filter("k is not null")
     ordinal = F.col("k") + 1
     dest = F.when(F.col("disposition").isin("assigned", "pass_through"), pattern(spec.out or "out", spec, ordinal))
     dest = dest.when(F.col("disposition") == "unassigned", pattern(spec.unassigned, spec, ordinal) if spec.unassigned else F.lit(None))

@@ -94,7 +94,7 @@ def anchor5_hamming(spark, sf_dir):
     return d.matched().select("fid", F.col("hit_g.tag_idx").cast("long").alias("tag"), F.col("hit_g.cost").cast("long").alias("cost"))
 
 
-@query("anchor3_hamming", f"SELECT fid, m % 100 AS tag, m // 100 AS cost, CASE WHEN m IS NOT NULL THEN 11 END AS start FROM (SELECT fid, {_ham('substr(b2, 12, 3)', _T3, 1)} AS m FROM r)")
+@query("anchor3_hamming", f"SELECT fid, m % 100 AS tag, m // 100 AS cost, CAST(CASE WHEN m IS NOT NULL THEN 11 END AS BIGINT) AS start FROM (SELECT fid, {_ham('substr(b2, 12, 3)', _T3, 1)} AS m FROM r)")
 def anchor3_hamming(spark, sf_dir):
     d = run(spark, sf_dir, groups=["g={" + ",".join(_T3) + "}", "g::loc=1:8:14,anchor=3p,dist=1"])
     return d.matched().select("fid", *[F.col(f"hit_g.{c}").cast("long").alias(n) for c, n in (("tag_idx", "tag"), ("cost", "cost"), ("start", "start"))])
@@ -220,7 +220,7 @@ def corrected_and_raw(spark, sf_dir):
     return d.extracted().select("fid", F.col("hit_g.tag_idx").cast("long").alias("tag"), F.col("c_x.bases").alias("corrected"), F.col("s_x.bases").alias("observed"), F.col("c_x.quals").alias("quals"))
 
 
-@query("records_by_destination", f"SELECT CASE WHEN {_AT1} = 'A' THEN 's1.R' || k || '.fq' WHEN {_AT1} = 'C' THEN 's2.R' || k || '.fq' ELSE 'un.' || (k - 1) || '.fq' END AS dest, count(*) AS n, sum(CAST(length(CASE WHEN {_AT1} IN ('A', 'C') THEN substr(CASE k WHEN 1 THEN b1 ELSE b2 END, 5) ELSE b1 END) AS BIGINT)) AS bases FROM r, (VALUES (1), (2)) v(k) GROUP BY 1")
+@query("records_by_destination", f"SELECT CASE WHEN {_AT1} = 'A' THEN 's1.R' || k || '.fq' WHEN {_AT1} = 'C' THEN 's2.R' || k || '.fq' ELSE 'un.' || (k - 1) || '.fq' END AS dest, count(*) AS n, CAST(sum(length(CASE WHEN {_AT1} IN ('A', 'C') THEN substr(CASE k WHEN 1 THEN b1 ELSE b2 END, 5) ELSE b1 END)) AS BIGINT) AS bases FROM r, (VALUES (1), (2)) v(k) GROUP BY 1")
 def records_by_destination(spark, sf_dir):
     d = run(spark, sf_dir, **_INDEX, samples=["s1=i::A", "s2=i::C"], extracts=["x=0:4:end", "y=1:4:end"], templates=["x", "y"], out="%sample.R%ordinal.fq", unassigned="un.%source.fq")
     return d.records().groupBy("dest").agg(F.count("*").alias("n"), F.sum(F.length("bases")).alias("bases"))
