@@ -26,6 +26,8 @@ TERMS = 1024
 #: Most labelled texts that the machine is fitted on.
 SAMPLE = 12_000
 THRESHOLD = 0.3
+#: Standard deviations of difference at which a term's log odds count by half at the start.
+SURE = 10.0
 
 
 @dataclass
@@ -90,7 +92,10 @@ def train(rows: list[tuple[int, np.ndarray, float]], epochs: int = 15, rate: flo
             x[k, own[own >= 0]] = 1
         return x
 
-    w0, w, v = 0.0, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
+    # linear weights begin at the terms' log odds, less where these are not sure
+    odds = np.log((seen[1, terms] + 0.5) / (n1 + 1)) - np.log((seen[0, terms] + 0.5) / (n0 + 1))
+    sure = z[terms] ** 2 / (z[terms] ** 2 + SURE**2)
+    w0, w, v = float(np.log(n1 / n0)), odds * sure, rng.normal(0, 0.01, (len(terms), FACTORS))
     g0, gw, gv = 1e-6, np.full(len(terms), 1e-6), np.full(v.shape, 1e-6)
     for _ in range(epochs):
         rng.shuffle(fit)
