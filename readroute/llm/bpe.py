@@ -148,13 +148,11 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     cut.append(code.split(text))
                     size += len(text)
                     lo += 1
-                new = set().union(*cut) - shown.keys()
                 if len(shown) > CACHE_PIECES:
                     shown.clear()
                     plain.clear()
-                    new = set().union(*cut)
-                if new:
-                    learn(list(new))
+                if new := [p for p in set().union(*cut) if p not in shown]:
+                    learn(new)
                 for pieces in cut:
                     line = b"".join(map(shown.__getitem__, pieces))[:-1]
                     back = b"".join(map(plain.__getitem__, pieces))
