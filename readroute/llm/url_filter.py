@@ -19,6 +19,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readroute.llm.common import materialize
+
 #: (verdict, host and path): a rule holds for the host and all below it.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words that make a host a block example where no rule decides.
@@ -121,9 +123,9 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds
     picked = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     counts = word_counts(pages.select(html_col), html_col)
     spark = pages.sparkSession
-    known = counts.unionByName(spark.createDataFrame([(w, 1) for w in seeds], "word string, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    known = materialize(counts.unionByName(spark.createDataFrame([(w, 1) for w in seeds], "word string, n long")).groupBy("word").agg(F.sum("n").alias("n")))
     total = known.agg(F.sum("n")).first()[0] or 1
-    words = host_words(picked.select("host").distinct(), known, total)
+    words = materialize(host_words(picked.select("host").distinct(), known, total))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     path_words = F.filter(F.split(F.lower(F.regexp_replace("path", r"\p{N}+", " 0 ")), r"[^\p{L}0]+"), lambda x: x != "")
     tokens = F.concat(F.transform("words", lambda x: F.concat(F.lit("h "), x)), F.transform(path_words, lambda x: F.concat(F.lit("p "), x)))
