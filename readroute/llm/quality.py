@@ -30,6 +30,8 @@ STEPS = 3
 MIN_GROUP = 60
 #: Squared distance beyond which a row is an outlier: six standard deviations.
 CUTOFF = 36.0
+#: Groups up to which their estimates are broadcast; more are joined by key.
+BROADCAST_GROUPS = 10_000
 #: Least standard deviation of each transformed rate, so constant rates don't make all else an outlier.
 FLOORS = (0.08, 0.5, 0.12, 0.08, 0.1)
 _CHI2_MEDIAN = 4.3515  # of five degrees of freedom
@@ -133,15 +135,20 @@ def _from_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _estimates(rows, centre, scatter * grow[:, None, None])
 
 
+def _beside(groups: DataFrame) -> DataFrame:
+    """A table of groups, sent to every task if it is small: a hot group's rows then stay where they are."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def estimate(vectors: DataFrame, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
     """(g, n, centre m*, inverse scatter p*) of each group of (g, x0..x4) rows."""
     first = vectors.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(_DIM)])
     found = materialize(first.mapInPandas(_from_medians, _ESTIMATE))
     for _ in range(steps):
-        far = vectors.join(found, "g").select("g", "n", *[f"x{i}" for i in range(_DIM)], _distance())
+        far = vectors.join(_beside(found), "g").select("g", "n", *[f"x{i}" for i in range(_DIM)], _distance())
         limits = far.groupBy("g").agg(F.percentile_approx("d2", [0.5, support], 2000).alias("q"))
-        limits = limits.join(found, "g").select("g", "n", F.col("q")[1].alias("most"), F.col("q")[0].alias("mid"), *[f"m{i}" for i in range(_DIM)], *[f"p{i}{j}" for i, j in _PAIRS])
-        near = vectors.join(limits, "g").withColumn("d2", _distance()).filter("d2 <= most")
+        limits = materialize(limits.join(_beside(found), "g").select("g", "n", F.col("q")[1].alias("most"), F.col("q")[0].alias("mid"), *[f"m{i}" for i in range(_DIM)], *[f"p{i}{j}" for i, j in _PAIRS]))
+        near = vectors.join(_beside(limits), "g").withColumn("d2", _distance()).filter("d2 <= most")
         moments = near.groupBy("g").agg(
             F.first("n").alias("n"), F.first("mid").alias("mid"), F.count("*").alias("k"),
             *[F.sum(f"x{i}").alias(f"s{i}") for i in range(_DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in _PAIRS],
@@ -162,12 +169,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     stats = materialize(text_stats(docs, id_col, text_col, lang_col, source_col).withColumn("g", F.to_json(F.struct("lang", "source"))))
     passed = stats.filter(~F.col("base_failed")).select("g", *rates())
     own = estimate(passed.unionAll(passed.withColumn("g", F.lit(""))))
-    pooled = own.filter("g = ''").drop("g", "n")
-    pooled = pooled.select(*[F.col(c).alias(f"a_{c}") for c in pooled.columns])
+    pooled = own.filter("g = ''").drop("g", "n").first()  # one row
     own = own.filter((F.col("g") != "") & (F.col("n") >= MIN_GROUP)).drop("n")
-    names = [c for c in own.columns if c != "g"]
-    joined = stats.join(own, "g", "left").join(F.broadcast(pooled), F.lit(True), "left")  # pooled: one row
-    joined = joined.select("id", *_STATS, "base_failed", *rates(), *[F.coalesce(c, f"a_{c}").alias(c) for c in names])
+    joined = stats.join(_beside(own), "g", "left").select(
+        "id", *_STATS, "base_failed", *rates(), *[F.coalesce(c, F.lit(pooled[c] if pooled else None).cast("double")).alias(c) for c in own.columns if c != "g"]
+    )
     found = joined.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
     return found.select(F.col("id").alias(id_col), *_STATS, "base_failed", "distance", kept.alias("kept"))
