@@ -25,6 +25,8 @@ BUCKET_BITS = 13
 DIMENSIONS = 16
 #: Most texts that the model is fitted on, and most of one language among them.
 SAMPLE, SAMPLE_OF_ONE = 4000, 800
+#: Languages that are learned, the commonest ones.
+MAX_LANGUAGES = 400
 #: Share of right predictions that those over the rejection score must reach on the held-back slice.
 PRECISION = 0.99
 #: Texts counted at once.
@@ -116,7 +118,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, of_one: int = SAMPLE_OF_ONE) -> Model:
     """Fit on at most `sample` rows with a text and a language, drawn evenly by hash of the id."""
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return train([])
     each = min(of_one, sample // len(counts))
