@@ -3,9 +3,10 @@
 Restaurants: one for each context class (the word before, hashed into CONTEXTS classes;
 the start of a text is one of its own), all sharing one parent, the restaurant of words,
 over a uniform base of the known words and one unknown. Seating is sampled by Gibbs:
-customers leave their tables and are seated again; a table that opens or closes is a
-customer of the parent, whose seating follows. Predictive probabilities are averaged
-over several samples.
+in each sweep every customer of every dish is seated again; a table that opens or closes
+is a customer of the parent, whose seating follows. Only numbers of tables count, so a
+dish's is drawn at once from its conditional (Stirling numbers times weights of new
+tables), with no limit. Predictive probabilities are averaged over several samples.
 
 Dishes (words) are dealt to shards by hash, with all their customers of every context.
 Within a shard the seating of its dishes is sampled with all else fixed; a restaurant's
@@ -23,6 +24,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,95 +40,191 @@ PARTS = 64
 TOKENS_PER_SHARD = 1_500_000
 #: Bytes of text whose tokens go out together, and texts at most.
 FLUSH_BYTES, FLUSH_TEXTS = 8 << 20, 30_000
-BURN_IN, SAMPLES, MOVES = 2, 3, 4
+BURN_IN, SAMPLES = 2, 3
+#: Customers up to which all weights of the numbers of tables are held; beyond, the grid of counts has FINE steps for a factor of e.
+EXACT, FINE = 1024, 256
+#: Parts of the dishes that are drawn in turn, each with the totals that the part before left.
+TURNS = 4
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = (0.8, 0.75), (4.0, 10.0)
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = 0
-_LARGE = 32
+
+
+@lru_cache(2)
+def log_ways(discount: float) -> np.ndarray:
+    """[c, t]: log of the weight of all seatings of c customers at t tables (generalised Stirling numbers)."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(EXACT):
+        t = np.arange(1, c + 2)
+        stay = np.log(np.maximum(c - discount * t, 1e-300)) + out[c, 1 : c + 2]
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay)
+    return out
+
+
+def draw_tables(customers: np.ndarray, room: np.ndarray, discount: float, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with 1 to EXACT customers, all of whom are seated anew, from the exact conditional.
+
+    `room`: strength and discounts of the restaurant without the dish; `p`: the parent's
+    probability of the dish. A table that opens as the k-th has the weight (room + k * discount) * p.
+    """
+    ways = log_ways(discount)
+    out = np.empty(len(customers), np.int64)
+    order = np.argsort(customers, kind="stable")
+    sizes = customers[order]
+    lo = 0
+    while lo < len(order):
+        hi = int(np.searchsorted(sizes, max(int(sizes[lo]) + 1, int(sizes[lo]) * 5 // 4), "left"))
+        width = int(sizes[hi - 1])
+        hi = min(hi, lo + max(1, (1 << 19) // width))
+        who = order[lo:hi]
+        weight = np.log((room[who, None] + discount * np.arange(width)) * p[who, None])
+        np.cumsum(weight, axis=1, out=weight)
+        weight += ways[sizes[lo:hi], 1 : width + 1]
+        weight -= weight.max(1, keepdims=True)
+        np.exp(weight, out=weight)
+        np.cumsum(weight, axis=1, out=weight)
+        out[who] = 1 + (weight[:, :-1] <= rng.random((len(who), 1)) * weight[:, -1:]).sum(1)
+        lo = hi
+    return np.minimum(out, customers)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of positive numbers."""
+    below = x.copy()
+    for k in range(1, 8):
+        below *= x + k
+    y = x + 8
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(below)
+
+
+class Ways:
+    """log_ways() of a few large counts, for t = 1, 2, ... as far as asked for.
+
+    The sum over the customers at which table t opens is taken over each up to EXACT,
+    beyond that over a grid whose steps grow by a FINE-th, each step a geometric series.
+    So the work grows with the logarithm of the counts, and the tables are not limited.
+    """
+
+    def __init__(self, counts: np.ndarray, discount: float):
+        self.discount, most = discount, int(counts.max())
+        grid = [np.arange(1, EXACT + 1), counts]
+        if most > EXACT:
+            grid.append(np.exp(np.arange(np.log(EXACT), np.log(most), 1 / FINE)).astype(np.int64))
+        self.grid = np.unique(np.concatenate(grid))
+        self.step = np.diff(self.grid).astype(np.float64)
+        self.at = np.searchsorted(self.grid, counts)
+        self.last = _lgamma(self.grid - discount) - _lgamma(np.array([1 - discount]))[0]
+        self.rows = self.last[self.at][:, None]
+
+    def upto(self, t_max: int) -> np.ndarray:
+        """[k, t - 1] of the k-th count."""
+        rows = [self.rows]
+        for t in range(self.rows.shape[1] + 1, t_max + 1):
+            now = np.full(len(self.grid), -np.inf)
+            k = int(np.searchsorted(self.grid, t))
+            if k < len(self.grid):
+                c = self.grid[k:] - self.discount * t
+                stay = _lgamma(c)
+                opens = self.last[k:] - stay - np.log(c)  # table t opens after so many customers
+                n, rise = self.step[k:], np.diff(opens)
+                rise = np.where(np.isfinite(rise) & (np.abs(rise) > 1e-9), rise, 1e-9)
+                seg = opens[:-1] + np.log(np.expm1(rise) / np.expm1(rise / n))
+                # before the grid's first count over t next to nothing opens that lasts
+                first = -_lgamma(np.array([t - self.discount * t]))[0] if self.grid[k] == t else opens[0]
+                now[k:] = np.logaddexp.accumulate(np.append(first, seg)) + stay
+            self.last = now
+            rows.append(now[self.at][:, None])
+        self.rows = np.concatenate(rows, axis=1)
+        return self.rows
+
+
+def draw_large(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """draw_tables() for counts over EXACT: as many tables are looked at as have any weight."""
+    t_max, discount = 256, ways.discount
+    while True:
+        t_max = min(t_max, int(counts.max()))
+        weight = np.cumsum(np.log((room[:, None] + discount * np.arange(t_max)) * p[:, None]), axis=1) + ways.upto(t_max)[:, :t_max]
+        weight[np.arange(1, t_max + 1) > counts[:, None]] = -np.inf
+        weight -= weight.max(1, keepdims=True)
+        if t_max == counts.max() or (weight[:, -1] < -40).all():
+            break
+        t_max = t_max * 5 // 4
+    weight = np.cumsum(np.exp(weight), axis=1)
+    return 1 + (weight[:, :-1] <= rng.random((len(counts), 1)) * weight[:, -1:]).sum(1)
+
+
+class Restaurants:
+    """Tables of all dishes of one level, each drawn with all its customers seated anew.
+
+    At first a dish has as many tables as the process gives it alone, about customers ** discount.
+    """
+
+    def __init__(self, customers: np.ndarray, discount: float, strength: float, rng: np.random.Generator):
+        self.discount, self.strength, self.rng = discount, strength, rng
+        self.tables = (customers**discount).astype(np.int64)
+        self.ways: tuple[np.ndarray, Ways] | None = None
+
+    def sweep(self, customers: np.ndarray, total: np.ndarray, of: np.ndarray, times: float, p: np.ndarray) -> None:
+        """Seat every customer anew. `total[of[i]]`, kept up to date, times `times`: tables of the dish's restaurant."""
+        single = np.flatnonzero((customers == 1) & (self.tables > 1))
+        np.add.at(total, of[single], 1 - self.tables[single])
+        self.tables[single] = 1
+        large = np.flatnonzero(customers > EXACT)
+        if len(large) and (self.ways is None or not np.array_equal(self.ways[0], customers[large])):
+            self.ways = customers[large], Ways(customers[large], self.discount)
+        mixed = self.rng.permutation(np.flatnonzero((customers > 1) & (customers <= EXACT)))
+        for who in [*np.array_split(mixed, TURNS), large]:
+            if len(who):
+                room = self.strength + self.discount * np.maximum(times * total[of[who]] - self.tables[who], 0)
+                if customers[who[0]] > EXACT:
+                    now = draw_large(customers[who], self.ways[1], room, p[who], self.rng)
+                else:
+                    now = draw_tables(customers[who], room, self.discount, p[who], self.rng)
+                np.add.at(total, of[who], now - self.tables[who])
+                self.tables[who] = now
 
 
 class Seating:
-    """Tables of many dishes: sizes[at[i] : at[i] + tables[i]] are those of dish i.
+    """The process itself, customer by customer, which the tests hold the draws against.
 
-    `new` gives, for chosen dishes, the weight of a new table.
+    sizes[i, : tables[i]] are the tables of dish i; `new` gives, for chosen dishes, the
+    weight of a new table. `room` is only what is there at first.
     """
 
     def __init__(self, customers: np.ndarray, discount: float, new, rng: np.random.Generator, room: int):
-        self.discount, self.new, self.rng, self.room = discount, new, rng, room
-        self.customers = np.minimum(customers, 1)
+        self.discount, self.new, self.rng = discount, new, rng
+        self.customers = np.zeros(len(customers), np.int64)
         self.tables = self.customers.copy()
-        self.at = np.append(0, np.cumsum(np.minimum(customers, _LARGE) + room))
-        self.sizes = np.zeros(self.at[-1], np.int64)
-        self.sizes[self.at[:-1]] = self.customers
-        self.resize(np.minimum(customers, _LARGE))
-        for i in np.flatnonzero(customers > _LARGE):
-            self._fill(int(i), int(customers[i]))
-
-    def _fill(self, i: int, target: int) -> None:
-        """Seat a dish's further customers in growing groups; the sweeps go one by one."""
-        one = np.array([i])
-        n, t = int(self.customers[i]), int(self.tables[i])
-        own = self.sizes[self.at[i] : self.at[i] + t].copy()
-        free = int(self.at[i + 1] - self.at[i]) - self.room // 2
-        while n < target:
-            group = min(max(1, n // 3), target - n)
-            fresh = float(self.new(one)[0])
-            share = fresh / (fresh + n - self.discount * t)
-            opened = min(int(self.rng.binomial(group, min(1.0, share))), max(0, free - t))
-            weight = own - self.discount
-            own = own + self.rng.multinomial(group - opened, weight / weight.sum())
-            own = np.append(own, np.ones(opened, np.int64))
-            t, n = len(own), n + group
-        self.sizes[self.at[i] : self.at[i] + t] = own
-        self.tables[i], self.customers[i] = t, n
-
-    def _walk(self, who: np.ndarray, draw: np.ndarray, off: float) -> np.ndarray:
-        """The table of each dish at which the running sum of (size - off) passes the draw."""
-        place = np.zeros(len(who), np.int64)
-        going, left = np.arange(len(who)), draw.copy()
-        while len(going):
-            left[going] -= self.sizes[self.at[who[going]] + place[going]] - off
-            going = going[(left[going] >= 0) & (place[going] + 1 < self.tables[who[going]])]
-            place[going] += 1
-        return place
-
-    def leave(self, who: np.ndarray) -> np.ndarray:
-        """One customer of each dish, chosen evenly, goes; returns the change of its tables."""
-        place = self._walk(who, self.rng.random(len(who)) * self.customers[who], 0.0)
-        spot = self.at[who] + place
-        self.sizes[spot] -= 1
+        self.sizes = np.zeros((len(customers), room), np.int64)
+        while len(who := np.flatnonzero(self.customers < customers)):
+            self.enter(who)
+
+    def leave(self, who: np.ndarray) -> None:
+        """One customer of each dish, chosen evenly, goes."""
+        passed = np.cumsum(self.sizes[who], axis=1) <= (self.rng.random(len(who)) * self.customers[who])[:, None]
+        place = passed.sum(1)
+        self.sizes[who, place] -= 1
         self.customers[who] -= 1
-        empty = self.sizes[spot] == 0
-        gone, hole = who[empty], spot[empty]
-        last = self.at[gone] + self.tables[gone] - 1
-        self.sizes[hole] = self.sizes[last]
-        self.sizes[last] = 0
+        empty = self.sizes[who, place] == 0
+        gone, hole = who[empty], place[empty]
         self.tables[gone] -= 1
-        return -empty.astype(np.int64)
-
-    def enter(self, who: np.ndarray) -> np.ndarray:
-        """One customer of each dish is seated; returns the change of its tables."""
-        fresh = self.new(who)
-        n, t = self.customers[who], self.tables[who]
-        full = t >= self.at[who + 1] - self.at[who]
-        draw = self.rng.random(len(who)) * (fresh + n - self.discount * t)
-        opens = ((draw < fresh) & ~full) | (t == 0)
-        stay = ~opens
-        if stay.any():
-            at = who[stay]
-            over = np.where(draw[stay] < fresh[stay], 0, draw[stay] - fresh[stay])
-            self.sizes[self.at[at] + self._walk(at, over, self.discount)] += 1
-        self.sizes[self.at[who[opens]] + t[opens]] = 1
-        self.tables[who[opens]] += 1
+        self.sizes[gone, hole] = self.sizes[gone, self.tables[gone]]
+        self.sizes[gone, self.tables[gone]] = 0
+
+    def enter(self, who: np.ndarray) -> None:
+        """One customer of each dish is seated."""
+        if self.tables[who].max() == self.sizes.shape[1]:
+            self.sizes = np.pad(self.sizes, ((0, 0), (0, self.sizes.shape[1])))
+        weight = np.maximum(self.sizes[who] - self.discount, 0)
+        weight[np.arange(len(who)), self.tables[who]] = np.where(self.tables[who] > 0, self.new(who), 1.0)
+        weight = np.cumsum(weight, axis=1)
+        place = (weight <= self.rng.random((len(who), 1)) * weight[:, -1:]).sum(1)
+        self.tables[who] += self.sizes[who, place] == 0
+        self.sizes[who, place] += 1
         self.customers[who] += 1
-        return opens.astype(np.int64)
-
-    def resize(self, target: np.ndarray) -> None:
-        while len(who := np.flatnonzero(self.customers > target)):
-            self.leave(who)
-        while len(who := np.flatnonzero(self.customers < target)):
-            self.enter(who)
 
 
 @dataclass
@@ -149,50 +247,21 @@ def sample_seating(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_w
     rng = np.random.default_rng(seed)
     (d2, d1), (s2, s1) = DISCOUNT, STRENGTH
     known = int((np.bincount(word, count, n_words) > 0).sum())
-    base = 1.0 / (known * shards + 1)
-    total = np.bincount(context, minlength=CONTEXTS).astype(np.float64)  # tables of each context here
-    parent_p = np.bincount(word, minlength=n_words) * parts / max(len(word) * shards, 1)
-
-    repeated = np.flatnonzero(count >= 2)
-    own_word, own_context = word[repeated], context[repeated]
-
-    def open_pair(i: np.ndarray) -> np.ndarray:
-        return (s2 + d2 * shards * total[own_context[i]]) * parent_p[own_word[i]]
-
-    single = np.bincount(word[count == 1], minlength=n_words)
-    pairs = Seating(count[repeated], d2, open_pair, rng, (BURN_IN + SAMPLES) * MOVES + 8)
-    words_total = [0.0]
-
-    def open_word(i: np.ndarray) -> np.ndarray:
-        return np.full(len(i), (s1 + d1 * words_total[0] * shards) * base)
-
-    def parents() -> np.ndarray:
-        return single + np.bincount(own_word, pairs.tables, n_words).astype(np.int64)
-
-    total = np.bincount(context[count == 1], minlength=CONTEXTS) + np.bincount(own_context, pairs.tables, CONTEXTS)
-    customers = parents()
-    words_total[0] = float(known)
-    words = Seating(customers, d1, open_word, rng, 4 * (BURN_IN + SAMPLES) * MOVES + 64)
+    base = np.full(n_words, 1.0 / (known * shards + 1))
+    pairs = Restaurants(count, d2, s2, rng)
+    total = np.bincount(context, pairs.tables, CONTEXTS).astype(np.int64)  # tables of each context here
+    customers = np.bincount(word, pairs.tables, n_words).astype(np.int64)
+    words = Restaurants(customers, d1, s1, rng)
+    words_total, root = np.array([words.tables.sum()]), np.zeros(n_words, np.int64)
     tables, word_customers, word_tables = [], [], []
-    for sweep in range(BURN_IN + SAMPLES):
-        words_total[0] = float(words.tables.sum())
-        parent_p = (words.customers * parts - d1 * words.tables * parts + (s1 + d1 * words_total[0] * shards) * base) / (s1 + float(words.customers.sum()) * shards)
-        for move in range(MOVES):
-            who = np.flatnonzero(pairs.customers > max(1, move))
-            if len(who):
-                change = pairs.leave(who) + pairs.enter(who)
-                np.add.at(total, own_context[who], change)
-        words.resize(parents())
-        for _ in range(MOVES):
-            who = np.flatnonzero(words.customers > 1)
-            if len(who):
-                words.leave(who)
-                words.enter(who)
-        if sweep >= BURN_IN:
-            now = np.ones(len(word), np.int64)
-            now[repeated] = pairs.tables
-            tables.append(now)
-            word_customers.append(words.customers.copy())
+    for sweep in range(1 + BURN_IN + SAMPLES):  # the first one leaves the start
+        parent_p = (customers * parts - d1 * words.tables * parts + (s1 + d1 * float(words_total[0]) * shards) * base) / (s1 + float(customers.sum()) * shards)
+        pairs.sweep(count, total, context, shards, parent_p[word])
+        customers = np.bincount(word, pairs.tables, n_words).astype(np.int64)
+        words.sweep(customers, words_total, root, shards, base)
+        if sweep > BURN_IN:
+            tables.append(pairs.tables.copy())
+            word_customers.append(customers)
             word_tables.append(words.tables.copy())
     return np.array(tables), np.array(word_customers), np.array(word_tables)
 

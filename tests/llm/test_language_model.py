@@ -105,3 +105,40 @@ def test_seating_follows_the_restaurant_process():
     assert abs(seating.tables.mean() - want) < 0.06
     sizes = seating.sizes.reshape(dishes, -1)
     assert (sizes.sum(1) == n).all() and ((sizes > 0).sum(1) == seating.tables).all()
+
+
+def test_frequent_dishes_get_the_expected_tables():
+    """Dishes of thousands of customers, and of a few, against the exact distribution of their tables."""
+    d, s = lm.DISCOUNT[0], lm.STRENGTH[0]
+    rng = np.random.default_rng(8)
+    most = 3000
+    ways = np.full(most + 2, -np.inf)  # log Stirling numbers of one count
+    ways[0] = 0.0
+    rows = {}
+    for c in range(most):
+        t = np.arange(1, most + 2)
+        ways[1:] = np.logaddexp(ways[:-1], np.log(np.maximum(c - d * t, 1e-300)) + ways[1:])
+        ways[0] = -np.inf
+        rows[c + 1] = ways[1:].copy() if c + 1 in (40, 900, most) else None
+    for n, others, p in ((40, 300.0, 0.05), (900, 5000.0, 0.05), (most, 5000.0, 0.05), (most, 200.0, 0.002)):
+        open_ = np.cumsum(np.log((s + d * (others + np.arange(most + 1))) * p))
+        weight = np.exp((w := rows[n] + open_) - w.max())
+        want = (weight * np.arange(1, most + 2)).sum() / weight.sum()
+        dishes = 30
+        level = lm.Restaurants(np.full(dishes, n), d, s, rng)
+        total, of, found = others + level.tables, np.arange(dishes), []
+        for sweep in range(12):
+            level.sweep(np.full(dishes, n), total, of, 1.0, np.full(dishes, p))
+            if sweep > 2:
+                found.append(level.tables.mean())
+        assert (total == others + level.tables).all()
+        assert abs(np.mean(found) / want - 1) < 0.04, (n, others, p, np.mean(found), want)
+
+
+def test_a_frequent_pair_opens_as_many_tables_as_it_needs():
+    contexts, others = 20, 3000
+    word = np.append(np.zeros(contexts, int), np.tile(np.arange(1, others + 1), contexts))
+    context = np.append(np.arange(1, contexts + 1), np.repeat(np.arange(1, contexts + 1), others))
+    count = np.append(np.full(contexts, 12_000), np.ones(contexts * others, int))
+    tables, _, _ = lm.sample_seating(word, context, count, others + 1, np.ones(others + 1, int), 1, 4)
+    assert tables[:, :contexts].mean() > 60
