@@ -116,9 +116,10 @@ def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
         file, start, end = at
         text = F.try_element_at("reads", file + 1)["bases"]
         last = F.length(text) if group.anchor == "5p" else end
+        whole = start.isNotNull() & (last >= start)
         if group.anchor == "3p":
-            raise NotImplementedError(f"group {group.name}: too many variants for a 3p anchor")
-        found = search_column(F.when(start.isNotNull() & (last >= start), cut(text, start, last)), group)
+            whole &= last <= F.length(text)
+        found = search_column(F.when(whole, cut(text, start, last)), group)
         df = df.withColumn(name, F.coalesce(_hits(found, file, start), none))
     else:
         found = [_hits(search_column(F.try_element_at("reads", F.lit(k + 1))["bases"], group), F.lit(k), F.lit(0)) for k in range(files)]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readroute.functions import seq
-from readroute.operators import align
+from readroute.operators import align, match
 from readroute.operators.match import variant_count, variants
 from readroute.plans.analyze import analyze, in_order, tag_table
 from readroute.plans.demux import Demux
@@ -199,3 +199,21 @@ def test_scalars(spark):
     row = spark.createDataFrame([("ACGTNRYacg", "n1/1 c", "AB")], "b string, n string, q string").select(seq.revcomp(F.col("b")).alias("r"), seq.first_token(F.col("n")).alias("f"), seq.fit_quals(F.col("q"), F.lit(4)).alias("p"), seq.fit_quals(F.col("q"), F.lit(1)).alias("c"), seq.mask_no_call(F.col("b")).alias("m")).first()
     assert (row.r, row.f, row.p, row.c, row.m) == ("cgtRYNACGT", "n1/1", "ABBB", "A", "ACGTXXXACG")
     assert seq.degeneracy("ARN") == 8 and seq.tag_class("ARU") == "A[AG]T" and seq.revcomp_text("AACG") == "CGTT"
+
+
+def test_3p_anchor_above_the_bound_of_variants(go, monkeypatch):
+    """Many long tags at the window's end, and the same matches as the join where both can."""
+    import random
+
+    rng = random.Random(9)
+    tags = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(96)]
+    assert sum(variant_count(t, 2) for t in tags) > match.MAX_VARIANTS
+    near = lambda t: t[:3] + "N" + t[4:9] + ("A" if t[9] != "A" else "C") + t[10:]
+    reads = ["GG" + tags[5], "GT" + near(tags[70]), "GG" + tags[5][1:] + "T", tags[1], "GG" + tags[5] + "ACGT"]
+    found = bases(go(reads, groups=["g={" + ",".join(tags) + "}", "g::loc=0:0:18,anchor=3p,dist=2"], **X), kind="s")
+    assert found == [tags[5], near(tags[70]), None, tags[1], tags[5]]
+    reads = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(4, 12))) for _ in range(60)]
+    some = dict(groups=["g={ACGTA,ARG,TTC}", "g::loc=0:1:9,anchor=3p,dist=1"], **X)
+    first = column(go(reads, **some).extracted(), "acc_g")
+    monkeypatch.setattr(match, "MAX_VARIANTS", 0)
+    assert column(go(reads, **some).extracted(), "acc_g") == first and any(first)
