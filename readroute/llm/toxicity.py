@@ -3,8 +3,8 @@
 y = w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms present in a text;
 the factors let a pair weigh more than its parts, as an insult next to a group does.
 Trained in numpy on the driver by mini-batches with adaptive steps, from a bounded
-sample of labelled texts; of the sample's terms those that tell the classes apart best
-take part. A held-back slice turns the machine's value into a probability.
+sample of labelled texts; every term bucket of the sample takes part, rare ones with
+small steps. A held-back slice turns the machine's value into a probability.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from readroute.llm.common import NOT_TERM, bounded_sample, text_chunks, word_bou
 
 HASH_BITS = 18
 FACTORS = 8
-#: Terms that take part, by the strength of their difference between the classes.
-TERMS = 1024
+#: Squared gradients that each weight has behind it at the start: bounds the steps of rare terms.
+CALM = 0.1
 #: Most labelled texts that the machine is fitted on.
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -80,39 +80,43 @@ def train(rows: list[tuple[int, np.ndarray, float]], epochs: int = 15, rate: flo
         seen[int(label[i]), rows[i][1]] += 1
     share = (seen[0] + seen[1]) / (n0 + n1)
     z = (seen[1] / max(n1, 1) - seen[0] / max(n0, 1)) / np.sqrt(share * (1 - share) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-9)
-    z[seen.sum(0) < 3] = 0
-    terms = np.sort(np.argsort(-np.abs(z), kind="stable")[:TERMS])
-    terms = terms[z[terms] != 0]
+    terms = np.flatnonzero(seen.sum(0))
     place[terms] = np.arange(len(terms))
 
-    def batch(which: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(which), len(terms)))
-        for k, i in enumerate(which):
-            own = place[rows[i][1]]
-            x[k, own[own >= 0]] = 1
-        return x
+    def batch(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, their features): only the columns that these rows have."""
+        size = [len(rows[i][1]) for i in which]
+        met = place[np.concatenate([rows[i][1] for i in which])] if len(which) else place[:0]
+        text, met = np.repeat(np.arange(len(which)), size)[met >= 0], met[met >= 0]
+        own, at = np.unique(met, return_inverse=True)
+        x = np.zeros((len(which), len(own)))
+        x[text, at] = 1
+        return x, own
 
     # linear weights begin at the terms' log odds, less where these are not sure
     odds = np.log((seen[1, terms] + 0.5) / (n1 + 1)) - np.log((seen[0, terms] + 0.5) / (n0 + 1))
     sure = z[terms] ** 2 / (z[terms] ** 2 + SURE**2)
     w0, w, v = float(np.log(n1 / n0)), odds * sure, rng.normal(0, 0.01, (len(terms), FACTORS))
-    g0, gw, gv = 1e-6, np.full(len(terms), 1e-6), np.full(v.shape, 1e-6)
+    g0, gw, gv = 1e-6, np.full(len(terms), CALM), np.full(v.shape, CALM)
     for _ in range(epochs):
         rng.shuffle(fit)
         for k in range(0, len(fit), 64):
             which = fit[k : k + 64]
-            x = batch(which)
-            y, xv = value(x, w0, w, v)
+            x, own = batch(which)
+            y, xv = value(x, w0, w[own], v[own])
             off = (_sigmoid(y) - label[which]) * weight[which] / len(which)
-            d0, dw = off.sum(), x.T @ off + decay * w
-            dv = x.T @ (off[:, None] * xv) - v * (x.T @ off)[:, None] + decay * v  # x is 0 or 1
-            g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
+            d0, dw = off.sum(), x.T @ off + decay * w[own]
+            dv = x.T @ (off[:, None] * xv) - v[own] * (x.T @ off)[:, None] + decay * v[own]  # x is 0 or 1
+            g0 += d0**2
+            gw[own] += dw**2
+            gv[own] += dv**2
             w0 -= rate * d0 / np.sqrt(g0)
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
+            w[own] -= rate * dw / np.sqrt(gw[own])
+            v[own] -= rate * dv / np.sqrt(gv[own])
     # probability: a logistic curve over the held-back values, by Newton steps
     which = held if len(set(label[held])) == 2 else order
-    y = np.concatenate([value(batch(which[k : k + 256]), w0, w, v)[0] for k in range(0, len(which), 256)])
+    met = (batch(which[k : k + 256]) for k in range(0, len(which), 256))
+    y = np.concatenate([value(x, w0, w[own], v[own])[0] for x, own in met])
     top = np.stack([np.clip(y, -30, 30), np.ones(len(y))], 1)
     line = np.array([1.0, 0.0])
     target = label[which] * 0.998 + 0.001

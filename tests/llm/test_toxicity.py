@@ -65,3 +65,21 @@ def test_odd_tables(spark):
     assert all(0 <= r.score <= 1 for r in toxicity(odd, machine).collect())
     assert train([(1, np.array([5]), 1.0)]).w.size == 0
     assert toxicity(docs.limit(0), machine).count() == 0
+
+
+def test_a_pair_of_words_that_are_neutral_alone():
+    """Toxic if both words are there or neither, in even numbers, among thousands of words of one class."""
+    rng, rows = np.random.default_rng(6), []
+    fill = np.arange(1000, 9000)
+    for i in range(2000):
+        a, b = i % 2, i // 2 % 2
+        own = np.concatenate([rng.choice(fill, 12, replace=False), [3] * a, [7] * b]).astype(np.int64)
+        rows.append((int(a == b), np.unique(own), 1.0))
+    machine = train(rows[:1600])
+    right = []
+    for label, own, _ in rows[1600:]:
+        at = machine.place[own]
+        at = at[at >= 0]
+        y = value(np.ones((1, len(at))), machine.w0, machine.w[at], machine.v[at])[0][0]
+        right.append((y * machine.scale + machine.shift > 0) == label)
+    assert machine.place[3] >= 0 and machine.place[7] >= 0 and np.mean(right) > 0.85
