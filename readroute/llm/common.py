@@ -8,6 +8,7 @@ characters.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,24 @@ _BYTE_KEYS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.
 _powers: dict[str, np.ndarray] = {}
 
 
+def place(names: list[str], wanted: str) -> int:
+    """Where the column `wanted` is: one of exactly that name before one that differs in case."""
+    near = [i for i, c in enumerate(names) if c.lower() == wanted.lower()]
+    if not near:
+        raise ValueError(f"no column {wanted} among {names}")
+    return next((i for i in near if names[i] == wanted), near[0])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with its columns named c0, c1, ... by place, so no name of theirs can clash."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def pick(docs: DataFrame, **columns: str) -> DataFrame:
+    """The chosen columns under new names, whatever the names of the others are."""
+    return numbered(docs).select(*[F.col(f"c{place(docs.columns, old)}").alias(new) for new, old in columns.items()])
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -47,13 +66,14 @@ def split_key(doc_id: Column, mod: int) -> Column:
 def scratch_path(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only a session without that setting (tests, a laptop) gets one of its own,
-    below the warehouse folder.
+    Only a session on one machine (tests, a laptop) may leave it unset and gets a folder
+    of its own, below the warehouse folder.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = set_dir.get() if set_dir.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{top.rstrip('/')}/readroute-{uuid.uuid4().hex}"
 
 
@@ -65,6 +85,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """`docs` with numbered columns and a key `row` of each row, written once so that it stays."""
+    return materialize(numbered(docs).withColumn("row", F.monotonically_increasing_id()))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit keys over all bits (in place where possible)."""
     x = x ^ (x >> np.uint64(30))

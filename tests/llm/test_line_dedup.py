@@ -57,3 +57,24 @@ def test_odd_tables(docs_of):
     assert sorted((r.doc_id or -1, r.text, r.n_removed) for r in found.collect()) == [(-1, "a\nb\nc", 0), (1, "", 3), (1, "", 3), (2, "", 3)]
     assert found.columns.count("n_removed") == 1 and {"pos", "id", "k1"} <= set(found.columns)
     assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_rows_of_one_id_are_cut_by_their_own_lines(docs_of):
+    texts = [(0, "p\nq"), (1, "p\nq\nr\nz"), (1, "k\nl\nm\nn"), (2, "p\nq\nr\nz"), (None, "p\nq\nr\nz"), (None, "one\ntwo\nthree\nfour"), (None, "z\nk\nl\nm\nn")]
+    # by row: null ids first, then by id; among the rows of one id each order keeps the unique lines
+    found = {(r.doc_id, r.text) for r in line_dedup(docs_of(texts)).collect()}
+    assert found == {(None, "p\nq\nr\nz"), (None, "one\ntwo\nthree\nfour"), (None, "z\nk\nl\nm\nn"), (0, "p\nq"), (1, ""), (2, "")}
+    each = docs_of(texts).withColumn("row", F.struct("doc_id", F.monotonically_increasing_id()))
+    rows = sorted(each.collect(), key=lambda r: (r.row.doc_id is not None, r.row.doc_id or 0, r.row[1]))
+    want = brute({k: r.text for k, r in enumerate(rows)})
+    got = {tuple(r.row): (r.text, r.n_lines, r.n_removed) for r in line_dedup(each, id_col="row").collect()}
+    assert [got[tuple(r.row)] for r in rows] == [want[k] for k in range(len(rows))]
+
+
+def test_names_of_other_columns(docs_of):
+    docs = docs_of(list(TEXTS.items())).selectExpr("*", "'a' as _lines", "'b' as _covered", "'c' as _kept", "9 as N_LINES", "'d' as h", "'e' as starts", "'f' as c0", "'g' as TEXT", "'h' as `a.b c`")
+    found = line_dedup(docs)
+    assert found.columns == [c for c in docs.columns if c != "N_LINES"] + ["n_lines", "n_removed"]
+    rows = [tuple(r) for r in found.collect()]
+    assert {r[0]: (r[1], r[-2], r[-1]) for r in rows} == brute(TEXTS)
+    assert {r[5:-2] for r in rows} == {("a", "b", "c", "d", "e", "f", "g", "h")}
