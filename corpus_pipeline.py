@@ -7,48 +7,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readroute.llm.bpe import bpe
-from readroute.llm.common import load, materialize
+from readroute.llm.common import load, materialize, place, with_row_key
 from readroute.llm.decontaminate import leaks
 from readroute.llm.line_dedup import line_dedup
 from readroute.llm.ngram_join import ngram_join
 from readroute.llm.quality import quality
 from readroute.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def _column(docs: DataFrame, name: str) -> str:
+    """The name that a column of `docs` has in with_row_key(docs)."""
+    return f"c{place(docs.columns, name)}"
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is among `ids`, null ids too."""
-    picked = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(picked, docs["doc_id"].eqNullSafe(picked["_kept"]), "left_semi").select(*COLUMNS)
+
+def _only(docs: DataFrame, keyed: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of `keyed` whose key is among `rows`, under the names of `docs`."""
+    return keyed.join(rows.select("row"), "row", how).drop("row").toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; one of several rows of an id is enough."""
-    return _only(docs, quality(docs).filter("kept"))
+    """Documents that the quality rules keep, each row by its own text.
+
+    A null or empty text has no words and goes. Rows alike in text, language and source
+    have one verdict. All columns pass.
+    """
+    keyed = with_row_key(docs)
+    judged = quality(keyed, "row", *[_column(docs, c) for c in ("text", "lang", "source")])
+    return _only(docs, keyed, judged.filter("kept"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated passages cut; those with nothing left go. n_chars is counted anew."""
-    cut = line_dedup(docs.select(*COLUMNS))
-    left = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Documents with repeated passages cut; those with nothing left go. n_chars is counted anew.
+
+    The first occurrence by (doc_id, row) stays; null ids come first. A null or empty
+    text that lost nothing stays. Of copies, whatever their ids, the first keeps its lines.
+    """
+    keyed = with_row_key(docs)
+    text, n_chars = _column(docs, "text"), _column(docs, "n_chars")
+    cut = line_dedup(keyed.withColumn("row", F.struct(_column(docs, "doc_id"), "row")), "row", text)
+    left = cut.filter((F.col("n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    counted = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars))
+    return left.withColumn(n_chars, counted).drop("row", "n_lines", "n_removed").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near-duplicates."""
-    joined = ngram_join(docs)
-    return _only(docs, joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each class of near-duplicates, the one of least id, of equal ids the first row.
+
+    A null id is the least only if the class has no other. Texts without a word are a
+    class each and stay.
+    """
+    keyed = with_row_key(docs)
+    joined = ngram_join(keyed, "row", _column(docs, "text")).select("row", "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    named = keyed.select("row", F.col(_column(docs, "doc_id")).alias("id")).join(joined, "row")
+    least = named.groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return _only(docs, keyed, least)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = leaks(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti").select(*COLUMNS)
+    """Documents without a benchmark passage, each row by its own text; null and empty texts stay."""
+    keyed = with_row_key(docs)
+    found = leaks(keyed, load(spark, sf_dir, "benchmark"), id_col="row", text_col=_column(docs, "text")).select("row").distinct()
+    return _only(docs, keyed, found, "left_anti")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens and digests of each document."""
+    """Tokens and digests of each document, one row for each; a null text is empty."""
     return bpe(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
