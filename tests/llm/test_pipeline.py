@@ -34,7 +34,7 @@ def test_every_stage_against_brute_force(spark, tmp_path, prose):
         now = cp.materialize(now)
         stages[name] = (before, {r.doc_id: r for r in now.collect()})
         if name != "bpe":
-            assert now.columns == cp.COLUMNS
+            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     before, after = stages["quality_rules"]
     kept = {r.doc_id for r in quality(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")).collect() if r.kept}
     assert set(after) == kept and not {200, 201, 202, *range(140, 150)} & kept and set(range(90)) <= kept
@@ -58,3 +58,24 @@ def test_empty_documents(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert cp.run(spark, str(tmp_path)).count() == 0
     assert len(cp.STAGES) == 5
+
+
+def test_rows_of_one_id_are_judged_each_by_its_text(spark, tmp_path, prose):
+    item = prose(25, 999)
+    clean = ["\n".join(prose(20, 100 * i + k) for k in range(5)) for i in range(40)]
+    leaking, junk, copy = clean[0] + " " + item, "%%% ".join(prose(120, 7).split()), clean[1]
+    rows = [(None, t) for t in (*clean, leaking.replace("\n", " "), junk, copy)] + [(5, clean[2]), (5, prose(90, 4321)), (5, junk)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in rows]
+    write(spark, tmp_path, docs, [(1, item)])
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 as row", "2 as c0", "'x' as TEXT")
+    texts = lambda df: sorted((str(r[0]), r[1]) for r in df.collect())
+    good = [r for r in rows if r[1] != junk]
+    kept = cp.quality_rules(spark, read, str(tmp_path))
+    assert kept.columns == read.columns and texts(kept) == sorted((str(i), t) for i, t in good)
+    one_each = cp.near_duplicates(spark, kept, str(tmp_path))
+    assert sorted(t for _, t in texts(one_each)) == sorted({t for _, t in good})
+    assert ("5", clean[2]) in texts(one_each)
+    free = cp.decontamination(spark, kept, str(tmp_path))
+    assert texts(free) == sorted((str(i), t) for i, t in good if item not in t)
+    cut = cp.repeated_lines(spark, kept, str(tmp_path))
+    assert sorted(t for _, t in texts(cut)) == sorted({t for _, t in good})
