@@ -11,22 +11,34 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from readroute.llm.common import pick
 from readroute.llm.token_counts import byte_alphabet
 
 #: The published pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a task remembers before it starts afresh.
 CACHE_PIECES = 400_000
+#: Bytes of a piece over which its rounds look at changed places only.
+LONG = 64
 _codecs: dict[str, Codec] = {}
 
 
+def _every_second(hit: np.ndarray) -> np.ndarray:
+    """Of overlapping pairs (aaa) every second counts, from the left."""
+    if len(hit) < 2:
+        return hit
+    runs = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+    step = np.arange(len(hit)) - np.repeat(runs, np.diff(runs, append=len(hit)))
+    return hit[step % 2 == 0]
+
+
 class Codec:
     """Merge table, vocabulary and special tokens of a tokenizer file."""
 
@@ -51,20 +63,37 @@ class Codec:
         named = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, named)) + ")") if named else None
 
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of each pair of symbols; a pair without a merge has a rank after all others."""
+        none = len(self.pair_keys)
+        if not none:
+            return np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        pair = left * self.width + right
+        at = np.searchsorted(self.pair_keys, pair)
+        at[at == none] = 0
+        return np.where(self.pair_keys[at] == pair, self.pair_rank[at], none), self.pair_made[at]
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces in one array and the bounds of each piece in it."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), sizes)
+        long = sizes[owner] > LONG
+        parts = [merge(symbols[own], owner[own]) for own, merge in ((~long, self.by_rounds), (long, self.by_ranks)) if own.any()]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
+        ids, owner = (np.concatenate([x[k] for x in parts]) for k in range(2))
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
+
+    def by_rounds(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, piece of each): a round merges the pairs of lowest rank of all pieces at once."""
         none = len(self.pair_keys)
         done_ids, done_owner = [], []
         while len(symbols):
-            pair = symbols[:-1] * self.width + symbols[1:]
-            at = np.searchsorted(self.pair_keys, pair)
-            at[at == none] = 0
-            fits = (self.pair_keys[at] == pair) & (owner[:-1] == owner[1:]) if none else np.zeros(len(pair), bool)
-            rank = np.where(fits, self.pair_rank[at] if none else 0, none)
-            lowest = np.full(len(pieces), none, np.int64)
+            rank, made = self.lookup(symbols[:-1], symbols[1:])
+            rank[owner[:-1] != owner[1:]] = none
+            lowest = np.full(int(owner[-1]) + 1, none, np.int64)
             np.minimum.at(lowest, owner[:-1], rank)
             over = lowest[owner] == none
             if over.any():  # these pieces have no pair left
@@ -74,23 +103,60 @@ class Codec:
                 if not len(kept):
                     break
                 # a pair lives on if both its symbols stay next to each other
-                rank, at = np.where(np.diff(kept) == 1, rank[kept[:-1]], none), at[kept[:-1]]
+                rank, made = np.where(np.diff(kept) == 1, rank[kept[:-1]], none), made[kept[:-1]]
                 symbols, owner = symbols[kept], owner[kept]
-            hit = np.flatnonzero((rank < none) & (rank == lowest[owner[:-1]]))
-            if len(hit) > 1:  # of overlapping pairs (aaa) every second counts, from the left
-                runs = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
-                step = np.arange(len(hit)) - np.repeat(runs, np.diff(runs, append=len(hit)))
-                hit = hit[step % 2 == 0]
-            symbols[hit] = self.pair_made[at[hit]]
+            hit = _every_second(np.flatnonzero((rank < none) & (rank == lowest[owner[:-1]])))
+            symbols[hit] = made[hit]
             stay = np.ones(len(symbols), bool)
             stay[hit + 1] = False
             symbols, owner = symbols[stay], owner[stay]
-        if not done_ids:
-            return np.zeros(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
-        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        bounds = np.searchsorted(owner[order], np.arange(len(pieces) + 1))
-        return ids[order], bounds
+        return np.concatenate(done_ids), np.concatenate(done_owner)
+
+    def by_ranks(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long pieces: a round merges all pairs of the lowest rank there is and looks at their neighbours only."""
+        none, n = len(self.pair_keys), len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, made = np.full(n, none), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places, and let them wait for their turn."""
+            rank[at] = none
+            at = at[after[at] < n]
+            at = at[owner[at] == owner[after[at]]]
+            rank[at], made[at] = self.lookup(symbols[at], symbols[after[at]])
+            at = at[rank[at] < none]
+            if len(at):
+                at = at[np.argsort(rank[at], kind="stable")]
+                cut = np.flatnonzero(np.diff(rank[at])) + 1
+                for part in np.split(at, cut):
+                    k = int(rank[part[0]])
+                    if k not in waiting:
+                        waiting[k] = []
+                        heappush(ranks, k)
+                    waiting[k].append(part)
+
+        look(np.arange(n))
+        while ranks:
+            k = heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(k)))
+            at = at[rank[at] == k]
+            if len(at) > 1:  # of overlapping pairs every second counts
+                first = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+                at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            symbols[at] = made[at]
+            rank[gone] = -1  # no place any more
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        stay = rank >= 0
+        return symbols[stay], owner[stay]
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text, special tokens among them."""
@@ -120,8 +186,10 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """Encode each whole text and decode it again: (id, n_tokens, ids_sha256, decoded_sha256).
 
     With `ids`, also the token ids and the decoded text. A null text is empty and has
-    no tokens. One row for each input row, repeated ids included; other columns are
-    not read. `vocabulary` is a path that every executor can open.
+    no tokens. Texts are encoded whole, and a piece without a break takes time about in
+    proportion to its length. Of pairs of equal rank the leftmost is merged first. One row
+    for each input row, repeated ids included; other columns are not read, whatever their
+    names. `vocabulary` is a path that every executor can open.
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +226,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     back = b"".join(map(plain.__getitem__, pieces))
                     n_tokens.append(line.count(b",") + 1 if line else 0)
                     ids_sha.append(hashlib.sha256(line).hexdigest())
-                    text_sha.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(back if back.isascii() else back.decode("utf-8", "replace").encode()).hexdigest())
                     if ids:
                         id_lists.append([int(x) for x in line.split(b",")] if line else [])
                         decoded.append(back.decode("utf-8", "replace"))
@@ -169,7 +237,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 names += ["token_ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = pick(docs, id=id_col, text=text_col)
     kind = picked.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * ids
     return picked.mapInArrow(coded, schema).withColumnRenamed("id", id_col)

@@ -54,3 +54,25 @@ def test_empty_table_repeated_rows_and_odd_columns(docs_of):
     assert bpe(docs_of([]), PATH).count() == 0
     twice = docs_of([(7, "one two"), (7, "one two"), (None, "x")]).selectExpr("*", "1 as id", "2 as n_tokens", "'x' as decoded")
     assert sorted((r.doc_id or -1, r.n_tokens) for r in bpe(twice, PATH).collect()) == [(-1, 1), (7, 2), (7, 2)]
+
+
+def test_long_pieces_without_a_break(own):
+    import random
+    import time
+
+    code, library = own
+    rng = random.Random(11)
+    for n, letters in ((65, "ab"), (300, "thearingon"), (2000, "aé漢th"), (5000, "a"), (4001, "ab"), (20000, "etaoinshrdlu")):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
+    pieces = [text[:k].encode() for k in (1, 63, 64, 65, 66, 3000)] + [b"", b"the"]
+    ids, bounds = code.encode_pieces(pieces)
+    for k, piece in enumerate(pieces):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(piece.decode(), add_special_tokens=False).ids
+    taken = []
+    for n in (100_000, 800_000):
+        text = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        begun = time.time()
+        code.encode(text)
+        taken.append(time.time() - begun)
+    assert taken[1] < 20 * max(taken[0], 0.5)
