@@ -161,9 +161,11 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, rate: Column) -> DataFrame:
-    """The rows whose id's hash falls under `rate`: the same rows in every run."""
-    return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < rate * (1 << 30))
+def bounded_sample(rows: DataFrame, columns: list[str], rate: Column) -> DataFrame:
+    """Rows drawn by a hash of the columns, at `rate`, one of each that are alike in them: the same in every run."""
+    key = F.xxhash64(F.lit(17), *columns)
+    drawn = rows.withColumn("drawn", key).filter(F.pmod("drawn", F.lit(1 << 30)) < rate * (1 << 30))
+    return drawn.dropDuplicates(["drawn"]).drop("drawn")
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

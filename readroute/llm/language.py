@@ -16,19 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readroute.llm.common import LOWER, SPACE, bounded_sample, text_chunks
+from readroute.llm.common import LOWER, SPACE, bounded_sample, pick, text_chunks
 
 BUCKET_BITS = 13
 DIMENSIONS = 16
-#: Most texts that the model is fitted on, and most of one language among them.
-SAMPLE, SAMPLE_OF_ONE = 4000, 800
-#: Languages that are learned, the commonest ones.
-MAX_LANGUAGES = 400
+#: Texts that the model is fitted on, about: in all, most of one language, and least of one even if the sum grows.
+SAMPLE, SAMPLE_OF_ONE, LEAST_OF_ONE = 4000, 800, 20
 #: Share of right predictions that those over the rejection score must reach on the held-back slice.
 PRECISION = 0.99
+#: Share of the softmax's weights that each step takes off.
+DECAY = 1e-3
 #: Texts counted at once.
 _GROUP = 128
 _FOLD = LOWER.copy()
@@ -63,6 +63,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _short(gradient: np.ndarray) -> np.ndarray:
+    """A gradient of at most unit length, so that doubtful labels can't drive the two tables apart."""
+    return gradient / max(1.0, float(np.linalg.norm(gradient)))
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
     """Fit on (language, buckets, counts) rows. Rows are shuffled; a fifth calibrates."""
     rng = np.random.default_rng(seed)
@@ -93,9 +98,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
             off = _softmax(mean @ weight + bias)
             off[np.arange(len(y)), y] -= 1
             back = off @ weight.T
-            weight -= step * (mean.T @ off)
+            weight -= step * _short(mean.T @ off + DECAY * weight)
             bias -= step * 0.1 * off.mean(0)
-            embed -= 20 * step * (x.T @ back)  # a bucket holds a small share of a mean
+            embed -= step * _short(20 * (x.T @ back))  # a bucket holds a small share of a mean
     table = embed @ weight
     temperature, reject = 1.0, 0.0
     if len(held):
@@ -115,16 +120,20 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     return Model(languages, table.astype(np.float32), bias, temperature, reject)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, of_one: int = SAMPLE_OF_ONE) -> Model:
-    """Fit on at most `sample` rows with a text and a language, drawn evenly by hash of the id."""
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, of_one: int = SAMPLE_OF_ONE, least_of_one: int = LEAST_OF_ONE) -> Model:
+    """Fit on about `sample` rows with a text and a language, drawn evenly by hash of id and text.
+
+    Every language is learned: the sample has as many rows of each, but `least_of_one` at
+    least, so it grows with the number of languages, never with that of rows. Rows alike
+    in id, text and language teach once.
+    """
+    known = pick(labelled, id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string")).filter("text is not null and lang is not null")
+    counts = known.groupBy("lang").agg(F.greatest(F.approx_count_distinct(F.xxhash64("id", "text"), 0.02), F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
         return train([])
-    each = min(of_one, sample // len(counts))
-    rate: Column = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
+    each = min(of_one, max(sample // languages, least_of_one))
+    known = known.join(F.broadcast(counts), "lang")  # a row for each language
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +145,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         names=["lang", "buckets", "counts"],
                     )
 
-    drawn = bounded_sample(known, "id", rate).mapInArrow(extract, "lang string, buckets array<int>, counts array<int>").limit(2 * sample)
+    drawn = bounded_sample(known, ["id", "text", "lang"], F.lit(float(each)) / F.col("n")).select("id", "text", "lang").mapInArrow(extract, "lang string, buckets array<int>, counts array<int>")
     return train([(r[0], np.array(r[1], np.int64), np.array(r[2], np.float32)) for r in drawn.toLocalIterator()])
 
 
@@ -145,7 +154,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     lang_pred is `und` with score 0 if the text is null or has no letter (or no
     language was learned). rejected: und, or the calibrated probability is under the
-    model's rejection score. One row for each input row; other columns are not read.
+    model's rejection score. Of languages of equal probability the first by name is
+    predicted. Texts of any length are read whole. One row for each input row, repeated
+    ids included; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,6 +176,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 rejected = (score < own.reject_below) | (pick == len(own.languages))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names[pick], pa.string()), pa.array(score), pa.array(rejected)], names=["id", "lang_pred", "score", "rejected"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letter"))
+    picked = pick(docs, id=id_col, text=text_col).withColumn("letter", F.col("text").rlike(r"\p{L}"))
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(predict, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readroute.llm.common import NOT_TERM, bounded_sample, text_chunks, word_bounds, word_keys
+from readroute.llm.common import NOT_TERM, bounded_sample, pick, text_chunks, word_bounds, word_keys
 
 HASH_BITS = 18
 FACTORS = 8
@@ -132,17 +132,18 @@ def train(rows: list[tuple[int, np.ndarray, float]], epochs: int = 15, rate: flo
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:
     """Fit on at most about `sample` labelled texts, drawn by hash of the id, as many of each class as there are.
 
-    Rows with a null id, text or label teach nothing; a label of several texts of one
-    id counts for each. Texts of the commoner class weigh more where fewer were drawn.
+    Rows with a null id, text or label teach nothing; of several texts of one id the
+    least one teaches, and an id with both labels counts for both. Texts of the commoner
+    class weigh more where fewer were drawn.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").dropDuplicates()
+    known = pick(labels, id=id_col, label=label_col).withColumn("label", F.col("label").cast("int")).filter("id is not null and label in (0, 1)").dropDuplicates()
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     few = min(counts.values(), default=0)
     room = {k: max(sample // 2, sample - few) if n > few else sample // 2 for k, n in counts.items()}
     rates = {k: min(1.0, room[k] / n) for k, n in counts.items()}
     rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    drawn = F.broadcast(bounded_sample(known, "id", rate))  # bounded by `sample`
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(drawn, "id")
+    drawn = F.broadcast(bounded_sample(known, ["id", "label"], rate))  # bounded by `sample`
+    texts = pick(docs, id=id_col, text=text_col).filter("text is not null").join(drawn, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, score, predicted) of each whole text, from the text alone.
 
-    A null or empty text has no terms and gets the score of none. One row for each
-    input row, repeated ids included; other columns are not read.
+    A null or empty text has no terms and gets the score of none; texts of any length are
+    scored whole and those of the same terms alike. One row for each input row, repeated
+    ids included; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -179,6 +181,6 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
                 p = _sigmoid(np.clip(y, -30, 30) * own.scale + own.shift)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = pick(docs, id=id_col, text=text_col)
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(score, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
