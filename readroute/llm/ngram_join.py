@@ -13,8 +13,9 @@ Two texts link if 100 * |A and B| >= 80 * |A or B|. All links are found:
    partners is screened by hashed bitmaps, whose bit counts bound the overlap from
    above, and what passes is verified by intersecting sorted arrays. A pair that is
    connected already is not looked at again, so a tile gives a forest, not all pairs.
-   A large candidate component is cut into blocks, then their representatives are
-   joined, and at last all that is still apart from the largest part meets every block.
+   A large candidate component is cut into blocks, then representatives of what is
+   joined meet in blocks dealt anew, as long as that joins much; at last all that is
+   still apart from the largest part meets every block of sets of about its size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.llm.common import materialize, mix64, text_chunks, word_bounds, word_keys
+from readroute.llm.common import materialize, mix64, pick, text_chunks, word_bounds, word_keys
 from readroute.llm.components import components, local_forest
 
 SHINGLE = 5
@@ -36,6 +37,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 KEYS_PER_TASK = 3_000_000
 #: Sets up to which the candidates are broadcast to the texts; more are joined by id.
 BROADCAST_SETS = 1_000_000
+#: Share of representatives that must be left apart for a round of them to be the last.
+SETTLED = 0.9
 #: Sets under this size take part with three salts at once.
 SMALL = 64
 _ODD = np.random.default_rng(77).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in text_chunks(batch, "text"):
             keys, bounds = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(set_ids(keys, bounds))], names=["id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(bounds)), pa.array(set_ids(keys, bounds))], names=["id", "h", "n", "sid"])
 
 
 def _emit(salts: list[int], only: list[int] | None, tasks: int):
@@ -335,47 +338,53 @@ def tile_edges(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_tiles, "u long, v long")
 
 
-def _right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the set that they were chosen for: a repeated id may stand for other texts."""
-    for batch in batches:
-        for rows, data, offsets in text_chunks(batch, "text"):
-            ids = set_ids(*shingle_sets(data, offsets))
-            yield rows.filter(pa.array(ids == np.array(rows.column(0))))
+def _block(of: Column, blocks: Column, salt: int = 5) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), of), blocks)
 
 
-def _block(of: Column, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(5), of), blocks)
+def _blocks() -> Column:
+    """Blocks that the sets of a group need."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES))
 
 
 def set_links(texts: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(u, v) verified links that join every pair of linked sets; sets: (sid, n, id)."""
+    """(u, v) verified links that join every pair of linked sets; sets: (sid, n, rep), rep: id and text hash of one row."""
     member = materialize(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp")).join(sets, "sid"))
-    chosen = member.select(F.col("id").alias("rep"), "sid", "comp", "n")
+    chosen = member.select("rep", "sid", "comp", "n")
     chosen = F.broadcast(chosen) if member.count() <= BROADCAST_SETS else chosen
-    held = texts.join(chosen, F.col("id").eqNullSafe(F.col("rep"))).select("sid", "comp", F.col("n"), "text").mapInArrow(_right, "sid long, comp long, n long, text string")
-    held = materialize(held)
-    shape = member.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    many = materialize(shape.filter("blocks > 1"))
+    same = F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h"))
+    held = materialize(texts.join(chosen, same).select("sid", "comp", "n", "text").dropDuplicates(["sid"]))
+    many = materialize(member.groupBy("comp").agg(_blocks().alias("blocks")).filter("blocks > 1"))
     large = many.count() > 0
     own = held.join(many, "comp", "left") if large else held.withColumn("blocks", F.lit(None).cast("long"))
     tile = F.xxhash64("comp", F.when(F.col("blocks").isNotNull(), _block(F.col("sid"), F.col("blocks"))).otherwise(0))
     links = materialize(tile_edges(own.select(tile.alias("tile"), "sid", F.col("sid").alias("label"), F.lit(True).alias("query"), "text")))
     if not large:
         return links
-    big = materialize(held.join(many, "comp"))  # what has more than one block
-    for _ in range(2):  # representatives of what is joined meet in fewer blocks
-        big_now = _labelled(big, links)
-        heads = big_now.filter("sid = label")
-        shape = heads.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-        heads = heads.join(shape, "comp").select(F.xxhash64("comp", _block(F.col("sid"), F.col("parts"))).alias("tile"), "sid", "label", F.lit(True).alias("query"), "text")
+    big = materialize(held.join(many.select("comp"), "comp"))  # what has more than one block
+    apart, salt = None, 5
+    while True:  # representatives of what is joined meet in fewer blocks, dealt anew each time
+        heads = _labelled(big, links).filter("sid = label")
+        before, apart, salt = apart, heads.count(), salt + 1
+        if before is not None and apart > SETTLED * before:
+            break
+        shape = heads.groupBy("comp").agg(_blocks().alias("parts"))
+        heads = heads.join(shape, "comp").select(F.xxhash64("comp", _block(F.col("sid"), F.col("parts"), salt)).alias("tile"), "sid", "label", F.lit(True).alias("query"), "text")
         links = materialize(links.unionAll(tile_edges(heads)))
-    now = materialize(_labelled(big, links))
+    # linked sets are of one size band or of neighbours: what is apart from the largest part meets these only
+    now = materialize(_labelled(big, links).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25)))))
     main = now.groupBy("comp", "label").agg(F.count("*").alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     rest = now.join(main, "comp").filter("label <> main")
-    asked = rest.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("asks"))
-    ask = rest.join(asked, "comp").withColumn("ask", _block(F.col("sid"), F.col("asks"))).select("comp", "ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sid", "label", F.lit(True).alias("query"), "text")
-    meet = now.join(asked, "comp").withColumn("block", _block(F.col("sid"), F.col("blocks"))).select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("ask"), "block", "sid", "label", F.lit(False).alias("query"), "text")
-    across = ask.unionByName(meet).select(F.xxhash64("comp", "ask", "block").alias("tile"), "sid", "label", "query", "text")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    blocks = now.groupBy("comp", "band").agg(_blocks().alias("blocks"))
+    asked = rest.groupBy("comp", "band").agg(_blocks().alias("asks"))
+    ask = rest.join(asked, ["comp", "band"]).withColumn("ask", _block(F.col("sid"), F.col("asks"))).withColumn("met", near)
+    ask = ask.join(blocks.withColumnRenamed("band", "met"), ["comp", "met"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meet = now.join(blocks, ["comp", "band"]).withColumn("block", _block(F.col("sid"), F.col("blocks"))).withColumnRenamed("band", "met").withColumn("band", F.explode(F.sequence(F.col("met") - 1, F.col("met") + 1)))
+    meet = meet.join(asked, ["comp", "band"]).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    both = ask.withColumn("query", F.lit(True)), meet.withColumn("query", F.lit(False))
+    tile = F.xxhash64("comp", "band", "ask", "met", "block").alias("tile")
+    across = both[0].select(tile, "sid", "label", "query", "text").unionByName(both[1].select(tile, "sid", "label", "query", "text"))
     return links.unionAll(tile_edges(across))
 
 
@@ -391,17 +400,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_shingles: size of its set of distinct five-word shingles, A-Z folded; a text of
     fewer words is one shingle, one without words has none and is its own component.
     component_id: least id reachable by links, itself included; a null id is never the
-    least unless all are null. Rows of one id are each joined by their own text.
+    least unless all are null. Rows of one id are each joined by their own text. Texts of
+    any length are read whole; other columns are not read, whatever their names.
     Shingles and sets are told apart by 64-bit hashes.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sized = materialize(picked.mapInArrow(_sets, "id long, n long, sid long"))
+    picked = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("h"))
+    sized = materialize(picked.mapInArrow(_sets, "id long, h long, n long, sid long"))
     full = sized.filter("n > 0")
-    sets = full.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("id"))
+    sets = full.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "h")).alias("rep"))
     total = full.agg(F.sum("n")).first()[0] or 0
     edges = candidate_edges(picked, max(4, int(0.6 * total // KEYS_PER_TASK)))
-    joined = components(set_links(picked, sets, edges)).select(F.col("node").alias("sid"), "component")
-    least = sets.join(joined, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), F.col("id").alias("low"))
+    joined = components(set_links(picked, sets.drop("low"), edges)).select(F.col("node").alias("sid"), "component")
+    least = sets.join(joined, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), "low")
     lowest = least.join(least.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("sid", "component_id")
     found = sized.join(lowest, "sid", "left")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

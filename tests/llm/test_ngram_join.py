@@ -1,5 +1,7 @@
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,11 +61,12 @@ def family(seed, n_texts):
 def test_against_all_pairs(docs_of, monkeypatch, block):
     monkeypatch.setattr(nj, "BLOCK_SETS", block)
     docs = family(block, 130) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a B"), (1005, "a"), (None, "a b"), (None, "z z"), (7, "dup of id"), (7, "another text of that id")]
+    docs += [(None, " ".join(f"n{k}w{i}" for i in range(30))) for k in range(5)] + [(None, " ".join(f"n{k}w{i}" for i in range(31))) for k in range(5)] + [(None, "n n n n n n")] * 4
     long = [f"w{i % 997}" for i in range(20000)]
     docs += [(2000, " ".join(long)), (2001, " ".join(edited(random.Random(1), long, 0.0005)))]
     base = [f"v{i}" for i in range(60)]
     docs += [(3000 + k, " ".join(edited(random.Random(k), base, 0.01))) for k in range(40)]
-    found = nj.ngram_join(docs_of(docs).selectExpr("*", "1 as id", "2 as sid", "3 as component_id"))
+    found = nj.ngram_join(docs_of(docs).selectExpr("*", "1 as id", "2 as sid", "3 as component_id", "4 as h", "'x' as TEXT"))
     assert sorted(map(tuple, found.collect()), key=str) == brute(docs)
 
 
@@ -115,3 +118,31 @@ def test_components(spark, monkeypatch, local):
         if u != v:
             assert found[u] == found[v] == want.get(u, u) == want.get(v, v)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_whole_table_against_an_exact_count(spark):
+    """Every link of sf0.01, found by counting shared shingles of all pairs that share one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = [shingles(r.text) for r in rows]
+    where, root = {}, list(range(len(rows)))
+    for i, own in enumerate(sets):
+        for x in own:
+            where.setdefault(x, []).append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        met = Counter(j for x in own for j in where[x] if j < i)
+        for j, both in met.items():
+            if 100 * both >= 80 * (len(own) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, r in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), r.doc_id), r.doc_id)
+    want = sorted((r.doc_id, len(sets[i]), low[find(i)]) for i, r in enumerate(rows))
+    assert sorted(map(tuple, nj.ngram_join(docs).collect())) == want
