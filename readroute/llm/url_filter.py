@@ -19,17 +19,18 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.llm.common import materialize
+from readroute.llm.common import materialize, pick
 
 #: (verdict, host and path): a rule holds for the host and all below it.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words that make a host a block example where no rule decides.
 SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
-#: Longest word that segmentation considers.
-MAX_WORD = 20
+#: Longest known word that segmentation looks up, in letters: a label of a host name has no more (fixed by DNS).
+LONGEST = 63
 #: Buckets of hashed tokens: bounds what is collected and broadcast.
 BUCKETS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEN = math.log(10)
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,23 +50,31 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
-    """(word, n) over the visible text of all pages, lower-cased."""
-    words = F.split(F.lower(F.regexp_replace(F.col(html_col), "<[^>]*>", " ")), r"[^\p{L}]+")
-    return pages.select(F.explode(words).alias("word")).filter((F.col("word") != "") & (F.length("word") <= MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+def word_counts(pages: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(word, n) over the visible text (column html) of all pages, lower-cased."""
+    words = F.split(F.lower(F.regexp_replace("html", "<[^>]*>", " ")), r"[^\p{L}]+")
+    return pages.select(F.explode(words).alias("word")).filter((F.col("word") != "") & (F.length("word") <= longest)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most probable split of a letter run; an unknown word costs tenfold for each letter."""
+    """The most probable split of a letter run.
+
+    An unknown word of any length costs tenfold for each letter. Of equal splits the one
+    whose last word is longest counts, then of the rest likewise.
+    """
+    sizes = sorted({len(w) for w in counts}, reverse=True)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unknown, since = 0.0, 0  # the best start of an unknown word, by value plus its letters' cost
     for end in range(1, len(run) + 1):
-        options = []
-        for start in range(max(0, end - MAX_WORD), end):
-            n = counts.get(run[start:end])
-            p = math.log(n / total) if n else math.log(1 / total) - (end - start) * math.log(10)
-            options.append((best[start][0] + p, -start))
-        value, start = max(options)
-        best.append((value, -start))
+        found = (unknown - end * _TEN + math.log(1 / total), since)
+        for size in sizes:
+            if size <= end and (n := counts.get(run[end - size : end])):
+                p = best[end - size][0] + math.log(n / total)
+                if p > found[0] or p == found[0] and end - size < found[1]:
+                    found = (p, end - size)
+        best.append(found)
+        if found[0] + end * _TEN > unknown:
+            unknown, since = found[0] + end * _TEN, end
     words, end = [], len(run)
     while end:
         words.append(run[best[end][1] : end])
@@ -73,27 +82,32 @@ def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """(host, words): distinct hosts with the words of their letter runs.
+def run_words(runs: DataFrame, counts: DataFrame, total: int, longest: int = LONGEST) -> DataFrame:
+    """(run, words): distinct letter runs with the words they split into.
 
-    Each host meets the counts of its own substrings only, so the vocabulary is
-    joined, never broadcast.
+    Each run meets the counts of its own substrings only, so the vocabulary is joined,
+    never broadcast; a run that many hosts have is split once.
     """
-    at = hosts.select("host", F.explode(F.sequence(F.lit(1), F.greatest(F.length("host"), F.lit(1)))).alias("s"))
-    parts = at.select("host", F.explode(F.sequence(F.lit(1), F.lit(MAX_WORD))).alias("k"), "s").filter(F.col("s") + F.col("k") - 1 <= F.length("host"))
-    parts = parts.select("host", F.substring("host", F.col("s"), F.col("k")).alias("word")).filter(F.col("word").rlike(r"\A\p{L}+\z"))
-    known = parts.join(counts, "word").groupBy("host").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    n = F.length("run")
+    at = runs.select("run", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    parts = at.select("run", "s", F.explode(F.sequence(F.lit(1), F.least(n - F.col("s") + 1, F.lit(longest)))).alias("k"))
+    known = parts.select("run", F.substring("run", F.col("s"), F.col("k")).alias("word")).join(counts, "word").groupBy("run").agg(F.collect_set(F.struct("word", "n")).alias("known"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for host, found in zip(rows["host"], rows["known"], strict=True):
-                own = {x["word"]: x["n"] for x in found} if found is not None else {}
-                runs = "".join(c if c.isalpha() else " " for c in host).split()
-                out.append([w for run in runs for w in segment(run, own, total)])
-            yield pd.DataFrame({"host": rows["host"], "words": out})
+            own = [{x["word"]: x["n"] for x in found} if found is not None else {} for found in rows["known"]]
+            yield pd.DataFrame({"run": rows["run"], "words": [segment(run, found, total) for run, found in zip(rows["run"], own, strict=True)]})
+
+    return runs.join(known, "run", "left").mapInPandas(split, "run string, words array<string>")
+
 
-    return hosts.join(known, "host", "left").mapInPandas(split, "host string, words array<string>")
+def host_words(hosts: DataFrame, counts: DataFrame, total: int, longest: int = LONGEST) -> DataFrame:
+    """(host, words): distinct hosts with the words of their letter runs, in order."""
+    runs = F.filter(F.split("host", r"[^\p{L}]+"), lambda x: x != "")
+    placed = hosts.select("host", F.posexplode(runs).alias("pos", "run"))
+    split = run_words(placed.select("run").distinct(), counts, total, longest)
+    whole = placed.join(split, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda x: x["words"])).alias("words"))
+    return hosts.join(whole, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 def bayes(examples: DataFrame) -> np.ndarray:
@@ -111,21 +125,25 @@ def bayes(examples: DataFrame) -> np.ndarray:
     return np.append(odds, math.log(rows[True] / rows[False]))
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", longest: int = LONGEST) -> DataFrame:
     """(id, host, path, rule, verdict, score, host_words) of each page.
 
     score is naive Bayes' log odds of block; the verdict is the rule's if one fits,
     else block above 0. A null url or one without `://` has no host, path or token.
-    Null html has no words. Without examples of both classes the verdict is that of
-    the class there is, else allow. One row for each input row; other columns are not read.
+    Null html has no words; urls and html of any length are read whole. Without examples
+    of both classes the verdict is that of the class there is, else allow; at odds of 0 it
+    is allow. `seeds` make block examples of hosts that no rule decides; `longest` is the
+    most letters of a known word in a host. One row for each input row, repeated ids
+    included; other columns are not read, whatever their names.
     """
-    host, path = url_parts(F.col(url_col))
-    picked = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    counts = word_counts(pages.select(html_col), html_col)
+    host, path = url_parts(F.col("url"))
+    read = pick(pages, id=id_col, url=url_col, html=html_col)
+    picked = read.select("id", host.alias("host"), path.alias("path"))
+    counts = word_counts(read.select("html"), longest)
     spark = pages.sparkSession
     known = materialize(counts.unionByName(spark.createDataFrame([(w, 1) for w in seeds], "word string, n long")).groupBy("word").agg(F.sum("n").alias("n")))
     total = known.agg(F.sum("n")).first()[0] or 1
-    words = materialize(host_words(picked.select("host").distinct(), known, total))
+    words = materialize(host_words(picked.select("host").distinct(), known, total, longest))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     path_words = F.filter(F.split(F.lower(F.regexp_replace("path", r"\p{N}+", " 0 ")), r"[^\p{L}0]+"), lambda x: x != "")
     tokens = F.concat(F.transform("words", lambda x: F.concat(F.lit("h "), x)), F.transform(path_words, lambda x: F.concat(F.lit("p "), x)))

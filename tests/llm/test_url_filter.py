@@ -30,7 +30,7 @@ def ruled(host, path):
 
 
 def test_rules_and_parts(spark):
-    pages = spark.createDataFrame([*enumerate(URLS), (3, URLS[0]), (None, URLS[1])], "page_id long, url string").selectExpr("*", "'<p>good words farm</p>' as html", "1 as id", "2 as host", "'x' as verdict")
+    pages = spark.createDataFrame([*enumerate(URLS), (3, URLS[0]), (None, URLS[1])], "page_id long, url string").selectExpr("*", "'<p>good words farm</p>' as html", "1 as id", "2 as host", "'x' as verdict", "3 as HTML", "4 as words")
     rows = url_filter(pages).collect()
     assert len(rows) == len(URLS) + 2
     urls = dict(enumerate(URLS))
@@ -72,3 +72,12 @@ def test_bayes_scores(spark):
     assert all(found[i].verdict == ("block" if i % 2 else "allow") for i in range(40))
     none = url_filter(pages, rules=[], seeds=()).collect()
     assert {r.verdict for r in none} == {"allow"} and url_filter(pages.limit(0)).count() == 0
+
+
+def test_long_words_and_runs(spark):
+    long = "incomprehensibilities" * 2  # 42 letters
+    counts = {long: 5, "the": 90}
+    assert segment("the" + long + "the", counts, 100) == ["the", long, "the"]
+    assert segment("q" * 5000, counts, 100) == ["q" * 5000]
+    pages = spark.createDataFrame([(1, f"http://the{long}.io/", f"{long} the the"), (2, "http://the.the/", None), (3, "http://1.2/", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.host_words for r in url_filter(pages).collect()} == {1: ["the", long, "io"], 2: ["the", "the"], 3: []}
