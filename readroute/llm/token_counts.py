@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from readroute.llm.common import pick
 
 #: Words whose counts a task remembers before it starts afresh.
 CACHE_WORDS = 400_000
@@ -108,9 +109,10 @@ def automaton(path: str) -> LongestMatch:
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words and greedy word pieces of each whole text: (id, n_words, n_tokens).
 
-    Null and empty texts have no words and no tokens. One row for each input row,
-    repeated ids included; other columns are not read. `vocabulary` is a path that
-    every executor can open.
+    Null and empty texts have no words and no tokens; texts of any length are counted
+    whole. At each place the longest piece is taken, so there are no ties. One row for
+    each input row, repeated ids included; other columns are not read, whatever their
+    names. `vocabulary` is a path that every executor can open.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +128,6 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 n_tokens.append(sum(map(cache.__getitem__, words)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_words", "n_tokens"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = pick(docs, id=id_col, text=text_col)
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(counted, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
