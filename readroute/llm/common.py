@@ -85,9 +85,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """`docs` with numbered columns and a key `row` of each row, written once so that it stays."""
-    return materialize(numbered(docs).withColumn("row", F.monotonically_increasing_id()))
+def with_key(docs: DataFrame) -> DataFrame:
+    """`docs` with numbered columns and a 128-bit key (k1, k2) of what is in each row; rows alike share it.
+
+    Nulls count by their place. Columns that can't be hashed (maps) are left out.
+    """
+    flat = numbered(docs)
+    taken = [F.col(f.name) for f in flat.schema.fields if "map<" not in f.dataType.simpleString()]
+    content = [*taken, F.concat(*[F.col(c).isNull().cast("string") for c in flat.columns])]
+    return flat.withColumns({"k1": F.xxhash64(*content), "k2": F.xxhash64(F.lit(1), *content)})
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

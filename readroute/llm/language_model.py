@@ -1,27 +1,36 @@
 """Language-model scores: a hierarchical Pitman-Yor model of words after their context.
 
-Restaurants: one for each context class (the word before, hashed into CONTEXTS classes;
-the start of a text is one of its own), all sharing one parent, the restaurant of words,
-over a uniform base of the known words and one unknown. Seating is sampled by Gibbs:
-in each sweep every customer of every dish is seated again; a table that opens or closes
-is a customer of the parent, whose seating follows. Only numbers of tables count, so a
-dish's is drawn at once from its conditional (Stirling numbers times weights of new
-tables), with no limit. Predictive probabilities are averaged over several samples.
-
-Dishes (words) are dealt to shards by hash, with all their customers of every context.
-Within a shard the seating of its dishes is sampled with all else fixed; a restaurant's
-totals over all shards, which seating needs, are taken as the shard's own times the
-number of shards. The predictive probabilities use the exact totals, summed over the
-shards, so they add up to one. Words that hold much of the corpus are dealt by word and
-context, and what concerns their parent is summed over their parts.
-
-What is brought to one place is bounded: totals of CONTEXTS classes, and the few words
-with more than half a shard of tokens.
+Restaurants: one for each context (the word before; the start of a text is one of its
+own), all sharing one parent, the restaurant of words, over a uniform base of the known
+words and one unknown. Seating is sampled by Gibbs: in each sweep every customer of every
+dish of every context is seated again. Only numbers of tables count, so a dish's is drawn
+at once from its conditional (Stirling numbers times weights of new tables), with no
+limit. Predictive probabilities are averaged over several samples.
+
+Three jobs, each with a shuffle on keys of its own:
+
+1. Words are dealt to shards by hash, with their tokens. A shard counts its (word, context)
+   pairs and draws the parent's tables of its words, given one table of each pair.
+2. Contexts are dealt to parts by hash, with the pairs' counts. A part has whole context
+   restaurants, so it samples their seating with exact totals; the parent's probabilities
+   are held. A pair of one customer has one table and is only counted.
+3. Shards get the totals of their contexts and the tables of their pairs back, in the order
+   in which they sent them. A word's customers in the parent are the tables that the
+   contexts then have; probabilities use exact sums throughout, so they add up to one. Sums
+   for each text go back to the group of texts it came with.
+
+What one word, context or pair may hold is not bounded, so the few with more than half a
+shard of tokens (their number follows from that) are split: a word's tokens by context, a
+context's pairs by shard, and of a pair only counts are sent, while its probability comes
+back to each group of texts. Their sums, and sums over all, are what meets in the driver.
+
+Words are told apart by 64-bit hashes, contexts by 32 bits within their part.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -29,18 +38,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readroute.llm.common import materialize, mix64, split_key, text_chunks, word_bounds, word_keys
+from readroute.llm.common import materialize, mix64, pick, scratch_path, split_key, text_chunks, word_bounds, word_keys
 
-CONTEXTS = 1 << 16
-#: Parts of a word that holds much of the corpus.
+#: Parts of a word or context that holds much of the corpus.
 PARTS = 64
-TOKENS_PER_SHARD = 1_500_000
-#: Bytes of text whose tokens go out together, and texts at most.
-FLUSH_BYTES, FLUSH_TEXTS = 8 << 20, 30_000
-BURN_IN, SAMPLES = 2, 3
+TOKENS_PER_SHARD = 2_500_000
+#: Bytes of text whose tokens go out together, and texts at most (a text's place takes 15 bits).
+FLUSH_BYTES, FLUSH_TEXTS = 24 << 20, 30_000
+#: Words and pairs under this share of a group of texts are not looked at as frequent ones.
+RARE_BITS = 16
+BURN_IN, SAMPLES = 3, 3
 #: Customers up to which all weights of the numbers of tables are held; beyond, the grid of counts has FINE steps for a factor of e.
 EXACT, FINE = 1024, 256
 #: Parts of the dishes that are drawn in turn, each with the totals that the part before left.
@@ -48,7 +58,7 @@ TURNS = 4
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = (0.8, 0.75), (4.0, 10.0)
 _END = np.uint64(0x1F83D9ABFB41BD6B)
-_START = 0
+_START = np.uint64(0)
 
 
 @lru_cache(2)
@@ -157,18 +167,15 @@ def draw_large(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray,
 
 
 class Restaurants:
-    """Tables of all dishes of one level, each drawn with all its customers seated anew.
-
-    At first a dish has as many tables as the process gives it alone, about customers ** discount.
-    """
+    """Tables of all dishes of one level, each drawn with all its customers seated anew; at first one each."""
 
     def __init__(self, customers: np.ndarray, discount: float, strength: float, rng: np.random.Generator):
         self.discount, self.strength, self.rng = discount, strength, rng
-        self.tables = (customers**discount).astype(np.int64)
+        self.tables = np.minimum(customers, 1)
         self.ways: tuple[np.ndarray, Ways] | None = None
 
-    def sweep(self, customers: np.ndarray, total: np.ndarray, of: np.ndarray, times: float, p: np.ndarray) -> None:
-        """Seat every customer anew. `total[of[i]]`, kept up to date, times `times`: tables of the dish's restaurant."""
+    def sweep(self, customers: np.ndarray, total: np.ndarray, of: np.ndarray, times: np.ndarray, p: np.ndarray) -> None:
+        """Seat every customer anew. `total[of[i]]`, kept up to date, times `times[of[i]]`: tables of the dish's restaurant."""
         single = np.flatnonzero((customers == 1) & (self.tables > 1))
         np.add.at(total, of[single], 1 - self.tables[single])
         self.tables[single] = 1
@@ -178,7 +185,7 @@ class Restaurants:
         mixed = self.rng.permutation(np.flatnonzero((customers > 1) & (customers <= EXACT)))
         for who in [*np.array_split(mixed, TURNS), large]:
             if len(who):
-                room = self.strength + self.discount * np.maximum(times * total[of[who]] - self.tables[who], 0)
+                room = self.strength + self.discount * np.maximum(times[of[who]] * total[of[who]] - self.tables[who], 0)
                 if customers[who[0]] > EXACT:
                     now = draw_large(customers[who], self.ways[1], room, p[who], self.rng)
                 else:
@@ -228,42 +235,111 @@ class Seating:
 
 
 @dataclass
-class Shard:
-    """Dishes of a shard, its (word, context) pairs with training counts and the samples."""
+class Totals:
+    """Sums over all shards and parts."""
+
+    tokens: int = 0  # of training
+    known: int = 0  # words
+    pairs: int = 0  # different (word, context) pairs
+    tables: int = 0  # of the parent
+    customers: np.ndarray | int = 0  # of the parent, for each sample
+    words: dict[int, np.ndarray] = field(default_factory=dict)  # split words: tokens, pairs, tables opened beyond one a pair in each sample
+    contexts: dict[int, np.ndarray] = field(default_factory=dict)  # split contexts: tokens, tables in each sample
+    word_tables: dict[int, int] = field(default_factory=dict)  # of split words
+
+    def add(self, other: Totals) -> None:
+        for name in ("tokens", "known", "pairs", "tables", "customers"):
+            setattr(self, name, getattr(self, name) + getattr(other, name))
+        for mine, its in ((self.words, other.words), (self.contexts, other.contexts)):
+            for k, v in its.items():
+                mine[k] = mine.get(k, 0) + v
+
+    def root(self) -> float:
+        """Weight of the base, for each word and the unknown one."""
+        return (STRENGTH[1] + DISCOUNT[1] * self.tables) / (self.known + 1)
+
+
+def parent_tables(customers: np.ndarray, known: float, share: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words in the parent; they are about `share` of all its words."""
+    level = Restaurants(customers, DISCOUNT[1], STRENGTH[1], rng)
+    total, of, base = np.array([level.tables.sum()]), np.zeros(len(customers), np.int64), np.full(len(customers), 1 / (known + 1))
+    for _ in range(BURN_IN + 1):
+        level.sweep(customers, total, of, np.array([1 / share]), base)
+    return level.tables
+
+
+def context_tables(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, times: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of the tables of each pair with several customers, and of each context.
+
+    `context`, `count`, `p`: of these pairs, `p` the parent's probability of the word.
+    `single`: pairs of one customer of each context; `times`: of a context split into
+    parts, their number, else 1.
+    """
+    level = Restaurants(count, DISCOUNT[0], STRENGTH[0], rng)
+    total = single + np.bincount(context, level.tables, len(single)).astype(np.int64)
+    tables, totals = [], []
+    for sweep in range(BURN_IN + SAMPLES):
+        level.sweep(count, total, context, times, p)
+        if sweep >= BURN_IN:
+            tables.append(level.tables.copy())
+            totals.append(total.copy())
+    return np.array(tables), np.array(totals)
+
+
+def predictive(totals: Totals, word: np.ndarray, seen: np.ndarray, tables: np.ndarray, customers: np.ndarray, word_tables: np.ndarray, in_context: np.ndarray, context_tables: np.ndarray) -> np.ndarray:
+    """Probability of each (word, context) pair averaged over the samples.
+
+    Of pairs: their word, training count, tables in each sample, and the context's tokens
+    and tables. Of words: customers in each sample and tables in the parent.
+    """
+    (d2, d1), (s2, s1) = DISCOUNT, STRENGTH
+    p = np.zeros(len(word))
+    for s in range(SAMPLES):
+        of_word = (customers[s] - d1 * word_tables + totals.root()) / (s1 + totals.customers[s])
+        p += (seen - d2 * tables[s] + (s2 + d2 * context_tables[s]) * of_word[word]) / (s2 + in_context)
+    return p / SAMPLES
 
-    keys: np.ndarray
-    count: np.ndarray  # training tokens of each word
-    tables: np.ndarray  # samples x pairs
-    word_customers: np.ndarray  # samples x words
-    word_tables: np.ndarray
 
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Even parts of the space of 64-bit keys."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
-def sample_seating(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, parts: np.ndarray, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gibbs samples of one shard: tables of the pairs, customers and tables of the words.
 
-    `word`, `context`, `count`: the pairs seen in training. `parts`: in how many shards
-    each word is dealt.
-    """
-    rng = np.random.default_rng(seed)
-    (d2, d1), (s2, s1) = DISCOUNT, STRENGTH
-    known = int((np.bincount(word, count, n_words) > 0).sum())
-    base = np.full(n_words, 1.0 / (known * shards + 1))
-    pairs = Restaurants(count, d2, s2, rng)
-    total = np.bincount(context, pairs.tables, CONTEXTS).astype(np.int64)  # tables of each context here
-    customers = np.bincount(word, pairs.tables, n_words).astype(np.int64)
-    words = Restaurants(customers, d1, s1, rng)
-    words_total, root = np.array([words.tables.sum()]), np.zeros(n_words, np.int64)
-    tables, word_customers, word_tables = [], [], []
-    for sweep in range(1 + BURN_IN + SAMPLES):  # the first one leaves the start
-        parent_p = (customers * parts - d1 * words.tables * parts + (s1 + d1 * float(words_total[0]) * shards) * base) / (s1 + float(customers.sum()) * shards)
-        pairs.sweep(count, total, context, shards, parent_p[word])
-        customers = np.bincount(word, pairs.tables, n_words).astype(np.int64)
-        words.sweep(customers, words_total, root, shards, base)
-        if sweep > BURN_IN:
-            tables.append(pairs.tables.copy())
-            word_customers.append(customers)
-            word_tables.append(words.tables.copy())
-    return np.array(tables), np.array(word_customers), np.array(word_tables)
+def _pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix64(word ^ mix64(context + np.uint64(0x5B)))
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted ones, and where."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.searchsorted(sorted_keys, keys)
+    at[at == len(sorted_keys)] = 0
+    return sorted_keys[at] == keys, at
+
+
+def _starts(*arrays: np.ndarray) -> np.ndarray:
+    """Where a run of equal values of all arrays begins."""
+    if not len(arrays[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in arrays])))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the fewest bytes."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _pack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mostly small whole numbers: a byte each, and the places and values of those from 255 on."""
+    far = np.flatnonzero(x >= 255)
+    return np.minimum(x, 255).astype(np.uint8), _narrow(far), _narrow(x[far])
+
+
+def _unpack(packed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    out = packed[0].astype(np.int64)
+    out[packed[1]] = packed[2]
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -271,210 +347,302 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     held: list[tuple] = []
     size = texts = 0
     for batch in batches:
-        for rows, data, offsets in text_chunks(batch, "text"):
-            starts, ends, bounds = word_bounds(data, offsets)
-            words = word_keys(data, starts, ends)
-            n = np.diff(bounds)
-            # a place for the end after each text's words
-            own = np.repeat(np.arange(len(n)), n + 1)
-            last = np.cumsum(n + 1) - 1
-            keys = np.empty(len(own), np.uint64)
-            keys[last] = _END
-            inner = np.ones(len(own), bool)
-            inner[last] = False
-            keys[inner] = words
-            context = np.empty(len(own), np.uint16)
-            context[1:] = (keys[:-1] >> np.uint64(20)).astype(np.uint16)
-            context[last - n] = _START
-            if texts + rows.num_rows > FLUSH_TEXTS or size > FLUSH_BYTES:
-                yield _join(held)
-                held, size, texts = [], 0, 0
-            held.append((rows.column(0), np.array(rows.column(2)), n + 1, keys, context, own + texts))
-            size, texts = size + len(data), texts + rows.num_rows
+        for lo in range(0, batch.num_rows, FLUSH_TEXTS):
+            for rows, data, offsets in text_chunks(batch.slice(lo, FLUSH_TEXTS), "text"):
+                starts, ends, bounds = word_bounds(data, offsets)
+                words = word_keys(data, starts, ends)
+                n = np.diff(bounds)
+                # a place for the end after each text's words
+                own = np.repeat(np.arange(len(n)), n + 1)
+                last = np.cumsum(n + 1) - 1
+                keys = np.empty(len(own), np.uint64)
+                keys[last] = _END
+                inner = np.ones(len(own), bool)
+                inner[last] = False
+                keys[inner] = words
+                context = np.empty(len(own), np.uint64)
+                context[1:] = keys[:-1]
+                context[last - n] = _START
+                if held and (texts + rows.num_rows > FLUSH_TEXTS or size > FLUSH_BYTES):
+                    yield _join(held)
+                    held, size, texts = [], 0, 0
+                held.append((rows.column(0), np.array(rows.column(2)), n + 1, keys, context, own + texts))
+                size, texts = size + len(data), texts + rows.num_rows
     if held:
         yield _join(held)
 
 
 def _join(held: list[tuple]) -> tuple:
-    ids = pa.chunked_array([h[0] for h in held])
+    ids = pa.chunked_array([h[0] for h in held]).combine_chunks()
     return (ids, *[np.concatenate([h[k] for h in held]) for k in range(1, 6)])
 
 
+def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    """(kind, batch, shard, part, content) rows."""
+    return _rows(["kind", "batch", "shard", "part", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], [(*r[:4], pickle.dumps(r[4], 5)) for r in rows])
+
+
+_BLOBS = "kind int, batch long, shard int, part int, blob binary"
+TEXTS, STATE, SUMS, ASKED, ANSWER = range(5)  # kinds
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, tokens) of words with a thousandth of a group's tokens; null: all tokens of the group."""
-    for _, _, n, keys, _, _ in _scan(batches):
-        word, count = np.unique(keys, return_counts=True)
-        often = count >= max(1, len(keys) // 2000)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *word[often].view(np.int64).tolist()], pa.int64()), pa.array([len(keys), *count[often].tolist()], pa.int64())], names=["word", "n"])
+    """(what, key, n) of a group: all tokens (0), words (1) and pairs (2) that are not rare in it."""
+    for _, _, n, keys, context, _ in _scan(batches):
+        out = [(0, 0, len(keys))]
+        for what, every in ((1, keys), (2, _pair_keys(keys, context))):
+            every = np.sort(every)
+            first = _starts(every)
+            count = np.diff(np.append(first, len(every)))
+            often = count > len(keys) >> RARE_BITS
+            out += [(what, k, c) for k, c in zip(every[first[often]].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+        yield _rows(["what", "key", "n"], [pa.int32(), pa.int64(), pa.int64()], out)
+
+
+@dataclass
+class Plan:
+    """How keys are dealt: the shards' labels, and the keys with more than half a shard of tokens."""
+
+    labels: list[int]
+    words: np.ndarray
+    pairs: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.shards = len(self.labels)
+        often = np.append(self.words, np.zeros(int(np.isin(_END, self.words)), np.uint64))  # as many starts as ends
+        often = np.sort(often)
+        code = _part(often, self.shards) << 32 | (often & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.contexts = np.sort(code)
+
+    def home(self, context: np.ndarray, shard: int) -> np.ndarray:
+        """The part of split contexts (as codes) for a shard."""
+        return _part(mix64(context.astype(np.uint64) * np.uint64(PARTS) + np.uint64(shard % PARTS)), self.shards)
 
 
-def _deal(shards: int, hot: np.ndarray):
-    """Token blobs by shard (kind 1) and the texts of each group (kind 0)."""
+def _deal(plan: Plan):
+    """Tokens by shard (STATE, still without it) and the texts of each group (TEXTS)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for number, (ids, held, n, keys, context, text) in enumerate(_scan(batches)):
-            group = part << 32 | number
-            dealt = keys.copy()
-            if len(hot):
-                at = np.searchsorted(hot, keys)
-                at[at == len(hot)] = 0
-                much = hot[at] == keys
-                dealt[much] = mix64(keys[much] + (context[much] % np.uint16(PARTS)).astype(np.uint64) + np.uint64(1))
-            order = np.argsort(dealt)
-            dealt = dealt[order]
-            shard = ((dealt >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-            cut = np.searchsorted(shard, np.arange(shards + 1))
+            group = task << 32 | number
             text = text.astype(np.uint16) | held[text].astype(np.uint16) << np.uint16(15)
-            kinds, groups, homes, blobs = [0], [group], [group % shards], [pickle.dumps((ids.to_pylist(), held, n.astype(np.uint32)))]
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[k] : cut[k + 1]]
-                first = np.flatnonzero(np.append(True, dealt[cut[k] + 1 : cut[k + 1]] != dealt[cut[k] : cut[k + 1] - 1]))
-                size = np.diff(np.append(first, len(own)))
-                kinds.append(1)
-                groups.append(group)
-                homes.append(k)
-                blobs.append(pickle.dumps((keys[own[first]], size.astype(np.uint32), context[own], text[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(groups, pa.int64()), pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "batch", "shard", "blob"])
+            extra, counted = None, (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(plan.pairs):  # of these only counts go out
+                pair = _pair_keys(keys, context)
+                much, at = _find(plan.pairs, pair)
+                where, first, inverse = np.unique(at[much], return_index=True, return_inverse=True)
+                trained = np.bincount(inverse, text[much] < 1 << 15, len(where)).astype(np.int64)
+                extra = keys[much][first], context[much][first], trained, plan.pairs[where]
+                both, count = np.unique((text[much] & np.uint16(0x7FFF)).astype(np.int64) * len(plan.pairs) + at[much], return_counts=True)
+                counted = both // len(plan.pairs), plan.pairs[both % len(plan.pairs)], count
+                keys, context, text = keys[~much], context[~much], text[~much]
+            dealt = _dealt(plan, keys, context)
+            order = np.argsort(dealt & ~np.uint64(0xFFFFFFFF) | context & np.uint64(0xFFFFFFFF))
+            keys, context, text, shard = keys[order], context[order], text[order], _part(dealt[order], plan.shards)
+            words, pairs = _starts(keys, shard), _starts(keys, context, shard)
+            size, inside = np.diff(np.append(pairs, len(keys))), np.diff(np.append(np.searchsorted(pairs, words), len(pairs)))
+            part, low = _narrow(_part(context[pairs], plan.shards)), (context[pairs] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cut = np.searchsorted(shard, np.arange(plan.shards + 1))
+            cut_w, cut_p = np.searchsorted(words, cut), np.searchsorted(pairs, cut)
+            to = _part(_dealt(plan, *extra[:2]), plan.shards) if extra else None
+            rows = [(TEXTS, group, plan.labels[group % plan.shards], 0, (ids, held, n.astype(np.uint32), *counted))]
+            for k in range(plan.shards):
+                more = tuple(x[to == k] for x in extra) if extra else None
+                if cut[k] < cut[k + 1] or more and len(more[0]):
+                    w, p = slice(cut_w[k], cut_w[k + 1]), slice(cut_p[k], cut_p[k + 1])
+                    rows.append((STATE, group, plan.labels[k], k, (keys[words[w]], _narrow(inside[w]), part[p], low[p], _narrow(size[p]), text[cut[k] : cut[k + 1]], more)))
+            yield _blobs(rows)
 
     return deal
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """The same whole numbers in the fewest bytes."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
+def _dealt(plan: Plan, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The key that a token is dealt by: its word's, or of a split word a key of it and a part of the contexts."""
+    out = keys.copy()
+    much, _ = _find(plan.words, keys)
+    out[much] = mix64(keys[much] + context[much] % np.uint64(PARTS) + np.uint64(1))
+    return out
 
-def _pairs(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a new (word, context) pair begins among sorted tokens, and each token's pair."""
-    new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])) if len(word) else np.zeros(0, bool)
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
-def _seat(shards: int, hot: np.ndarray):
-    """Of each shard: tokens with the samples (kind 1), totals (kind 2); texts pass (kind 0)."""
-
-    def out(kind: int, batch: int, shard: int, content) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([shard], pa.int32()), pa.array([pickle.dumps(content) if not isinstance(content, bytes) else content], pa.binary())], names=["kind", "batch", "shard", "blob"])
-
-    def close(shard: int, blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        groups = np.array([g for g, _ in blobs], np.int64)
-        parts = [pickle.loads(b) for _, b in blobs]
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        word = np.repeat(at, np.concatenate([p[1] for p in parts])).astype(np.uint32)
-        context, text = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-        group = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[2]) for p in parts])
-        del parts
-        order = np.argsort(word.astype(np.int64) << 16 | context, kind="stable")
-        word, context, text, group = word[order], context[order], text[order], group[order]
-        first, pair = _pairs(word, context)
-        seen = np.bincount(pair, text < 1 << 15, len(first)).astype(np.int64)
-        live = seen > 0
-        split = np.isin(keys, hot)
-        tables, customers, word_tables = sample_seating(word[first][live].astype(np.int64), context[first][live].astype(np.int64), seen[live], len(keys), np.where(split, PARTS, 1), shards, shard)
-        count = np.bincount(word[first], seen, len(keys)).astype(np.int64)
-        all_tables = np.zeros((SAMPLES, len(first)), np.int64)
-        all_tables[:, live] = tables
-        by_context = np.stack([np.bincount(context[first], x, CONTEXTS).astype(np.int64) for x in (seen, *all_tables)])
-        whole = ~split & (count > 0)
-        scalars = {"tokens": int(count.sum()), "known": int(whole.sum()), "customers": customers.sum(1), "tables": word_tables.sum(1)}
-        shared = {int(keys[i]): np.concatenate([[count[i]], customers[:, i], word_tables[:, i]]) for i in np.flatnonzero(split)}
-        yield out(2, 0, shard, (by_context, scalars, shared))
-        size = np.diff(np.append(first, len(word)))
-        pairs = np.bincount(word[first], minlength=len(keys))
-        state = (groups, keys, *map(_narrow, (count, pairs, context[first], size, seen, all_tables[:, seen > 1], customers, word_tables, text & np.uint16(0x7FFF), group)))
-        yield out(1, 0, shard, state)
 
+def _close(plan: Plan, shard: int, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """State, sums and questions of a shard whose tokens have all come."""
+    rng = np.random.default_rng([1, shard])
+    groups, parts = np.array([g for g, _ in blobs], np.int64), [pickle.loads(b) for _, b in blobs]
+    extra = [p[6] for p in parts if p[6] is not None]
+    extra_group = np.repeat([g for g, p in enumerate(parts) if p[6] is not None], [len(e[0]) for e in extra]).astype(np.int64)
+    extra_word, extra_context, extra_count, extra_key = (np.concatenate([e[k] for e in extra]) if extra else np.zeros(0, np.uint64 if k != 2 else np.int64) for k in range(4))
+    # runs of tokens of one pair, and each counted pair as a run without tokens
+    keys, at = np.unique(np.concatenate([*[p[0] for p in parts], extra_word]), return_inverse=True)
+    runs = np.concatenate([*[p[4] for p in parts], np.zeros(len(extra_word), np.int64)]).astype(np.int64)
+    word = np.repeat(at, np.concatenate([*[p[1] for p in parts], np.ones(len(extra_word), np.int64)]).astype(np.int64))
+    code = np.concatenate([*[p[2].astype(np.int64) << 32 | p[3].astype(np.int64) for p in parts], _part(extra_context, plan.shards) << 32 | (extra_context & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+    text, group = np.concatenate([p[5] for p in parts]), np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p[5]) for p in parts])
+    del parts
+    order = np.lexsort((code, word))
+    first = _starts(word[order], code[order])
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    word, code = word[order][first], code[order][first]
+    token = np.repeat(pair, runs)
+    seen = np.bincount(token, text < 1 << 15, len(first)).astype(np.int64) + np.bincount(pair[len(pair) - len(extra_word) :], extra_count, len(first)).astype(np.int64)
+    size = np.bincount(token, minlength=len(first))
+    order = np.argsort(token, kind="stable")
+    text, group = text[order], group[order]
+    del token, order
+    # contexts, in the order of the parts that they are asked of
+    codes, context = np.unique(code, return_inverse=True)
+    split, hot = _find(plan.contexts, codes)
+    asked = codes.copy()
+    asked[split] = plan.home(codes[split], shard) << 32 | codes[split] & 0xFFFFFFFF
+    order = np.argsort(asked, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes, split, hot, context = asked[order], split[order], hot[order], place[context]
+    # the parent
+    count = np.bincount(word, seen, len(keys)).astype(np.int64)
+    pairs = np.bincount(word, seen > 0, len(keys)).astype(np.int64)
+    whole = ~_find(plan.words, keys)[0]
+    live = np.flatnonzero(whole & (count > 0))
+    word_tables = np.zeros(len(keys), np.int64)
+    if len(live):
+        word_tables[live] = parent_tables(pairs[live], len(live) * plan.shards, 1 / plan.shards, rng)
+    shared = {int(keys[i]): np.concatenate([[count[i], pairs[i]], np.zeros(SAMPLES, np.int64)]) for i in np.flatnonzero(~whole)}
+    sums = Totals(int(count.sum()), len(live), int(pairs.sum()), int(word_tables.sum()), 0, shared)
+    yield _blobs([(SUMS, 0, plan.labels[shard], 0, sums)])
+    # questions
+    own, single = np.bincount(context, seen, len(codes)).astype(np.int64), np.bincount(context, seen == 1, len(codes)).astype(np.int64)
+    several = _several(context, seen)
+    weight = pairs - DISCOUNT[1] * word_tables
+    weight[~whole] = -1 - np.searchsorted(plan.words, keys[~whole])
+    part = codes >> 32
+    cut = _starts(part)
+    bound = np.searchsorted(context[several], np.append(cut, len(codes)))
+    for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(codes)), strict=True)):
+        at = several[bound[k] : bound[k + 1]]
+        content = ((codes[a:b] & 0xFFFFFFFF).astype(np.uint32), _pack(own[a:b]), _pack(single[a:b]), _narrow(context[at] - a), _pack(seen[at]), weight[word[at]].astype(np.float32))
+        yield _blobs([(ASKED, 0, plan.labels[shard], int(part[a]), content)])
+    inside = np.bincount(word, minlength=len(keys))
+    counted = (pair[len(pair) - len(extra_word) :], extra_key, extra_group)
+    state = (shard, groups, keys, *map(_narrow, (count, inside, context, size, seen, word_tables, text & np.uint16(0x7FFF), group)), np.flatnonzero(split), hot[split], counted)
+    yield _blobs([(STATE, 0, plan.labels[shard], 0, state)])
+
+
+def _several(context: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The pairs of more than one customer, by context."""
+    at = np.flatnonzero(seen > 1)
+    return at[np.argsort(context[at], kind="stable")]
+
+
+def _shards(plan: Plan):
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
-            for kind, group, shard, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 0:
-                    yield out(0, group, shard, blob)
+            for i in range(batch.num_rows):
+                kind, group, shard = (batch.column(k)[i].as_py() for k in (0, 1, 3))
+                if kind == TEXTS:
+                    yield batch.slice(i, 1)
                     continue
                 if now is not None and shard != now:
-                    yield from close(now, blobs)
+                    yield from _close(plan, now, blobs)
                     blobs = []
                 now = shard
-                blobs.append((group, blob))
+                blobs.append((group, batch.column(4)[i].as_py()))
         if blobs:
-            yield from close(now, blobs)
+            yield from _close(plan, now, blobs)
 
     return seat
 
 
-@dataclass
-class Totals:
-    """Sums over all shards."""
-
-    by_context: np.ndarray | int = 0
-    scalars: dict = field(default_factory=dict)
-    shared: dict = field(default_factory=dict)
-
-    def add(self, by_context: np.ndarray, scalars: dict, shared: dict) -> None:
-        self.by_context = self.by_context + by_context
-        for k, v in scalars.items():
-            self.scalars[k] = self.scalars.get(k, 0) + v
-        for k, v in shared.items():
-            self.shared[k] = self.shared.get(k, 0) + v
-
-
-def _sum_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = Totals()
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            totals.add(*pickle.loads(blob))
-    if totals.scalars:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((totals.by_context, totals.scalars, totals.shared))], pa.binary())], names=["blob"])
-
-
-def predictive(totals: Totals, keys: np.ndarray, count: np.ndarray, word: np.ndarray, context: np.ndarray, seen: np.ndarray, tables: np.ndarray, customers: np.ndarray, word_tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each (word, context) pair averaged over the samples, training tokens of each word)."""
-    (d2, d1), (s2, s1) = DISCOUNT, STRENGTH
-    count, customers, word_tables = count.copy(), customers.astype(np.int64), word_tables.astype(np.int64)
-    for i in np.flatnonzero(np.isin(keys, np.array(list(totals.shared), np.uint64))):
-        own = totals.shared[int(keys[i])]
-        count[i], customers[:, i], word_tables[:, i] = own[0], own[1 : SAMPLES + 1], own[SAMPLES + 1 :]
-    known = totals.scalars["known"] + sum(v[0] > 0 for v in totals.shared.values())
-    p = np.zeros(len(word))
-    for s in range(SAMPLES):
-        root = (s1 + d1 * totals.scalars["tables"][s]) / (known + 1)
-        of_word = (customers[s] - d1 * word_tables[s] + root) / (s1 + totals.scalars["customers"][s])
-        open_ = s2 + d2 * totals.by_context[s + 1][context]
-        p += (seen - d2 * tables[s] + open_ * of_word[word]) / (s2 + totals.by_context[0][context])
-    return p / SAMPLES, count
-
-
-def _single(x: np.ndarray) -> np.ndarray:
-    """Sums over a few words in single precision; those of many words stay as they are."""
-    return x if len(x) and np.abs(x).max() > 1000 else x.astype(np.float32)
-
+def _answer(plan: Plan, shared):
+    """Seating of the contexts of each part; ANSWER rows to the shards that asked, and SUMS."""
+
+    def close(part: int, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        totals: Totals = shared.value
+        labels, blobs = [x for x, _ in asked], [pickle.loads(b) for _, b in asked]
+        own, context = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+        bound = np.append(0, np.cumsum([len(b[0]) for b in blobs]))
+        tokens, single = (np.bincount(context, np.concatenate([_unpack(b[k]) for b in blobs]), len(own)).astype(np.int64) for k in (1, 2))
+        of = np.concatenate([context[lo + b[3].astype(np.int64)] for lo, b in zip(bound[:-1], blobs, strict=True)])
+        count, weight = np.concatenate([_unpack(b[4]) for b in blobs]), np.concatenate([b[5] for b in blobs]).astype(np.float64)
+        split_word = np.where(weight < 0, -1 - weight, -1).astype(np.int64)
+        for i in np.unique(split_word[split_word >= 0]):
+            key = int(plan.words[i])
+            weight[split_word == i] = totals.words[key][1] - DISCOUNT[1] * totals.word_tables[key]
+        p = (weight + totals.root()) / (STRENGTH[1] + totals.pairs)
+        home = {int(c & 0xFFFFFFFF): i for i, c in enumerate(plan.contexts) if part in set(plan.home(np.full(PARTS, c), np.arange(PARTS)).tolist())}
+        hot = {k: home[int(own[k])] for k in np.flatnonzero(np.isin(own, np.array(list(home), np.uint32)))}
+        times = np.ones(len(own))
+        times[list(hot)] = PARTS
+        tables, total = context_tables(of, count, p, single, times, np.random.default_rng([2, part]))
+        opened = {int(plan.words[i]): np.append([0, 0], (tables[:, split_word == i] - 1).sum(1)) for i in np.unique(split_word[split_word >= 0])}
+        sums = Totals(customers=total.sum(1), words=opened, contexts={i: np.append(tokens[k], total[:, k]) for k, i in hot.items()})
+        rows = [(SUMS, 0, 0, part, sums)]
+        at = np.append(0, np.cumsum([len(b[3]) for b in blobs]))
+        for k, label in enumerate(labels):
+            c, t = context[bound[k] : bound[k + 1]], slice(at[k], at[k + 1])
+            rows.append((ANSWER, 0, label, part, (_pack(tokens[c]), [_pack(x[c]) for x in total], [_pack(x[t]) for x in tables])))
+        return _blobs(rows)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, part, blob = (batch.column(k)[i].as_py() for k in (2, 3, 4))
+                if now is not None and part != now:
+                    yield close(now, asked)
+                    asked = []
+                now = part
+                asked.append((shard, blob))
+        if asked:
+            yield close(now, asked)
+
+    return answer
+
+
+def _score(plan: Plan, shared):
+    """(batch, kind, blob): what a shard's words give to the texts of each group."""
+
+    def close(blob: bytes, answers: list[bytes]) -> pa.RecordBatch:
+        totals: Totals = shared.value
+        shard, groups, keys, count, inside, context, size, seen, word_tables, text, group, split, hot, counted = pickle.loads(blob)
+        context, seen, size, count, word_tables = (x.astype(np.int64) for x in (context, seen, size, count, word_tables))
+        told = [pickle.loads(a) for a in answers]
+        in_context = np.concatenate([_unpack(a[0]) for a in told])
+        open_tables = np.array([np.concatenate([_unpack(a[1][s]) for a in told]) for s in range(SAMPLES)])
+        for k, i in zip(split, hot, strict=True):
+            in_context[k], open_tables[:, k] = totals.contexts[int(i)][0], totals.contexts[int(i)][1:]
+        word = np.repeat(np.arange(len(keys)), inside.astype(np.int64))
+        tables = np.tile(np.minimum(seen, 1), (SAMPLES, 1))
+        tables[:, _several(context, seen)] = np.array([np.concatenate([_unpack(a[2][s]) for a in told]) for s in range(SAMPLES)])
+        customers = np.array([np.bincount(word, t, len(keys)) for t in tables])
+        for i in np.flatnonzero(_find(plan.words, keys)[0]):
+            own = totals.words[int(keys[i])]
+            count[i], customers[:, i], word_tables[i] = own[0], own[1] + own[2:], totals.word_tables[int(keys[i])]
+        score = np.log10(predictive(totals, word, seen, tables, customers, word_tables, in_context[context], open_tables[:, context]))
+        base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.known + 1)))
+        order = np.argsort(group.astype(np.int64) << 16 | text, kind="stable")
+        of = np.repeat(np.arange(len(word)), size)[order]
+        at = (group.astype(np.int64) << 16 | text)[order]
+        first = _starts(at)
+        sums = [np.add.reduceat(x[of], first) if len(first) else np.zeros(0) for x in (score, base[word], (count[word] > 0).astype(np.int64))]
+        where = at[first]
+        cut = np.searchsorted(where >> 16, np.arange(len(groups) + 1))
+        rows = []
+        for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            mine = counted[0][counted[2] == g]
+            extra = counted[1][counted[2] == g], score[mine], base[word[mine]], (count[word[mine]] > 0).astype(np.int64)
+            rows.append((int(groups[g]), 1, pickle.dumps(((where[a:b] & 0xFFFF).astype(np.uint16), sums[0][a:b], sums[1][a:b], _narrow(sums[2][a:b].astype(np.int64)), *extra), 5)))
+        return _rows(["batch", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()], rows)
 
-def _score(shared_totals):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Totals = shared_totals.value
-        tokens = totals.scalars["tokens"]
-        known = totals.scalars["known"] + sum(v[0] > 0 for v in totals.shared.values())
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                groups, keys, count, pairs, context, size, seen, repeated, customers, word_tables, text, group = pickle.loads(blob)
-                word = np.repeat(np.arange(len(keys)), pairs)
-                tables = np.tile(seen > 0, (SAMPLES, 1)).astype(np.int64)
-                tables[:, seen > 1] = repeated
-                context, seen, count = context.astype(np.int64), seen.astype(np.int64), count.astype(np.int64)
-                p, count = predictive(totals, keys, count, word, context, seen, tables, customers, word_tables)
-                base = np.log10((count + 0.1) / (tokens + 0.1 * (known + 1)))
-                size = size.astype(np.int64)
-                order = np.argsort(group.astype(np.int64) << 16 | text, kind="stable")
-                of = np.repeat(np.arange(len(word)), size)[order]
-                at = (group.astype(np.int64) << 16 | text)[order]
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                sums = [np.add.reduceat(x[of], first) for x in (np.log10(p), base[word], (count[word] > 0).astype(np.int64))]
-                where = at[first]
-                cut = np.searchsorted(where >> 16, np.arange(len(groups) + 1))
-                score, base_sum, in_training = sums
-                blobs = [pickle.dumps(((where[a:b] & 0xFFFF).astype(np.uint16), _single(score[a:b]), base_sum[a:b], _narrow(in_training[a:b]))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array([1] * len(groups), pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "kind", "blob"])
+            for i in range(batch.num_rows):
+                yield close(batch.column(0)[i].as_py(), [a["blob"] for a in batch.column(1)[i].as_py()])
 
     return score
 
@@ -483,24 +651,33 @@ def _collect(tokens: int):
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def close(texts, parts: list[bytes]) -> pa.RecordBatch:
-        ids, held, n = texts
-        score, base, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
+        ids, held, n, who, pair, times = texts
+        sums = np.zeros((2, len(n)))
+        known, of_pair = np.zeros(len(n), np.int64), {}
         for part in parts:
-            at, s, b, k = pickle.loads(part)
-            score[at] += s
-            base[at] += b
+            at, score, base, k, *extra = pickle.loads(part)
+            sums[0][at] += score
+            sums[1][at] += base
             known[at] += k
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)], names=names)
+            of_pair |= {x: y for x, *y in zip(*(e.tolist() for e in extra), strict=True)}
+        for key in np.unique(pair):
+            mine = pair == key
+            score, base, k = of_pair[int(key)]
+            sums[0][who[mine]] += times[mine] * score
+            sums[1][who[mine]] += times[mine] * base
+            known[who[mine]] += times[mine] * k
+        return pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=names)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, parts = None, None, []
         for batch in batches:
-            for group, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                group, kind, blob = (batch.column(k)[i].as_py() for k in range(3))
                 if now is not None and group != now:
                     yield close(texts, parts)
                     parts = []
                 now = group
-                if kind == 0:
+                if kind == TEXTS:
                     texts = pickle.loads(blob)
                 else:
                     parts.append(blob)
@@ -510,37 +687,86 @@ def _collect(tokens: int):
     return collect
 
 
+def _summed(blobs: DataFrame) -> Totals:
+    """The sum of all SUMS rows: one for each shard or part."""
+    totals = Totals()
+    for row in blobs.filter(F.col("kind") == SUMS).select("blob").toLocalIterator():
+        totals.add(pickle.loads(row[0]))
+    return totals
+
+
+def _labels(spark: SparkSession, shards: int) -> list[int]:
+    """Numbers that Spark deals to different ones of `shards` buckets, so that each shard has a bucket of its own."""
+    label = F.col("id").cast("int")
+    dealt = spark.range(shards * (20 + shards.bit_length())).groupBy(F.pmod(F.hash(label), F.lit(shards)).alias("bucket")).agg(F.min(label).alias("label"))
+    labels = sorted(r["label"] for r in dealt.collect())
+    return labels + [shards * 64 + i for i in range(shards - len(labels))]
+
+
 def language_model(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
     """Scores of each whole text: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Learns from the texts that `held_out` (by default: crc32 of the id, modulo 10, is 0)
     leaves. Tokens are words, A-Z folded, and one end a text; a null text is empty and
     has the end alone. base_score: log10 of add-0.1 word probabilities; score: log10 of
-    the averaged predictive probabilities. Repeated rows each count and each get a row.
-    Words are told apart by 64-bit hashes. perplexity() sums up.
+    the averaged predictive probabilities. Texts of any length are scored whole. Repeated
+    rows each count and each get a row. Other columns are not read, whatever their names
+    (`held_out` may name any of `docs`). perplexity() sums up.
     """
     spark = docs.sparkSession
-    held = split_key(F.col(id_col), 10) == 0 if held_out is None else held_out
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    often = materialize(picked.mapInArrow(_frequent, "word long, n long"))
-    tokens = often.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    held = split_key(docs[place_name(docs, id_col)], 10) == 0 if held_out is None else held_out
+    flagged = docs.select("*", F.coalesce(held, F.lit(False)).alias(_HELD))
+    picked = pick(flagged, id=id_col, text=text_col, held=_HELD)
+    kind = picked.schema["id"].dataType.simpleString()
+    often = materialize(picked.mapInArrow(_frequent, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
+    tokens = often.filter("what = 0").agg(F.sum("n")).first()[0] or 0
     shards = max(4, int(tokens // tokens_per_shard) + 1)
-    much = often.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > tokens / (2 * shards))
-    hot = np.sort(np.array([r[0] for r in much.select("word").collect()], np.int64).view(np.uint64))  # fewer than 2 * shards
-    schema = "kind int, batch long, shard int, blob binary"
-    dealt = picked.mapInArrow(_deal(shards, hot), schema).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    seated = materialize(dealt.mapInArrow(_seat(shards, hot), schema))
-    totals = Totals()
-    for row in seated.filter("kind = 2").select("blob").repartition(8).mapInArrow(_sum_totals, "blob binary").toLocalIterator():
-        totals.add(*pickle.loads(row[0]))
-    if not totals.scalars:
-        totals.add(np.zeros((SAMPLES + 1, CONTEXTS), np.int64), {"tokens": 0, "known": 0, "customers": np.zeros(SAMPLES), "tables": np.zeros(SAMPLES)}, {})
-    shared = spark.sparkContext.broadcast(totals)
-    scores = seated.filter("kind = 1").select("blob").mapInArrow(_score(shared), "batch long, kind int, blob binary")
-    texts = seated.filter("kind = 0").select("batch", "kind", "blob")
-    met = scores.unionByName(texts).repartition("batch").sortWithinPartitions("batch", "kind")
-    found = met.mapInArrow(_collect(totals.scalars["tokens"]), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return found.withColumnRenamed("id", id_col)
+    much = often.filter((F.col("what") > 0) & (F.col("n") > tokens / (2 * shards))).collect()  # fewer than 4 * shards
+    words, pairs = (np.sort(np.array([r["key"] for r in much if r["what"] == k], np.int64).view(np.uint64)) for k in (1, 2))
+    plan = Plan(_labels(spark, shards), words, pairs)
+
+    name = f"readroute_{uuid.uuid4().hex}"
+    dealt = picked.mapInArrow(_deal(plan), _BLOBS).repartitionById(shards, F.col("part")).sortWithinPartitions("part", "batch")
+    dealt.mapInArrow(_shards(plan), _BLOBS).write.partitionBy("kind").bucketBy(shards, "shard").option("compression", "zstd").option("path", scratch_path(spark)).saveAsTable(name)
+    try:
+        table = spark.table(name)
+        totals = _summed(table)
+        _share_parent(totals, plan)
+        asked = table.filter(F.col("kind") == ASKED).select(*_COLUMNS).repartitionById(shards, F.col("part")).sortWithinPartitions("part", "shard")
+        answers = materialize(asked.mapInArrow(_answer(plan, spark.sparkContext.broadcast(totals)), _BLOBS))
+        totals.add(_summed(answers))
+        shared = spark.sparkContext.broadcast(totals)
+        told = answers.filter(F.col("kind") == ANSWER).repartition(shards, "shard").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias("answers"))
+        state = table.filter(F.col("kind") == STATE).select("shard", "blob").join(told, "shard").select("blob", "answers")
+        scores = state.mapInArrow(_score(plan, shared), "batch long, kind int, blob binary")
+        texts = table.filter(F.col("kind") == TEXTS).select("batch", F.col("kind").cast("int").alias("kind"), "blob")
+        met = scores.unionByName(texts).repartition("batch").sortWithinPartitions("batch", "kind")
+        found = met.mapInArrow(_collect(totals.tokens), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return materialize(found.withColumnRenamed("id", id_col))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+_COLUMNS = ["kind", "batch", "shard", "part", "blob"]
+_HELD = "readroute held out"
+
+
+def place_name(docs: DataFrame, name: str) -> str:
+    return f"`{name}`"
+
+
+def _share_parent(totals: Totals, plan: Plan) -> None:
+    """Tables of the split words in the parent, drawn where their sums are: few numbers."""
+    if totals.words:
+        keys = sorted(totals.words)
+        count, pairs = (np.array([totals.words[k][i] for k in keys]) for i in (0, 1))
+        totals.known += int((count > 0).sum())
+        tables = np.zeros(len(keys), np.int64)
+        if (pairs > 0).any():
+            share = float(pairs.sum()) / max(1, totals.pairs)
+            tables[pairs > 0] = parent_tables(pairs[pairs > 0], totals.known, share, np.random.default_rng(3))
+        totals.word_tables = dict(zip(keys, tables.tolist(), strict=True))
+        totals.tables += int(tables.sum())
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

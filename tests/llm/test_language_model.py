@@ -58,29 +58,83 @@ def test_model_beats_words_alone_and_is_a_distribution(docs_of):
     assert score[100] > score[101] > score[104]
 
 
+def small_model(word, context, count, n_words, n_contexts, seed=5):
+    """Totals and samples of pairs, as the jobs make them, of one shard and one part."""
+    rng = np.random.default_rng(seed)
+    pairs = np.bincount(word, minlength=n_words)
+    word_tables = lm.parent_tables(pairs, n_words, 1.0, rng)
+    totals = lm.Totals(int(count.sum()), n_words, int(pairs.sum()), int(word_tables.sum()))
+    weight = pairs - lm.DISCOUNT[1] * word_tables
+    p = (weight + totals.root()) / (lm.STRENGTH[1] + totals.pairs)
+    several = count > 1
+    tables = np.tile(np.ones(len(word), int), (lm.SAMPLES, 1))
+    tables[:, several], open_tables = lm.context_tables(context[several], count[several], p[word[several]], np.bincount(context, ~several, n_contexts).astype(int), np.ones(n_contexts), rng)
+    totals.customers = open_tables.sum(1)
+    customers = np.array([np.bincount(word, t, n_words) for t in tables])
+    return totals, tables, open_tables, customers, word_tables
+
+
 def test_probabilities_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
     word, context = rng.integers(0, 40, 900), rng.integers(1, 6, 900)
     pair, count = np.unique(word * 10 + context, return_counts=True)
     word, context = pair // 10, pair % 10
-    tables, customers, word_tables = lm.sample_seating(word, context, count, 40, np.ones(40, int), 1, 5)
-    assert (tables <= count).all() and (tables >= 1).all()
+    n_words = 40
+    totals, tables, open_tables, customers, word_tables = small_model(word, context, count, n_words, 6)
+    assert (tables <= count).all() and (tables >= 1).all() and (word_tables <= np.bincount(word, minlength=40)).all()
     for s in range(lm.SAMPLES):
-        assert (np.bincount(word, tables[s], 40) == customers[s]).all() and (word_tables[s] <= customers[s]).all()
-    totals = lm.Totals()
-    by_context = np.stack([np.bincount(context, x, lm.CONTEXTS) for x in (count, *tables)])
-    totals.add(by_context, {"tokens": 900, "known": 40, "customers": customers.sum(1), "tables": word_tables.sum(1)}, {})
+        assert (np.bincount(context, tables[s], 6) == open_tables[s]).all() and customers[s].sum() == totals.customers[s]
     # every known word in one context, and one unknown (count, customers, tables 0)
-    keys = np.arange(41, dtype=np.uint64)
     pad = lambda x: np.append(x, np.zeros((lm.SAMPLES, 1), int), 1)
     for c in range(1, 6):
         at = {int(w): i for i, w in enumerate(word) if context[i] == c}
         seen = np.array([count[at[w]] if w in at else 0 for w in range(41)])
         own = np.array([[tables[s][at[w]] if w in at else 0 for w in range(41)] for s in range(lm.SAMPLES)])
-        p, _ = lm.predictive(totals, keys, np.ones(41, int), np.arange(41), np.full(41, c), seen, own, pad(customers), pad(word_tables))
+        opened = np.repeat(open_tables[:, [c]], 41, 1)
+        p = lm.predictive(totals, np.arange(41), seen, own, pad(customers), np.append(word_tables, 0), np.full(41, seen.sum()), opened)
         assert math.isclose(p.sum(), 1, rel_tol=1e-9) and (p > 0).all()
 
 
+def test_scores_are_the_definition_and_do_not_hang_on_the_shards(docs_of, prose):
+    """Each text's score from pairs counted one by one, with the samples' spread; with few and with many shards, parts, split words and pairs."""
+    texts = [(i, "it is " * (i % 40) + prose(60, i, 150)) for i in range(240)]
+    docs = docs_of(texts).selectExpr("doc_id", "text")
+    held = {r.doc_id: r.h for r in docs.select("doc_id", (split_key(F.col("doc_id"), 10) == 0).alias("h")).collect()}
+    ids, contexts, count = {}, {}, Counter()
+    for i, t in texts:
+        own = words(t)
+        for c, w in zip(["<s>", *own], own):
+            pair = ids.setdefault(w, len(ids)) if not held[i] else ids.get(w, -1), contexts.setdefault(c, len(contexts))
+            count[pair] += not held[i]
+    pairs = [p for p, n in count.items() if n]
+    word, context, n = (np.array(x) for x in zip(*[(*p, count[p]) for p in pairs]))
+    totals, tables, open_tables, customers, word_tables = small_model(word, context, n, len(ids), len(contexts))
+    place = {p: k for k, p in enumerate(pairs)}
+    in_context = np.bincount(context, n, len(contexts))
+    pad = lambda x: np.append(x, np.zeros((lm.SAMPLES, 1), int), 1)
+    want = {}
+    for i, t in texts:
+        own = words(t)
+        w, c = np.array([ids.get(x, len(ids)) for x in own]), np.array([contexts[x] for x in ["<s>", *own[:-1]]])
+        at = np.array([place.get((int(a), int(b)), -1) for a, b in zip(w, c)])
+        seen, tab = np.where(at < 0, 0, n[at]), np.where(at < 0, 0, tables[:, at])
+        want[i] = np.log10(lm.predictive(totals, w, seen, tab, pad(customers), np.append(word_tables, 0), in_context[c], open_tables[:, c])).sum()
+    for size in (lm.TOKENS_PER_SHARD, 700):
+        got = {r.doc_id: r.score for r in lm.language_model(docs, tokens_per_shard=size).collect()}
+        off = np.array([got[i] - want[i] for i in got]) / [len(words(t)) for _, t in texts]
+        assert np.abs(off).max() < 0.02 and abs(off.mean()) < 0.003, (size, np.abs(off).max(), off.mean())
+
+
+def test_large_batches_and_odd_ids(spark, docs_of):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        rows = lm.language_model(spark.range(0, 40_000, 1, 1).selectExpr("concat('d', id) as doc_id", "'a b' as text", "'x' as TEXT", "1 as held", "2 as kind"))
+        assert rows.count() == 40_000 and rows.select("doc_id").distinct().count() == 40_000
+        assert rows.agg(F.max("n_tokens"), F.min("n_known")).first() == (3, 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_seating_follows_the_restaurant_process():
     """Mean tables of one dish agree with exact enumeration of the process."""
     d, strength, n = 0.5, 1.0, 6
@@ -128,17 +182,28 @@ def test_frequent_dishes_get_the_expected_tables():
         level = lm.Restaurants(np.full(dishes, n), d, s, rng)
         total, of, found = others + level.tables, np.arange(dishes), []
         for sweep in range(12):
-            level.sweep(np.full(dishes, n), total, of, 1.0, np.full(dishes, p))
+            level.sweep(np.full(dishes, n), total, of, np.ones(dishes), np.full(dishes, p))
             if sweep > 2:
                 found.append(level.tables.mean())
         assert (total == others + level.tables).all()
         assert abs(np.mean(found) / want - 1) < 0.04, (n, others, p, np.mean(found), want)
 
 
-def test_a_frequent_pair_opens_as_many_tables_as_it_needs():
-    contexts, others = 20, 3000
-    word = np.append(np.zeros(contexts, int), np.tile(np.arange(1, others + 1), contexts))
-    context = np.append(np.arange(1, contexts + 1), np.repeat(np.arange(1, contexts + 1), others))
-    count = np.append(np.full(contexts, 12_000), np.ones(contexts * others, int))
-    tables, _, _ = lm.sample_seating(word, context, count, others + 1, np.ones(others + 1, int), 1, 4)
-    assert tables[:, :contexts].mean() > 60
+def test_a_pair_of_ten_thousand_customers_is_seated_as_one_by_one():
+    d, s, n, dishes, p, others = lm.DISCOUNT[0], lm.STRENGTH[0], 10_000, 8, 0.05, 3000
+    rng = np.random.default_rng(4)
+    tables, _ = lm.context_tables(np.arange(dishes), np.full(dishes, n), np.full(dishes, p), np.full(dishes, others), np.ones(dishes), rng)
+    # customer by customer, by the process itself: one leaves and is seated again; from below and from above it nears the drawn number
+    for factor in (0.04, 0.3):
+        weight, found, everyone = factor * p, [], np.arange(dishes)
+        seating = lm.Seating.__new__(lm.Seating)
+        seating.__init__(np.full(dishes, n), d, lambda i: (s + d * (others + seating.tables[i])) * weight, rng, 64)  # noqa: B023
+        weight = p
+        for _ in range(9):
+            found.append(abs(seating.tables.mean() - tables.mean()))
+            for _ in range(n):
+                seating.leave(everyone)
+                seating.enter(everyone)
+        above = seating.tables.mean() > tables.mean()
+        assert found[-1] < 0.6 * found[0] or found[-1] < 0.06 * tables.mean(), (factor, tables.mean(), found)
+        assert found[0] > 0.1 * tables.mean() and (found[-1] < 0.1 * tables.mean() or above == (factor > 0.1))
