@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from readroute.functions.seq import READ, TAG, overlay_tags, revcomp
 from readroute.operators.qc import qc_json
-from readroute.plans.spec import Spec, TagRule, Template, Use
+from readroute.plans.analyze import BIN_PLACES, OUT_PLACES, targets
+from readroute.plans.spec import Spec, TagRule, Template, Use, pattern_parts
 
 
 def piece(use: Use, raw: bool) -> tuple[Column, Column, Column]:
@@ -69,28 +70,60 @@ def assemble(df: DataFrame, spec: Spec) -> DataFrame:
     return df.withColumn("bodies", F.when(out, made).otherwise(raw)).drop("_new")
 
 
-def pattern(text: str, spec: Spec, ordinal: Column) -> Column:
+def pattern(text: str, allowed: tuple[str, ...], values: dict[str, Column]) -> Column:
     """A destination from a pattern; a value that is missing is empty."""
-    values = {"%sub_sample": F.col("sub_sample"), "%ordinal": ordinal.cast("string"), "%source": (ordinal - 1).cast("string"), "%sample": F.col("sample"), "%pool": F.lit(spec.pool)}
-    parts: list[Column] = []
-    while text:
-        key = next((k for k in values if text.startswith(k)), None)
-        parts.append(F.coalesce(values[key], F.lit("")) if key else F.lit(text[0]))
-        text = text[len(key or " ") :]
-    return F.concat(*parts)
+    return F.concat(*[F.coalesce(values.get(x, F.lit(None).cast("string")), F.lit("")) if named else F.lit(x) for x, named in pattern_parts(text, allowed)])
 
 
-def outputs(df: DataFrame, spec: Spec) -> DataFrame:
-    """(dest, fid, ordinal, read_group, name, bases, quals, tags): a row for each record written.
+def body_count(spec: Spec, files: int) -> int:
+    """Output reads of an assigned fragment."""
+    return len(spec.templates) or files
 
+
+def parts_bodies(spec: Spec, files: int, kind: str) -> bool:
+    """Whether each output read of a fragment has a destination of its own: read files hold one read a fragment."""
+    return kind != "sam" and body_count(spec, files) > 1
+
+
+def outputs(df: DataFrame, spec: Spec, files: int = 1, inputs: int | None = None, kind: str = "fastq") -> DataFrame:
+    """(dest, fid, ordinal, mates, read_group, name, bases, quals, tags): a row for each record written.
+
+    `kind`: the format of assigned fragments; `inputs`: input files, fewer than `files`
+    if one holds both mates. `mates`: records of the fragment in this destination.
     Fragments whose pattern is not given have no rows.
     """
     # the outer form: from the plain one Catalyst infers a filter that repeats all of bodies
-    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", F.posexplode_outer("bodies").alias("k", "body")).filter("k is not null")
+    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", F.size("bodies").alias("n"), F.posexplode_outer("bodies").alias("k", "body")).filter("k is not null")
+    sources, apart = inputs or files, parts_bodies(spec, files, kind)
     ordinal = F.col("k") + 1
-    dest = F.when(F.col("disposition").isin("assigned", "pass_through"), pattern(spec.out or "out", spec, ordinal))
-    dest = dest.when(F.col("disposition") == "unassigned", pattern(spec.unassigned, spec, ordinal) if spec.unassigned else F.lit(None))
+    own = {"pool": F.lit(spec.pool), "sample": F.col("sample"), "sub_sample": F.col("sub_sample"), "ordinal": (ordinal if apart else F.when(F.col("n") == 1, 1)).cast("string")}
+    raw = {"pool": F.lit(spec.pool), "source": (F.col("k") if sources > 1 else F.lit(0)).cast("string")}
+    by_source = lambda p: sources > 1 and ("source", True) in pattern_parts(p, BIN_PLACES)
+
+    def binned(p: str | None) -> Column:
+        return F.struct(pattern(p, BIN_PLACES, raw).alias("dest"), (F.lit(1) if by_source(p) else F.col("n")).alias("mates")) if p is not None else F.lit(None)
+
+    made = F.struct((pattern(spec.out, OUT_PLACES, own) if spec.out is not None else F.lit("out")).alias("dest"), (F.lit(1) if apart and spec.out is not None else F.col("n")).alias("mates"))
+    to = F.when(F.col("disposition").isin("assigned", "pass_through"), made).when(F.col("disposition") == "unassigned", binned(spec.unassigned))
     for i, r in enumerate(spec.removals):
-        dest = dest.when(F.col("removal") == i, pattern(r.pattern, spec, ordinal) if r.pattern else F.lit(None))
+        to = to.when(F.col("removal") == i, binned(r.pattern))
     group = F.coalesce(F.when(F.col("sample").isNotNull(), F.concat_ws(".", "sample", "sub_sample")), F.lit(spec.pool))
-    return long.select(dest.alias("dest"), "fid", ordinal.alias("ordinal"), group.alias("read_group"), "body.*").filter("dest is not null")
+    placed = long.withColumn("to", to.cast("struct<dest:string,mates:int>")).filter("to is not null")
+    return placed.select("to.dest", "fid", ordinal.alias("ordinal"), "to.mates", group.alias("read_group"), "body.*")
+
+
+def destinations(spec: Spec, files: int, inputs: int, kind: str) -> list[str]:
+    """Every destination that the patterns declare, those that get no record too."""
+    def filled(text: str, allowed: tuple[str, ...], **values: object) -> str:
+        return "".join(str(values.get(x) or "") if named and x != "source" else str(values["source"]) if named else x for x, named in pattern_parts(text, allowed))
+
+    out = []
+    if spec.out is not None:
+        n = body_count(spec, files)
+        ordinals = range(1, n + 1) if parts_bodies(spec, files, kind) else [1 if n == 1 else None]
+        for sample, sub in targets(spec) or [(None, None)]:
+            out += [filled(spec.out, OUT_PLACES, pool=spec.pool, sample=sample, sub_sample=sub, ordinal=k) for k in ordinals]
+    for p in [spec.unassigned, *[r.pattern for r in spec.removals]]:
+        if p is not None:
+            out += [filled(p, BIN_PLACES, pool=spec.pool, source=k) for k in range(inputs)]
+    return list(dict.fromkeys(out))

@@ -24,33 +24,38 @@ def with_unextracted(df: DataFrame, spec: Spec, files: int) -> DataFrame:
     return df.withColumns({"bases_routed": F.when(out, total).otherwise(0).cast("long"), "bases_left": F.when(out, left).otherwise(0).cast("long")})
 
 
-def per_sample(df: DataFrame, spec: Spec) -> DataFrame:
-    """(target, pool, sample, sub_sample, reads, frac_of_pool, frac_bases_unextracted), a row for every declared target."""
-    spark = df.sparkSession
-    declared = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(targets(spec))], "target int, sample string, sub_sample string")
-    sums = df.groupBy("target").agg(F.count("*").alias("reads"), F.sum("bases_routed").alias("routed"), F.sum("bases_left").alias("left"))
-    all_reads = df.agg(F.count("*").alias("total"))
+def totals(df: DataFrame, files: int) -> DataFrame:
+    """(target, disposition, reads, routed, left, n0, len0, n1, ...): all that the reports need, from one pass; a row for each target and disposition."""
+    length = [F.length(F.try_element_at("reads", F.lit(k + 1))["bases"]).cast("long") for k in range(files)]
+    return df.groupBy("target", "disposition").agg(
+        F.count("*").alias("reads"), F.sum("bases_routed").alias("routed"), F.sum("bases_left").alias("left"),
+        *[F.count(x).alias(f"n{k}") for k, x in enumerate(length)], *[F.sum(x).alias(f"len{k}") for k, x in enumerate(length)],
+    )
+
+
+def per_sample(sums: DataFrame, spec: Spec) -> DataFrame:
+    """(target, pool, sample, sub_sample, reads, frac_of_pool, frac_bases_unextracted) of totals(), a row for every declared target."""
+    declared = sums.sparkSession.createDataFrame([(1, i, s, b) for i, (s, b) in enumerate(targets(spec))], "one int, target int, sample string, sub_sample string")
+    zero = F.lit(0).cast("long")
+    # one row: the sum over all, and what each target has
+    whole = sums.agg(F.coalesce(F.sum("reads"), zero).alias("total"), F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", F.struct("reads", "routed", "left"))))).alias("each")).withColumn("one", F.lit(1))
+    own = F.try_element_at("each", "target")
+    reads = F.coalesce(own["reads"], zero)
+    return declared.join(F.broadcast(whole), "one").select("target", F.lit(spec.pool).alias("pool"), "sample", "sub_sample", reads.alias("reads"), fraction(reads, F.col("total")).alias("frac_of_pool"), fraction(F.coalesce(own["left"], zero), F.coalesce(own["routed"], zero)).alias("frac_bases_unextracted"))
+
+
+def summary(sums: DataFrame, spec: Spec, files: int) -> DataFrame:
+    """One row of totals(): counts of fragments by disposition, shares, and mean read lengths (rounded half up) by input."""
     zero = F.lit(0).cast("long")
-    joined = declared.join(sums.filter("target is not null"), "target", "left").join(F.broadcast(all_reads))  # one row
-    reads = F.coalesce("reads", zero)
-    return joined.select("target", F.lit(spec.pool).alias("pool"), "sample", "sub_sample", reads.alias("reads"), fraction(reads, F.col("total")).alias("frac_of_pool"), fraction(F.coalesce("left", zero), F.coalesce("routed", zero)).alias("frac_bases_unextracted"))
-
-
-def mean_length(file: int) -> Column:
-    """Rounded mean length of a file's reads, half up, in whole numbers."""
-    length = F.length(F.try_element_at("reads", F.lit(file + 1))["bases"]).cast("long")
-    n = F.count(length)
-    total = F.coalesce(F.sum(length), F.lit(0).cast("long"))
-    return F.when(n > 0, F.floor((total + F.floor(n / 2)) / n)).otherwise(0).cast("string")
-
-
-def summary(df: DataFrame, spec: Spec, files: int) -> DataFrame:
-    """One row: counts of fragments by disposition, shares, and mean read lengths by input."""
-    count = lambda what: F.count_if(F.col("disposition") == what)
-    row = df.agg(
-        F.count("*").alias("total_reads"), count("assigned").alias("reads_assigned"), count("pass_through").alias("reads_pass_through"), count("unassigned").alias("reads_unassigned"), count("removed").alias("reads_removed"),
-        F.coalesce(F.sum("bases_routed"), F.lit(0).cast("long")).alias("routed"), F.coalesce(F.sum("bases_left"), F.lit(0).cast("long")).alias("left"),
-        F.concat_ws(",", *[mean_length(k) for k in range(files)]).alias("mean_read_len_by_input"),
+    count = lambda what: F.coalesce(F.sum(F.when(F.col("disposition") == what, F.col("reads"))), zero)
+
+    def mean_length(k: int) -> Column:
+        n, total = F.coalesce(F.sum(f"n{k}"), zero), F.coalesce(F.sum(f"len{k}"), zero)
+        return F.when(n > 0, F.floor((total + F.floor(n / 2)) / n)).otherwise(0).cast("string")
+
+    row = sums.agg(
+        F.coalesce(F.sum("reads"), zero).alias("total_reads"), count("assigned").alias("reads_assigned"), count("pass_through").alias("reads_pass_through"), count("unassigned").alias("reads_unassigned"), count("removed").alias("reads_removed"),
+        F.coalesce(F.sum("routed"), zero).alias("routed"), F.coalesce(F.sum("left"), zero).alias("left"), F.concat_ws(",", *[mean_length(k) for k in range(files)]).alias("mean_read_len_by_input"),
     )
     return row.select(
         F.lit(spec.pool).alias("pool"), "total_reads", "reads_assigned", "reads_pass_through", "reads_unassigned", "reads_removed",

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
+
 from readroute.functions.seq import IUPAC, degeneracy
-from readroute.plans.spec import Group, Sample, Spec, SpecError, Tag, Term, _need
+from readroute.plans.spec import Group, Sample, Spec, SpecError, Tag, Term, _need, pattern_parts
 
 # Names of the columns of a tag table.
 ID_COLUMNS, SEQ_COLUMNS = ("id", "tag", "name", "sample_id", "sample"), ("seq", "sequence", "barcode")
 #: Concrete sequences that a tag, and a group, may stand for.
 TAG_DEGENERACY, GROUP_DEGENERACY = 1 << 20, 10_000_000
+#: The same, above which a warning is due.
+MANY_OF_TAG, MANY_OF_GROUP = 4096, 100_000
+# What the patterns of assigned fragments, and of raw ones, may name.
+OUT_PLACES, BIN_PLACES = ("pool", "sample", "sub_sample", "ordinal"), ("pool", "source")
+#: Warnings of tags near each other that are written out; of more, their number.
+SHOWN = 20
 
 
 def tag_table(text: str, name: str) -> tuple[Tag, ...]:
@@ -36,12 +45,21 @@ def tag_table(text: str, name: str) -> tuple[Tag, ...]:
     return tuple(out)
 
 
+@lru_cache(64)
+def _places(tags: tuple[Tag, ...]) -> tuple[dict[str, int], dict[str, int]]:
+    """The first tag of each id and of each sequence."""
+    ids, seqs = {}, {}
+    for i, tag in enumerate(tags):
+        ids.setdefault(tag.id, i)
+        seqs.setdefault(tag.seq, i)
+    return ids, seqs
+
+
 def resolve(group: Group, token: str) -> int:
     """The index of a tag by id, else by sequence."""
-    for key in ("id", "seq"):
-        for i, tag in enumerate(group.tags):
-            if getattr(tag, key) == token:
-                return i
+    for known in _places(group.tags):
+        if token in known:
+            return known[token]
     raise SpecError(f"group {group.name} has no tag {token!r}")
 
 
@@ -50,21 +68,60 @@ def tag_distance(a: str, b: str) -> int:
     return sum(not set(IUPAC[x]) & set(IUPAC[y]) for x, y in zip(a.upper(), b.upper(), strict=True))
 
 
+def near_pairs(seqs: list[str], most: int) -> Iterator[tuple[int, int, int]]:
+    """(i, j, distance) of the tags of one length with at most `most` positions that can't be the same base.
+
+    Of most + 1 pieces of the tags, such a pair agrees on one. Tags are sorted by each
+    piece in turn and meet those of the same piece only; a tag with a code for several
+    bases meets all.
+    """
+    codes = np.array([[sum(1 << "ACGT".index(x) for x in IUPAC[b]) for b in s.upper()] for s in seqs], np.uint8)
+    n, m = codes.shape
+    several = (np.bitwise_count(codes) > 1).any(1)
+    plain = np.flatnonzero(~several)
+    seen: set[tuple[int, int]] = set()
+
+    def meet(rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for lo in range(0, len(rows), max(1, (1 << 22) // max(1, len(others) * m))):
+            part = rows[lo : lo + max(1, (1 << 22) // max(1, len(others) * m))]
+            apart = ((codes[part, None] & codes[None, others]) == 0).sum(2)
+            for a, b in zip(*np.nonzero(apart <= most), strict=True):
+                i, j = int(part[a]), int(others[b])
+                if i != j and (pair := (min(i, j), max(i, j))) not in seen:
+                    seen.add(pair)
+                    yield *pair, int(apart[a, b])
+
+    if several.any():
+        yield from meet(np.flatnonzero(several), np.arange(n))
+    if most >= m:  # all are near
+        yield from meet(plain, plain)
+    for piece in np.array_split(np.arange(m), most + 1) if most < m else ():
+        if len(plain) > 1:
+            key = np.ascontiguousarray(codes[plain][:, piece]).view(f"S{len(piece)}").ravel()
+            order = np.argsort(key, kind="stable")
+            for own in np.split(plain[order], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1):
+                if len(own) > 1:
+                    yield from meet(own, own)
+
+
 def check_tags(group: Group, warnings: list[str]) -> None:
     for tag in group.tags:
         _need(set(tag.seq.upper()) <= set(IUPAC), f"group {group.name}: {tag.seq!r} has a symbol that is no base code")
         _need(set(tag.seq.upper()) != {"N"}, f"group {group.name}: {tag.seq!r} fits everything")
         _need(degeneracy(tag.seq) <= TAG_DEGENERACY, f"group {group.name}: {tag.seq!r} stands for too many sequences")
     _need(sum(degeneracy(t.seq) for t in group.tags) <= GROUP_DEGENERACY, f"group {group.name} stands for too many sequences")
-    for i, a in enumerate(group.tags):
-        for b in group.tags[i + 1 :]:
-            if len(a.seq) == len(b.seq):
-                d = tag_distance(a.seq, b.seq)
-                _need(d > 0, f"group {group.name}: {a.seq} and {b.seq} can't be told apart")
-                if d <= 2 * group.mismatch:
-                    message = f"group {group.name}: {a.seq} and {b.seq} can both match one read"
-                    _need(group.nearest, message)
-                    warnings.append(message)
+    near = 0
+    for length in sorted({len(t.seq) for t in group.tags}):
+        own = [t.seq for t in group.tags if len(t.seq) == length]
+        for i, j, d in near_pairs(own, 2 * group.mismatch):
+            _need(d > 0, f"group {group.name}: {own[i]} and {own[j]} can't be told apart")
+            message = f"group {group.name}: {own[i]} and {own[j]} can both match one read"
+            _need(group.nearest, message)
+            near += 1
+            if near <= SHOWN:
+                warnings.append(message)
+    if near > SHOWN:
+        warnings.append(f"group {group.name}: {near - SHOWN} more pairs can both match one read")
 
 
 def check_groups(spec: Spec) -> None:
@@ -98,10 +155,33 @@ def check_uses(spec: Spec) -> None:
         _need(term.group in names, f"no group {term.group!r}")
     _need(spec.sample_from_group is None or spec.sample_from_group in names, f"no group {spec.sample_from_group!r}")
     sampled = bool(spec.samples or spec.sample_from_group)
-    _need(sampled or not any(p in (spec.out or "") for p in ("%sample", "%sub_sample")), "%sample needs samples")
+    own = pattern_parts(spec.out, OUT_PLACES) if spec.out is not None else ()
+    _need(sampled or not {("sample", True), ("sub_sample", True)} & set(own), "%sample needs samples")
     for pattern in [spec.unassigned, *[r.pattern for r in spec.removals]]:
-        left = (pattern or "").replace("%pool", "").replace("%source", "")
-        _need(not any(p in left for p in ("%sample", "%sub_sample", "%ordinal")), f"{pattern}: only %pool and %source")
+        if pattern is not None:
+            pattern_parts(pattern, BIN_PLACES)
+
+
+def doubts(spec: Spec) -> list[str]:
+    """What a specification says without effect, or with one that is hardly meant."""
+    out, spans = [], dict(spec.extracts)
+    used = {u.stream for t in (*spec.templates, *spec.tags) for u in t.uses} | {s for g in spec.groups for s in g.match}
+    out += [f"extract {n} is not used" for n in spans if n not in used]
+    asked = {t.group for s in spec.samples for t in s.terms} | {r.term.group for r in spec.removals} | {spec.sample_from_group}
+    asked |= {g for s in spans.values() for g in (s.group, s.other)} | {g.prev for g in spec.groups} | {g.name for g in spec.groups if g.next or g.finds}
+    out += [f"group {g.name} decides nothing" for g in spec.groups if g.name not in asked and not spec.qc_tag]
+    for t in (*spec.templates, *spec.tags):
+        if t.raw and not any(spans[u.stream].kind == "match" for u in t.uses):
+            out.append(f"raw=true changes nothing for {'+'.join(u.stream for u in t.uses)}")
+    if spec.groups and not (spec.samples or spec.sample_from_group or spec.removals):
+        out.append("groups are searched, but no sample takes fragments and no rule removes any")
+    for g in spec.groups:
+        if g.anchor and g.loc and g.loc[2] is not None and (g.loc[1] >= 0) == (g.loc[2] >= 0):
+            out += [f"group {g.name}: {t.seq} is longer than its window" for t in g.tags if len(t.seq) > g.loc[2] - g.loc[1]][:1]
+        out += [f"group {g.name}: {t.seq} stands for {degeneracy(t.seq)} sequences" for t in g.tags if degeneracy(t.seq) > MANY_OF_TAG]
+        if (n := sum(degeneracy(t.seq) for t in g.tags)) > MANY_OF_GROUP:
+            out.append(f"group {g.name} stands for {n} sequences")
+    return out
 
 
 def upstream(g: Group, spec: Spec) -> list[str]:
@@ -153,6 +233,7 @@ def analyze(spec: Spec, read_text: Callable[[str], str] | None = None) -> Spec:
     check_uses(spec)
     for g in spec.groups:
         check_tags(g, spec.warnings)
+    spec.warnings.extend(doubts(spec))
     if spec.sample_from_group:
         group = spec.group(spec.sample_from_group)
         spec = replace(spec, samples=tuple(Sample(t.id, t.sub_sample, (Term(group.name, (t.id,)),)) for t in group.tags))

@@ -162,6 +162,22 @@ def _coordinate(text: str, what: str) -> int | None:
     return int(text)
 
 
+#: What an output pattern may name, longer names before those they begin with.
+PLACES = ("sub_sample", "sample", "source", "ordinal", "pool")
+
+
+def pattern_parts(text: str, allowed: Iterable[str]) -> tuple[tuple[str, bool], ...]:
+    """(text, False) and (name, True) pieces of an output pattern; %XX stands for one character."""
+    _need(text, "an output pattern is empty")
+    out: list[tuple[str, bool]] = []
+    for piece in re.findall("%(?:" + "|".join(PLACES) + ")|%[0-9A-Fa-f]{2}|%|[^%]+", text):
+        _need(piece != "%", f"{text}: % is followed by neither a name nor two hex digits")
+        named = piece[:1] == "%" and piece[1:] in PLACES
+        _need(not named or piece[1:] in allowed, f"{text}: {piece} has no meaning here, only {', '.join(allowed)}")
+        out.append((piece[1:], True) if named else (percent_decoded(piece), False))
+    return tuple(out)
+
+
 def inline_tags(text: str, name: str) -> tuple[Tag, ...]:
     """{AAC,b=ACG}: the sequence is the id where none is given."""
     out = []

@@ -1,14 +1,7 @@
-"""Registered queries of the read-routing operators, with DuckDB SQL of the same rows.
-
-The tables hold no sequencing reads, so each key gives synthetic ones: the hex digits of
-an md5, mapped to bases and to qualities, the same in both engines.
-"""
+"""Registered queries of the read-routing operators, with DuckDB SQL of the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readroute.functions import seq
@@ -16,43 +9,8 @@ from readroute.operators.extract import extract
 from readroute.plans.analyze import analyze
 from readroute.plans.demux import Demux
 from readroute.plans.spec import parse
-from readroute.sources.reads import from_columns, interleaved, zipped
-
-_HEX, _BASES, _QUALS = "0123456789abcdef", "ACGTACGTACGTACGT", "!#+5:?ABCDEFGHIJ"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_SQL_READS = f"""WITH r AS (SELECT o_orderkey AS fid,
-  translate(md5(o_orderkey || ':1'), '{_HEX}', '{_BASES}') AS b1, translate(md5(o_orderkey || ':q1'), '{_HEX}', '{_QUALS}') AS q1,
-  translate(md5(o_orderkey || ':2'), '{_HEX}', '{_BASES}') AS b2, translate(md5(o_orderkey || ':q2'), '{_HEX}', '{_QUALS}') AS q2 FROM orders)
-"""
-
-
-def query(name: str, sql: str | None = None):
-    def keep(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql if sql.lstrip().startswith("WITH") and "FROM r" not in sql else _SQL_READS + sql
-        return run
-
-    return keep
-
-
-def synthetic(key: Column, part: str, alphabet: str) -> Column:
-    return F.translate(F.md5(F.concat(key.cast("string"), F.lit(f":{part}")).cast("binary")), _HEX, alphabet)
-
-
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two synthetic reads for each order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    key = F.col("o_orderkey")
-    one = lambda k: (F.concat(F.lit("o"), key.cast("string"), F.lit(f"/{k}")), synthetic(key, f"{k}", _BASES), synthetic(key, f"q{k}", _QUALS))
-    return from_columns(orders, key, one(1), one(2))
-
-
-def run(spark: SparkSession, sf_dir: str, **spec) -> Demux:
-    return Demux(fragments(spark, sf_dir), analyze(parse(**spec)), 2)
+from readroute.registry import ORACLES, QUERIES, fragments, query, run
+from readroute.sources.reads import interleaved, zipped
 
 
 def _ham(text: str, tags: list[str], limit: int, order: str = "") -> str:
@@ -267,7 +225,7 @@ def name_comments(spark, sf_dir):
 
 @query("lockstep_conversations", "WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, max(CASE WHEN k = 1 THEN substr(text, 1, 12) END) AS first, max(CASE WHEN k = 2 THEN right(text, 6) END) AS second, count(*) AS reads FROM c GROUP BY 1")
 def lockstep_conversations(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("conv_id is not null")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     read = F.struct(F.col("role").alias("name"), F.col("text").alias("bases"), F.lit(None).cast("string").alias("quals"), F.array().cast(f"array<{seq.TAG}>").alias("tags")).cast(seq.READ)
     own = turns.groupBy(F.col("conv_id").alias("fid")).agg(F.array_sort(F.collect_list(F.struct("turn", read.alias("read")))).alias("t")).select("fid", F.transform("t", lambda x: x["read"]).alias("reads"))
     found = extract(own, parse(extracts=["a=0:0:12", "b=1:-6:end"]))
@@ -282,19 +240,6 @@ def qc_json_query(spark, sf_dir):
     return d.routed().select("fid", qc_json(d.spec).alias("qc"))
 
 
-@query("slide_edits")
-def slide_edits(spark, sf_dir):
-    d = run(spark, sf_dir, groups=["g={ACGTAC,TTGCAA}", "g::loc=0:0:20,dist=1:1:2"], samples=["s=g"])
-    return d.routed().select("fid", "hit_g", F.size("acc_g").alias("finds"), "disposition")
-
-
-@query("both_strands_partial")
-def both_strands_partial(spark, sf_dir):
-    d = run(spark, sf_dir, groups=["g={ACGTTGCC}", "g::loc=0:0:16,dist=1,both_strands=true,partial5=4:0.1,partial3=4:0.1"], extracts=["x=@g"])
-    return d.extracted().select("fid", "hit_g", "c_x", "s_x")
-
+from readroute import edit_queries, file_queries  # noqa: E402  they add to the registry
 
-@query("anchor5_indel")
-def anchor5_indel(spark, sf_dir):
-    d = run(spark, sf_dir, groups=["g={ACGTA,TTGCC}", "g::loc=0:0:5,anchor=5p,dist=1:1"])
-    return d.matched().select("fid", "hit_g")
+__all__ = ["ORACLES", "QUERIES", "edit_queries", "file_queries"]

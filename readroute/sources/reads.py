@@ -7,24 +7,37 @@ blocks meet in one place.
 
 from __future__ import annotations
 
+import gzip
+import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
+from typing import BinaryIO
+from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readroute.functions.seq import FRAGMENT, READ, TAG, comment_tags, first_token, mate_key, revcomp, without_alignment_tags
+from readroute.sources.scratch import scratch_path
 
 _EXTENSIONS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam"}
 
 
 def sniff(spark: SparkSession, path: str) -> str:
     """fastq, fasta, sam or empty, from the first line; by extension if there is none."""
-    first = spark.read.text(path).limit(1).collect()
+    first: list = []
+    for part in sorted(map(unquote, spark.read.text(path).inputFiles())):
+        if first := spark.read.text(part).limit(1).collect():
+            break
     if not first:
         name = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
         return "empty" if name not in _EXTENSIONS else _EXTENSIONS[name]
     line = first[0][0]
+    if line.startswith("\x1f"):
+        raise ValueError(f"{path}: compressed content needs a name that ends in .gz")
     if line.startswith(">"):
         return "fasta"
     if re.match("@[A-Z]{2}\t", line):
@@ -34,13 +47,19 @@ def sniff(spark: SparkSession, path: str) -> str:
     raise ValueError(f"{path}: neither FASTQ, FASTA nor SAM text")
 
 
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, block, at, line): the lines of a file or of a folder of parts; (file, block, first, n, offset): its blocks in order."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return lines, blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each block
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, line): the lines of one file and their place in it."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    blocks = lines.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each block
-    return lines.join(F.broadcast(blocks), "block").select((F.col("at") - F.col("first") + F.col("offset")).alias("ord"), "line")
+    """(ord, line): the lines of one file, or of a folder of parts by name, and their place in it."""
+    lines, blocks = _blocks(spark, path)
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select((F.col("at") - F.col("first") + F.col("offset")).alias("ord"), "line")
 
 
 def _read(name: Column, bases: Column, quals: Column, tags: Column) -> Column:
@@ -51,10 +70,42 @@ def _comment(head: Column) -> Column:
     return F.when(head.rlike("[ \t]"), F.regexp_replace(head, "^[^ \t]*[ \t]+", ""))
 
 
+_PARTS = ["head", "bases", "plus", "quals"]
+
+
+def _four(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, head, bases, plus, quals) of the records whose four lines follow each other in a block."""
+    kept = None
+    for batch in batches:
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        at = np.asarray(batch.column(0))
+        first = np.flatnonzero(at % 4 == 0)
+        first = first[first + 3 < len(at)]
+        first = first[at[first + 3] == at[first] + 3]
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] // 4), *[batch.column(1).take(pa.array(first + k)) for k in range(4)]], names=["ord", *_PARTS])
+        kept = batch.slice(max(0, len(at) - 3)) if len(at) else kept  # a record may go on in the next batch
+
+
+def fastq_records(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, head, bases, plus, quals): records are put together where their lines are; only those cut by the end of a block are shuffled.
+
+    Blank lines after the last record don't count.
+    """
+    lines, blocks = _blocks(spark, path)
+    blocks = blocks.withColumn("end", F.col("offset") + F.col("n"))
+    ord_ = F.col("at") - F.col("first") + F.col("offset")
+    numbered = lines.join(F.broadcast(blocks), ["file", "block"]).withColumn("ord", ord_)
+    over = F.expr("floor(ord / 4) * 4 < offset or floor(ord / 4) * 4 + 4 > end")
+    inside = numbered.filter(~over).select("ord", "line").mapInArrow(_four, "ord long, " + ", ".join(f"{p} string" for p in _PARTS))
+    edges = numbered.filter(over).groupBy(F.floor(F.col("ord") / 4).alias("ord")).agg(*[F.max(F.when(F.col("ord") % 4 == k, F.col("line"))).alias(n) for k, n in enumerate(_PARTS)])
+    return inside.unionByName(edges).filter("coalesce(head, '') <> '' or coalesce(bases, '') <> '' or coalesce(quals, '') <> ''")
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(ord, read) of a FASTQ file; a record whose lengths differ fails the job."""
-    lines = numbered_lines(spark, path).filter("line <> '' or ord % 4 <> 0")
-    own = lines.groupBy(F.floor(F.col("ord") / 4).alias("ord")).agg(*[F.max(F.when(F.col("ord") % 4 == k, F.col("line"))).alias(n) for k, n in ((0, "head"), (1, "bases"), (2, "plus"), (3, "quals"))])
+    own = fastq_records(spark, path)
     head = F.substring("head", 2, 1 << 30)
     bad = F.coalesce(F.length("bases") != F.length("quals"), F.lit(True)) | ~F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+"), F.lit(False))
     bases = F.when(bad, F.raise_error(F.concat(F.lit(f"{path}: a broken record: "), F.coalesce(head, F.lit(""))))).otherwise(F.col("bases"))
@@ -147,6 +198,35 @@ def looks_interleaved(file: DataFrame) -> bool:
     return len(names) == 2 and re.sub("/[12]$", "", names[0]) == re.sub("/[12]$", "", names[1])
 
 
+def from_stream(spark: SparkSession, stream: BinaryIO, lines: int = 1 << 16) -> str:
+    """The folder of a stream's text: some lines at a time go to shared storage, in parts by name."""
+    folder, head = scratch_path(spark), stream.read(2)
+    source = io.BufferedReader(_Joined(head, stream))
+    source = gzip.open(source) if head == b"\x1f\x8b" else source
+    text, number = io.TextIOWrapper(source, "utf-8", newline="\n"), 0
+    while number == 0 or some:
+        some = [(x.rstrip("\n"),) for x in islice(text, lines)]
+        spark.createDataFrame(some, "value string").coalesce(1).write.text(f"{folder}/part={number:09d}")
+        number += 1
+    return folder
+
+
+class _Joined(io.RawIOBase):
+    """A stream whose first bytes were read already."""
+
+    def __init__(self, head: bytes, rest: BinaryIO):
+        self.head, self.rest = head, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.head[: len(buffer)] or self.rest.read(len(buffer))
+        self.head = self.head[len(buffer) :]
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def open_fragments(spark: SparkSession, paths: Sequence[str], per_record: bool = False) -> tuple[DataFrame, int, list[str]]:
     """(fragments (fid, reads), reads in each, formats) of input files in order."""
     kinds, files = zip(*[reads(spark, p) for p in paths], strict=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,17 +39,15 @@ def fasta_lines() -> Column:
     return F.concat(F.lit(">"), _head(), F.lit("\n"), F.col("bases"))
 
 
-def sam_lines(records: DataFrame) -> DataFrame:
-    """Records with `line`: unmapped, flag 4, or 77 and 141 for the two of a pair."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("dest", "fid"))
+def sam_lines() -> Column:
+    """Unmapped records: flag 4, or 77 and 141 for the two of a pair."""
+    n = F.col("mates")
     flag = F.when(n == 1, "4").when(n > 2, F.raise_error(F.lit("SAM takes two reads a fragment at most")).cast("string")).when(F.col("ordinal") == 1, "77").otherwise("141")
     bases = F.when(F.length("bases") > 0, F.col("bases")).otherwise("*")
     quals = F.when(F.length("quals") > 0, F.col("quals")).otherwise("*")
     tags = F.concat_ws("\t", F.when(F.size("tags") > 0, render_tags(F.col("tags"))), F.concat(F.lit("RG:Z:"), F.col("read_group")))
     name = F.regexp_replace("name", "/[12]$", "")
-    return records.withColumn("line", F.concat_ws("\t", name, flag, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), bases, quals, tags))
+    return F.concat_ws("\t", name, flag, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), bases, quals, tags)
 
 
 def sam_header(spec: Spec, version: str, command: str) -> list[str]:
@@ -57,26 +57,46 @@ def sam_header(spec: Spec, version: str, command: str) -> list[str]:
     return ["@HD\tVN:1.6\tSO:unsorted", f"@PG\tID:readroute\tPN:readroute\tVN:{version}\tCL:{command}", *[f"@RG\tID:{i}\tSM:{s}\tLB:{b}{shared}" for i, s, b in groups]]
 
 
-def lines(records: DataFrame, kind: str) -> DataFrame:
-    """(dest, fid, ordinal, line)."""
-    made = sam_lines(records) if kind == "sam" else records.withColumn("line", fastq_lines() if kind == "fastq" else fasta_lines())
-    return made.select("dest", "fid", "ordinal", "line")
+def kind_of(default: str) -> Column:
+    """The format of each row's destination: by its extension, else `default`."""
+    known = F.create_map(*[F.lit(x) for pair in _FORMATS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.regexp_extract(F.lower("dest"), r"\.([a-z]+)(\.gz)?$", 1)), F.lit(default))
 
 
-def write(records: DataFrame, folder: str, kind: str, header: Sequence[str] = (), compression: str = "none") -> None:
-    """Text parts below folder/dest=.../, sorted by fragment; every part of SAM has the header.
+def lines(records: DataFrame, kind: str | None, default: str = "fastq") -> DataFrame:
+    """(dest, fid, ordinal, line), in the format `kind`, or each destination's own."""
+    own = F.lit(kind) if kind else kind_of(default)
+    line = F.when(own == "sam", sam_lines()).when(own == "fasta", fasta_lines()).otherwise(fastq_lines())
+    return records.select("dest", "fid", "ordinal", line.alias("line"))
 
-    Ranges of (dest, fid) are dealt to tasks, so a large destination is many parts.
-    """
-    made = lines(records, kind)
-    dealt = made.repartitionByRange("dest", "fid").sortWithinPartitions("dest", "fid", "ordinal")
-    if header:
-        first = F.row_number().over(_part_window()) == 1
-        dealt = dealt.withColumn("part", F.spark_partition_id()).withColumn("line", F.when(first, F.concat(F.lit("\n".join(header) + "\n"), F.col("line"))).otherwise(F.col("line"))).drop("part")
-    dealt.select("dest", F.col("line").alias("value")).write.partitionBy("dest").option("compression", compression).text(folder)
 
+def folder_name(dest: str) -> str:
+    """The folder that Spark gives a destination: special characters as %XX (fixed by Hive's layout)."""
+    return "dest=" + "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in dest)
 
-def _part_window():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("dest", "part").orderBy("fid", "ordinal")
+def write(records: DataFrame, folder: str, kind: str | None, header: Sequence[str] = (), declared: Sequence[str] | None = None, default: str = "fastq") -> None:
+    """Text parts below folder/dest=.../, sorted by fragment; the first part of SAM begins with the header.
+
+    `kind` None: each destination's format is that of its extension, else `default`.
+    Ranges of (dest, fid) are dealt to tasks, so a large destination is many parts, in
+    order by name. Declared destinations without records get an empty part (SAM: the
+    header). What ends in .gz is compressed.
+    """
+    spark = records.sparkSession
+    made = lines(records, kind, default)
+    if header:
+        known = spark.createDataFrame([(d,) for d in declared], "dest string") if declared is not None else records.select("dest").distinct()
+        sam = known.filter((F.lit(kind) if kind else kind_of(default)) == "sam")
+        head = F.posexplode(F.array(*[F.lit(x) for x in header])).alias("ordinal", "line")
+        made = sam.select("dest", F.lit(-1).cast("long").alias("fid"), head).unionByName(made)
+    packed = F.col("dest").endswith(".gz")
+    for gz in sorted({d.endswith(".gz") for d in declared or []} or {False}):
+        own = made.filter(packed == gz) if declared and len({d.endswith(".gz") for d in declared}) > 1 else made
+        dealt = own.repartitionByRange("dest", "fid").sortWithinPartitions("dest", "fid", "ordinal")
+        dealt.select("dest", F.col("line").alias("value")).write.mode("append").partitionBy("dest").option("compression", "gzip" if gz else "none").text(folder)
+    if declared:
+        there = {unquote(part) for f in spark.read.text(folder).inputFiles() for part in re.findall("/(dest=[^/]*)/", unquote(f))}
+        for d in declared:
+            if unquote(folder_name(d)) not in there:
+                spark.createDataFrame([], "value string").coalesce(1).write.option("compression", "gzip" if d.endswith(".gz") else "none").text(f"{folder}/{folder_name(d)}")

@@ -94,6 +94,7 @@ def test_sinks(spark, tmp_path):
         elif kind == "fasta":
             assert text["s2.fq"].startswith(">r1\tBC:Z:C\tQT:Z:I\nGGGG\n>r5")
         else:
+            assert text["s1.fq"].count("@HD") == 1 and text["s1.fq"].startswith("@HD\tVN:1.6")
             assert "@RG\tID:s2.l\tSM:s2\tLB:l\tPL:X" in text["s1.fq"] and "r1\t4\t*\t0\t0\t*\t*\t0\t0\tGGGG\tABCD\tBC:Z:C\tQT:Z:I\tRG:Z:s2.l" in text["s2.fq"]
 
 
@@ -119,3 +120,80 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "m")).first().sample == "t1"
     assert main([path, "--group", "g={A}", "--sample", "s=zz"], spark) == 1
     assert "error:" in capsys.readouterr().err
+
+
+def test_standard_input_and_output(spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    from readroute.cli import main
+
+    text = fq(("a", "ACCC", "IIII"), ("b", "GCCC", "IIII")).encode()
+    for data in (text, gzip.compress(text)):
+        monkeypatch.setattr("sys.stdin", type("S", (), {"buffer": io.BytesIO(data)})())
+        assert main(["-", "--extract", "x=0:1:end", "--template", "x", "--pool", "p"], spark) == 0
+        assert capsys.readouterr().out == "@a\nCCC\n+\nIII\n@b\nCCC\n+\nIII\n"
+    assert main(["-", "-"], spark) == 1
+    monkeypatch.setattr("sys.stdin", type("S", (), {"buffer": io.BytesIO(b"")})())
+    assert main(["-"], spark) == 0
+
+
+def test_declared_destinations_exist(spark, tmp_path):
+    path = write(tmp_path / "r.fq", fq(("a", "GCCC", "IIII")))
+    fragments, files, kinds = rd.open_fragments(spark, [path])
+    spec = analyze(parse(groups=["g={A,C}", "g::loc=0:0:1,anchor=5p"], samples=["s1=g::A", "s2=g::C"], out="%sample%2Dx.sam", unassigned="un/%source.fq.gz"))
+    run = Demux(fragments, spec, files, 1, kinds)
+    assert run.destinations() == ["s1-x.sam", "s2-x.sam", "un/0.fq.gz"]
+    sinks.write(run.records(), str(tmp_path / "out"), None, sinks.sam_header(spec, "1", "cmd"), run.destinations())
+    for d in ("s1-x.sam", "s2-x.sam"):
+        assert [r.value[:3] for r in spark.read.text(f"{tmp_path}/out/{sinks.folder_name(d)}").collect()] == ["@HD", "@PG", "@RG", "@RG"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/dest=un%2F0.fq.gz").collect()] == ["@a", "GCCC", "+", "IIII"]
+    nothing = Demux(fragments.limit(0), spec, files, 1, kinds)
+    sinks.write(nothing.records(), str(tmp_path / "none"), None, (), nothing.destinations())
+    assert spark.read.text(f"{tmp_path}/none/dest=un%2F0.fq.gz").count() == 0 and (tmp_path / "none" / "dest=s1-x.sam").is_dir()
+
+
+def test_patterns():
+    from readroute.plans.spec import SpecError, pattern_parts
+
+    assert pattern_parts("a%20%sub_sample%sample.fq", ["sample", "sub_sample"]) == (("a", False), (" ", False), ("sub_sample", True), ("sample", True), (".fq", False))
+    for bad in ("", "a%foo", "%", "%source"):
+        with pytest.raises(SpecError):
+            pattern_parts(bad, ["pool"])
+
+
+def test_ordinal_is_needed(spark):
+    two = rd.from_columns(spark.range(3), F.col("id"), *[(F.lit(f"n/{k}"), F.lit("ACGT"), F.lit("IIII")) for k in (1, 2)])
+    spec = lambda out: analyze(parse(extracts=["x=0:0:2", "y=1:0:2"], templates=["x", "y"], out=out))
+    from readroute.plans.spec import SpecError
+
+    with pytest.raises(SpecError, match="ordinal"):
+        Demux(two, spec("a.fq"), 2).records()
+    assert {r.dest for r in Demux(two, spec("a.%ordinal.fq"), 2).records().collect()} == {"a.1.fq", "a.2.fq"}
+    pair = Demux(two, spec("a%ordinal.sam"), 2)
+    assert {(r.dest, r.mates) for r in pair.records().collect()} == {("a.sam", 2)} and pair.destinations() == ["a.sam"]
+
+
+def test_fastq_records_at_the_ends_of_blocks(spark, tmp_path):
+    path = write(tmp_path / "e.fq", fq(*[(f"r{i}", "ACGT"[: i % 4 + 1], "@+@I"[: i % 4 + 1]) for i in range(300)]) + "\n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for block in ("37b", "200b", "4000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            rows = rd.fastq(spark, path).orderBy("ord").collect()
+            assert [(r.ord, r.read.name, r.read.bases) for r in rows] == [(i, f"r{i}", "ACGT"[: i % 4 + 1]) for i in range(300)]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_doubts_and_near_tags():
+    import random
+
+    from readroute.plans.analyze import near_pairs, tag_distance
+
+    says = analyze(parse(groups=["g={ACGTACGT}", "g::loc=0:0:4,anchor=5p"], extracts=["x=0:0:2"])).warnings
+    assert any("extract x" in w for w in says) and any("group g decides nothing" in w for w in says) and any("longer than its window" in w for w in says) and any("no sample" in w for w in says)
+    rng = random.Random(3)
+    seqs = list({"".join(rng.choice("ACGT" if rng.random() < 0.98 else "NRY") for _ in range(8)) for _ in range(400)})
+    for most in (0, 2, 4, 8):
+        want = {(i, j, d) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if (d := tag_distance(seqs[i], seqs[j])) <= most}
+        assert set(near_pairs(seqs, most)) == want

@@ -9,7 +9,7 @@ import pytest
 from readroute.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "orders events conversations".split()
+TABLES = "orders events conversations documents".split()
 
 
 @pytest.fixture(scope="module")
