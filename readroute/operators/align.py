@@ -100,17 +100,6 @@ def anchored(masks: np.ndarray, lengths: np.ndarray, tag: np.ndarray, mismatch:
         yield w, 0, j, cost, subs, e
 
 
-def at_end(masks: np.ndarray, lengths: np.ndarray, tag: np.ndarray, mismatch: int) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """The tag against each window's last bases, by substitutions alone."""
-    m = len(tag)
-    fits = np.flatnonzero(lengths >= m)
-    at = (lengths[fits] - m)[:, None] + np.arange(m)
-    subs = ((masks[fits[:, None], at] & tag) == 0).sum(1)
-    for w, d in zip(fits.tolist(), subs.tolist(), strict=True):
-        if d <= mismatch:
-            yield w, int(lengths[w]) - m, int(lengths[w]), d, d, 0
-
-
 def overhangs(masks: np.ndarray, lengths: np.ndarray, tag: np.ndarray, group: Group) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Tags cut at a window's edge: no indels, cost of one for each base beyond it."""
     m = len(tag)
@@ -139,8 +128,6 @@ def search(texts: list[str], group: Group) -> list[list[tuple]]:
         seq = tag.seq.upper()
         if group.anchor == "5p":
             hits = [(0, *h) for h in anchored(masks, lengths, tag_mask(seq), group.mismatch, group.indel, group.total)]
-        elif group.anchor == "3p":
-            hits = [(0, *h) for h in at_end(masks, lengths, tag_mask(seq), min(group.mismatch, group.total))]
         else:
             hits = [(0, *h) for h in slide(masks, lengths, tag_mask(seq), group.total)]
             hits += [(0, *h) for h in overhangs(masks, lengths, tag_mask(seq), group)]

@@ -18,8 +18,10 @@ from readroute.operators.extract import stream
 from readroute.plans.analyze import upstream
 from readroute.plans.spec import Group, Spec
 
-#: Variants of a group's tags up to which an anchored search is a broadcast join.
-MAX_VARIANTS = 100_000
+#: Variants of a group's tags up to which they are written out here and broadcast; more are made by Spark and joined by key.
+FEW_VARIANTS = 100_000
+#: Tags up to which exact ones are looked for by columns alone.
+FEW_TAGS = 8
 
 
 def bases(file: int) -> Column:
@@ -82,24 +84,63 @@ def of_tag(found: Column, index: int) -> Column:
     return F.filter(found, lambda x: x["tag_idx"] == index)
 
 
+_OWN = "array<struct<subs:int,tag_idx:int>>"
+
+
+def few_variants(df: DataFrame, tags: list[tuple[int, str]], edits: int) -> DataFrame:
+    """(key, hits) of every masked text within `edits` substitutions of a tag, to be broadcast."""
+    table: dict[str, list] = {}
+    for i, seq in tags:
+        for word, subs in variants(seq, edits).items():
+            table.setdefault(word, []).append((subs, i))
+    return F.broadcast(df.sparkSession.createDataFrame([(w, sorted(h)) for w, h in table.items()], f"key string, hits {_OWN}"))
+
+
+def many_variants(df: DataFrame, tags: list[tuple[int, str]], edits: int) -> DataFrame:
+    """The same, written out base by base by Spark, for tag sets of any size."""
+    n = len(tags[0][1])
+    grown = df.sparkSession.createDataFrame([(i, [IUPAC[b] for b in seq.upper()]) for i, seq in tags], "tag_idx int, sure array<string>")
+    grown = grown.repartition(df.sparkSession.sparkContext.defaultParallelism).select("tag_idx", "sure", F.lit("").alias("key"), F.lit(0).alias("subs"))
+    for k in range(n):
+        new = F.array(*[F.struct(F.concat("key", F.lit(x)).alias("key"), (F.col("subs") + F.when(F.contains(F.col("sure")[k], F.lit(x)), 0).otherwise(1)).alias("subs")) for x in "ACGTX"])
+        grown = grown.select("tag_idx", "sure", F.explode(F.filter(new, lambda x: x["subs"] <= edits)).alias("new")).select("tag_idx", "sure", "new.key", "new.subs")
+    return grown.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("subs", "tag_idx"))).cast(_OWN).alias("hits"))
+
+
 def anchored_by_join(df: DataFrame, group: Group, at: tuple[Column, Column, Column]) -> DataFrame:
-    """Substitutions at a fixed place: a broadcast join on the window's text, one for each tag length."""
+    """Substitutions at a fixed place: a join on the window's text with the tags' variants, one for each tag length."""
     file, start, end = at
     text = F.coalesce(F.try_element_at("reads", file + 1)["bases"], F.lit(""))
-    spark, parts = df.sparkSession, []
+    edits, parts, made = min(group.mismatch, group.total), [], []
     for n in sorted({len(t.seq) for t in group.tags}):
-        table: dict[str, list] = {}
-        for i, tag in enumerate(group.tags):
-            if len(tag.seq) == n:
-                for word, subs in variants(tag.seq, min(group.mismatch, group.total)).items():
-                    table.setdefault(word, []).append((subs, i))
+        own = [(i, t.seq) for i, t in enumerate(group.tags) if len(t.seq) == n]
+        few = sum(variant_count(s, edits) for _, s in own) <= FEW_VARIANTS
+        key, hits = f"_k{n}", f"_h{n}"
+        table = (few_variants if few else many_variants)(df, own, edits).toDF(key, hits)
         first = end - n if group.anchor == "3p" else start
         fits = (first >= start) & (first + n <= F.length(text))
-        key, hits = f"_k{n}", f"_h{n}"
-        own = spark.createDataFrame([(w, sorted(h)) for w, h in table.items()], f"{key} string, {hits} array<struct<subs:int,tag_idx:int>>")
-        df = df.withColumn(key, F.when(fits, mask_no_call(cut(text, first, first + n)))).join(F.broadcast(own), key, "left")
-        parts.append(_at_place(F.coalesce(hits, F.array().cast("array<struct<subs:int,tag_idx:int>>")), file, first.cast("int"), n))
-    return df.withColumn(f"acc_{group.name}", F.array_sort(F.concat(*parts).cast(f"array<{HIT}>"))).drop(*[c for c in df.columns if c.startswith(("_k", "_h"))])
+        df = df.withColumn(key, F.when(fits, mask_no_call(cut(text, first, first + n)))).join(table, key, "left")
+        parts.append(_at_place(F.coalesce(hits, F.array().cast(_OWN)), file, first.cast("int"), n))
+        made += [key, hits]
+    return df.withColumn(f"acc_{group.name}", F.array_sort(F.concat(*parts).cast(f"array<{HIT}>"))).drop(*made)
+
+
+def exact_places(text: Column, tag: str, index: int) -> Column:
+    """Hits of a plain tag without edits: where it stands, of overlapping repeats the last."""
+    read, m = mask_no_call(text), len(tag)
+    here = lambda i: F.substring(read, i + 1, m) == tag.upper().replace("U", "T")
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - m, F.lit(0))), lambda i: here(i) & ~here(i + 1))
+    zero = F.lit(0)
+    return F.transform(places, lambda i: F.struct(zero.alias("cost"), i.alias("start"), zero.alias("strand"), F.lit(index).alias("tag_idx"), F.lit(m).alias("span"), (i + m).alias("end"), zero.alias("subs"), zero.alias("indels")))
+
+
+def searched(text: Column, group: Group) -> Column:
+    """Accepted matches in a text: by columns for a few plain tags without edits, else by the approximate search."""
+    exact = not (group.total or group.anchor or group.both_strands or group.partial5 or group.partial3)
+    plain = len(group.tags) <= FEW_TAGS and all(len(IUPAC[b]) == 1 for t in group.tags for b in t.seq.upper())
+    if not (exact and plain):
+        return search_column(text, group)
+    return F.when(text.isNotNull(), F.array_sort(F.concat(*[exact_places(text, t.seq, i) for i, t in enumerate(group.tags)])))
 
 
 def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
@@ -107,10 +148,9 @@ def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
     if group.match:
         streams = [stream(dict(spec.extracts)[s]) for s in group.match]
         joined = F.concat(*[s["bases"] for s in streams])
-        return df.withColumn(name, F.coalesce(_hits(search_column(F.when(F.length(joined) > 0, joined), group), F.lit(-1), F.lit(0)), none))
+        return df.withColumn(name, F.coalesce(_hits(searched(F.when(F.length(joined) > 0, joined), group), F.lit(-1), F.lit(0)), none))
     at = window(group)
-    small = sum(variant_count(t.seq, group.mismatch) for t in group.tags) <= MAX_VARIANTS
-    if group.anchor and not group.indel and small:
+    if group.anchor and not group.indel:
         df = anchored_by_join(df, group, at)
     elif at:
         file, start, end = at
@@ -119,10 +159,10 @@ def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
         whole = start.isNotNull() & (last >= start)
         if group.anchor == "3p":
             whole &= last <= F.length(text)
-        found = search_column(F.when(whole, cut(text, start, last)), group)
+        found = searched(F.when(whole, cut(text, start, last)), group)
         df = df.withColumn(name, F.coalesce(_hits(found, file, start), none))
     else:
-        found = [_hits(search_column(F.try_element_at("reads", F.lit(k + 1))["bases"], group), F.lit(k), F.lit(0)) for k in range(files)]
+        found = [_hits(searched(F.try_element_at("reads", F.lit(k + 1))["bases"], group), F.lit(k), F.lit(0)) for k in range(files)]
         df = df.withColumn(name, F.array_sort(F.concat(*[F.coalesce(x, none) for x in found])))
     needs = upstream(group, spec)
     if needs:

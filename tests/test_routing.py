@@ -207,7 +207,7 @@ def test_3p_anchor_above_the_bound_of_variants(go, monkeypatch):
 
     rng = random.Random(9)
     tags = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(96)]
-    assert sum(variant_count(t, 2) for t in tags) > match.MAX_VARIANTS
+    assert sum(variant_count(t, 2) for t in tags) > match.FEW_VARIANTS
     near = lambda t: t[:3] + "N" + t[4:9] + ("A" if t[9] != "A" else "C") + t[10:]
     reads = ["GG" + tags[5], "GT" + near(tags[70]), "GG" + tags[5][1:] + "T", tags[1], "GG" + tags[5] + "ACGT"]
     found = bases(go(reads, groups=["g={" + ",".join(tags) + "}", "g::loc=0:0:18,anchor=3p,dist=2"], **X), kind="s")
@@ -215,5 +215,16 @@ def test_3p_anchor_above_the_bound_of_variants(go, monkeypatch):
     reads = ["".join(rng.choice("ACGTN") for _ in range(rng.randint(4, 12))) for _ in range(60)]
     some = dict(groups=["g={ACGTA,ARG,TTC}", "g::loc=0:1:9,anchor=3p,dist=1"], **X)
     first = column(go(reads, **some).extracted(), "acc_g")
-    monkeypatch.setattr(match, "MAX_VARIANTS", 0)
+    monkeypatch.setattr(match, "FEW_VARIANTS", 0)
     assert column(go(reads, **some).extracted(), "acc_g") == first and any(first)
+
+
+def test_exact_search_by_columns_is_the_approximate_one(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    reads = [None, "", "A", *["".join(rng.choice(rng.choice(["AAAC", "ACGTNacgt"])) for _ in range(rng.randint(1, 30))) for _ in range(150)]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(reads)], "fid long, b string")
+    group = analyze(parse(groups=["g={AA,AAC,CA,acgt,AUG}", "g::loc=0:0"])).groups[0]
+    found = df.select("fid", match.searched(F.col("b"), group).alias("a"), align.search_column(F.col("b"), group).alias("c")).orderBy("fid").collect()
+    assert [r.a for r in found] == [r.c for r in found] and sum(len(r.a or []) for r in found) > 100
