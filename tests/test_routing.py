@@ -35,6 +35,7 @@ def bases(d, stream="x", kind="c"):
 
 X = {"extracts": ["x=@g"]}
 
+# Cases whose outcomes are given.
 MATCHING = [
     # (reads, groups, observed bases)
     (["TGGGTGTTAACCGGTT", "TGGGTGATAACCGGTT"], ["g={TGGGTGTT}", "g::loc=0:0:8"], ["TGGGTGTT", None]),
