@@ -51,6 +51,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the splits of a host of equal probability, the one whose last word is longest counts."""
     return _url_filter.url_filter(load(spark, sf_dir, "pages"))
 
 
@@ -69,6 +70,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word pieces: the pieces of a byte-level BPE file are taken as a word-piece vocabulary, its merges are not used."""
     return _token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
