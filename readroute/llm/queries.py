@@ -100,4 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": _line_dedup.ORACLE_SQL,
+        "op9_ngram_join": _ngram_join.ORACLE_SQL,
     }
