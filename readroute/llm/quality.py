@@ -224,7 +224,7 @@ def concentrate(vectors: DataFrame, found: DataFrame, few: bool, support: float
     place = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * DISTANCE_BINS).alias("bin")
     far = vectors.join(_beside(found, few), "g").select("g", "s", place)
     limits = _reached(far.groupBy("g", "s", "bin").agg(F.count("*").alias("k")), ["g", "s"], [support]).withColumnRenamed("r0", "most")
-    limits = materialize(limits.join(_beside(found, few), ["g", "s"]))
+    limits = limits.join(_beside(found, few), ["g", "s"])
     near = vectors.join(_beside(limits, few), "g").withColumn("bin", place).filter("bin <= most")
     return _moments(near, grow)
 
