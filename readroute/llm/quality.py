@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -216,7 +217,7 @@ def _moments(near: DataFrame, grow: float) -> DataFrame:
     sums = near.groupBy("g", "s").agg(
         F.first("n").alias("n"), F.count("*").alias("k"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(_DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i, j in _PAIRS]
     )
-    return materialize(sums.mapInPandas(_from_moments(grow), _ESTIMATE))
+    return sums.mapInPandas(_from_moments(grow), _ESTIMATE)
 
 
 def concentrate(vectors: DataFrame, found: DataFrame, few: bool, support: float = SUPPORT, grow: float = 1.0) -> DataFrame:
@@ -234,20 +235,23 @@ def estimate(vectors: DataFrame, support: float = SUPPORT) -> DataFrame:
     few = vectors.select("g").distinct().count() <= BROADCAST_GROUPS
     found = starts(vectors, few)
     for _ in range(FIRST_STEPS):
-        found = concentrate(vectors, found, few, support)
+        found = materialize(concentrate(vectors, found, few, support))
     found = materialize(found.groupBy("g").agg(F.min_by(F.struct(*found.columns[1:]), F.struct("fall", "s")).alias("best")).select("g", "best.*"))
-    while True:
-        now = concentrate(vectors, found, few, support)
-        before = found.select("g", F.struct(*found.columns[1:]).alias("old"))
+    going, rested = found, []
+    while True:  # what falls no more is at rest
+        now = concentrate(vectors, going, few, support)
+        before = going.select("g", F.struct(*going.columns[1:]).alias("old"))
         both = now.select("g", F.struct(*now.columns[1:]).alias("new")).join(before, "g")
         fell = F.col("old.fall") - F.col("new.fall") > 1e-9
         both = materialize(both.select("g", fell.alias("fell"), F.when(fell, F.col("new")).otherwise(F.col("old")).alias("best")))
-        found = both.select("g", "best.*")
-        if both.filter("fell").isEmpty():
+        going = both.filter("fell").select("g", "best.*")
+        rested.append(both.filter("not fell").select("g", "best.*"))
+        if going.isEmpty():
             break
+    found = reduce(DataFrame.unionAll, rested)
     raw = concentrate(vectors, found, few, support, consistency(support))
     near = vectors.join(_beside(raw, few), "g").withColumn("d2", _distance()).filter(F.col("d2") <= chi_square_quantile(1 - REWEIGHT))
-    return _moments(near, consistency(REWEIGHT)).drop("s", "fall")
+    return materialize(_moments(near, consistency(REWEIGHT)).drop("s", "fall"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
