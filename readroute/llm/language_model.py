@@ -19,8 +19,8 @@ Three jobs, each with a shuffle on keys of its own:
    contexts then have; probabilities use exact sums throughout, so they add up to one. Sums
    for each text go back to the group of texts it came with.
 
-What one word, context or pair may hold is not bounded, so the few with more than half a
-shard of tokens (their number follows from that) are split: a word's tokens by context, a
+What one word, context or pair may hold is not bounded, so the few with more than a quarter
+of a shard's tokens (their number follows from that) are split: a word's tokens by context, a
 context's pairs by shard, and of a pair only counts are sent, while its probability comes
 back to each group of texts. Their sums, and sums over all, are what meets in the driver.
 
@@ -405,7 +405,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Plan:
-    """How keys are dealt: the shards' labels, and the keys with more than half a shard of tokens."""
+    """How keys are dealt: the shards' labels, and the keys with more than a quarter of a shard's tokens."""
 
     labels: list[int]
     words: np.ndarray
@@ -714,14 +714,15 @@ def language_model(docs: DataFrame, held_out: Column | None = None, id_col: str
     (`held_out` may name any of `docs`). perplexity() sums up.
     """
     spark = docs.sparkSession
-    held = split_key(docs[place_name(docs, id_col)], 10) == 0 if held_out is None else held_out
-    flagged = docs.select("*", F.coalesce(held, F.lit(False)).alias(_HELD))
-    picked = pick(flagged, id=id_col, text=text_col, held=_HELD)
+    if held_out is None:
+        picked = pick(docs, id=id_col, text=text_col).withColumn("held", split_key(F.col("id"), 10) == 0)
+    else:
+        picked = pick(docs.select("*", F.coalesce(held_out, F.lit(False)).alias(_HELD)), id=id_col, text=text_col, held=_HELD)
     kind = picked.schema["id"].dataType.simpleString()
     often = materialize(picked.mapInArrow(_frequent, "what int, key long, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
     tokens = often.filter("what = 0").agg(F.sum("n")).first()[0] or 0
     shards = max(4, int(tokens // tokens_per_shard) + 1)
-    much = often.filter((F.col("what") > 0) & (F.col("n") > tokens / (2 * shards))).collect()  # fewer than 4 * shards
+    much = often.filter((F.col("what") > 0) & (F.col("n") > tokens / (4 * shards))).collect()  # fewer than 8 * shards
     words, pairs = (np.sort(np.array([r["key"] for r in much if r["what"] == k], np.int64).view(np.uint64)) for k in (1, 2))
     plan = Plan(_labels(spark, shards), words, pairs)
 
@@ -751,10 +752,6 @@ _COLUMNS = ["kind", "batch", "shard", "part", "blob"]
 _HELD = "readroute held out"
 
 
-def place_name(docs: DataFrame, name: str) -> str:
-    return f"`{name}`"
-
-
 def _share_parent(totals: Totals, plan: Plan) -> None:
     """Tables of the split words in the parent, drawn where their sums are: few numbers."""
     if totals.words:

@@ -128,7 +128,7 @@ def test_scores_are_the_definition_and_do_not_hang_on_the_shards(docs_of, prose)
 def test_large_batches_and_odd_ids(spark, docs_of):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     try:
-        rows = lm.language_model(spark.range(0, 40_000, 1, 1).selectExpr("concat('d', id) as doc_id", "'a b' as text", "'x' as TEXT", "1 as held", "2 as kind"))
+        rows = lm.language_model(spark.range(0, 40_000, 1, 1).selectExpr("concat('d', id) as doc_id", "'a b' as text", "'x' as TEXT", "1 as held", "2 as kind", "3 as DOC_ID"))
         assert rows.count() == 40_000 and rows.select("doc_id").distinct().count() == 40_000
         assert rows.agg(F.max("n_tokens"), F.min("n_known")).first() == (3, 3)
     finally:
