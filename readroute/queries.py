@@ -240,6 +240,6 @@ def qc_json_query(spark, sf_dir):
     return d.routed().select("fid", qc_json(d.spec).alias("qc"))
 
 
-from readroute import edit_queries, file_queries  # noqa: E402  they add to the registry
+from readroute import edit_queries, file_queries, run_queries  # noqa: E402  they add to the registry
 
-__all__ = ["ORACLES", "QUERIES", "edit_queries", "file_queries"]
+__all__ = ["ORACLES", "QUERIES", "edit_queries", "file_queries", "run_queries"]
