@@ -36,7 +36,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Part keys that one task of the candidate stage sorts.
 KEYS_PER_TASK = 3_000_000
 #: Sets up to which the candidates are broadcast to the texts; more are joined by id.
-BROADCAST_SETS = 1_000_000
+BROADCAST_SETS = 200_000
 #: Share of representatives that must be left apart for a round of them to be the last.
 SETTLED = 0.9
 #: Sets under this size take part with three salts at once.

@@ -60,6 +60,7 @@ def family(seed, n_texts):
 @pytest.mark.parametrize("block", [1500, 6])
 def test_against_all_pairs(docs_of, monkeypatch, block):
     monkeypatch.setattr(nj, "BLOCK_SETS", block)
+    monkeypatch.setattr(nj, "BROADCAST_SETS", nj.BROADCAST_SETS if block > 6 else 0)
     docs = family(block, 130) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a B"), (1005, "a"), (None, "a b"), (None, "z z"), (7, "dup of id"), (7, "another text of that id")]
     docs += [(None, " ".join(f"n{k}w{i}" for i in range(30))) for k in range(5)] + [(None, " ".join(f"n{k}w{i}" for i in range(31))) for k in range(5)] + [(None, "n n n n n n")] * 4
     long = [f"w{i % 997}" for i in range(20000)]
