@@ -741,7 +741,7 @@ def language_model(docs: DataFrame, held_out: Column | None = None, id_col: str
         state = table.filter(F.col("kind") == STATE).select("shard", "blob").join(told, "shard").select("blob", "answers")
         scores = state.mapInArrow(_score(plan, shared), "batch long, kind int, blob binary")
         texts = table.filter(F.col("kind") == TEXTS).select("batch", F.col("kind").cast("int").alias("kind"), "blob")
-        met = scores.unionByName(texts).repartition("batch").sortWithinPartitions("batch", "kind")
+        met = scores.unionByName(texts).repartition(2 * shards, "batch").sortWithinPartitions("batch", "kind")  # few groups in a task
         found = met.mapInArrow(_collect(totals.tokens), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         return materialize(found.withColumnRenamed("id", id_col))
     finally:
