@@ -92,8 +92,9 @@ def outputs(df: DataFrame, spec: Spec, files: int = 1, inputs: int | None = None
     if one holds both mates. `mates`: records of the fragment in this destination.
     Fragments whose pattern is not given have no rows.
     """
-    # the outer form: from the plain one Catalyst infers a filter that repeats all of bodies
-    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", F.size("bodies").alias("n"), F.posexplode_outer("bodies").alias("k", "body")).filter("k is not null")
+    # the outer form: from the plain one Catalyst infers a filter that repeats all of bodies, as size(bodies) would
+    n = F.size("reads") if not spec.templates else F.when(F.col("disposition").isin("assigned", "pass_through"), len(spec.templates)).otherwise(F.size("reads"))
+    long = df.select("fid", "disposition", "sample", "sub_sample", "removal", n.alias("n"), F.posexplode_outer("bodies").alias("k", "body")).filter("k is not null")
     sources, apart = inputs or files, parts_bodies(spec, files, kind)
     ordinal = F.col("k") + 1
     own = {"pool": F.lit(spec.pool), "sample": F.col("sample"), "sub_sample": F.col("sub_sample"), "ordinal": (ordinal if apart else F.when(F.col("n") == 1, 1)).cast("string")}
