@@ -126,18 +126,23 @@ def anchored_by_join(df: DataFrame, group: Group, at: tuple[Column, Column, Colu
 
 
 def exact_places(text: Column, tag: str, index: int) -> Column:
-    """Hits of a plain tag without edits: where it stands, of overlapping repeats the last."""
-    read, m = mask_no_call(text), len(tag)
-    here = lambda i: F.substring(read, i + 1, m) == tag.upper().replace("U", "T")
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - m, F.lit(0))), lambda i: here(i) & ~here(i + 1))
-    zero = F.lit(0)
+    """Hits of a plain tag without edits that can't overlap itself: where the text is parted by it."""
+    tag, m, zero = tag.upper().replace("U", "T"), len(tag), F.lit(0)
+    parts = F.split(mask_no_call(text), tag)
+    places = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), tag)))).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(zero.alias("cost"), i.alias("start"), zero.alias("strand"), F.lit(index).alias("tag_idx"), F.lit(m).alias("span"), (i + m).alias("end"), zero.alias("subs"), zero.alias("indels")))
 
 
+def overlaps_itself(tag: str) -> bool:
+    """Whether two places of a tag may overlap, or (one base) follow each other as one run."""
+    tag = tag.upper().replace("U", "T")
+    return len(tag) < 2 or any(tag.startswith(tag[k:]) for k in range(1, len(tag)))
+
+
 def searched(text: Column, group: Group) -> Column:
     """Accepted matches in a text: by columns for a few plain tags without edits, else by the approximate search."""
     exact = not (group.total or group.anchor or group.both_strands or group.partial5 or group.partial3)
-    plain = len(group.tags) <= FEW_TAGS and all(len(IUPAC[b]) == 1 for t in group.tags for b in t.seq.upper())
+    plain = len(group.tags) <= FEW_TAGS and all(len(IUPAC[b]) == 1 for t in group.tags for b in t.seq.upper()) and not any(overlaps_itself(t.seq) for t in group.tags)
     if not (exact and plain):
         return search_column(text, group)
     return F.when(text.isNotNull(), F.array_sort(F.concat(*[exact_places(text, t.seq, i) for i, t in enumerate(group.tags)])))
