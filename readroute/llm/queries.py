@@ -15,6 +15,7 @@ from readroute.llm import language_model as _language_model
 from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import ngram_join as _ngram_join
 from readroute.llm import quality as _quality
+from readroute.llm import token_alignment as _token_alignment
 from readroute.llm import token_counts as _token_counts
 from readroute.llm import toxicity as _toxicity
 from readroute.llm import url_filter as _url_filter
@@ -82,6 +83,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(load(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_alignment.token_alignment(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_model": op1_language_model,
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_join": op9_ngram_join,
         "op10_quality": op10_quality,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 

@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_token_counts": "doc_id n_words n_tokens",
     "op9_ngram_join": "doc_id n_shingles component_id",
     "op10_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
 
