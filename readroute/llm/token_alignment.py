@@ -10,7 +10,7 @@ A text is parted at single spaces between characters that are no white space. Ne
 tokenizer has a token across such a place: the pattern of A begins a piece there, and
 no piece of B holds the space mark after another character (checked when the model is
 read). So tokens, groups and links of a part don't hang on what is around it, and each
-task aligns a part once and remembers it.
+worker aligns a part once and remembers it.
 
 Links of a pair of ids are counted over all texts by a grouped sum. Up to PAIRS_HELD
 different pairs go to every task as sorted arrays; of more, the pairs of each text are
@@ -20,10 +20,12 @@ joined with their counts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,55 +38,36 @@ from readroute.llm.token_counts import byte_alphabet
 
 #: Different pairs of ids up to which their counts go to every task (17 bytes each).
 PAIRS_HELD = 2_000_000
-#: Bytes and parts of text whose alignment a task remembers before it starts afresh.
-CACHE_BYTES, CACHE_PARTS = 8 << 20, 300_000
+#: Bytes and parts of text whose alignment a worker remembers before it starts afresh.
+CACHE_BYTES, CACHE_PARTS = 64 << 20, 400_000
 #: Characters of text that are parted at once.
 CHUNK = 1 << 20
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 _coders: dict[tuple[str, str], Coder] = {}
+_memories: dict[tuple[str, str], Memory] = {}
 
 
 @dataclass
-class Part:
-    """The aligned tokens of a text or of a part of one."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray  # different (A id << 32 | B id) of its links
-    times: np.ndarray  # links of each
-    groups: bytes
-    sound: bool  # whether both tokenizers give back its bytes
-
-
-def byte_cuts(spans: Iterable[tuple[int, int]], pieces: list[bytes]) -> list[int]:
-    """Where each token ends, in bytes: at the end of its span if that holds as many bytes as the token, else after the token before."""
-    out, here = [], 0
-    for (lo, hi), piece in zip(spans, pieces, strict=True):
-        fits = lo == here and hi - lo == len(piece)
-        here = hi if fits else here + len(piece)
-        out.append(here)
-    return out
-
-
-def align(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups of ids between shared cuts, pairs of ids whose byte ranges overlap) of two cuts of the same bytes."""
-    groups, links = [], []
-    i = j = 0
-    own: tuple[list[int], list[int]] = ([], [])
-    new_a = new_b = True
-    while i < len(a_ids) and j < len(b_ids):
-        if new_a:
-            own[0].append(a_ids[i])
-        if new_b:
-            own[1].append(b_ids[j])
-        links.append((a_ids[i], b_ids[j]))
-        new_a, new_b = a_ends[i] <= b_ends[j], b_ends[j] <= a_ends[i]
-        i, j = i + new_a, j + new_b
-        if new_a and new_b:
-            groups.append(own)
-            own = ([], [])
-    return groups, links
+class Aligned:
+    """The aligned tokens of a run of parts; links are flat, those of part k lie in links[bounds[k] : bounds[k + 1]]."""
+
+    counts: np.ndarray  # [part, (A tokens, B tokens, groups, links)]
+    links: np.ndarray  # A id << 32 | B id
+    bounds: np.ndarray
+    groups: list[bytes]
+    sound: np.ndarray  # whether both tokenizers give back the bytes of the part
+
+
+def refined(start: np.ndarray, end: np.ndarray, size: np.ndarray, base: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each token in bytes: its span where that is as long as the token's bytes, else behind the tokens before it.
+
+    `base`: where the part of a token begins; `first`: the part's first token.
+    """
+    behind = np.cumsum(size)
+    behind += base - (behind - size)[first]
+    fits = (end == behind) & (end - start == size)
+    end = np.where(fits, end, behind)
+    return end - size, end
 
 
 class Coder:
@@ -94,6 +77,7 @@ class Coder:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         self.a = Tokenizer.from_file(bpe_path)
         self.a.no_truncation()
         self.a.no_padding()
@@ -101,37 +85,77 @@ class Coder:
         alphabet = byte_alphabet()
         with open(bpe_path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        self.a_bytes = {i: bytes(alphabet[c] for c in piece) for piece, i in vocab.items() if all(c in alphabet for c in piece)}
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            if all(c in alphabet for c in piece):
+                self.a_bytes[i] = bytes(alphabet[c] for c in piece)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.parts_apart = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids as shown in groups, with what follows them
+        self.shown = [b"%d%b" % (i, mark) for n, marks in ((len(self.a_bytes), b",|"), (len(pieces), b",;")) for mark in (marks[:1], marks[1:]) for i in range(n)]
 
     def cut(self, text: str) -> list[str]:
         """The parts of a text, without the space before each."""
         return _SEAM.split(text) if self.parts_apart else [text]
 
-    def aligned(self, parts: list[str]) -> list[Part]:
+    def aligned(self, parts: list[str]) -> Aligned:
         """Each part with a space before it, on its own."""
-        out = []
-        for part, a, b in zip(parts, self.a.encode_batch([" " + p for p in parts], add_special_tokens=False), self.b.encode(parts, return_type="proto", num_threads=1), strict=True):
-            text = " " + part
-            raw = text.encode()
-            code_points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            at = np.append(0, np.cumsum(1 + (code_points > 0x7F) + (code_points > 0x7FF) + (code_points > 0xFFFF))).tolist()
-            a_ids, of_b = a.ids, list(b.pieces)
-            b_ids = [p.id for p in of_b]
-            a_own, b_own = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-            if b"".join(a_own) != raw or b"".join(b_own) != raw:
-                out.append(Part(0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), b"", False))
-                continue
-            a_spans = [(at[lo], at[hi]) for lo, hi in a.offsets]
-            b_spans = [(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(of_b)]  # they leave the added space out
-            groups, links = align(a_ids, byte_cuts(a_spans, a_own), b_ids, byte_cuts(b_spans, b_own))
-            pairs, times = np.unique(np.array([x << 32 | y for x, y in links], np.int64), return_counts=True)
-            shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-            out.append(Part(len(a_ids), len(b_ids), len(groups), pairs, times, shown.encode(), True))
-        return out
+        a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
+        b = self.b.encode(parts, return_type="proto", num_threads=1)
+        text = " " + " ".join(parts)
+        raw = text.encode()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))  # the byte of each character
+        chars = np.append(0, np.cumsum([len(p) + 1 for p in parts]))
+        base = at[chars]
+        a_ids = np.array([i for e in a for i in e.ids], np.int64)
+        a_of = np.repeat(np.arange(len(parts)), [len(e.ids) for e in a])
+        spans = np.array([x for e in a for x in e.offsets], np.int64).reshape(-1, 2) + chars[a_of, None]
+        found = [(p.id, p.begin, p.end) for t in b for p in t.pieces]
+        b_ids, b_start, b_end = np.array(found, np.int64).reshape(-1, 3).T
+        b_of = np.repeat(np.arange(len(parts)), [len(t.pieces) for t in b])
+        a_first, b_first = np.searchsorted(a_of, a_of), np.searchsorted(b_of, b_of)
+        # B's spans are bytes that leave the added space out
+        b_start, b_end = base[b_of] + b_start + (np.arange(len(b_of)) != b_first), base[b_of] + b_end + 1
+        sound = self._sound(a_ids, a_of, b_ids, b_of, base, raw)
+        ok_a, ok_b = sound[a_of], sound[b_of]
+        _, a_end = refined(at[spans[:, 0]], at[spans[:, 1]], self.a_size[a_ids], base[a_of], a_first)
+        _, b_end = refined(b_start, b_end, self.b_size[b_ids], base[b_of], b_first)
+        a_ids, a_of, a_end, b_ids, b_of, b_end = a_ids[ok_a], a_of[ok_a], a_end[ok_a], b_ids[ok_b], b_of[ok_b], b_end[ok_b]
+        a_start, b_start = a_end - self.a_size[a_ids], b_end - self.b_size[b_ids]
+        lo, hi = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
+        n = hi - lo
+        owner = np.repeat(np.arange(len(a_ids)), n)
+        other = lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        links, of_link = a_ids[owner] << 32 | b_ids[other], a_of[owner]
+        shared = np.intersect1d(a_end, b_end, assume_unique=True)
+        counts = np.array([np.bincount(x, minlength=len(parts)) for x in (a_of, b_of, a_of[np.searchsorted(a_end, shared)], of_link)]).T
+        return Aligned(counts, links, np.searchsorted(of_link, np.arange(len(parts) + 1)), self._shown(a_ids, a_of, a_end, b_ids, b_of, b_end, shared, len(parts)), sound)
+
+    def _sound(self, a_ids: np.ndarray, a_of: np.ndarray, b_ids: np.ndarray, b_of: np.ndarray, base: np.ndarray, raw: bytes) -> np.ndarray:
+        n = len(base) - 1
+        sound = np.ones(n, bool)
+        for ids, of, table, sizes in ((a_ids, a_of, self.a_bytes, self.a_size), (b_ids, b_of, self.b_bytes, self.b_size)):
+            sound &= np.bincount(of, sizes[ids], n).astype(np.int64) == np.diff(base)
+            if not sound.all() or b"".join(map(table.__getitem__, ids.tolist())) != raw:
+                bounds = np.searchsorted(of, np.arange(n + 1))
+                for k in range(n):
+                    sound[k] &= b"".join(map(table.__getitem__, ids[bounds[k] : bounds[k + 1]].tolist())) == raw[base[k] : base[k + 1]]
+        return sound
+
+    def _shown(self, a_ids: np.ndarray, a_of: np.ndarray, a_end: np.ndarray, b_ids: np.ndarray, b_of: np.ndarray, b_end: np.ndarray, shared: np.ndarray, n: int) -> list[bytes]:
+        """`a1,a2|b1;a3|b2,b3` of each part."""
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        # every id with what comes after it, put in the order of groups, A before B
+        entry = np.concatenate([a_ids + n_a * np.isin(a_end, shared), 2 * n_a + b_ids + n_b * np.isin(b_end, shared)])
+        group = np.concatenate([2 * np.searchsorted(shared, a_end), 2 * np.searchsorted(shared, b_end) + 1])
+        order = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(np.concatenate([a_of, b_of])[order], np.arange(n + 1)).tolist()
+        line = list(map(self.shown.__getitem__, entry[order].tolist()))
+        return [b"".join(line[bounds[k] : bounds[k + 1]])[:-1] for k in range(n)]
 
 
 def coder(bpe_path: str, piece_path: str) -> Coder:
@@ -142,26 +166,28 @@ def coder(bpe_path: str, piece_path: str) -> Coder:
 
 
 class Memory:
-    """The parts that a task has met, by number; `sums` has a row of long values for each."""
+    """The parts that a Python worker has met, by number, with what was found for each."""
 
-    def __init__(self, code: Coder, values: Callable[[Part], list[int]]):
-        self.code, self.values = code, values
+    def __init__(self, code: Coder):
+        self.code, self.age = code, 0
         self.clear()
 
     def clear(self) -> None:
+        self.age += 1
         self.number: dict[str, int] = {}
-        self.parts: list[Part] = []
-        self.sums = np.zeros((0, 1), np.int64)
+        self.groups: list[bytes] = []
+        self.counts = [np.zeros((0, 4), np.int64)]
+        self.links = [np.zeros(0, np.int64)]
         self.unsound: set[str] = set()
         self.held = 0
 
     def full(self) -> bool:
-        return self.held > CACHE_BYTES or len(self.parts) > CACHE_PARTS
+        return self.held > CACHE_BYTES or len(self.groups) > CACHE_PARTS
 
     def texts(self, column: pa.Array) -> Iterator[list[list[str]]]:
         """Chunks of the texts of a batch, each text as parts that are all known then; a null or empty text has none.
 
-        A text with a part that a tokenizer doesn't give back is one part, if it has a chance as a whole.
+        A text with a part that a tokenizer doesn't give back is looked at as a whole.
         """
         lo = 0
         while lo < len(column):
@@ -176,50 +202,72 @@ class Memory:
             self.learn(set().union(*chunk))
             if self.unsound:
                 for k, parts in enumerate(chunk):
-                    if not self.unsound.isdisjoint(parts):
+                    if len(parts) > 1 and not self.unsound.isdisjoint(parts):
                         chunk[k] = [" ".join(parts)]
                         self.learn(set(chunk[k]))
             yield chunk
 
     def learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.number]
-        if not new:
-            return
-        found = self.code.aligned(new)
-        rows = np.array([self.values(p) for p in found], np.int64)
-        for text, part in zip(new, found, strict=True):
-            self.number[text] = len(self.parts)
-            self.parts.append(part)
-            self.held += len(text) + len(part.groups) + 16 * len(part.pairs)
-            if not part.sound:
-                self.unsound.add(text)
-        self.sums = np.concatenate([self.sums, rows]) if len(self.sums) else rows
+        for lo in range(0, len(new), 20_000):
+            some = new[lo : lo + 20_000]
+            found = self.code.aligned(some)
+            self.number.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+            self.groups.extend(found.groups)
+            self.counts.append(found.counts)
+            self.links.append(found.links)
+            self.held += sum(map(len, some)) + sum(map(len, found.groups)) + 8 * len(found.links)
+            self.unsound.update(some[k] for k in np.flatnonzero(~found.sound).tolist())
+
+    def all_counts(self) -> np.ndarray:
+        """Tokens of A and of B, groups and links of each part."""
+        self.counts = [np.concatenate(self.counts)] if len(self.counts) > 1 else self.counts
+        return self.counts[0]
+
+    def all_links(self) -> np.ndarray:
+        """The links of all parts, one part after the other."""
+        self.links = [np.concatenate(self.links)] if len(self.links) > 1 else self.links
+        return self.links[0]
+
+
+def memory(bpe_path: str, piece_path: str) -> Memory:
+    """What this worker remembers, from tasks before this one too."""
+    key = (bpe_path, piece_path)
+    if key not in _memories:
+        _memories[key] = Memory(coder(*key))
+    return _memories[key]
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sum of the values of each)."""
+    own, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, at, values)
+    return own, total
 
 
 def pair_counts(picked: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     """(pair, n, best) of all links: how many hold the pair, and whether no other A id has more with its B id."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(coder(bpe_path, piece_path), lambda p: [0])
+        known = memory(bpe_path, piece_path)
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            used = [(memory.parts[memory.number[text]], n) for text, n in seen.items()]
-            pairs = np.concatenate([np.zeros(0, np.int64), *[p.pairs for p, _ in used]])
-            times = np.concatenate([np.zeros(0, np.int64), *[p.times * n for p, n in used]])
-            own, at = np.unique(pairs, return_inverse=True)
-            total = np.zeros(len(own), np.int64)
-            np.add.at(total, at, times)
+            times = np.zeros(len(known.groups), np.int64)
+            times[[known.number[p] for p in seen]] = list(seen.values())
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["pair", "n"])
+            of_link = np.repeat(times, known.all_counts()[:, 3])
+            used = of_link > 0
+            pairs, n = summed(known.all_links()[used], of_link[used])
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
         for batch in batches:
-            for chunk in memory.texts(batch.column(1)):
+            for chunk in known.texts(batch.column(1)):
                 for parts in chunk:
                     seen.update(parts)
-                if memory.full():
+                if known.full():  # it starts afresh with the next chunk
                     yield flush()
-                    memory.clear()
         yield flush()
 
     sums = picked.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -227,6 +275,34 @@ def pair_counts(picked: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
     return sums.withColumn("best", F.col("n") == F.max("n").over(of_b))
 
 
+class PartSums:
+    """Tokens of A and B, groups, links, best links and sum of counts of each part known so far."""
+
+    def __init__(self, known: Memory, pair: np.ndarray | None, n: np.ndarray | None, best: np.ndarray | None):
+        self.known, self.table, self.age = known, (pair, n, best), -1
+
+    def now(self) -> np.ndarray:
+        if self.age != self.known.age:
+            self.age, self.sums, self.done = self.known.age, np.zeros((0, 6), np.int64), 0
+        counts = self.known.all_counts()
+        if len(counts) > len(self.sums):
+            new = counts[len(self.sums) :]
+            own = np.zeros((len(new), 6), np.int64)
+            own[:, :4] = new
+            pair, n, best = self.table
+            links = self.known.all_links()[self.done :]
+            self.done += len(links)
+            if pair is not None and len(pair) and len(links):
+                # parts from tables before this one may have pairs that it lacks
+                at = np.minimum(np.searchsorted(pair, links), len(pair) - 1)
+                here = pair[at] == links
+                bounds = np.append(0, np.cumsum(new[:, 3]))
+                for k, values in ((4, best[at] & here), (5, n[at] * here)):
+                    own[:, k] = np.diff(np.append(0, np.cumsum(values))[bounds])
+            self.sums = np.concatenate([self.sums, own])
+        return self.sums
+
+
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -252,34 +328,32 @@ def token_alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str
         held = spark.sparkContext.broadcast(tuple(got.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, n, best = held.value if few else (None, None, None)
-
-        def values(p: Part) -> list[int]:
-            base = [p.n_a, p.n_b, p.n_groups, int(p.times.sum())]
-            if not few or not len(p.pairs):
-                return [*base, 0, 0]
-            at = np.searchsorted(pair, p.pairs)
-            return [*base, int(p.times[best[at]].sum()), int((p.times * n[at]).sum())]
-
-        memory = Memory(coder(bpe_path, piece_path), values)
+        known = memory(bpe_path, piece_path)
+        sums = PartSums(known, *(held.value if few else (None, None, None)))
         for batch in batches:
-            rows, digests, shown, pairs, times = [], [], [], [], []
-            for chunk in memory.texts(batch.column(1)):
-                for parts in chunk:
-                    numbers = np.fromiter(map(memory.number.__getitem__, parts), np.int64, len(parts))
-                    rows.append(memory.sums[numbers].sum(0) if len(parts) else np.zeros(6, np.int64))
-                    line = b";".join([memory.parts[k].groups for k in numbers.tolist()])
+            rows, digests, shown, pairs, times = [np.zeros((0, 6), np.int64)], [], [], [], []
+            for chunk in known.texts(batch.column(1)):
+                of_part = sums.now()
+                numbers = np.fromiter((known.number[p] for parts in chunk for p in parts), np.int64)
+                bounds = np.append(0, np.cumsum([len(parts) for parts in chunk]))
+                whole = np.zeros((len(numbers) + 1, 6), np.int64)
+                np.cumsum(of_part[numbers], axis=0, out=whole[1:])
+                rows.append(np.diff(whole[bounds], axis=0))
+                lines = list(map(known.groups.__getitem__, numbers.tolist()))
+                links = known.all_links() if not few else None
+                ends = np.cumsum(of_part[:, 3]) if not few else None
+                for lo, hi in itertools.pairwise(bounds.tolist()):
+                    line = b";".join(lines[lo:hi])
                     digests.append(hashlib.sha256(line).hexdigest() if line else "")
                     if spans:
                         shown.append(line.decode())
                     if not few:
-                        own, at = np.unique(np.concatenate([np.zeros(0, np.int64), *[memory.parts[k].pairs for k in numbers.tolist()]]), return_inverse=True)
-                        total = np.zeros(len(own), np.int64)
-                        np.add.at(total, at, np.concatenate([np.zeros(0, np.int64), *[memory.parts[k].times for k in numbers.tolist()]]))
+                        own, n = np.unique(numbers[lo:hi], return_counts=True)
+                        some = [links[ends[k] - of_part[k, 3] : ends[k]] for k in own.tolist()]
+                        own, n = summed(np.concatenate([np.zeros(0, np.int64), *some]), np.repeat(n, of_part[own, 3]))
                         pairs.append(own)
-                        times.append(total)
-            sums = np.array(rows, np.int64).reshape(-1, 6)
-            columns = [batch.column(0), *[pa.array(sums[:, k]) for k in range(6)], pa.array(digests, pa.string())]
+                        times.append(n)
+            columns = [batch.column(0), *map(pa.array, np.concatenate(rows).T), pa.array(digests, pa.string())]
             names = ["id", *[c.split()[0] for c in _COUNTS.split(", ")]]
             if spans:
                 columns, names = [*columns, pa.array(shown, pa.string())], [*names, "groups"]

@@ -95,11 +95,10 @@ def test_parts_are_where_no_token_crosses(libraries):
         whole = tokens_of(text, libraries)
         parts = code.aligned(code.cut(text))
         if whole is None:
-            assert not all(p.sound for p in parts)
+            assert not parts.sound.all()
             continue
-        shown = b";".join(p.groups for p in parts)
-        assert shown == code.aligned([text])[0].groups, text
-        assert sum(p.n_a for p in parts) == len(whole[0]) and sum(p.n_b for p in parts) == len(whole[1])
+        assert b";".join(parts.groups) == code.aligned([text]).groups[0], text
+        assert parts.counts[:, :2].sum(0).tolist() == [len(x) for x in whole]
 
 
 def test_empty_table_odd_ids_and_spans(spark, docs_of):
@@ -121,7 +120,9 @@ def test_small_memory(docs_of, prose, libraries, monkeypatch):
     code = ta.coder(A, B)
     import pyarrow as pa
 
-    memory = ta.Memory(code, lambda p: [p.n_a])
-    seen = [[sum(int(memory.sums[memory.number[p]][0]) for p in parts) for parts in chunk] for chunk in memory.texts(pa.array(texts))]
+    known, seen = ta.Memory(code), []
+    for chunk in known.texts(pa.array(texts)):
+        n_a = known.all_counts()[:, 0]
+        seen += [sum(int(n_a[known.number[p]]) for p in parts) for parts in chunk]
     want = [len(f[0]) if (f := tokens_of(t, libraries)) else 0 for t in texts]
-    assert [x for chunk in seen for x in chunk] == want
+    assert seen == want
