@@ -6,7 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readroute.functions.seq import cut, endpoint, fit_quals
-from readroute.plans.spec import Span, Spec
+from readroute.plans.spec import Group, Span, Spec
+
+#: Rows of a table of tags or combinations up to which it is broadcast; a larger one is joined by key.
+BROADCAST_ROWS = 500_000
+#: Tags of a group up to which they are written into expressions; more are looked up by a join.
+LITERAL_TAGS = 64
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def tag_text(group: Group) -> Column:
+    """The declared sequence of the tag that a group matched."""
+    if len(group.tags) > LITERAL_TAGS:
+        return F.col(f"tag_{group.name}")
+    return F.try_element_at(F.array(*[F.lit(t.seq) for t in group.tags]), F.col(f"hit_{group.name}")["tag_idx"] + 1)
+
+
+def with_tag_texts(df: DataFrame, spec: Spec) -> DataFrame:
+    """Adds `tag_<group>`, the tag's sequence, for the groups of many tags."""
+    for g in spec.groups:
+        if len(g.tags) > LITERAL_TAGS:
+            known = df.sparkSession.createDataFrame([(i, t.seq) for i, t in enumerate(g.tags)], f"_tag int, `tag_{g.name}` string")
+            df = df.withColumn("_tag", F.col(f"hit_{g.name}")["tag_idx"]).join(small(known, len(g.tags)), "_tag", "left").drop("_tag")
+    return df
 
 
 def _of(file: Column, start: Column, end: Column) -> Column:
@@ -53,14 +79,15 @@ def corrected(span: Span, spec: Spec) -> Column | None:
     if span.kind != "match":
         return None
     hit = F.col(f"hit_{span.group}")
-    tags = F.array(*[F.lit(t.seq) for t in spec.group(span.group).tags])
-    bases = F.try_element_at(tags, hit["tag_idx"] + 1)
+    bases = tag_text(spec.group(span.group))
     quals = _of(hit["file"], hit["start"], hit["end"])["quals"]
     return F.when(hit.isNotNull(), F.struct(bases.alias("bases"), fit_quals(F.when(hit["strand"] == 1, F.reverse(quals)).otherwise(quals), F.length(bases)).alias("quals")))
 
 
 def extract(df: DataFrame, spec: Spec) -> DataFrame:
     """Adds `s_<name>` (observed) and `c_<name>` (corrected, else observed) for each extract."""
+    if spec.qc_tag or any(span.kind == "match" for _, span in spec.extracts):
+        df = with_tag_texts(df, spec)
     columns = {}
     for name, span in spec.extracts:
         columns[f"s_{name}"] = stream(span)

@@ -80,8 +80,15 @@ def _at_place(hits: Column, file: Column, place: Column, n: int) -> Column:
     return F.transform(hits, one)
 
 
-def of_tag(found: Column, index: int) -> Column:
-    return F.filter(found, lambda x: x["tag_idx"] == index)
+def finds_by_tag(found: Column) -> Column:
+    """(tag, n) of the tags among the hits, by index: the runs of the sorted indices, in one pass over them."""
+    tags = F.array_sort(F.transform(found, lambda h: h["tag_idx"]))
+    before = F.concat(F.array(F.lit(-1)), F.slice(tags, 1, F.greatest(F.size(tags) - 1, F.lit(0))))
+    marked = F.transform(F.arrays_zip(tags.alias("tag"), before.alias("old")), lambda x, i: F.when(x["tag"] != x["old"], F.struct(x["tag"].alias("tag"), i.alias("i"))))
+    starts = F.array_compact(marked)
+    ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), lambda x: x["i"]), F.array(F.size(tags)))
+    both = F.arrays_zip(starts.alias("run"), ends.alias("to"))
+    return F.transform(F.filter(both, lambda x: x["run"].isNotNull()), lambda x: F.struct(x["run"]["tag"].alias("tag"), (x["to"] - x["run"]["i"]).alias("n")))
 
 
 _OWN = "array<struct<subs:int,tag_idx:int>>"
@@ -203,13 +210,16 @@ def find_failure(group: Group) -> Column | None:
         checks.append((size < group.limit("minFindsPerGroup"), fails("minFindsPerGroup", size)))
     if group.limit("maxFindsPerGroup") is not None:
         checks.append((size > group.limit("maxFindsPerGroup"), fails("maxFindsPerGroup", size)))
-    if group.limit("minFindsPerTag") is not None or group.limit("maxFindsPerTag") is not None:
-        for i in range(len(group.tags)):  # tags that occur, by index
-            n = F.size(of_tag(found, i))
-            if group.limit("maxFindsPerTag") is not None:
-                checks.append((n > group.limit("maxFindsPerTag"), fails("maxFindsPerTag", n)))
-            if group.limit("minFindsPerTag") is not None:
-                checks.append(((n > 0) & (n < group.limit("minFindsPerTag")), fails("minFindsPerTag", n)))
+    most, least = group.limit("maxFindsPerTag"), group.limit("minFindsPerTag")
+    if most is not None or least is not None:
+        runs = finds_by_tag(found)
+        over = lambda r: r["n"] > F.lit(most) if most is not None else F.lit(False)
+        under = lambda r: r["n"] < F.lit(least) if least is not None else F.lit(False)
+        first = F.try_element_at(F.filter(runs, lambda r: over(r) | under(r)), F.lit(1))  # of the tags that occur, by index
+        if most is not None:
+            checks.append((over(first), fails("maxFindsPerTag", first["n"])))
+        if least is not None:
+            checks.append((under(first), fails("minFindsPerTag", first["n"])))
     if not checks:
         return None
     out = F.when(*checks[0])

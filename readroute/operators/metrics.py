@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readroute.operators.extract import unextracted
@@ -35,13 +35,13 @@ def totals(df: DataFrame, files: int) -> DataFrame:
 
 def per_sample(sums: DataFrame, spec: Spec) -> DataFrame:
     """(target, pool, sample, sub_sample, reads, frac_of_pool, frac_bases_unextracted) of totals(), a row for every declared target."""
-    declared = sums.sparkSession.createDataFrame([(1, i, s, b) for i, (s, b) in enumerate(targets(spec))], "one int, target int, sample string, sub_sample string")
+    names = targets(spec)
+    declared = sums.sparkSession.createDataFrame([(i, s, b) for i, (s, b) in enumerate(names)], "target int, sample string, sub_sample string")
+    both = sums.select("target", "reads", "routed", "left").unionByName(declared, allowMissingColumns=True)
     zero = F.lit(0).cast("long")
-    # one row: the sum over all, and what each target has
-    whole = sums.agg(F.coalesce(F.sum("reads"), zero).alias("total"), F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", F.struct("reads", "routed", "left"))))).alias("each")).withColumn("one", F.lit(1))
-    own = F.try_element_at("each", "target")
-    reads = F.coalesce(own["reads"], zero)
-    return declared.join(F.broadcast(whole), "one").select("target", F.lit(spec.pool).alias("pool"), "sample", "sub_sample", reads.alias("reads"), fraction(reads, F.col("total")).alias("frac_of_pool"), fraction(F.coalesce(own["left"], zero), F.coalesce(own["routed"], zero)).alias("frac_bases_unextracted"))
+    each = both.groupBy("target").agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("reads", "routed", "left")], F.max("sample").alias("sample"), F.max("sub_sample").alias("sub_sample"))
+    whole = each.withColumn("total", F.sum("reads").over(Window.partitionBy())).filter("target is not null")  # a row for each target
+    return whole.select("target", F.lit(spec.pool).alias("pool"), "sample", "sub_sample", "reads", fraction(F.col("reads"), F.col("total")).alias("frac_of_pool"), fraction(F.col("left"), F.col("routed")).alias("frac_bases_unextracted"))
 
 
 def summary(sums: DataFrame, spec: Spec, files: int) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from functools import lru_cache
-from itertools import product
+from itertools import combinations_with_replacement, product
 
 import numpy as np
 
@@ -45,22 +44,19 @@ def tag_table(text: str, name: str) -> tuple[Tag, ...]:
     return tuple(out)
 
 
-@lru_cache(64)
-def _places(tags: tuple[Tag, ...]) -> tuple[dict[str, int], dict[str, int]]:
-    """The first tag of each id and of each sequence."""
+def resolver(group: Group) -> Callable[[str], int]:
+    """Finds the index of a tag by id, else by sequence; of several the first."""
     ids, seqs = {}, {}
-    for i, tag in enumerate(tags):
+    for i, tag in enumerate(group.tags):
         ids.setdefault(tag.id, i)
         seqs.setdefault(tag.seq, i)
-    return ids, seqs
 
+    def place(token: str) -> int:
+        found = ids.get(token, seqs.get(token))
+        _need(found is not None, f"group {group.name} has no tag {token!r}")
+        return found
 
-def resolve(group: Group, token: str) -> int:
-    """The index of a tag by id, else by sequence."""
-    for known in _places(group.tags):
-        if token in known:
-            return known[token]
-    raise SpecError(f"group {group.name} has no tag {token!r}")
+    return place
 
 
 def tag_distance(a: str, b: str) -> int:
@@ -204,17 +200,48 @@ def in_order(spec: Spec) -> tuple[Group, ...]:
     return tuple(out)
 
 
-def claims(spec: Spec) -> dict[tuple, Sample]:
-    """Each combination of tags that a sample claims; two samples for one is an error."""
-    out: dict[tuple, Sample] = {}
-    for sample in spec.samples:
-        terms = sorted(sample.terms, key=lambda t: t.group)
-        options = [[(t.group, i) for i in ([resolve(spec.group(t.group), m) for m in t.members] or range(len(spec.group(t.group).tags)))] for t in terms]
-        for unit in product(*options):
-            other = out.setdefault(unit, sample)
-            same = (other.sample, other.sub_sample) == (sample.sample, sample.sub_sample)
-            _need(same, f"{unit} is claimed by {other.sample} and {sample.sample}")
-    return out
+def check_samples(spec: Spec) -> None:
+    """No combination of tags is claimed by two samples; with explain_all every tag of their groups is claimed.
+
+    Samples that ask for the same groups are compared by the classes of their tags (tags that
+    the same lists hold), never by all combinations. A group of which any tag will do
+    agrees with every list.
+    """
+    by_groups: dict[tuple[str, ...], list[tuple[tuple, dict[str, frozenset[int]]]]] = {}
+    places, used = {g.name: resolver(g) for g in spec.groups}, {}
+    for s in spec.samples:
+        lists = {t.group: frozenset(map(places[t.group], t.members)) for t in s.terms if t.members}
+        by_groups.setdefault(tuple(sorted(t.group for t in s.terms)), []).append(((s.sample, s.sub_sample), lists))
+        for t in s.terms:
+            used.setdefault(t.group, set()).update(lists.get(t.group, range(len(spec.group(t.group).tags))))
+    for groups, samples in by_groups.items():
+        kind: dict[str, dict[int, tuple]] = {}  # class of a tag: the lists that hold it
+        for g in groups:
+            held: dict[int, list[int]] = {}
+            for i, tags in enumerate(dict.fromkeys(own[g] for _, own in samples if g in own)):
+                for t in tags:
+                    held.setdefault(t, []).append(i)
+            kind[g] = {t: tuple(i) for t, i in held.items()}
+        shapes: dict[tuple[str, ...], list] = {}
+        for name, own in samples:
+            shapes.setdefault(tuple(g for g in groups if g in own), []).append((name, own))
+        for one, two in combinations_with_replacement(shapes, 2):
+            common = [g for g in one if g in two]
+            taken: dict[tuple, set] = {}
+            for k, shape in enumerate((one, two)):
+                for name, own in shapes[shape]:
+                    for unit in product(*[{kind[g][t]: t for t in own[g]}.items() for g in common]):
+                        holders = taken.setdefault(tuple(u[0] for u in unit), set())
+                        other = next((n for side, n in holders if n != name and (side != k or one == two)), None)
+                        if other:
+                            tags = ", ".join(f"{g}::{spec.group(g).tags[t].id}" for g, (_, t) in zip(common, unit, strict=True)) or "any tag"
+                            raise SpecError(f"{tags} is claimed by {other[0]} and {name[0]}")
+                        if sum(side == k for side, _ in holders) < 2:
+                            holders.add((k, name))
+    if spec.explain_all and spec.samples:
+        for name, seen in used.items():
+            left = [t.id for i, t in enumerate(spec.group(name).tags) if i not in seen]
+            _need(not left, f"group {name}: no sample takes {left}")
 
 
 def analyze(spec: Spec, read_text: Callable[[str], str] | None = None) -> Spec:
@@ -239,13 +266,8 @@ def analyze(spec: Spec, read_text: Callable[[str], str] | None = None) -> Spec:
         spec = replace(spec, samples=tuple(Sample(t.id, t.sub_sample, (Term(group.name, (t.id,)),)) for t in group.tags))
     for r in spec.removals:
         for m in r.term.members:
-            resolve(spec.group(r.term.group), m)
-    claimed = claims(spec)
-    if spec.explain_all and spec.samples:
-        used = {pair for unit in claimed for pair in unit}
-        for name in {t.group for s in spec.samples for t in s.terms}:
-            left = [t.id for i, t in enumerate(spec.group(name).tags) if (name, i) not in used]
-            _need(not left, f"group {name}: no sample takes {left}")
+            resolver(spec.group(r.term.group))(m)
+    check_samples(spec)
     return replace(spec, groups=in_order(spec))
 
 

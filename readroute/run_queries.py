@@ -63,6 +63,29 @@ def sample_sheet(spark, sf_dir):
     return Demux(_customers(spark, sf_dir), spec, 1).routed().groupBy("sample", "sub_sample", "disposition").agg(F.count("*").alias("reads"))
 
 
+BUCKETS = 400
+
+
+def _long_code(text: Column) -> Column:
+    """A barcode of sixteen bases."""
+    return F.substring(F.translate(F.md5(text.cast("binary")), HEX, BASES), 1, 16)
+
+
+@query("route_ten_thousand_samples", f"WITH c AS (SELECT 's' || c_nationkey || '_' || c_custkey % {BUCKETS} AS sample FROM customer), t AS (SELECT 's' || n_nationkey || '_' || b AS sample, 'b' || b AS sub_sample FROM nation, range({BUCKETS}) v(b)), n AS (SELECT sample, count(*) AS reads FROM c GROUP BY 1) SELECT 'pool' AS pool, sample, sub_sample, coalesce(reads, 0) AS reads, printf('%.6f', coalesce(reads, 0) / (SELECT count(*) FROM customer)) AS frac_of_pool, '0.000000' AS frac_bases_unextracted FROM t LEFT JOIN n USING (sample)")
+def route_ten_thousand_samples(spark, sf_dir):
+    """A sample for each of 25 x 400 pairs of barcodes: the report has a row for all of them."""
+    nations = [r.n_nationkey for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect()]  # 25 rows
+    codes = spark.createDataFrame([(f"n{n}",) for n in nations] + [(f"b{b}",) for b in range(BUCKETS)], "id string").select("id", _long_code(F.col("id")).alias("code")).collect()
+    table = {k: "id\tseq\n" + "\n".join(f"{r.id}\t{r.code}" for r in codes if r.id[0] == k) for k in "nb"}
+    sheet = "sample\tsub_sample\ti\tj\n" + "\n".join(f"s{n}_{b}\tb{b}\tn{n}\tb{b}" for n in nations for b in range(BUCKETS))
+    spec = analyze(parse(groups=["i=n", "i::loc=0:0:16,anchor=5p", "j=b", "j::loc=1:0:16,anchor=5p"], sample_sheet=sheet), table.__getitem__)
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"))
+    key = F.col("c_custkey")
+    read = lambda text: (key.cast("string"), F.concat(_long_code(text), F.lit("ACGT")), F.repeat(F.lit("I"), F.lit(20)))
+    reads = from_columns(c, key, read(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))), read(F.concat(F.lit("b"), (key % BUCKETS).cast("string"))))
+    return Demux(reads, spec, 2).per_sample().drop("target")
+
+
 _ONE = "substr(b1, 1, 1)"
 _FINDS = "CAST((20 - length(replace(substr(b2, 1, 20), 'ACG', ''))) / 3 AS BIGINT)"
 

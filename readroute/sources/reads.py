@@ -21,36 +21,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readroute.functions.seq import FRAGMENT, READ, TAG, comment_tags, first_token, mate_key, revcomp, without_alignment_tags
+from readroute.sources.bgzf import gzip_lines, is_bgzf, is_gzip
 from readroute.sources.scratch import scratch_path
 
 _EXTENSIONS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam"}
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, in order by name."""
+    return sorted(map(unquote, spark.read.text(path).inputFiles()))
+
+
+def _raw_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, block, at, value): lines with their order in each block of a file.
+
+    Gzip is known by its content: BGZF is read by many tasks, and so is a file whose name
+    doesn't say that it is gzip by the same source; other .gz files are a task each.
+    """
+    if files and is_gzip(files[0]) and (not files[0].endswith(".gz") or is_bgzf(files[0])):
+        return gzip_lines(spark, files)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(files).select(*place, F.monotonically_increasing_id().alias("at"), "value")
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first lines of a file or of a folder of parts, read no further than needed."""
+    out: list[str] = []
+    for part in _files(spark, path):
+        out += [r.value for r in _raw_lines(spark, [part]).limit(n - len(out)).collect()]
+        if len(out) == n:
+            break
+    return out
+
+
 def sniff(spark: SparkSession, path: str) -> str:
     """fastq, fasta, sam or empty, from the first line; by extension if there is none."""
-    first: list = []
-    for part in sorted(map(unquote, spark.read.text(path).inputFiles())):
-        if first := spark.read.text(part).limit(1).collect():
-            break
+    first = first_lines(spark, path, 1)
     if not first:
         name = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
         return "empty" if name not in _EXTENSIONS else _EXTENSIONS[name]
-    line = first[0][0]
-    if line.startswith("\x1f"):
-        raise ValueError(f"{path}: compressed content needs a name that ends in .gz")
-    if line.startswith(">"):
+    if first[0].startswith(">"):
         return "fasta"
-    if re.match("@[A-Z]{2}\t", line):
+    if re.match("@[A-Z]{2}\t", first[0]):
         return "sam"
-    if line.startswith("@"):
+    if first[0].startswith("@"):
         return "fastq"
     raise ValueError(f"{path}: neither FASTQ, FASTA nor SAM text")
 
 
 def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, block, at, line): the lines of a file or of a folder of parts; (file, block, first, n, offset): its blocks in order."""
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = _raw_lines(spark, _files(spark, path)).select("file", "block", "at", F.regexp_replace("value", "\r$", "").alias("line"))
     blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     return lines, blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each block
@@ -188,9 +209,16 @@ def interleaved(file: DataFrame) -> DataFrame:
     return pairs.select("fid", check_names(whole).alias("reads"))
 
 
-def looks_interleaved(file: DataFrame) -> bool:
-    """Whether the first two reads of a FASTX file are mates."""
-    names = [r[0] for r in file.filter("ord < 2").orderBy("ord").select("read.name").collect()]
+def looks_interleaved(spark: SparkSession, path: str, kind: str) -> bool:
+    """Whether the first two reads of a FASTX file are mates: only as many lines are read as hold their names."""
+    n = 5
+    while True:
+        lines = [x.removesuffix("\r") for x in first_lines(spark, path, n)]
+        heads = lines[0:5:4] if kind == "fastq" else [x for x in lines if x.startswith(">")]
+        if kind == "fastq" or len(heads) > 1 or len(lines) < n:
+            break
+        n *= 8  # a FASTA record on many lines
+    names = [re.split("[ \t]", x[1:], maxsplit=1)[0] for x in heads[:2]]
     if names and names[0].endswith("/2"):
         raise ValueError(f"the first read is a second mate: {names[0]}")
     if names and names[0].endswith("/1"):
@@ -233,7 +261,7 @@ def open_fragments(spark: SparkSession, paths: Sequence[str], per_record: bool =
     with_quals = {k != "fasta" for k in kinds if k != "empty"}
     if len(with_quals) > 1:
         raise ValueError("FASTA has no qualities and can't go with other formats")
-    if len(files) == 1 and kinds[0] in ("fastq", "fasta") and not per_record and looks_interleaved(files[0]):
+    if len(files) == 1 and kinds[0] in ("fastq", "fasta") and not per_record and looks_interleaved(spark, paths[0], kinds[0]):
         return interleaved(files[0]), 2, list(kinds)
     return zipped(files), len(files), list(kinds)
 
