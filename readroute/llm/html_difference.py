@@ -135,6 +135,7 @@ class Reader:
         if len(self.open) >= DEEPEST:
             return
         out, zone, named = _judged(name, attributes)
+        zone = zone if name in BLOCK else 0
         if name == "header" and self.zone >= 2 and not attributes:
             out = False  # an article's own head has its title
         inner = zone <= self.zone
@@ -158,7 +159,9 @@ class Reader:
                 return
 
     def cut(self, k: int) -> None:
-        self.end_block()
+        """Close the open elements from the k-th on; where none of them is a block, the text around goes on."""
+        if any(name in BLOCK for name, *_ in self.open[k:]):
+            self.end_block()
         for name, *_ in self.open[k:]:
             self.count[name] -= 1
         del self.open[k:]
@@ -172,13 +175,7 @@ class Reader:
         for k in range(len(self.open) - 1, -1, -1):
             here = self.open[k][0]
             if here == name:
-                if name in BLOCK or name in LEFT_OUT or name in ("td", "th"):
-                    self.cut(k)
-                else:  # text goes on in the same block
-                    for other, *_ in self.open[k:]:
-                        self.count[other] -= 1
-                    del self.open[k:]
-                    self.look()
+                self.cut(k)
                 return
             if name not in BLOCK and here in BLOCK:
                 return  # the end of an inline element does not end blocks in it

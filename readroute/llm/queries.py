@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from readroute.llm import bpe as _bpe
 from readroute.llm import decontaminate as _decontaminate
+from readroute.llm import html_difference as _html_difference
 from readroute.llm import language as _language
 from readroute.llm import language_model as _language_model
+from readroute.llm import lexical_search as _lexical_search
 from readroute.llm import line_dedup as _line_dedup
 from readroute.llm import ngram_join as _ngram_join
 from readroute.llm import quality as _quality
@@ -83,10 +85,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.quality(load(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical_search.lexical_search(load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_alignment.token_alignment(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_html_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_difference.html_difference(load(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_model": op1_language_model,
@@ -99,7 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_ngram_join": op9_ngram_join,
         "op10_quality": op10_quality,
+        "op11_lexical_search": op11_lexical_search,
         "op12_token_alignment": op12_token_alignment,
+        "op13_html_difference": op13_html_difference,
     }
 
 
@@ -107,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": _line_dedup.ORACLE_SQL,
         "op9_ngram_join": _ngram_join.ORACLE_SQL,
+        "op11_lexical_search": _lexical_search.ORACLE_SQL,
     }

@@ -24,8 +24,7 @@ import itertools
 import json
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +37,10 @@ from readroute.llm.token_counts import byte_alphabet
 
 #: Different pairs of ids up to which their counts go to every task (17 bytes each).
 PAIRS_HELD = 2_000_000
-#: Bytes and parts of text whose alignment a worker remembers before it starts afresh.
+#: Bytes and parts of text whose alignment a worker remembers before it forgets the rarer ones.
 CACHE_BYTES, CACHE_PARTS = 64 << 20, 400_000
+#: Parts that are encoded in one call.
+TOGETHER = 128
 #: Characters of text that are parted at once.
 CHUNK = 1 << 20
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
@@ -49,25 +50,26 @@ _memories: dict[tuple[str, str], Memory] = {}
 
 @dataclass
 class Aligned:
-    """The aligned tokens of a run of parts; links are flat, those of part k lie in links[bounds[k] : bounds[k + 1]]."""
+    """The aligned tokens of a run of parts."""
 
     counts: np.ndarray  # [part, (A tokens, B tokens, groups, links)]
-    links: np.ndarray  # A id << 32 | B id
-    bounds: np.ndarray
+    links: np.ndarray  # A id << 32 | B id, of one part after the other
     groups: list[bytes]
     sound: np.ndarray  # whether both tokenizers give back the bytes of the part
 
 
-def refined(start: np.ndarray, end: np.ndarray, size: np.ndarray, base: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of each token in bytes: its span where that is as long as the token's bytes, else behind the tokens before it.
-
-    `base`: where the part of a token begins; `first`: the part's first token.
-    """
+def refined(start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """End of each token in bytes: that of its span where the span holds as many bytes as the token, else behind the tokens before it."""
     behind = np.cumsum(size)
-    behind += base - (behind - size)[first]
-    fits = (end == behind) & (end - start == size)
-    end = np.where(fits, end, behind)
-    return end - size, end
+    return np.where((end == behind) & (end - start == size), end, behind)
+
+
+def _halves(n: int) -> list[tuple[int, int]]:
+    return [(0, n // 2), (n // 2, n)]
+
+
+def _joined(found: list[Aligned]) -> Aligned:
+    return Aligned(*(np.concatenate([getattr(x, c) for x in found]) for c in ("counts", "links")), [g for x in found for g in x.groups], np.concatenate([x.sound for x in found]))
 
 
 class Coder:
@@ -101,31 +103,41 @@ class Coder:
         """The parts of a text, without the space before each."""
         return _SEAM.split(text) if self.parts_apart else [text]
 
-    def aligned(self, parts: list[str]) -> Aligned:
-        """Each part with a space before it, on its own."""
-        a = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
-        b = self.b.encode(parts, return_type="proto", num_threads=1)
+    def aligned(self, parts: list[str], together: int = TOGETHER) -> Aligned:
+        """Each part with a space before it, on its own. Parts that can be told apart again are encoded together."""
+        apart = [k for k, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace() or "▁" in p]
+        cuts = sorted({*range(0, len(parts), together), *apart, *(k + 1 for k in apart), len(parts)}) if self.parts_apart else [*range(len(parts) + 1)]
+        runs = [" ".join(parts[lo:hi]) for lo, hi in itertools.pairwise(cuts)]
+        a = self.a.encode_batch([" " + r for r in runs], add_special_tokens=False)
+        b = self.b.encode(runs, return_type="proto", num_threads=1)
         text = " " + " ".join(parts)
         raw = text.encode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))  # the byte of each character
-        chars = np.append(0, np.cumsum([len(p) + 1 for p in parts]))
+        chars = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))
         base = at[chars]
-        a_ids = np.array([i for e in a for i in e.ids], np.int64)
-        a_of = np.repeat(np.arange(len(parts)), [len(e.ids) for e in a])
-        spans = np.array([x for e in a for x in e.offsets], np.int64).reshape(-1, 2) + chars[a_of, None]
-        found = [(p.id, p.begin, p.end) for t in b for p in t.pieces]
-        b_ids, b_start, b_end = np.array(found, np.int64).reshape(-1, 3).T
-        b_of = np.repeat(np.arange(len(parts)), [len(t.pieces) for t in b])
-        a_first, b_first = np.searchsorted(a_of, a_of), np.searchsorted(b_of, b_of)
-        # B's spans are bytes that leave the added space out
-        b_start, b_end = base[b_of] + b_start + (np.arange(len(b_of)) != b_first), base[b_of] + b_end + 1
-        sound = self._sound(a_ids, a_of, b_ids, b_of, base, raw)
-        ok_a, ok_b = sound[a_of], sound[b_of]
-        _, a_end = refined(at[spans[:, 0]], at[spans[:, 1]], self.a_size[a_ids], base[a_of], a_first)
-        _, b_end = refined(b_start, b_end, self.b_size[b_ids], base[b_of], b_first)
-        a_ids, a_of, a_end, b_ids, b_of, b_end = a_ids[ok_a], a_of[ok_a], a_end[ok_a], b_ids[ok_b], b_of[ok_b], b_end[ok_b]
+        first = np.array(cuts[:-1], np.int64)
+        flat = itertools.chain.from_iterable
+        n_a, n_b = [len(e) for e in a], [len(t.pieces) for t in b]
+        a_ids = np.fromiter(flat(e.ids for e in a), np.int64, sum(n_a))
+        spans = np.fromiter(flat(flat(e.offsets for e in a)), np.int64, 2 * len(a_ids)).reshape(-1, 2) + np.repeat(chars[first], n_a)[:, None]
+        pieces = [p for t in b for p in t.pieces]
+        b_ids, b_start, b_end = (np.array(x, np.int64) for x in ([p.id for p in pieces], [p.begin for p in pieces], [p.end for p in pieces]))
+        # B's spans are bytes that leave the added space of each run out
+        b_base = np.repeat(base[first], n_b)
+        head = np.zeros(len(b_ids), bool)
+        head[(np.cumsum(n_b) - n_b)[np.array(n_b) > 0]] = True
+        a_end = refined(at[spans[:, 0]], at[spans[:, 1]], self.a_size[a_ids])
+        b_end = refined(b_base + b_start + ~head, b_base + b_end + 1, self.b_size[b_ids])
+        whole = all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
+        sound = np.ones(len(parts), bool)
+        if not whole:
+            if len(parts) > 1:
+                return _joined([self.aligned(parts[lo:hi], 1) for lo, hi in _halves(len(parts))])
+            sound[:] = False
+            a_ids, a_end, b_ids, b_end = (x[:0] for x in (a_ids, a_end, b_ids, b_end))
         a_start, b_start = a_end - self.a_size[a_ids], b_end - self.b_size[b_ids]
+        a_of, b_of = (np.searchsorted(base, x, "right") - 1 for x in (a_start, b_start))
         lo, hi = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
         n = hi - lo
         owner = np.repeat(np.arange(len(a_ids)), n)
@@ -133,18 +145,7 @@ class Coder:
         links, of_link = a_ids[owner] << 32 | b_ids[other], a_of[owner]
         shared = np.intersect1d(a_end, b_end, assume_unique=True)
         counts = np.array([np.bincount(x, minlength=len(parts)) for x in (a_of, b_of, a_of[np.searchsorted(a_end, shared)], of_link)]).T
-        return Aligned(counts, links, np.searchsorted(of_link, np.arange(len(parts) + 1)), self._shown(a_ids, a_of, a_end, b_ids, b_of, b_end, shared, len(parts)), sound)
-
-    def _sound(self, a_ids: np.ndarray, a_of: np.ndarray, b_ids: np.ndarray, b_of: np.ndarray, base: np.ndarray, raw: bytes) -> np.ndarray:
-        n = len(base) - 1
-        sound = np.ones(n, bool)
-        for ids, of, table, sizes in ((a_ids, a_of, self.a_bytes, self.a_size), (b_ids, b_of, self.b_bytes, self.b_size)):
-            sound &= np.bincount(of, sizes[ids], n).astype(np.int64) == np.diff(base)
-            if not sound.all() or b"".join(map(table.__getitem__, ids.tolist())) != raw:
-                bounds = np.searchsorted(of, np.arange(n + 1))
-                for k in range(n):
-                    sound[k] &= b"".join(map(table.__getitem__, ids[bounds[k] : bounds[k + 1]].tolist())) == raw[base[k] : base[k + 1]]
-        return sound
+        return Aligned(counts, links, self._shown(a_ids, a_of, a_end, b_ids, b_of, b_end, shared, len(parts)), sound)
 
     def _shown(self, a_ids: np.ndarray, a_of: np.ndarray, a_end: np.ndarray, b_ids: np.ndarray, b_of: np.ndarray, b_end: np.ndarray, shared: np.ndarray, n: int) -> list[bytes]:
         """`a1,a2|b1;a3|b2,b3` of each part."""
@@ -165,27 +166,47 @@ def coder(bpe_path: str, piece_path: str) -> Coder:
     return _coders[key]
 
 
+class _Numbers(dict):
+    """A number for each part, in the order in which they come up; `new` has those that are not looked at yet."""
+
+    def __init__(self, known: Iterable[str] = ()):
+        super().__init__(zip(known, itertools.count()))
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
+
+
 class Memory:
     """The parts that a Python worker has met, by number, with what was found for each."""
 
     def __init__(self, code: Coder):
         self.code, self.age = code, 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.age += 1
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.groups: list[bytes] = []
-        self.counts = [np.zeros((0, 4), np.int64)]
-        self.links = [np.zeros(0, np.int64)]
-        self.unsound: set[str] = set()
-        self.held = 0
+        self.sound = np.zeros(0, bool)
+        self.counts, self.links, self.uses = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
-        return self.held > CACHE_BYTES or len(self.groups) > CACHE_PARTS
+        return len(self.groups) > CACHE_PARTS or 8 * len(self.links) > CACHE_BYTES
 
-    def texts(self, column: pa.Array) -> Iterator[list[list[str]]]:
-        """Chunks of the texts of a batch, each text as parts that are all known then; a null or empty text has none.
+    def forget(self) -> None:
+        """Keep the parts that came up most, half of what there is room for at most, and give them new numbers."""
+        self.age += 1
+        kept = np.flatnonzero(self.uses > 1)
+        fits = np.cumsum(self.counts[kept := kept[np.argsort(-self.uses[kept], kind="stable")], 3]) * 16 < CACHE_BYTES
+        kept = np.sort(kept[fits][: CACHE_PARTS // 2])
+        stay = np.zeros(len(self.groups), bool)
+        stay[kept] = True
+        self.links = self.links[np.repeat(stay, self.counts[:, 3])]
+        self.counts, self.sound, self.uses = self.counts[kept], self.sound[kept], self.uses[kept] // 2
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        self.number = _Numbers(itertools.compress(self.number, stay.tolist()))
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of the parts, bounds of each text) of chunks of the texts; a null or empty text has no part.
 
         A text with a part that a tokenizer doesn't give back is looked at as a whole.
         """
@@ -197,37 +218,27 @@ class Memory:
                 chunk.append(self.code.cut(text) if text else [])
                 size += len(text)
                 lo += 1
-            if self.full():
-                self.clear()
-            self.learn(set().union(*chunk))
-            if self.unsound:
+            numbers = [self.look_up(parts) for parts in chunk]
+            self.learn()
+            if not self.sound.all():
                 for k, parts in enumerate(chunk):
-                    if len(parts) > 1 and not self.unsound.isdisjoint(parts):
-                        chunk[k] = [" ".join(parts)]
-                        self.learn(set(chunk[k]))
-            yield chunk
-
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.number]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            found = self.code.aligned(some)
-            self.number.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
-            self.groups.extend(found.groups)
-            self.counts.append(found.counts)
-            self.links.append(found.links)
-            self.held += sum(map(len, some)) + sum(map(len, found.groups)) + 8 * len(found.links)
-            self.unsound.update(some[k] for k in np.flatnonzero(~found.sound).tolist())
-
-    def all_counts(self) -> np.ndarray:
-        """Tokens of A and of B, groups and links of each part."""
-        self.counts = [np.concatenate(self.counts)] if len(self.counts) > 1 else self.counts
-        return self.counts[0]
-
-    def all_links(self) -> np.ndarray:
-        """The links of all parts, one part after the other."""
-        self.links = [np.concatenate(self.links)] if len(self.links) > 1 else self.links
-        return self.links[0]
+                    if len(parts) > 1 and not self.sound[numbers[k]].all():
+                        numbers[k] = self.look_up([" ".join(parts)])
+                self.learn()
+            flat = np.concatenate(numbers)
+            self.uses += np.bincount(flat, minlength=len(self.groups))
+            yield flat, np.append(0, np.cumsum([len(n) for n in numbers]))
+
+    def look_up(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+
+    def learn(self) -> None:
+        new, self.number.new = self.number.new, []
+        found = [self.code.aligned(new[lo : lo + 20_000]) for lo in range(0, len(new), 20_000)]
+        if found:
+            self.groups.extend(g for f in found for g in f.groups)
+            self.counts, self.links, self.sound = (np.concatenate([getattr(self, c), *[getattr(f, c) for f in found]]) for c in ("counts", "links", "sound"))
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
 
 
 def memory(bpe_path: str, piece_path: str) -> Memory:
@@ -251,23 +262,23 @@ def pair_counts(picked: DataFrame, bpe_path: str, piece_path: str) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = memory(bpe_path, piece_path)
-        seen: Counter[str] = Counter()
+        times = np.zeros(0, np.int64)
 
         def flush() -> pa.RecordBatch:
-            times = np.zeros(len(known.groups), np.int64)
-            times[[known.number[p] for p in seen]] = list(seen.values())
-            seen.clear()
-            of_link = np.repeat(times, known.all_counts()[:, 3])
+            of_link = np.repeat(times, known.counts[: len(times), 3])
             used = of_link > 0
-            pairs, n = summed(known.all_links()[used], of_link[used])
+            pairs, n = summed(known.links[: len(of_link)][used], of_link[used])
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
         for batch in batches:
-            for chunk in known.texts(batch.column(1)):
-                for parts in chunk:
-                    seen.update(parts)
-                if known.full():  # it starts afresh with the next chunk
+            for numbers, _ in known.texts(batch.column(1)):
+                now = np.bincount(numbers, minlength=len(times))
+                now[: len(times)] += times
+                times = now
+                if known.full():
                     yield flush()
+                    known.forget()
+                    times = np.zeros(0, np.int64)
         yield flush()
 
     sums = picked.mapInArrow(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -284,13 +295,13 @@ class PartSums:
     def now(self) -> np.ndarray:
         if self.age != self.known.age:
             self.age, self.sums, self.done = self.known.age, np.zeros((0, 6), np.int64), 0
-        counts = self.known.all_counts()
+        counts = self.known.counts
         if len(counts) > len(self.sums):
             new = counts[len(self.sums) :]
             own = np.zeros((len(new), 6), np.int64)
             own[:, :4] = new
             pair, n, best = self.table
-            links = self.known.all_links()[self.done :]
+            links = self.known.links[self.done :]
             self.done += len(links)
             if pair is not None and len(pair) and len(links):
                 # parts from tables before this one may have pairs that it lacks
@@ -332,15 +343,13 @@ def token_alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str
         sums = PartSums(known, *(held.value if few else (None, None, None)))
         for batch in batches:
             rows, digests, shown, pairs, times = [np.zeros((0, 6), np.int64)], [], [], [], []
-            for chunk in known.texts(batch.column(1)):
+            for numbers, bounds in known.texts(batch.column(1)):
                 of_part = sums.now()
-                numbers = np.fromiter((known.number[p] for parts in chunk for p in parts), np.int64)
-                bounds = np.append(0, np.cumsum([len(parts) for parts in chunk]))
                 whole = np.zeros((len(numbers) + 1, 6), np.int64)
                 np.cumsum(of_part[numbers], axis=0, out=whole[1:])
                 rows.append(np.diff(whole[bounds], axis=0))
                 lines = list(map(known.groups.__getitem__, numbers.tolist()))
-                links = known.all_links() if not few else None
+                links = known.links
                 ends = np.cumsum(of_part[:, 3]) if not few else None
                 for lo, hi in itertools.pairwise(bounds.tolist()):
                     line = b";".join(lines[lo:hi])
@@ -353,6 +362,8 @@ def token_alignment(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str
                         own, n = summed(np.concatenate([np.zeros(0, np.int64), *some]), np.repeat(n, of_part[own, 3]))
                         pairs.append(own)
                         times.append(n)
+                if known.full():
+                    known.forget()
             columns = [batch.column(0), *map(pa.array, np.concatenate(rows).T), pa.array(digests, pa.string())]
             names = ["id", *[c.split()[0] for c in _COUNTS.split(", ")]]
             if spans:

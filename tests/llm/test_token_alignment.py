@@ -116,13 +116,20 @@ def test_empty_table_odd_ids_and_spans(spark, docs_of):
 def test_small_memory(docs_of, prose, libraries, monkeypatch):
     monkeypatch.setattr(ta, "CACHE_PARTS", 5)
     monkeypatch.setattr(ta, "CHUNK", 10)
-    texts = [prose(30, k) for k in range(5)] + ["x▁y z"]
+    texts = [prose(30, k // 2) for k in range(8)] + ["x▁y z"]
     code = ta.coder(A, B)
     import pyarrow as pa
 
     known, seen = ta.Memory(code), []
-    for chunk in known.texts(pa.array(texts)):
-        n_a = known.all_counts()[:, 0]
-        seen += [sum(int(n_a[known.number[p]]) for p in parts) for parts in chunk]
+    for numbers, bounds in known.texts(pa.array(texts)):
+        n_a = known.counts[numbers, 0]
+        seen += [int(n_a[lo:hi].sum()) for lo, hi in zip(bounds[:-1], bounds[1:])]
+        if known.full():
+            known.forget()
+            assert len(known.number) == len(known.groups) == len(known.counts) <= 5 and len(known.links) == known.counts[:, 3].sum()
+            fresh = ta.Memory(code)
+            again = fresh.look_up(list(known.number))
+            fresh.learn()
+            assert [fresh.groups[k] for k in again] == known.groups
     want = [len(f[0]) if (f := tokens_of(t, libraries)) else 0 for t in texts]
     assert seen == want
