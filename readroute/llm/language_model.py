@@ -7,11 +7,14 @@ dish of every context is seated again. Only numbers of tables count, so a dish's
 at once from its conditional (Stirling numbers times weights of new tables), with no
 limit. Predictive probabilities are averaged over several samples.
 
-Three jobs, each with a shuffle on keys of its own:
+Three jobs, each with a shuffle on keys of its own, and a small one:
 
 1. Words are dealt to shards by hash, with their tokens. A shard counts its (word, context)
-   pairs and draws the parent's tables of its words, given one table of each pair.
-2. Contexts are dealt to parts by hash, with the pairs' counts. A part has whole context
+   pairs. Given one table of each pair, a word's tables in the parent hang on the other
+   words by their number alone: it is the one that the expectations of all words add up
+   to, found from how many words have how many pairs in all shards.
+2. Each shard draws the tables of its words given that number (a small job adds them up), and
+   contexts are dealt to parts by hash, with the pairs' counts. A part has whole context
    restaurants, so it samples their seating with exact totals; the parent's probabilities
    are held. A pair of one customer has one table and is only counted.
 3. Shards get the totals of their contexts and the tables of their pairs back, in the order
@@ -21,7 +24,8 @@ Three jobs, each with a shuffle on keys of its own:
 
 What one word, context or pair may hold is not bounded, so the few with more than a quarter
 of a shard's tokens (their number follows from that) are split: a word's tokens by context, a
-context's pairs by shard, and of a pair only counts are sent, while its probability comes
+context's pairs by shard (each part is sampled given the tables that all of them are
+expected to have, from sums over the shards), and of a pair only counts are sent, while its probability comes
 back to each group of texts. Their sums, and sums over all, are what meets in the driver.
 
 Words are told apart by 64-bit hashes, contexts by 32 bits within their part.
@@ -73,14 +77,9 @@ def log_ways(discount: float) -> np.ndarray:
     return out
 
 
-def draw_tables(customers: np.ndarray, room: np.ndarray, discount: float, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with 1 to EXACT customers, all of whom are seated anew, from the exact conditional.
-
-    `room`: strength and discounts of the restaurant without the dish; `p`: the parent's
-    probability of the dish. A table that opens as the k-th has the weight (room + k * discount) * p.
-    """
+def _small_weights(customers: np.ndarray, room: np.ndarray, discount: float, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(dishes, weight of each number of tables from 1 on) of dishes with 1 to EXACT customers, some at a time."""
     ways = log_ways(discount)
-    out = np.empty(len(customers), np.int64)
     order = np.argsort(customers, kind="stable")
     sizes = customers[order]
     lo = 0
@@ -94,9 +93,20 @@ def draw_tables(customers: np.ndarray, room: np.ndarray, discount: float, p: np.
         weight += ways[sizes[lo:hi], 1 : width + 1]
         weight -= weight.max(1, keepdims=True)
         np.exp(weight, out=weight)
+        yield who, weight
+        lo = hi
+
+
+def draw_tables(customers: np.ndarray, room: np.ndarray, discount: float, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with 1 to EXACT customers, all of whom are seated anew, from the exact conditional.
+
+    `room`: strength and discounts of the restaurant without the dish; `p`: the parent's
+    probability of the dish. A table that opens as the k-th has the weight (room + k * discount) * p.
+    """
+    out = np.empty(len(customers), np.int64)
+    for who, weight in _small_weights(customers, room, discount, p):
         np.cumsum(weight, axis=1, out=weight)
         out[who] = 1 + (weight[:, :-1] <= rng.random((len(who), 1)) * weight[:, -1:]).sum(1)
-        lo = hi
     return np.minimum(out, customers)
 
 
@@ -151,8 +161,8 @@ class Ways:
         return self.rows
 
 
-def draw_large(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """draw_tables() for counts over EXACT: as many tables are looked at as have any weight."""
+def _large_weights(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Weights of the numbers of tables for counts over EXACT: as many tables are looked at as have any weight."""
     t_max, discount = 256, ways.discount
     while True:
         t_max = min(t_max, int(counts.max()))
@@ -160,12 +170,41 @@ def draw_large(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray,
         weight[np.arange(1, t_max + 1) > counts[:, None]] = -np.inf
         weight -= weight.max(1, keepdims=True)
         if t_max == counts.max() or (weight[:, -1] < -40).all():
-            break
+            return np.exp(weight)
         t_max = t_max * 5 // 4
-    weight = np.cumsum(np.exp(weight), axis=1)
+
+
+def draw_large(counts: np.ndarray, ways: Ways, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """draw_tables() for counts over EXACT."""
+    weight = np.cumsum(_large_weights(counts, ways, room, p), axis=1)
     return 1 + (weight[:, :-1] <= rng.random((len(counts), 1)) * weight[:, -1:]).sum(1)
 
 
+class Dishes:
+    """Draws and means of the tables of many dishes, given what else is in their restaurants."""
+
+    def __init__(self, customers: np.ndarray, discount: float):
+        self.customers, self.discount = customers, discount
+        self.few, self.large = np.flatnonzero((customers > 1) & (customers <= EXACT)), np.flatnonzero(customers > EXACT)
+        self.ways = Ways(customers[self.large], discount) if len(self.large) else None
+
+    def draw(self, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = np.minimum(self.customers, 1).astype(np.int64)
+        out[self.few] = draw_tables(self.customers[self.few], room[self.few], self.discount, p[self.few], rng)
+        if self.ways:
+            out[self.large] = draw_large(self.customers[self.large], self.ways, room[self.large], p[self.large], rng)
+        return out
+
+    def mean(self, room: np.ndarray, p: np.ndarray) -> np.ndarray:
+        out = np.minimum(self.customers, 1).astype(np.float64)
+        found = [(self.few[who], w) for who, w in _small_weights(self.customers[self.few], room[self.few], self.discount, p[self.few])]
+        if self.ways:
+            found.append((self.large, _large_weights(self.customers[self.large], self.ways, room[self.large], p[self.large])))
+        for who, weight in found:
+            out[who] = weight @ np.arange(1, weight.shape[1] + 1) / weight.sum(1)
+        return out
+
+
 class Restaurants:
     """Tables of all dishes of one level, each drawn with all its customers seated anew; at first one each."""
 
@@ -174,8 +213,8 @@ class Restaurants:
         self.tables = np.minimum(customers, 1)
         self.ways: tuple[np.ndarray, Ways] | None = None
 
-    def sweep(self, customers: np.ndarray, total: np.ndarray, of: np.ndarray, times: np.ndarray, p: np.ndarray) -> None:
-        """Seat every customer anew. `total[of[i]]`, kept up to date, times `times[of[i]]`: tables of the dish's restaurant."""
+    def sweep(self, customers: np.ndarray, total: np.ndarray, of: np.ndarray, held: np.ndarray, p: np.ndarray) -> None:
+        """Seat every customer anew. `total[of[i]]`, kept up to date: tables of the dish's restaurant, where `held[of[i]]` gives none (0)."""
         single = np.flatnonzero((customers == 1) & (self.tables > 1))
         np.add.at(total, of[single], 1 - self.tables[single])
         self.tables[single] = 1
@@ -185,7 +224,8 @@ class Restaurants:
         mixed = self.rng.permutation(np.flatnonzero((customers > 1) & (customers <= EXACT)))
         for who in [*np.array_split(mixed, TURNS), large]:
             if len(who):
-                room = self.strength + self.discount * np.maximum(times[of[who]] * total[of[who]] - self.tables[who], 0)
+                own = np.where(held[of[who]] > 0, held[of[who]], total[of[who]])
+                room = self.strength + self.discount * np.maximum(own - self.tables[who], 0)
                 if customers[who[0]] > EXACT:
                     now = draw_large(customers[who], self.ways[1], room, p[who], self.rng)
                 else:
@@ -194,46 +234,6 @@ class Restaurants:
                 self.tables[who] = now
 
 
-class Seating:
-    """The process itself, customer by customer, which the tests hold the draws against.
-
-    sizes[i, : tables[i]] are the tables of dish i; `new` gives, for chosen dishes, the
-    weight of a new table. `room` is only what is there at first.
-    """
-
-    def __init__(self, customers: np.ndarray, discount: float, new, rng: np.random.Generator, room: int):
-        self.discount, self.new, self.rng = discount, new, rng
-        self.customers = np.zeros(len(customers), np.int64)
-        self.tables = self.customers.copy()
-        self.sizes = np.zeros((len(customers), room), np.int64)
-        while len(who := np.flatnonzero(self.customers < customers)):
-            self.enter(who)
-
-    def leave(self, who: np.ndarray) -> None:
-        """One customer of each dish, chosen evenly, goes."""
-        passed = np.cumsum(self.sizes[who], axis=1) <= (self.rng.random(len(who)) * self.customers[who])[:, None]
-        place = passed.sum(1)
-        self.sizes[who, place] -= 1
-        self.customers[who] -= 1
-        empty = self.sizes[who, place] == 0
-        gone, hole = who[empty], place[empty]
-        self.tables[gone] -= 1
-        self.sizes[gone, hole] = self.sizes[gone, self.tables[gone]]
-        self.sizes[gone, self.tables[gone]] = 0
-
-    def enter(self, who: np.ndarray) -> None:
-        """One customer of each dish is seated."""
-        if self.tables[who].max() == self.sizes.shape[1]:
-            self.sizes = np.pad(self.sizes, ((0, 0), (0, self.sizes.shape[1])))
-        weight = np.maximum(self.sizes[who] - self.discount, 0)
-        weight[np.arange(len(who)), self.tables[who]] = np.where(self.tables[who] > 0, self.new(who), 1.0)
-        weight = np.cumsum(weight, axis=1)
-        place = (weight <= self.rng.random((len(who), 1)) * weight[:, -1:]).sum(1)
-        self.tables[who] += self.sizes[who, place] == 0
-        self.sizes[who, place] += 1
-        self.customers[who] += 1
-
-
 @dataclass
 class Totals:
     """Sums over all shards and parts."""
@@ -242,6 +242,11 @@ class Totals:
     known: int = 0  # words
     pairs: int = 0  # different (word, context) pairs
     tables: int = 0  # of the parent
+    expected: float = 0.0  # tables of the parent, before they are drawn
+    words_of: dict[int, int] = field(default_factory=dict)  # words that aren't split, by their number of pairs
+    open_of: dict[int, np.ndarray] = field(default_factory=dict)  # split contexts: tokens, pairs of one customer, other pairs, their tokens
+    curve: dict[int, np.ndarray] = field(default_factory=dict)  # split contexts: tables expected if there were as many as at each of the POINTS
+    held: dict[int, float] = field(default_factory=dict)  # split contexts: tables expected
     customers: np.ndarray | int = 0  # of the parent, for each sample
     words: dict[int, np.ndarray] = field(default_factory=dict)  # split words: tokens, pairs, tables opened beyond one a pair in each sample
     contexts: dict[int, np.ndarray] = field(default_factory=dict)  # split contexts: tokens, tables in each sample
@@ -250,7 +255,7 @@ class Totals:
     def add(self, other: Totals) -> None:
         for name in ("tokens", "known", "pairs", "tables", "customers"):
             setattr(self, name, getattr(self, name) + getattr(other, name))
-        for mine, its in ((self.words, other.words), (self.contexts, other.contexts)):
+        for mine, its in ((getattr(self, name), getattr(other, name)) for name in ("words", "contexts", "words_of", "open_of", "curve")):
             for k, v in its.items():
                 mine[k] = mine.get(k, 0) + v
 
@@ -259,27 +264,70 @@ class Totals:
         return (STRENGTH[1] + DISCOUNT[1] * self.tables) / (self.known + 1)
 
 
-def parent_tables(customers: np.ndarray, known: float, share: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of words in the parent; they are about `share` of all its words."""
-    level = Restaurants(customers, DISCOUNT[1], STRENGTH[1], rng)
-    total, of, base = np.array([level.tables.sum()]), np.zeros(len(customers), np.int64), np.full(len(customers), 1 / (known + 1))
-    for _ in range(BURN_IN + 1):
-        level.sweep(customers, total, of, np.array([1 / share]), base)
-    return level.tables
+def _binned(hist: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, words) of a histogram; beyond EXACT, counts within a hundredth are one."""
+    c = np.array(sorted(hist), np.int64)
+    n = np.array([hist[int(x)] for x in c], np.float64)
+    bin_ = np.where(c <= EXACT, c, EXACT + np.floor(np.log(np.maximum(c, 1) / EXACT) * 100).astype(np.int64) + 1)
+    first = _starts(bin_)
+    weight = np.add.reduceat(n, first) if len(first) else n
+    return (np.rint(np.add.reduceat(n * c, first) / weight).astype(np.int64) if len(first) else c), weight
+
+
+def expected_tables(hist: dict[int, int], known: int) -> float:
+    """Tables of the parent: the number that its words' expected tables add up to, given that there are as many."""
+    c, n = _binned({k: v for k, v in hist.items() if k > 0})
+    if not len(c):
+        return 0.0
+    dishes, p = Dishes(c, DISCOUNT[1]), np.full(len(c), 1 / (known + 1))
+    each, total = np.ones(len(c)), float(n.sum())
+    for _ in range(200):
+        each = dishes.mean(STRENGTH[1] + DISCOUNT[1] * np.maximum(total - each, 0), p)
+        before, total = total, float(n @ each)
+        if abs(total - before) <= 1e-5 * total:
+            break
+    return total
+
+
+def word_tables(pairs: np.ndarray, expected: float, known: int, seed: list[int]) -> np.ndarray:
+    """Tables of words in the parent, drawn given how many it has; the same for the same seed."""
+    dishes, p, rng = Dishes(pairs, DISCOUNT[1]), np.full(len(pairs), 1 / (known + 1)), np.random.default_rng(seed)
+    own = dishes.draw(np.full(len(pairs), STRENGTH[1] + DISCOUNT[1] * expected), p, rng)
+    return dishes.draw(STRENGTH[1] + DISCOUNT[1] * np.maximum(expected - own, 0), p, rng)
+
+
+#: Where the expected tables of a split context are looked at, between one a pair (0) and one a token (1).
+POINTS = (0.0, 0.5, 1.0)
+
 
+def _span(of: np.ndarray) -> tuple[float, float]:
+    """Fewest and most tables of a split context."""
+    tokens, single, several, rest = of
+    return max(1.0, float(single + several)), max(1.0, float(single + rest))
 
-def context_tables(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, times: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+
+def settle(curve: np.ndarray, low: float, high: float) -> float:
+    """The number of tables that is expected if there are as many, from the expectations at POINTS."""
+    if high <= low * (1 + 1e-9):
+        return low
+    at = np.linspace(0, 1, 513)
+    expected = np.polyval(np.polyfit(POINTS, np.log(np.maximum(curve, low)), 2), at)
+    over = expected - (np.log(low) + at * np.log(high / low))
+    return float(low * (high / low) ** at[int(np.argmin(np.where(over <= 0, at, 2)))]) if (over <= 0).any() else high
+
+
+def context_tables(context: np.ndarray, count: np.ndarray, p: np.ndarray, single: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Samples of the tables of each pair with several customers, and of each context.
 
     `context`, `count`, `p`: of these pairs, `p` the parent's probability of the word.
-    `single`: pairs of one customer of each context; `times`: of a context split into
-    parts, their number, else 1.
+    `single`: pairs of one customer of each context; `held`: of a context split into parts
+    the tables expected in all of them, else 0.
     """
     level = Restaurants(count, DISCOUNT[0], STRENGTH[0], rng)
     total = single + np.bincount(context, level.tables, len(single)).astype(np.int64)
     tables, totals = [], []
     for sweep in range(BURN_IN + SAMPLES):
-        level.sweep(count, total, context, times, p)
+        level.sweep(count, total, context, held, p)
         if sweep >= BURN_IN:
             tables.append(level.tables.copy())
             totals.append(total.copy())
@@ -387,7 +435,7 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 _BLOBS = "kind int, batch long, shard int, part int, blob binary"
-TEXTS, STATE, SUMS, ASKED, ANSWER = range(5)  # kinds
+TEXTS, STATE, SUMS, ASKED, ANSWER, WORDS = range(6)  # kinds
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,8 +518,7 @@ def _dealt(plan: Plan, keys: np.ndarray, context: np.ndarray) -> np.ndarray:
 
 
 def _close(plan: Plan, shard: int, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """State, sums and questions of a shard whose tokens have all come."""
-    rng = np.random.default_rng([1, shard])
+    """State, sums and words of a shard whose tokens have all come."""
     groups, parts = np.array([g for g, _ in blobs], np.int64), [pickle.loads(b) for _, b in blobs]
     extra = [p[6] for p in parts if p[6] is not None]
     extra_group = np.repeat([g for g, p in enumerate(parts) if p[6] is not None], [len(e[0]) for e in extra]).astype(np.int64)
@@ -503,33 +550,91 @@ def _close(plan: Plan, shard: int, blobs: list[tuple[int, bytes]]) -> Iterator[p
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     codes, split, hot, context = asked[order], split[order], hot[order], place[context]
-    # the parent
     count = np.bincount(word, seen, len(keys)).astype(np.int64)
     pairs = np.bincount(word, seen > 0, len(keys)).astype(np.int64)
     whole = ~_find(plan.words, keys)[0]
     live = np.flatnonzero(whole & (count > 0))
-    word_tables = np.zeros(len(keys), np.int64)
-    if len(live):
-        word_tables[live] = parent_tables(pairs[live], len(live) * plan.shards, 1 / plan.shards, rng)
     shared = {int(keys[i]): np.concatenate([[count[i], pairs[i]], np.zeros(SAMPLES, np.int64)]) for i in np.flatnonzero(~whole)}
-    sums = Totals(int(count.sum()), len(live), int(pairs.sum()), int(word_tables.sum()), 0, shared)
-    yield _blobs([(SUMS, 0, plan.labels[shard], 0, sums)])
-    # questions
     own, single = np.bincount(context, seen, len(codes)).astype(np.int64), np.bincount(context, seen == 1, len(codes)).astype(np.int64)
-    several = _several(context, seen)
-    weight = pairs - DISCOUNT[1] * word_tables
-    weight[~whole] = -1 - np.searchsorted(plan.words, keys[~whole])
-    part = codes >> 32
-    cut = _starts(part)
-    bound = np.searchsorted(context[several], np.append(cut, len(codes)))
-    for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(codes)), strict=True)):
-        at = several[bound[k] : bound[k + 1]]
-        content = ((codes[a:b] & 0xFFFFFFFF).astype(np.uint32), _pack(own[a:b]), _pack(single[a:b]), _narrow(context[at] - a), _pack(seen[at]), weight[word[at]].astype(np.float32))
-        yield _blobs([(ASKED, 0, plan.labels[shard], int(part[a]), content)])
+    much = np.flatnonzero(split[context] & (seen > 1))
+    several, tokens = np.bincount(context[much], minlength=len(codes)), np.bincount(context[much], seen[much], len(codes)).astype(np.int64)
+    open_of = {int(h): np.array([own[k], single[k], several[k], tokens[k]], np.int64) for k, h in zip(np.flatnonzero(split), hot[split], strict=True)}
+    words_of = dict(zip(*(x.tolist() for x in np.unique(pairs[live], return_counts=True)), strict=True))
+    yield _blobs([(SUMS, 0, plan.labels[shard], 0, Totals(int(count.sum()), len(live), int(pairs.sum()), words=shared, words_of=words_of, open_of=open_of))])
+    # the words' pairs, and the pairs of split contexts: context, customers, word (negative: a split one)
+    place = np.full(len(keys), -1)
+    place[live] = np.arange(len(live))
+    place[~whole] = -1 - np.searchsorted(plan.words, keys[~whole])
+    yield _blobs([(WORDS, 0, plan.labels[shard], shard, (_narrow(pairs[live]), _narrow(hot[context[much]]), _pack(seen[much]), place[word[much]].astype(np.int32)))])
     inside = np.bincount(word, minlength=len(keys))
     counted = (pair[len(pair) - len(extra_word) :], extra_key, extra_group)
-    state = (shard, groups, keys, *map(_narrow, (count, inside, context, size, seen, word_tables, text & np.uint16(0x7FFF), group)), np.flatnonzero(split), hot[split], counted)
-    yield _blobs([(STATE, 0, plan.labels[shard], 0, state)])
+    asked = _narrow(codes >> 32), (codes & 0xFFFFFFFF).astype(np.uint32)
+    state = (shard, groups, keys, *map(_narrow, (count, inside, context, size, seen, pairs, text & np.uint16(0x7FFF), group)), np.flatnonzero(split), hot[split], counted, asked)
+    yield _blobs([(STATE, 0, plan.labels[shard], shard, state)])
+
+
+def _parent(plan: Plan, totals: Totals, shard: int, keys: np.ndarray, count: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Tables of a shard's words in the parent; of split words those that all shards share."""
+    split = _find(plan.words, keys)[0]
+    live = np.flatnonzero(~split & (count > 0))
+    out = np.zeros(len(keys), np.int64)
+    out[live] = word_tables(pairs[live], totals.expected, totals.known, [1, shard])
+    for i in np.flatnonzero(split):
+        out[i] = totals.word_tables[int(keys[i])]
+    return out
+
+
+def _draw(plan: Plan, shared):
+    """Of each shard's WORDS: the tables of its words, and what split contexts are expected to have (SUMS)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Totals = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = batch.column(3)[i].as_py()
+                pairs, hot, seen, place = pickle.loads(batch.column(4)[i].as_py())
+                own = word_tables(pairs.astype(np.int64), totals.expected, totals.known, [1, shard])
+                curve: dict[int, np.ndarray] = {}
+                if len(hot):
+                    weight = np.append(pairs - DISCOUNT[1] * own, [totals.words[int(k)][1] - DISCOUNT[1] * totals.word_tables[int(k)] for k in plan.words[::-1]])
+                    p = (weight[place] + (STRENGTH[1] + DISCOUNT[1] * totals.expected) / (totals.known + 1)) / (STRENGTH[1] + totals.pairs)
+                    dishes, each = Dishes(_unpack(seen), DISCOUNT[0]), np.ones(len(hot))
+                    contexts, of = np.unique(hot, return_inverse=True)
+                    spans = np.log([_span(totals.open_of[int(k)]) for k in contexts])
+                    found = []
+                    for x in POINTS:
+                        total = np.exp(spans[:, 0] + x * (spans[:, 1] - spans[:, 0]))
+                        each = dishes.mean(STRENGTH[0] + DISCOUNT[0] * np.maximum(total[of] - each, 0), p)
+                        found.append(np.bincount(of, each, len(contexts)))
+                    curve = dict(zip(contexts.tolist(), np.array(found).T, strict=True))
+                yield _blobs([(SUMS, 0, 0, 0, Totals(tables=int(own.sum()), curve=curve))])
+
+    return draw
+
+
+def _ask(plan: Plan, shared):
+    """The questions (ASKED) of each shard's STATE to the parts of its contexts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Totals = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, _, keys, count, inside, context, _, seen, pairs, *_, (part, low) = pickle.loads(batch.column(4)[i].as_py())
+                context, seen, part = (x.astype(np.int64) for x in (context, seen, part))
+                word = np.repeat(np.arange(len(keys)), inside.astype(np.int64))
+                own, single = np.bincount(context, seen, len(low)).astype(np.int64), np.bincount(context, seen == 1, len(low)).astype(np.int64)
+                several = _several(context, seen)
+                weight = pairs - DISCOUNT[1] * _parent(plan, totals, shard, keys, count, pairs.astype(np.int64))
+                split = _find(plan.words, keys)[0]
+                weight[split] = -1 - np.searchsorted(plan.words, keys[split])
+                cut = _starts(part)
+                bound = np.searchsorted(context[several], np.append(cut, len(part)))
+                for k, (a, b) in enumerate(zip(cut, np.append(cut[1:], len(part)), strict=True)):
+                    at = several[bound[k] : bound[k + 1]]
+                    content = (low[a:b], _pack(own[a:b]), _pack(single[a:b]), _narrow(context[at] - a), _pack(seen[at]), weight[word[at]].astype(np.float32))
+                    yield _blobs([(ASKED, 0, batch.column(2)[i].as_py(), int(part[a]), content)])
+
+    return ask
 
 
 def _several(context: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -576,9 +681,10 @@ def _answer(plan: Plan, shared):
         p = (weight + totals.root()) / (STRENGTH[1] + totals.pairs)
         home = {int(c & 0xFFFFFFFF): i for i, c in enumerate(plan.contexts) if part in set(plan.home(np.full(PARTS, c), np.arange(PARTS)).tolist())}
         hot = {k: home[int(own[k])] for k in np.flatnonzero(np.isin(own, np.array(list(home), np.uint32)))}
-        times = np.ones(len(own))
-        times[list(hot)] = PARTS
-        tables, total = context_tables(of, count, p, single, times, np.random.default_rng([2, part]))
+        held = np.zeros(len(own))
+        for k, i in hot.items():
+            held[k] = totals.held.get(i, 0.0)
+        tables, total = context_tables(of, count, p, single, held, np.random.default_rng([2, part]))
         opened = {int(plan.words[i]): np.append([0, 0], (tables[:, split_word == i] - 1).sum(1)) for i in np.unique(split_word[split_word >= 0])}
         sums = Totals(customers=total.sum(1), words=opened, contexts={i: np.append(tokens[k], total[:, k]) for k, i in hot.items()})
         rows = [(SUMS, 0, 0, part, sums)]
@@ -609,8 +715,9 @@ def _score(plan: Plan, shared):
 
     def close(blob: bytes, answers: list[bytes]) -> pa.RecordBatch:
         totals: Totals = shared.value
-        shard, groups, keys, count, inside, context, size, seen, word_tables, text, group, split, hot, counted = pickle.loads(blob)
-        context, seen, size, count, word_tables = (x.astype(np.int64) for x in (context, seen, size, count, word_tables))
+        shard, groups, keys, count, inside, context, size, seen, pairs, text, group, split, hot, counted, _ = pickle.loads(blob)
+        context, seen, size, count = (x.astype(np.int64) for x in (context, seen, size, count))
+        tables_of = _parent(plan, totals, shard, keys, count, pairs.astype(np.int64))
         told = [pickle.loads(a) for a in answers]
         in_context = np.concatenate([_unpack(a[0]) for a in told])
         open_tables = np.array([np.concatenate([_unpack(a[1][s]) for a in told]) for s in range(SAMPLES)])
@@ -622,8 +729,8 @@ def _score(plan: Plan, shared):
         customers = np.array([np.bincount(word, t, len(keys)) for t in tables])
         for i in np.flatnonzero(_find(plan.words, keys)[0]):
             own = totals.words[int(keys[i])]
-            count[i], customers[:, i], word_tables[i] = own[0], own[1] + own[2:], totals.word_tables[int(keys[i])]
-        score = np.log10(predictive(totals, word, seen, tables, customers, word_tables, in_context[context], open_tables[:, context]))
+            count[i], customers[:, i] = own[0], own[1] + own[2:]
+        score = np.log10(predictive(totals, word, seen, tables, customers, tables_of, in_context[context], open_tables[:, context]))
         base = np.log10((count + 0.1) / (totals.tokens + 0.1 * (totals.known + 1)))
         order = np.argsort(group.astype(np.int64) << 16 | text, kind="stable")
         of = np.repeat(np.arange(len(word)), size)[order]
@@ -733,7 +840,13 @@ def language_model(docs: DataFrame, held_out: Column | None = None, id_col: str
         table = spark.table(name)
         totals = _summed(table)
         _share_parent(totals, plan)
-        asked = table.filter(F.col("kind") == ASKED).select(*_COLUMNS).repartitionById(shards, F.col("part")).sortWithinPartitions("part", "shard")
+        words = table.filter(F.col("kind") == WORDS).select(*_COLUMNS)
+        totals.add(_summed(materialize(words.mapInArrow(_draw(plan, spark.sparkContext.broadcast(totals)), _BLOBS))))
+        for k, of in totals.open_of.items():
+            low, high = _span(of)
+            totals.held[k] = settle(totals.curve[k] + of[1], low, high) if k in totals.curve else low
+        asking = table.filter(F.col("kind") == STATE).select(*_COLUMNS).mapInArrow(_ask(plan, spark.sparkContext.broadcast(totals)), _BLOBS)
+        asked = asking.repartitionById(shards, F.col("part")).sortWithinPartitions("part", "shard")
         answers = materialize(asked.mapInArrow(_answer(plan, spark.sparkContext.broadcast(totals)), _BLOBS))
         totals.add(_summed(answers))
         shared = spark.sparkContext.broadcast(totals)
@@ -753,17 +866,18 @@ _HELD = "readroute held out"
 
 
 def _share_parent(totals: Totals, plan: Plan) -> None:
-    """Tables of the split words in the parent, drawn where their sums are: few numbers."""
-    if totals.words:
-        keys = sorted(totals.words)
-        count, pairs = (np.array([totals.words[k][i] for k in keys]) for i in (0, 1))
-        totals.known += int((count > 0).sum())
-        tables = np.zeros(len(keys), np.int64)
-        if (pairs > 0).any():
-            share = float(pairs.sum()) / max(1, totals.pairs)
-            tables[pairs > 0] = parent_tables(pairs[pairs > 0], totals.known, share, np.random.default_rng(3))
-        totals.word_tables = dict(zip(keys, tables.tolist(), strict=True))
-        totals.tables += int(tables.sum())
+    """How many tables the parent is expected to have, and those of the split words, drawn where their sums are: few numbers."""
+    keys = sorted(totals.words)
+    count, pairs = (np.array([totals.words[k][i] for k in keys], np.int64) for i in (0, 1))
+    totals.known += int((count > 0).sum())
+    hist = dict(totals.words_of)
+    for n in pairs[pairs > 0].tolist():
+        hist[n] = hist.get(n, 0) + 1
+    totals.expected = expected_tables(hist, totals.known)
+    tables = np.zeros(len(keys), np.int64)
+    tables[pairs > 0] = word_tables(pairs[pairs > 0], totals.expected, totals.known, [3])
+    totals.word_tables = dict(zip(keys, tables.tolist(), strict=True))
+    totals.tables += int(tables.sum())
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
