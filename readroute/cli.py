@@ -12,6 +12,7 @@ import logging
 import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from readroute.operators.metrics import WARN_UNASSIGNED
@@ -32,6 +33,7 @@ def pool_name(paths: list[str]) -> str:
 
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="readroute", description="Route and annotate sequencing reads.")
+    p.add_argument("--version", action="version", version=f"readroute {VERSION}")
     p.add_argument("reads", nargs="*")
     p.add_argument("--in", dest="numbered", action="append", default=[], metavar="N=PATH")
     for name in ("group", "extract", "sample", "remove", "tag"):
@@ -43,17 +45,20 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--qc-tag", nargs="?", const="ZS")
     p.add_argument("--require-samples-explain-all-tags", action="store_true")
     p.add_argument("--per-record", action="store_true")
-    return p.parse_args(argv)
+    a = p.parse_args(argv)
+    if sum(map(bool, (a.sample, a.sample_sheet, a.sample_from_group))) > 1:
+        p.error("--sample, --sample-sheet and --sample-from-group exclude each other")
+    return a
 
 
 def inputs(a: argparse.Namespace) -> list[str]:
     if a.reads and a.numbered:
         raise SpecError("inputs are positional or numbered, not both")
     pairs = dict((int(k), v) for k, _, v in (x.partition("=") for x in a.numbered))
-    paths = a.reads or [pairs[k] for k in sorted(pairs)]
+    paths = a.reads or [pairs[k] for k in sorted(pairs)] or ["-"]
     if paths.count("-") > 1:
         raise SpecError("the standard input is one input at most")
-    if not paths or (a.numbered and sorted(pairs) != list(range(len(a.numbered)))):
+    if (a.numbered and sorted(pairs) != list(range(len(a.numbered)))):
         raise SpecError("inputs are numbered from 0 on without a gap")
     return paths
 
@@ -69,7 +74,11 @@ def log_run(run: Demux, paths: list[str]) -> None:
 
 
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
-    a = arguments(argv)
+    """The exit code: 0, 1 for what can't be run or read, 2 for arguments that make no sense."""
+    try:
+        a = arguments(argv)
+    except SystemExit as e:
+        return int(e.code or 0)
     spark = spark or SparkSession.builder.appName("readroute").getOrCreate()
     text = lambda path: spark.read.text(path, wholetext=True).first()[0]
     try:
@@ -88,17 +97,20 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     except (SpecError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    except AnalysisException as e:
+        print(f"error: failed to open an input file: {str(e).splitlines()[0]}", file=sys.stderr)
+        return 1
     for w in spec.warnings:
         log.warning(w)
     log_run(run, paths)
     default = sinks.output_format("-", kinds)
-    header = sinks.sam_header(spec, VERSION, " ".join(["readroute", *argv]))
+    headers = run.headers(VERSION, " ".join(["readroute", *argv]))
     if screen:
-        for line in [*(header if default == "sam" else ()), *(r.line for r in sinks.lines(records.filter("dest = 'out'"), default).orderBy("fid", "ordinal").toLocalIterator())]:
+        for line in [*(headers["out"] if default == "sam" else ()), *(r.line for r in sinks.lines(records.filter("dest = 'out'"), default).orderBy("fid", "ordinal").toLocalIterator())]:
             print(line)
         records = records.filter("dest <> 'out'")
     if a.out:
-        sinks.write(records, a.out, None, header, run.destinations(), default)
+        sinks.write(records, a.out, None, headers, run.destinations(), default)
     if not named:
         return 0
     sums = run.totals()

@@ -10,6 +10,7 @@ from readroute.plans.demux import Demux
 from readroute.plans.spec import parse
 from readroute.registry import fragments, query, run, spread
 from readroute.sources import sinks
+from readroute.sources.bgzf import write_lines
 from readroute.sources.reads import open_fragments
 from readroute.sources.scratch import scratch_path
 
@@ -18,7 +19,7 @@ def _written(spark, sf_dir, pattern: str, kind: str, **spec) -> str:
     """The folder of a run's records."""
     d = run(spark, sf_dir, out=pattern, **spec)
     folder = scratch_path(spark)
-    sinks.write(d.records(), folder, None, sinks.sam_header(d.spec, "1", "query") if kind == "sam" else (), d.destinations())
+    sinks.write(d.records(), folder, None, d.headers("1", "query") if kind == "sam" else None, d.destinations())
     return folder
 
 
@@ -103,3 +104,25 @@ def destinations(spark, sf_dir):
     d = run(spark, sf_dir, groups=["g={AAAAAAAAAAAA,CCCCCCCCCCCC}", "g::loc=0:0:12,anchor=5p"], samples=["s1=g::AAAAAAAAAAAA", "s2::lib=g::CCCCCCCCCCCC"], out="%sample%2E%sub_samplex20.R%ordinal.fq", unassigned="un.%source.fq")
     declared = spark.createDataFrame([(x,) for x in d.destinations()], "dest string")
     return declared.join(d.records().groupBy("dest").agg(F.count("*").alias("n")), "dest", "left").select("dest", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("sam_headers", """WITH t(dest, line, rg) AS (VALUES ('s1.sam', '@RG' || chr(9) || 'ID:s1' || chr(9) || 'SM:s1' || chr(9) || 'PL:X', 's1'), ('s2.sam', '@RG' || chr(9) || 'ID:s2.x' || chr(9) || 'SM:s2' || chr(9) || 'LB:x' || chr(9) || 'PL:X', 's2.x'), ('un.sam', '@RG' || chr(9) || 'ID:pool' || chr(9) || 'SM:pool' || chr(9) || 'LB:pool' || chr(9) || 'PL:X', 'pool')),
+n AS (SELECT CASE substr(translate(md5(o_orderkey || ':1'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 1) WHEN 'A' THEN 's1' WHEN 'C' THEN 's2.x' ELSE 'pool' END AS rg, 2 * count(*) AS records FROM orders GROUP BY 1) SELECT dest, line, coalesce(records, 0) AS records FROM t LEFT JOIN n USING (rg)""")
+def sam_headers(spark, sf_dir):
+    """The read groups that each written SAM file declares, and how many of its records have them."""
+    folder = _written(spark, sf_dir, "%sample.sam", "sam", **_INDEX, samples=["s1=i::A", "s2::x=i::C"], unassigned="un.sam", rg_tags=["PL=X"])
+    back = spark.read.option("basePath", folder).text(folder)
+    heads = back.filter(F.col("value").startswith("@RG")).select("dest", F.col("value").alias("line"), F.regexp_extract("value", "ID:([^\t]*)", 1).alias("rg"))
+    found = back.filter(~F.col("value").startswith("@")).groupBy("dest", F.regexp_extract("value", "RG:Z:([^\t]*)", 1).alias("rg")).agg(F.count("*").alias("records"))
+    return heads.join(found, ["dest", "rg"], "full_outer").select("dest", "line", F.coalesce("records", F.lit(0).cast("long")).alias("records"))
+
+
+@query("bgzf_file", "SELECT 'o' || fid || '/1' AS name, b1, q1, row_number() OVER (ORDER BY fid) - 1 AS place FROM r")
+def bgzf_file(spark, sf_dir):
+    """Reads written as BGZF, read back by a task for each range of members."""
+    reads = fragments(spark, sf_dir).select("fid", F.col("reads")[0].alias("r"))
+    folder = f"{scratch_path(spark)}/reads.fq.gz"
+    line = F.concat_ws("\n", F.concat(F.lit("@"), "r.name"), "r.bases", F.lit("+"), "r.quals")
+    write_lines(reads.repartitionByRange("fid").sortWithinPartitions("fid").select(line.alias("value")), folder)
+    back, _, _ = open_fragments(spark, [folder], per_record=True)
+    return back.select(F.col("reads")[0]["name"].alias("name"), F.col("reads")[0]["bases"].alias("b1"), F.col("reads")[0]["quals"].alias("q1"), F.col("fid").alias("place"))

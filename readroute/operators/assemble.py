@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,18 +115,32 @@ def outputs(df: DataFrame, spec: Spec, files: int = 1, inputs: int | None = None
     return placed.select("to.dest", "fid", ordinal.alias("ordinal"), "to.mates", group.alias("read_group"), "body.*")
 
 
-def destinations(spec: Spec, files: int, inputs: int, kind: str) -> list[str]:
-    """Every destination that the patterns declare, those that get no record too."""
+@dataclass
+class Declared:
+    """What a destination may get: the targets whose records go there, and whether records of no sample do."""
+
+    targets: list[tuple[str, str | None]] = field(default_factory=list)
+    pooled: bool = False
+
+
+def destinations(spec: Spec, files: int, inputs: int, kind: str) -> dict[str, Declared]:
+    """Every destination that the patterns declare, those that get no record too; without a pattern `out`."""
+
     def filled(text: str, allowed: tuple[str, ...], **values: object) -> str:
         return "".join(str(values.get(x) or "") if named and x != "source" else str(values["source"]) if named else x for x, named in pattern_parts(text, allowed))
 
-    out = []
-    if spec.out is not None:
-        n = body_count(spec, files)
-        ordinals = range(1, n + 1) if parts_bodies(spec, files, kind) else [1 if n == 1 else None]
-        for sample, sub in targets(spec) or [(None, None)]:
-            out += [filled(spec.out, OUT_PLACES, pool=spec.pool, sample=sample, sub_sample=sub, ordinal=k) for k in ordinals]
+    found: dict[str, Declared] = {}
+    n = body_count(spec, files)
+    ordinals = range(1, n + 1) if parts_bodies(spec, files, kind) else [1 if n == 1 else None]
+    for target in targets(spec) or [None]:
+        sample, sub = target or (None, None)
+        for k in ordinals if spec.out is not None else [None]:
+            own = found.setdefault(filled(spec.out, OUT_PLACES, pool=spec.pool, sample=sample, sub_sample=sub, ordinal=k) if spec.out is not None else "out", Declared())
+            if target is None:
+                own.pooled = True
+            elif target not in own.targets[-1:]:
+                own.targets.append(target)
     for p in [spec.unassigned, *[r.pattern for r in spec.removals]]:
-        if p is not None:
-            out += [filled(p, BIN_PLACES, pool=spec.pool, source=k) for k in range(inputs)]
-    return list(dict.fromkeys(out))
+        for k in range(inputs) if p is not None else ():
+            found.setdefault(filled(p, BIN_PLACES, pool=spec.pool, source=k), Declared()).pooled = True
+    return found

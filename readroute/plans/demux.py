@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from readroute.operators import metrics
-from readroute.operators.assemble import assemble, destinations, outputs, parts_bodies
+from readroute.operators.assemble import Declared, assemble, destinations, outputs, parts_bodies
 from readroute.operators.extract import extract
 from readroute.operators.match import match_groups
 from readroute.operators.route import route
 from readroute.plans.spec import Spec, SpecError
-from readroute.sources.sinks import output_format
+from readroute.sources.sinks import output_format, sam_header
 
 
 @dataclass
@@ -51,9 +51,17 @@ class Demux:
             raise SpecError(f"{self.spec.out}: several reads of a fragment go to FASTQ or FASTA files of their own, so %ordinal is needed")
         return outputs(assemble(self.routed(), self.spec), self.spec, self.files, self.inputs, self.kind)
 
+    def declared(self) -> dict[str, Declared]:
+        """Every destination, with what it may get; without a pattern `out` stands for the standard output."""
+        return destinations(self.spec, self.files, self.inputs or self.files, self.kind)
+
     def destinations(self) -> list[str]:
         """Every destination that the patterns declare."""
-        return destinations(self.spec, self.files, self.inputs or self.files, self.kind)
+        return [d for d in self.declared() if d != "out" or self.spec.out is not None]
+
+    def headers(self, version: str, command: str) -> dict[str, list[str]]:
+        """The lines that a SAM file of each destination begins with."""
+        return {d: sam_header(self.spec, own, version, command) for d, own in self.declared().items()}
 
     def totals(self) -> DataFrame:
         """The counts behind both reports, from one pass over the fragments."""

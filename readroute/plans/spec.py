@@ -364,6 +364,7 @@ def parse(groups: Iterable[str] = (), extracts: Iterable[str] = (), templates: I
     _need(len({n for n, _ in extracted}) == len(extracted), "an extract is given twice")
     chosen = parse_sheet(sample_sheet, pool, [g.name for g in own]) if sample_sheet else tuple(parse_sample(s, pool) for s in samples)
     rg = tuple(tuple(t.split("=", 1)) for t in rg_tags)
-    _need(all(len(t) == 2 and t[0] not in ("ID", "SM", "LB") for t in rg) and len({t[0] for t in rg}) == len(rg), "rg-tag: K=V, not ID, SM or LB, each once")
+    _need(all(len(t) == 2 and t[0] not in ("ID", "SM", "LB") for t in rg) and len({t[0] for t in rg}) == len(rg), "rg-tag: K=V; it may not set ID, SM or LB, each once")
+    _need(all(_SAM_TAG.match(t[0]) for t in rg), "rg-tag: a key has two characters")
     _need(qc_tag is None or (_SAM_TAG.match(qc_tag) and (qc_tag[0] in "XYZ" or re.search("[a-z]", qc_tag))), f"qc tag {qc_tag} is not for local use")
     return Spec(own, extracted, tuple(map(parse_template, templates)), parse_tags(tags), chosen, sample_from_group, tuple(map(parse_removal, remove)), pool, out, unassigned, qc_tag, require_samples_explain_all_tags, rg)

@@ -9,6 +9,7 @@ plans, retries and commits the tasks; files are opened by pyarrow's file systems
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -71,6 +72,7 @@ class Range(InputPartition):
     path: str
     start: int
     end: int | None  # None: to the end, whatever kind of gzip it is
+    packed: bool
 
 
 def first_member(data: bytes, more: bool) -> int | None:
@@ -133,30 +135,74 @@ def plain(path: str) -> Iterator[bytes]:
             raise ValueError(f"{path}: the gzip data end too soon")
 
 
-def range_lines(part: Range) -> Iterator[bytes]:
-    """The lines that begin in a range, without their ends: all of the first range's, of others those after its first line break."""
-    if part.end is None:
-        source = ((0, text) for text in plain(part.path))
+def texts_from(path: str, start: int, end: int | None, packed: bool) -> Iterator[tuple[int, bytes]]:
+    """(place, text) of a file from a range's start on, to the end of the file; end None: gzip of any kind, from its start."""
+    if end is None:
+        yield from ((0, text) for text in plain(path))
+    elif packed:
+        yield from members(path, start, end)
     else:
-        source = members(part.path, part.start, part.end)
+        where, name = opened(path)
+        with where.open_input_file(name) as f:
+            f.seek(start)
+            at = start
+            # the range ends where a piece does
+            while text := f.read(1 << 20 if at >= end else min(1 << 20, end - at)):
+                yield at, text
+                at += len(text)
+
+
+def line_lists(part: Range, on: bool = False) -> Iterator[list[bytes]]:
+    """Lists of the lines that begin in a range, without their ends: all of the first range's, of others those after its first line break.
+
+    With `on`, also the lines behind the range, to the end of the file.
+    """
     held, skip = b"", part.start > 0
-    for at, text in source:
-        over = part.end is not None and at >= part.end
-        if over:  # the line that goes on behind the range
+    for at, text in texts_from(part.path, part.start, part.end, part.packed):
+        if part.end is not None and at >= part.end and (not on or skip):  # the line that goes on behind the range
             cut = text.find(b"\n")
             if cut < 0:
                 held += text
                 continue
             if not skip:
-                yield held + text[:cut]
-            return
+                yield [held + text[:cut]]
+            if not on:
+                return
+            held, skip, text = b"", False, text[cut + 1 :]
         lines = (held + text).split(b"\n")
         held = lines.pop()
         if skip and lines:
             lines, skip = lines[1:], False
-        yield from lines
+        yield lines
     if held and not skip:
-        yield held
+        yield [held]
+
+
+def range_lines(part: Range) -> Iterator[bytes]:
+    return itertools.chain.from_iterable(line_lists(part))
+
+
+def count_lines(part: Range) -> int:
+    """How many lines begin in a range."""
+    n, last = int(part.start == 0), b""
+    for at, text in texts_from(part.path, part.start, part.end, part.packed):
+        if part.end is not None and at >= part.end:
+            if text:  # a line break at the end of the range begins a line only if the file goes on
+                return n
+            continue
+        n += text.count(b"\n")
+        last = text[-1:] or last
+    return n - (last == b"\n") if last else 0
+
+
+def ranges(path: str, size: int) -> list[Range]:
+    """The ranges of a file: plain text and BGZF by bytes, other gzip as a whole."""
+    where, name = opened(path)
+    n = where.get_file_info(name).size
+    packed = is_gzip(path)
+    if packed and not is_bgzf(path):
+        return [Range(path, 0, None, True)]
+    return [Range(path, lo, min(n, lo + size), packed) for lo in range(0, n, size)]
 
 
 class _Reader(DataSourceReader):
@@ -164,12 +210,7 @@ class _Reader(DataSourceReader):
         self.paths, self.size = paths, size
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path in self.paths:
-            where, name = opened(path)
-            n = where.get_file_info(name).size
-            out += [Range(path, lo, min(n, lo + self.size)) for lo in range(0, n, self.size)] if is_bgzf(path) else [Range(path, 0, None)] if n else []
-        return out or [Range("", 0, 0)]
+        return [r for path in self.paths for r in ranges(path, self.size)] or [Range("", 0, 0, False)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import gzip
 import io
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 from typing import BinaryIO
 from urllib.parse import unquote
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from readroute.functions.seq import FRAGMENT, READ, TAG, comment_tags, first_token, mate_key, revcomp, without_alignment_tags
 from readroute.sources.bgzf import gzip_lines, is_bgzf, is_gzip
+from readroute.sources.lockstep import lockstep
 from readroute.sources.scratch import scratch_path
 
 _EXTENSIONS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam"}
@@ -124,13 +125,30 @@ def fastq_records(spark: SparkSession, path: str) -> DataFrame:
     return inside.unionByName(edges).filter("coalesce(head, '') <> '' or coalesce(bases, '') <> '' or coalesce(quals, '') <> ''")
 
 
+def _fastq_read(path: str, own: Callable[[str], Column]) -> Column:
+    """The read of a record's four lines; one that is broken fails the job."""
+    head, bases, quals = F.substring(own("head"), 2, 1 << 30), own("bases"), own("quals")
+    bad = F.coalesce(F.length(bases) != F.length(quals), F.lit(True)) | ~F.coalesce(own("head").startswith("@") & own("plus").startswith("+"), F.lit(False))
+    whole = F.when(bad, F.raise_error(F.concat(F.lit(f"{path}: a broken record: "), F.coalesce(head, F.lit(""))))).otherwise(bases)
+    return _read(first_token(head), whole, quals, comment_tags(_comment(head)))
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(ord, read) of a FASTQ file; a record whose lengths differ fails the job."""
-    own = fastq_records(spark, path)
-    head = F.substring("head", 2, 1 << 30)
-    bad = F.coalesce(F.length("bases") != F.length("quals"), F.lit(True)) | ~F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+"), F.lit(False))
-    bases = F.when(bad, F.raise_error(F.concat(F.lit(f"{path}: a broken record: "), F.coalesce(head, F.lit(""))))).otherwise(F.col("bases"))
-    return own.select("ord", _read(first_token(head), bases, F.col("quals"), comment_tags(_comment(head))).alias("read"))
+    return fastq_records(spark, path).select("ord", _fastq_read(path, F.col).alias("read"))
+
+
+def in_step(spark: SparkSession, paths: Sequence[str], per: int = 1) -> DataFrame | None:
+    """(fid, reads): FASTQ files read in step, or `per` neighbours of one, each task the same records of all; None where files can't be read so."""
+    found = lockstep(spark, [_files(spark, p) for p in paths], per)
+    if found is None:
+        return None
+    whole = []
+    for k in range(len(paths) * per):
+        path, own = paths[k // per], F.col(f"r{k}")
+        lacks = f"input {k} has fewer records than another" if per == 1 else "the last mate is missing"
+        whole.append(F.when(own.isNotNull() & own["head"].isNotNull(), _fastq_read(path, lambda c, own=own: own[c])).otherwise(F.raise_error(F.lit(lacks)).cast(READ)))
+    return found.select("fid", check_names(F.array(*whole)).alias("reads"))
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -165,9 +183,9 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("ord", read.alias("read"))
 
 
-def reads(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
+def reads(spark: SparkSession, path: str, kind: str | None = None) -> tuple[str, DataFrame]:
     """(format, (ord, read)) with ord 0, 1, ... in file order."""
-    kind = sniff(spark, path)
+    kind = kind or sniff(spark, path)
     if kind == "empty":
         return kind, spark.createDataFrame([], f"ord long, read {READ}")
     found = {"fastq": fastq, "fasta": fasta, "sam": sam}[kind](spark, path)
@@ -257,13 +275,17 @@ class _Joined(io.RawIOBase):
 
 def open_fragments(spark: SparkSession, paths: Sequence[str], per_record: bool = False) -> tuple[DataFrame, int, list[str]]:
     """(fragments (fid, reads), reads in each, formats) of input files in order."""
-    kinds, files = zip(*[reads(spark, p) for p in paths], strict=True)
+    kinds = [sniff(spark, p) for p in paths]
     with_quals = {k != "fasta" for k in kinds if k != "empty"}
     if len(with_quals) > 1:
         raise ValueError("FASTA has no qualities and can't go with other formats")
-    if len(files) == 1 and kinds[0] in ("fastq", "fasta") and not per_record and looks_interleaved(spark, paths[0], kinds[0]):
-        return interleaved(files[0]), 2, list(kinds)
-    return zipped(files), len(files), list(kinds)
+    pairs = len(paths) == 1 and kinds[0] in ("fastq", "fasta") and not per_record and looks_interleaved(spark, paths[0], kinds[0])
+    if set(kinds) == {"fastq"} and (pairs or len(paths) > 1):
+        found = in_step(spark, paths, 2 if pairs else 1)
+        if found is not None:
+            return found, 2 if pairs else len(paths), kinds
+    files = [reads(spark, p, k)[1] for p, k in zip(paths, kinds, strict=True)]
+    return (interleaved(files[0]), 2, kinds) if pairs else (zipped(files), len(files), kinds)
 
 
 def from_columns(df: DataFrame, fid: Column, *reads_: tuple[Column, Column, Column]) -> DataFrame:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import TYPE_CHECKING
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readroute.functions.seq import render_tags
-from readroute.plans.analyze import targets
 from readroute.plans.spec import Spec
+from readroute.sources.bgzf import END, opened
+
+if TYPE_CHECKING:
+    from readroute.operators.assemble import Declared
 
 _FORMATS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam"}
 
@@ -50,11 +56,13 @@ def sam_lines() -> Column:
     return F.concat_ws("\t", name, flag, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), bases, quals, tags)
 
 
-def sam_header(spec: Spec, version: str, command: str) -> list[str]:
-    """@HD, one @PG and an @RG for each target (of the pool alone if there are none)."""
+def sam_header(spec: Spec, own: Declared, version: str, command: str) -> list[str]:
+    """@HD, one @PG, an @RG for each target of a destination, and the pool's if records of no sample go there."""
     shared = "".join(f"\t{k}:{v}" for k, v in spec.rg_tags)
-    groups = [(".".join(filter(None, t)), t[0], t[1] or spec.pool) for t in targets(spec)] or [(spec.pool, spec.pool, spec.pool)]
-    return ["@HD\tVN:1.6\tSO:unsorted", f"@PG\tID:readroute\tPN:readroute\tVN:{version}\tCL:{command}", *[f"@RG\tID:{i}\tSM:{s}\tLB:{b}{shared}" for i, s, b in groups]]
+    groups = [f"@RG\tID:{'.'.join(filter(None, (s, b)))}\tSM:{s}" + (f"\tLB:{b}" if b else "") for s, b in own.targets]
+    if own.pooled or not groups:
+        groups.append(f"@RG\tID:{spec.pool}\tSM:{spec.pool}\tLB:{spec.pool}")
+    return ["@HD\tVN:1.6\tSO:unsorted", f"@PG\tID:readroute\tPN:readroute\tVN:{version}\tCL:{command}", *[g + shared for g in dict.fromkeys(groups)]]
 
 
 def kind_of(default: str) -> Column:
@@ -75,8 +83,8 @@ def folder_name(dest: str) -> str:
     return "dest=" + "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in dest)
 
 
-def write(records: DataFrame, folder: str, kind: str | None, header: Sequence[str] = (), declared: Sequence[str] | None = None, default: str = "fastq") -> None:
-    """Text parts below folder/dest=.../, sorted by fragment; the first part of SAM begins with the header.
+def write(records: DataFrame, folder: str, kind: str | None, headers: Mapping[str, Sequence[str]] | None = None, declared: Sequence[str] | None = None, default: str = "fastq") -> None:
+    """Text parts below folder/dest=.../, sorted by fragment; the first part of SAM begins with its destination's header.
 
     `kind` None: each destination's format is that of its extension, else `default`.
     Ranges of (dest, fid) are dealt to tasks, so a large destination is many parts, in
@@ -85,18 +93,31 @@ def write(records: DataFrame, folder: str, kind: str | None, header: Sequence[st
     """
     spark = records.sparkSession
     made = lines(records, kind, default)
-    if header:
-        known = spark.createDataFrame([(d,) for d in declared], "dest string") if declared is not None else records.select("dest").distinct()
-        sam = known.filter((F.lit(kind) if kind else kind_of(default)) == "sam")
-        head = F.posexplode(F.array(*[F.lit(x) for x in header])).alias("ordinal", "line")
-        made = sam.select("dest", F.lit(-1).cast("long").alias("fid"), head).unionByName(made)
+    if headers:
+        rows = [(d, k, x) for d, own in headers.items() if declared is None or d in declared for k, x in enumerate(own)]
+        known = spark.createDataFrame(rows, "dest string, ordinal int, line string").filter((F.lit(kind) if kind else kind_of(default)) == "sam")
+        made = known.select("dest", F.lit(-1).cast("long").alias("fid"), "ordinal", "line").unionByName(made)
     packed = F.col("dest").endswith(".gz")
     for gz in sorted({d.endswith(".gz") for d in declared or []} or {False}):
         own = made.filter(packed == gz) if declared and len({d.endswith(".gz") for d in declared}) > 1 else made
         dealt = own.repartitionByRange("dest", "fid").sortWithinPartitions("dest", "fid", "ordinal")
         dealt.select("dest", F.col("line").alias("value")).write.mode("append").partitionBy("dest").option("compression", "gzip" if gz else "none").text(folder)
-    if declared:
-        there = {unquote(part) for f in spark.read.text(folder).inputFiles() for part in re.findall("/(dest=[^/]*)/", unquote(f))}
-        for d in declared:
-            if unquote(folder_name(d)) not in there:
-                spark.createDataFrame([], "value string").coalesce(1).write.option("compression", "gzip" if d.endswith(".gz") else "none").text(f"{folder}/{folder_name(d)}")
+    leave_empty(spark, folder, declared or [])
+
+
+def leave_empty(spark: SparkSession, folder: str, declared: Sequence[str]) -> None:
+    """An empty part for each declared destination that has none: made as a file, or by a job where pyarrow can't write."""
+    try:
+        where, top = opened(folder)
+        there = {unquote(f.base_name) for f in where.get_file_info(fs.FileSelector(top, allow_not_found=True))}
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        where, there = None, {unquote(part) for f in spark.read.text(folder).inputFiles() for part in re.findall("/(dest=[^/]*)/", unquote(f))}
+    for d in declared:
+        if unquote(name := folder_name(d)) in there:
+            continue
+        if where is None:
+            spark.createDataFrame([], "value string").coalesce(1).write.option("compression", "gzip" if d.endswith(".gz") else "none").text(f"{folder}/{name}")
+            continue
+        where.create_dir(f"{top}/{name}", recursive=True)
+        with where.open_output_stream(f"{top}/{name}/part-00000.txt{'.gz' * d.endswith('.gz')}", compression=None) as f:
+            f.write(END if d.endswith(".gz") else b"")

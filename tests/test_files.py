@@ -83,11 +83,12 @@ def test_sinks(spark, tmp_path):
     path = write(tmp_path / "r.fq", fq(*[(f"r{i}", "ACGT"[i % 4] + "GGGG", "IABCD") for i in range(20)]))
     fragments, files, kinds = rd.open_fragments(spark, [path])
     spec = analyze(parse(groups=["g={A,C}", "g::loc=0:0:1,anchor=5p"], samples=["s1=g::A", "s2::l=g::C"], extracts=["x=0:1:end", "b=@g"], templates=["x"], tags=["BC=b"], out="%sample.fq", unassigned="un.fq", rg_tags=["PL=X"]))
-    records = Demux(fragments, spec, files).records()
+    run = Demux(fragments, spec, files)
+    records = run.records()
     assert sinks.output_format("a.fq.gz") == "fastq" and sinks.output_format("-", kinds) == "fastq" and sinks.output_format("-", ["fastq", "sam"]) == "sam"
     for kind in ("fastq", "fasta", "sam"):
         out = str(tmp_path / kind)
-        sinks.write(records, out, kind, sinks.sam_header(spec, "1", "cmd") if kind == "sam" else ())
+        sinks.write(records, out, kind, run.headers("1", "cmd") if kind == "sam" else None)
         text = {d: "\n".join(r.value for r in spark.read.text(f"{out}/dest={d}").collect()) for d in ("s1.fq", "s2.fq", "un.fq")}
         if kind == "fastq":
             assert text["s1.fq"].startswith("@r0\tBC:Z:A\tQT:Z:I\nGGGG\n+\nABCD\n@r4\t") and text["un.fq"].count("@r") == 10
@@ -95,7 +96,11 @@ def test_sinks(spark, tmp_path):
             assert text["s2.fq"].startswith(">r1\tBC:Z:C\tQT:Z:I\nGGGG\n>r5")
         else:
             assert text["s1.fq"].count("@HD") == 1 and text["s1.fq"].startswith("@HD\tVN:1.6")
-            assert "@RG\tID:s2.l\tSM:s2\tLB:l\tPL:X" in text["s1.fq"] and "r1\t4\t*\t0\t0\t*\t*\t0\t0\tGGGG\tABCD\tBC:Z:C\tQT:Z:I\tRG:Z:s2.l" in text["s2.fq"]
+            for dest, group in (("s1", "ID:s1\tSM:s1"), ("s2", "ID:s2.l\tSM:s2\tLB:l"), ("un", "ID:pool\tSM:pool\tLB:pool")):
+                assert [x for x in text[f"{dest}.fq"].split("\n") if x.startswith("@RG")] == [f"@RG\t{group}\tPL:X"]
+                own = {x.rsplit("RG:Z:", 1)[1] for x in text[f"{dest}.fq"].split("\n") if not x.startswith("@")}
+                assert own == {group.split("\t")[0].removeprefix("ID:")}
+            assert "r1\t4\t*\t0\t0\t*\t*\t0\t0\tGGGG\tABCD\tBC:Z:C\tQT:Z:I\tRG:Z:s2.l" in text["s2.fq"]
 
 
 def test_stream(spark, tmp_path):
@@ -122,6 +127,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert "error:" in capsys.readouterr().err
 
 
+def test_exit_codes(spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    from readroute.cli import main
+
+    path = write(tmp_path / "r.fq", fq(("a", "ACCC", "IIII")))
+    assert main(["--version"], spark) == 0 and "readroute" in capsys.readouterr().out
+    assert main(["--help"], spark) == 0 and "--extract" in capsys.readouterr().out
+    assert main([path, "--sample", "s=g::a", "--sample-sheet", "none.tsv"], spark) == 2
+    assert main([path, "--unknown"], spark) == 2
+    assert main([str(tmp_path / "missing.fq"), "--extract", "x=0:0:end"], spark) == 1
+    assert "failed to open" in capsys.readouterr().err
+    assert main([path, "--rg-tag", "SM=foo"], spark) == 1 and "may not set" in capsys.readouterr().err
+    assert main([path, "--rg-tag", "LONG=foo"], spark) == 1
+    monkeypatch.setattr("sys.stdin", type("S", (), {"buffer": io.BytesIO(b"@a\nAC\n+\nII\n")})())
+    assert main(["--extract", "x=0:1:end", "--template", "x"], spark) == 0
+    assert capsys.readouterr().out == "@a\nC\n+\nI\n"
+
+
 def test_standard_input_and_output(spark, tmp_path, monkeypatch, capsys):
     import io
 
@@ -143,12 +167,14 @@ def test_declared_destinations_exist(spark, tmp_path):
     spec = analyze(parse(groups=["g={A,C}", "g::loc=0:0:1,anchor=5p"], samples=["s1=g::A", "s2=g::C"], out="%sample%2Dx.sam", unassigned="un/%source.fq.gz"))
     run = Demux(fragments, spec, files, 1, kinds)
     assert run.destinations() == ["s1-x.sam", "s2-x.sam", "un/0.fq.gz"]
-    sinks.write(run.records(), str(tmp_path / "out"), None, sinks.sam_header(spec, "1", "cmd"), run.destinations())
+    sinks.write(run.records(), str(tmp_path / "out"), None, run.headers("1", "cmd"), run.destinations())
     for d in ("s1-x.sam", "s2-x.sam"):
-        assert [r.value[:3] for r in spark.read.text(f"{tmp_path}/out/{sinks.folder_name(d)}").collect()] == ["@HD", "@PG", "@RG", "@RG"]
+        assert [r.value[:3] for r in spark.read.text(f"{tmp_path}/out/{sinks.folder_name(d)}").collect()] == ["@HD", "@PG", "@RG"]
     assert [r.value for r in spark.read.text(f"{tmp_path}/out/dest=un%2F0.fq.gz").collect()] == ["@a", "GCCC", "+", "IIII"]
     nothing = Demux(fragments.limit(0), spec, files, 1, kinds)
-    sinks.write(nothing.records(), str(tmp_path / "none"), None, (), nothing.destinations())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    sinks.write(nothing.records(), str(tmp_path / "none"), None, None, nothing.destinations())
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 6
     assert spark.read.text(f"{tmp_path}/none/dest=un%2F0.fq.gz").count() == 0 and (tmp_path / "none" / "dest=s1-x.sam").is_dir()
 
 
