@@ -103,7 +103,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     for w in spec.warnings:
         log.warning(w)
     log_run(run, paths)
-    default = sinks.output_format("-", kinds)
+    default = "sam" if (default := sinks.output_format("-", kinds)) == "bam" and screen else default
     headers = run.headers(VERSION, " ".join(["readroute", *argv]))
     if screen:
         for line in [*(headers["out"] if default == "sam" else ()), *(r.line for r in sinks.lines(records.filter("dest = 'out'"), default).orderBy("fid", "ordinal").toLocalIterator())]:

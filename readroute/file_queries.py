@@ -126,3 +126,12 @@ def bgzf_file(spark, sf_dir):
     write_lines(reads.repartitionByRange("fid").sortWithinPartitions("fid").select(line.alias("value")), folder)
     back, _, _ = open_fragments(spark, [folder], per_record=True)
     return back.select(F.col("reads")[0]["name"].alias("name"), F.col("reads")[0]["bases"].alias("b1"), F.col("reads")[0]["quals"].alias("q1"), F.col("fid").alias("place"))
+
+
+@query("bam_file", "SELECT 'o' || fid AS name, substr(b1, 5) AS b1, substr(q1, 5) AS q1, b2, 'BC:Z:' || substr(b1, 1, 4) || chr(9) || 'QT:Z:' || substr(q1, 1, 4) || chr(9) || 'RG:Z:s' || CASE WHEN substr(b1, 1, 1) IN ('A', 'C') THEN '1' ELSE '2.x' END AS tags FROM r")
+def bam_file(spark, sf_dir):
+    """Pairs with tags and read groups as BAM, read back by ranges, in pairs by name."""
+    folder = _written(spark, sf_dir, "%pool.bam", "sam", **_INDEX, samples=["s1=i::A,C", "s2::x=i::G,T"], extracts=["c=0:0:4", "x=0:4:end", "y=1:0:end"], templates=["x", "y"], tags=["BC=c"])
+    back, _, _ = open_fragments(spark, [f"{folder}/dest=pool.bam"])
+    own = back.select(F.col("reads")[0].alias("r"), F.col("fid")).groupBy("r.name").agg(F.min_by("r", "fid").alias("a"), F.max_by("r", "fid").alias("b"))
+    return own.select("name", F.col("a.bases").alias("b1"), F.col("a.quals").alias("q1"), F.col("b.bases").alias("b2"), seq.render_tags(F.col("a.tags")).alias("tags"))

@@ -84,7 +84,7 @@ def body_count(spec: Spec, files: int) -> int:
 
 def parts_bodies(spec: Spec, files: int, kind: str) -> bool:
     """Whether each output read of a fragment has a destination of its own: read files hold one read a fragment."""
-    return kind != "sam" and body_count(spec, files) > 1
+    return kind not in ("sam", "bam") and body_count(spec, files) > 1
 
 
 def outputs(df: DataFrame, spec: Spec, files: int = 1, inputs: int | None = None, kind: str = "fastq") -> DataFrame:

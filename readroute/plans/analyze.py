@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import replace
 from itertools import combinations_with_replacement, product
 
-import numpy as np
-
 from readroute.functions.seq import IUPAC, degeneracy
+from readroute.plans.neartags import near_pairs
 from readroute.plans.spec import Group, Sample, Spec, SpecError, Tag, Term, _need, pattern_parts
 
 # Names of the columns of a tag table.
@@ -64,42 +63,6 @@ def tag_distance(a: str, b: str) -> int:
     return sum(not set(IUPAC[x]) & set(IUPAC[y]) for x, y in zip(a.upper(), b.upper(), strict=True))
 
 
-def near_pairs(seqs: list[str], most: int) -> Iterator[tuple[int, int, int]]:
-    """(i, j, distance) of the tags of one length with at most `most` positions that can't be the same base.
-
-    Of most + 1 pieces of the tags, such a pair agrees on one. Tags are sorted by each
-    piece in turn and meet those of the same piece only; a tag with a code for several
-    bases meets all.
-    """
-    codes = np.array([[sum(1 << "ACGT".index(x) for x in IUPAC[b]) for b in s.upper()] for s in seqs], np.uint8)
-    n, m = codes.shape
-    several = (np.bitwise_count(codes) > 1).any(1)
-    plain = np.flatnonzero(~several)
-    seen: set[tuple[int, int]] = set()
-
-    def meet(rows: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        for lo in range(0, len(rows), max(1, (1 << 22) // max(1, len(others) * m))):
-            part = rows[lo : lo + max(1, (1 << 22) // max(1, len(others) * m))]
-            apart = ((codes[part, None] & codes[None, others]) == 0).sum(2)
-            for a, b in zip(*np.nonzero(apart <= most), strict=True):
-                i, j = int(part[a]), int(others[b])
-                if i != j and (pair := (min(i, j), max(i, j))) not in seen:
-                    seen.add(pair)
-                    yield *pair, int(apart[a, b])
-
-    if several.any():
-        yield from meet(np.flatnonzero(several), np.arange(n))
-    if most >= m:  # all are near
-        yield from meet(plain, plain)
-    for piece in np.array_split(np.arange(m), most + 1) if most < m else ():
-        if len(plain) > 1:
-            key = np.ascontiguousarray(codes[plain][:, piece]).view(f"S{len(piece)}").ravel()
-            order = np.argsort(key, kind="stable")
-            for own in np.split(plain[order], np.flatnonzero(key[order][1:] != key[order][:-1]) + 1):
-                if len(own) > 1:
-                    yield from meet(own, own)
-
-
 def check_tags(group: Group, warnings: list[str]) -> None:
     for tag in group.tags:
         _need(set(tag.seq.upper()) <= set(IUPAC), f"group {group.name}: {tag.seq!r} has a symbol that is no base code")

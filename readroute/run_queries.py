@@ -14,7 +14,7 @@ from readroute.registry import BASES, HEX, QUALS, query, run, spread, synthetic
 from readroute.sources import sinks
 from readroute.sources.reads import from_columns
 from readroute.sources.scratch import scratch_path
-from readroute.streaming.routing import route_stream
+from readroute.streaming.routing import fastq_stream, reports, route_stream
 
 
 def _code(key: Column) -> Column:
@@ -135,6 +135,21 @@ def stream_routed(spark, sf_dir):
     return back.groupBy("dest").agg(F.count("*").alias("n"), F.count_distinct("bases").alias("different"))
 
 
+@query("stream_reports", f"WITH e AS (SELECT event_id, {_EVENT} AS b FROM events), t(sample) AS (VALUES ('A1'), ('C1')) SELECT 'pool' AS pool, sample, count(b) AS reads, printf('%.6f', count(b) / (SELECT count(*) FROM e)) AS frac_of_pool, printf('%.6f', CASE WHEN count(b) > 0 THEN 4 / 32 ELSE 0 END) AS frac_bases_unextracted FROM t LEFT JOIN e ON substr(b, 1, 1) || '1' = sample GROUP BY 1, 2")
+def stream_reports(spark, sf_dir):
+    """FASTQ files that come in two parts, routed by a stream that stops between them: the report of both."""
+    folder = scratch_path(spark)
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+    key = F.col("event_id")
+    line = F.concat_ws("\n", F.concat(F.lit("@"), key.cast("string")), synthetic(key, "1", BASES), F.lit("+"), synthetic(key, "q", QUALS))
+    spec = analyze(parse(groups=["i={A1=A,C1=C}", "i::loc=0:0:1,anchor=5p"], sample_from_group="i", extracts=["x=0:4:end"], templates=["x"], out="%sample.fq", unassigned="un.fq"))
+    for part in range(2):
+        e.filter(key % 2 == part).select(line.alias("value")).write.mode("append").text(f"{folder}/in")
+        stream = route_stream(fastq_stream(spark, f"{folder}/in", files_at_once=3), spec, 1, f"{folder}/out", text=True, totals=f"{folder}/totals")
+        stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return reports(spark, f"{folder}/totals", spec, 1)[0].drop("target", "sub_sample")
+
+
 @query("command_line_reports", f"WITH e AS (SELECT {_EVENT} AS b FROM events), t(sample) AS (VALUES ('A1'), ('C1'), ('G1')) SELECT 'p' AS pool, sample, count(b) AS reads, printf('%.6f', count(b) / (SELECT count(*) FROM e)) AS frac_of_pool, '0.125000' AS frac_bases_unextracted FROM t LEFT JOIN e ON substr(b, 1, 1) || '1' = sample GROUP BY 1, 2")
 def command_line_reports(spark, sf_dir):
     """A run of the command line over a FASTQ file: its per-sample report, read back."""

@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readroute.functions.seq import FRAGMENT, READ, TAG, comment_tags, first_token, mate_key, revcomp, without_alignment_tags
+from readroute.sources import bam
 from readroute.sources.bgzf import gzip_lines, is_bgzf, is_gzip
 from readroute.sources.lockstep import lockstep
 from readroute.sources.scratch import scratch_path
 
-_EXTENSIONS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam"}
+_EXTENSIONS = {"fq": "fastq", "fastq": "fastq", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "sam": "sam", "bam": "bam"}
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
@@ -56,11 +57,13 @@ def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """fastq, fasta, sam or empty, from the first line; by extension if there is none."""
+    """fastq, fasta, sam, bam or empty, from the first line; by extension if there is none."""
     first = first_lines(spark, path, 1)
     if not first:
         name = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
         return "empty" if name not in _EXTENSIONS else _EXTENSIONS[name]
+    if first[0].startswith("BAM\x01"):
+        return "bam"
     if first[0].startswith(">"):
         return "fasta"
     if re.match("@[A-Z]{2}\t", first[0]):
@@ -73,9 +76,14 @@ def sniff(spark: SparkSession, path: str) -> str:
 def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, block, at, line): the lines of a file or of a folder of parts; (file, block, first, n, offset): its blocks in order."""
     lines = _raw_lines(spark, _files(spark, path)).select("file", "block", "at", F.regexp_replace("value", "\r$", "").alias("line"))
-    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    return lines, _offsets(lines)
+
+
+def _offsets(rows: DataFrame) -> DataFrame:
+    """(file, block, first, n, offset): how many rows come before each block."""
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    return lines, blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each block
+    return blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each block
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -143,6 +151,11 @@ def in_step(spark: SparkSession, paths: Sequence[str], per: int = 1) -> DataFram
     found = lockstep(spark, [_files(spark, p) for p in paths], per)
     if found is None:
         return None
+    return fragments_of(found, paths, per)
+
+
+def fragments_of(found: DataFrame, paths: Sequence[str], per: int = 1) -> DataFrame:
+    """(fid, reads) of (fid, r0, r1, ...), the lines of records in step; one that is missing or broken fails the job."""
     whole = []
     for k in range(len(paths) * per):
         path, own = paths[k // per], F.col(f"r{k}")
@@ -174,13 +187,25 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     parts = numbered_lines(spark, path).filter("line not like '@%' and line <> ''").withColumn("f", F.split("line", "\t"))
     flag = F.col("f")[1].cast("int")
     parts = parts.filter(flag.bitwiseAND(0x900) == 0)
-    back = flag.bitwiseAND(0x10) != 0
     bases = F.when(F.col("f")[9] == "*", "").otherwise(F.col("f")[9])
     quals = F.when(F.col("f")[10] != "*", F.col("f")[10])
     fields = F.filter(F.slice("f", 12, 1 << 20), lambda x: F.length(x) > 4)
     tags = F.transform(fields, lambda x: F.struct(F.substring(x, 1, 2).alias("tag"), F.substring(x, 4, 1).alias("type"), F.substring(x, 6, 1 << 30).alias("value"))).cast(f"array<{TAG}>")
-    read = _read(F.col("f")[0], F.when(back, revcomp(bases)).otherwise(bases), F.when(back, F.reverse(quals)).otherwise(quals), without_alignment_tags(tags))
-    return parts.select("ord", read.alias("read"))
+    return parts.select("ord", _machine_read(F.col("f")[0], flag, bases, quals, tags).alias("read"))
+
+
+def _machine_read(name: Column, flag: Column, bases: Column, quals: Column, tags: Column) -> Column:
+    """A record's read in the orientation of the machine, without what describes an alignment."""
+    back = flag.bitwiseAND(0x10) != 0
+    return _read(name, F.when(back, revcomp(bases)).otherwise(bases), F.when(back, F.reverse(quals)).otherwise(quals), without_alignment_tags(tags))
+
+
+def bam_reads(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, read) of the primary records of a BAM file, by ranges of its members."""
+    found = bam.records(spark, _files(spark, path)).filter(F.col("flag").bitwiseAND(0x900) == 0)
+    ord_ = (F.col("at") - F.col("first") + F.col("offset")).alias("ord")
+    read = _machine_read(F.col("name"), F.col("flag"), F.col("bases"), F.col("quals"), F.col("tags"))
+    return found.join(F.broadcast(_offsets(bam.records(spark, _files(spark, path)))), ["file", "block"]).select(ord_, read.alias("read"))
 
 
 def reads(spark: SparkSession, path: str, kind: str | None = None) -> tuple[str, DataFrame]:
@@ -188,7 +213,7 @@ def reads(spark: SparkSession, path: str, kind: str | None = None) -> tuple[str,
     kind = kind or sniff(spark, path)
     if kind == "empty":
         return kind, spark.createDataFrame([], f"ord long, read {READ}")
-    found = {"fastq": fastq, "fasta": fasta, "sam": sam}[kind](spark, path)
+    found = {"fastq": fastq, "fasta": fasta, "sam": sam, "bam": bam_reads}[kind](spark, path)
     if kind == "fastq":
         return kind, found
     return kind, ranked(found)

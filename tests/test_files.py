@@ -114,6 +114,43 @@ def test_stream(spark, tmp_path):
     assert {r.dest: r["count"] for r in found.groupBy("dest").count().collect()} == {"s": 20, "un": 20}
 
 
+def test_stream_of_fastq_with_reports(spark, tmp_path):
+    """A stream that is stopped and goes on, with a batch run twice: records and reports are those of one run."""
+    from readroute.streaming.routing import fastq_stream, reports
+
+    spec = analyze(parse(groups=["g={a=A,c=C,t=T}", "g::loc=0:0:1,anchor=5p"], sample_from_group="g", extracts=["x=0:1:end", "y=1:0:end"], templates=["x", "y"], out="%sample.R%ordinal.fq", unassigned="un.fq"))
+    pairs = [(f"r{k}/{m}", "ACG"[k % 3] + "GGT", "IIII") for k in range(90) for m in (1, 2)]
+    (tmp_path / "in").mkdir()
+    out, totals = str(tmp_path / "out"), str(tmp_path / "totals")
+
+    def go():
+        stream = fastq_stream(spark, str(tmp_path / "in"), per=2, files_at_once=2)
+        writer = route_stream(stream, spec, 2, out, text=True, totals=totals)
+        writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(0, 6):
+        write(tmp_path / "in" / f"{k}.fq{'.gz' * (k % 2)}", fq(*pairs[30 * k : 30 * k + 30]))
+        if k == 2:
+            go()
+    go()
+    # the last batch once more, as after a failure before its commit
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    go()
+    per_sample, summary = reports(spark, totals, spec, 2)
+    whole = write(tmp_path / "all.fq", fq(*pairs))
+    fragments, files, kinds = rd.open_fragments(spark, [whole])
+    d = Demux(fragments, spec, files, 1, kinds)
+    assert [tuple(r) for r in per_sample.orderBy("target").collect()] == [tuple(r) for r in d.per_sample().orderBy("target").collect()]
+    assert summary.first() == d.summary().first()
+    for dest in d.destinations():
+        want = sorted(r.line for r in sinks.lines(d.records().filter(F.col("dest") == dest), "fastq").collect())
+        got = "".join(r.value for x in sorted((tmp_path / "out").glob(f"batch=*/dest={dest}")) for r in spark.read.text(str(x), wholetext=True).collect())
+        lines = got.split("\n")[:-1]
+        assert sorted("\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)) == want
+
+
 def test_command_line(spark, tmp_path, capsys):
     from readroute.cli import main
 

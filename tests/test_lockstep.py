@@ -71,7 +71,7 @@ def test_written_lines(spark, tmp_path):
     bad = spark.range(0, 10, 1, 2).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).alias("value"))
     with pytest.raises(Exception, match="no"):
         bgzf.write_lines(bad, str(tmp_path / "bad"))
-    assert not (tmp_path / "bad").exists() or not [*(tmp_path / "bad").iterdir()]
+    assert not (tmp_path / "bad").exists() or not [x for x in (tmp_path / "bad").iterdir() if not x.name.startswith("_")]
 
 
 def fastq(names, rng, comment=""):

@@ -100,3 +100,30 @@ def test_many_tags_in_a_run(spark):
     d = Demux(from_columns(df, F.col("fid"), (F.lit("r"), F.col("b"), F.repeat(F.lit("I"), F.length("b")))), spec, 1)
     rows = d.routed().select("fid", "sample", "c_x.bases").collect()
     assert sum(r["sample"] == tags[r.fid * 7] == r.bases for r in rows) > 190
+
+
+def test_near_pairs_by_comparing_all():
+    from readroute.plans.analyze import near_pairs, tag_distance
+
+    rng = random.Random(5)
+    for trial in range(60):
+        size, letters = rng.choice([1, 4, 8, 17, 35]), rng.choice(["ACGT", "AC", "ACGTN", "ACGTRYN"])
+        seqs = list({random_tag(rng, size, letters) for _ in range(rng.randrange(2, 60))})
+        seqs += [mutated(rng, s, 0)[:-1] + "A" for s in seqs[:10]]
+        for most in (0, 1, 2, 5, 40):
+            want = sorted((i, j, d) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if (d := tag_distance(seqs[i], seqs[j])) <= most)
+            assert sorted(near_pairs(seqs, most)) == want, (trial, most)
+
+
+def test_near_pairs_of_many_tags():
+    from readroute.plans.analyze import near_pairs
+
+    rng = np.random.default_rng(2)
+    codes = np.array(list("ACGT"))[rng.integers(0, 4, (200_000, 16))]
+    codes[:2000, 5] = "N"
+    codes[2000:2100, :8] = "N"
+    seqs = codes.view("U16").ravel().tolist()
+    seqs.append(seqs[150_000][:3] + ("A" if seqs[150_000][3] != "A" else "C") + seqs[150_000][4:])
+    began = time.time()
+    found = [*near_pairs(seqs, 2)]
+    assert time.time() - began < 60 and (150_000, 200_000, 1) in found and len(found) == len({f[:2] for f in found})

@@ -9,7 +9,7 @@ import pytest
 from readroute.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer orders events conversations documents".split()
+TABLES = "region nation customer part orders lineitem events conversations documents".split()
 
 
 @pytest.fixture(scope="module")
