@@ -58,10 +58,12 @@ class Aligned:
     sound: np.ndarray  # whether both tokenizers give back the bytes of the part
 
 
-def refined(start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """End of each token in bytes: that of its span where the span holds as many bytes as the token, else behind the tokens before it."""
+def refined(end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """End of each token in bytes: that of its span, and between ends that don't fit the bytes of the tokens, as many bytes behind the token before."""
     behind = np.cumsum(size)
-    return np.where((end == behind) & (end - start == size), end, behind)
+    off = np.flatnonzero(end != behind)
+    end[off] = behind[off]
+    return end
 
 
 def _halves(n: int) -> list[tuple[int, int]]:
@@ -120,15 +122,12 @@ class Coder:
         flat = itertools.chain.from_iterable
         n_a, n_b = [len(e) for e in a], [len(t.pieces) for t in b]
         a_ids = np.fromiter(flat(e.ids for e in a), np.int64, sum(n_a))
-        spans = np.fromiter(flat(flat(e.offsets for e in a)), np.int64, 2 * len(a_ids)).reshape(-1, 2) + np.repeat(chars[first], n_a)[:, None]
-        pieces = [p for t in b for p in t.pieces]
-        b_ids, b_start, b_end = (np.array(x, np.int64) for x in ([p.id for p in pieces], [p.begin for p in pieces], [p.end for p in pieces]))
+        a_end = np.array([hi for e in a for _, hi in e.offsets], np.int64) + np.repeat(chars[first], n_a)
+        found = [(p.id, p.end) for t in b for p in t.pieces]
+        b_ids, b_end = np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], np.int64)
         # B's spans are bytes that leave the added space of each run out
-        b_base = np.repeat(base[first], n_b)
-        head = np.zeros(len(b_ids), bool)
-        head[(np.cumsum(n_b) - n_b)[np.array(n_b) > 0]] = True
-        a_end = refined(at[spans[:, 0]], at[spans[:, 1]], self.a_size[a_ids])
-        b_end = refined(b_base + b_start + ~head, b_base + b_end + 1, self.b_size[b_ids])
+        b_end += np.repeat(base[first], n_b) + 1
+        a_end, b_end = refined(at[a_end], self.a_size[a_ids]), refined(b_end, self.b_size[b_ids])
         whole = all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
         sound = np.ones(len(parts), bool)
         if not whole:
