@@ -19,6 +19,7 @@ from readroute.operators.metrics import WARN_UNASSIGNED
 from readroute.plans.analyze import analyze
 from readroute.plans.demux import Demux
 from readroute.plans.spec import SpecError, parse, pattern_parts
+from readroute.sources import files as files_of
 from readroute.sources import reads, sinks
 
 VERSION = "0.1"
@@ -45,6 +46,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--qc-tag", nargs="?", const="ZS")
     p.add_argument("--require-samples-explain-all-tags", action="store_true")
     p.add_argument("--per-record", action="store_true")
+    p.add_argument("--single-files", action="store_true", help="one file for each destination instead of a folder of parts")
     a = p.parse_args(argv)
     if sum(map(bool, (a.sample, a.sample_sheet, a.sample_from_group))) > 1:
         p.error("--sample, --sample-sheet and --sample-from-group exclude each other")
@@ -109,7 +111,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         for line in [*(headers["out"] if default == "sam" else ()), *(r.line for r in sinks.lines(records.filter("dest = 'out'"), default).orderBy("fid", "ordinal").toLocalIterator())]:
             print(line)
         records = records.filter("dest <> 'out'")
-    if a.out:
+    if a.out and a.single_files:
+        files_of.write_files(records, a.out, headers, run.destinations(), default)
+    elif a.out:
         sinks.write(records, a.out, None, headers, run.destinations(), default)
     if not named:
         return 0

@@ -305,7 +305,7 @@ def open_fragments(spark: SparkSession, paths: Sequence[str], per_record: bool =
     if len(with_quals) > 1:
         raise ValueError("FASTA has no qualities and can't go with other formats")
     pairs = len(paths) == 1 and kinds[0] in ("fastq", "fasta") and not per_record and looks_interleaved(spark, paths[0], kinds[0])
-    if set(kinds) == {"fastq"} and (pairs or len(paths) > 1):
+    if set(kinds) == {"fastq"}:
         found = in_step(spark, paths, 2 if pairs else 1)
         if found is not None:
             return found, 2 if pairs else len(paths), kinds
