@@ -36,8 +36,8 @@ def _as(docs: DataFrame, keyed: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, each row by its own text.
 
-    A null or empty text has no words and goes. Rows alike in text, language and source
-    have one verdict. All columns pass.
+    A null or empty text has no words and goes; texts of any length are measured whole.
+    Rows alike in text, language and source have one verdict. All columns pass.
     """
     keyed = with_key(docs)
     judged = quality(keyed.withColumn("key", F.struct(*KEY)), "key", *[_column(docs, c) for c in ("text", "lang", "source")])
@@ -61,7 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near-duplicates, the one of least id; of rows alike one.
 
     A null id is the least only if the class has no other. Texts without a word are a
-    class each and stay, but one of rows alike.
+    class each and stay, but one of rows alike; texts of any length are compared whole.
+    Rows that differ in nothing but columns of maps count as alike.
     """
     keyed = with_key(docs)
     joined = ngram_join(keyed, "k1", _column(docs, "text")).groupBy("k1").agg(F.min("component_id").alias("class"))
@@ -72,14 +73,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage, each row by its own text; null and empty texts stay."""
+    """Documents without a benchmark passage, each row by its own text; null and empty texts stay, texts of any length are searched whole."""
     keyed = with_key(docs)
     found = leaks(keyed.withColumn("key", F.struct(*KEY)), load(spark, sf_dir, "benchmark"), id_col="key", text_col=_column(docs, "text"))
     return _as(docs, _only(keyed, found.select("key.*").distinct(), "left_anti"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens and digests of each document, one row for each; a null text is empty."""
+    """Tokens and digests of each document, one row for each; a null text is empty, one of any length is encoded whole. Other columns go."""
     return bpe(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
