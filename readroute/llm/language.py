@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     model's rejection score. Of languages of equal probability the first by name is
     predicted. Texts of any length are read whole. One row for each input row, repeated
     ids included; other columns are not read, whatever their names.
+    A text with a letter but under three bytes has no subword: the languages' shares decide.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

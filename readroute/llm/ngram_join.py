@@ -402,7 +402,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component_id: least id reachable by links, itself included; a null id is never the
     least unless all are null. Rows of one id are each joined by their own text. Texts of
     any length are read whole; other columns are not read, whatever their names.
-    Shingles and sets are told apart by 64-bit hashes.
+    Ids are whole numbers, or texts of such; others fail. Shingles and sets are told apart by 64-bit hashes.
     """
     picked = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("h"))
     sized = materialize(picked.mapInArrow(_sets, "id long, h long, n long, sid long"))

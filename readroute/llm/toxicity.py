@@ -4,7 +4,8 @@ y = w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms present in a
 the factors let a pair weigh more than its parts, as an insult next to a group does.
 Trained in numpy on the driver by mini-batches with adaptive steps, from a bounded
 sample of labelled texts; every term bucket of the sample takes part, rare ones with
-small steps. A held-back slice turns the machine's value into a probability.
+small steps. A held-back slice of the sample chooses how small, and turns the machine's
+value into a probability.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from readroute.llm.common import NOT_TERM, bounded_sample, pick, text_chunks, wo
 
 HASH_BITS = 18
 FACTORS = 8
-#: Squared gradients that each weight has behind it at the start: bounds the steps of rare terms.
-CALM = 0.1
+#: Squared gradients that each weight has behind it at the start, which bound the steps of rare terms: the one of least loss on the held-back slice is taken.
+CALM = (0.01, 0.1, 1.0)
+#: Texts of a mini-batch.
+BATCH = 64
 #: Most labelled texts that the machine is fitted on.
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -53,9 +56,31 @@ def present_terms(data: np.ndarray, offsets: np.ndarray, place: np.ndarray | Non
     return pairs // width, pairs % width
 
 
-def value(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    xv = x @ v
-    return w0 + x @ w + 0.5 * (xv**2 - x @ v**2).sum(1), xv
+@dataclass
+class Batch:
+    """Texts as flat (text, feature) entries; features are numbered within the batch."""
+
+    which: np.ndarray
+    text: np.ndarray
+    bounds: np.ndarray
+    own: np.ndarray
+    at: np.ndarray
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the entries of each text."""
+        total = np.zeros((len(x) + 1, *x.shape[1:]))
+        np.cumsum(x, axis=0, out=total[1:])
+        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+
+    def value(self, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each text, sum of its factors)."""
+        own = v[self.own]
+        xv = self.sums(own[self.at])
+        square = (own**2).sum(1)
+        return w0 + self.sums(w[self.own][self.at]) + 0.5 * ((xv**2).sum(1) - self.sums(square[self.at])), xv
+
+    def by_feature(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, x, len(self.own))
 
 
 def _sigmoid(y: np.ndarray) -> np.ndarray:
@@ -83,50 +108,68 @@ def train(rows: list[tuple[int, np.ndarray, float]], epochs: int = 15, rate: flo
     terms = np.flatnonzero(seen.sum(0))
     place[terms] = np.arange(len(terms))
 
-    def batch(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, their features): only the columns that these rows have."""
-        size = [len(rows[i][1]) for i in which]
-        met = place[np.concatenate([rows[i][1] for i in which])] if len(which) else place[:0]
-        text, met = np.repeat(np.arange(len(which)), size)[met >= 0], met[met >= 0]
-        own, at = np.unique(met, return_inverse=True)
-        x = np.zeros((len(which), len(own)))
-        x[text, at] = 1
-        return x, own
+    def batch(which: np.ndarray) -> Batch:
+        """Only the features that these texts have."""
+        lists = [place[rows[i][1]] for i in which]
+        lists = [x[x >= 0] for x in lists]
+        bounds = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int64)
+        own, at = np.unique(np.concatenate([place[:0], *lists]), return_inverse=True)
+        return Batch(which, np.repeat(np.arange(len(which)), np.diff(bounds)), bounds, own, at)
 
     # linear weights begin at the terms' log odds, less where these are not sure
     odds = np.log((seen[1, terms] + 0.5) / (n1 + 1)) - np.log((seen[0, terms] + 0.5) / (n0 + 1))
     sure = z[terms] ** 2 / (z[terms] ** 2 + SURE**2)
-    w0, w, v = float(np.log(n1 / n0)), odds * sure, rng.normal(0, 0.01, (len(terms), FACTORS))
-    g0, gw, gv = 1e-6, np.full(len(terms), CALM), np.full(v.shape, CALM)
-    for _ in range(epochs):
-        rng.shuffle(fit)
-        for k in range(0, len(fit), 64):
-            which = fit[k : k + 64]
-            x, own = batch(which)
-            y, xv = value(x, w0, w[own], v[own])
-            off = (_sigmoid(y) - label[which]) * weight[which] / len(which)
-            d0, dw = off.sum(), x.T @ off + decay * w[own]
-            dv = x.T @ (off[:, None] * xv) - v[own] * (x.T @ off)[:, None] + decay * v[own]  # x is 0 or 1
-            g0 += d0**2
-            gw[own] += dw**2
-            gv[own] += dv**2
-            w0 -= rate * d0 / np.sqrt(g0)
-            w[own] -= rate * dw / np.sqrt(gw[own])
-            v[own] -= rate * dv / np.sqrt(gv[own])
-    # probability: a logistic curve over the held-back values, by Newton steps
+    first = rng.normal(0, 0.01, (len(terms), FACTORS))
+    batches = [batch(fit[k : k + BATCH]) for k in range(0, len(fit), BATCH)]
     which = held if len(set(label[held])) == 2 else order
-    met = (batch(which[k : k + 256]) for k in range(0, len(which), 256))
-    y = np.concatenate([value(x, w0, w[own], v[own])[0] for x, own in met])
+    apart = [batch(which[k : k + 256]) for k in range(0, len(which), 256)]
+
+    def fitted(calm: float) -> tuple[float, np.ndarray, np.ndarray]:
+        w0, w, v = float(np.log(n1 / n0)), odds * sure, first.copy()
+        g0, gw, gv = 1e-6, np.full(len(terms), calm), np.full(v.shape, calm)
+        turns = np.random.default_rng(seed)
+        for _ in range(epochs):
+            for k in turns.permutation(len(batches)):
+                b = batches[k]
+                y, xv = b.value(w0, w, v)
+                off = (_sigmoid(y) - label[b.which]) * weight[b.which] / len(b.which)
+                each = b.by_feature(off[b.text])
+                d0, dw = off.sum(), each + decay * w[b.own]
+                pull = off[:, None] * xv
+                dv = np.stack([b.by_feature(pull[b.text, f]) for f in range(FACTORS)], 1) - v[b.own] * each[:, None] + decay * v[b.own]  # x is 0 or 1
+                g0 += d0**2
+                gw[b.own] += dw**2
+                gv[b.own] += dv**2
+                w0 -= rate * d0 / np.sqrt(g0)
+                w[b.own] -= rate * dw / np.sqrt(gw[b.own])
+                v[b.own] -= rate * dv / np.sqrt(gv[b.own])
+        return w0, w, v
+
+    def held_values(machine: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.concatenate([b.value(*machine)[0] for b in apart])
+
+    def loss(y: np.ndarray) -> float:
+        """Log loss of the held-back texts under the best logistic curve of their values."""
+        line = _curve(y, label[which], weight[which])
+        p = np.clip(_sigmoid(np.clip(y, -30, 30) * line[0] + line[1]), 1e-9, 1 - 1e-9)
+        return float(-(weight[which] * (label[which] * np.log(p) + (1 - label[which]) * np.log(1 - p))).sum())
+
+    found = [fitted(c) for c in CALM]
+    w0, w, v = min(found, key=lambda m: loss(held_values(m)))
+    line = _curve(held_values((w0, w, v)), label[which], weight[which])
+    return Machine(place, float(w0), w, v, float(line[0]), float(line[1]))
+
+
+def _curve(y: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(scale, shift) of a logistic curve over values, by Newton steps."""
     top = np.stack([np.clip(y, -30, 30), np.ones(len(y))], 1)
     line = np.array([1.0, 0.0])
-    target = label[which] * 0.998 + 0.001
+    target = label * 0.998 + 0.001
     for _ in range(30):
         p = _sigmoid(top @ line)
-        curve = top.T @ (top * (weight[which] * p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
-        line = line - np.linalg.solve(curve, top.T @ (weight[which] * (p - target)) + 1e-3 * (line - [1.0, 0.0]))
-    if not np.isfinite(line).all() or line[0] <= 0:
-        line = np.array([1.0, 0.0])
-    return Machine(place, float(w0), w, v, float(line[0]), float(line[1]))
+        curve = top.T @ (top * (weight * p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
+        line = line - np.linalg.solve(curve, top.T @ (weight * (p - target)) + 1e-3 * (line - [1.0, 0.0]))
+    return line if np.isfinite(line).all() and line[0] > 0 else np.array([1.0, 0.0])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Machine:

@@ -3,8 +3,8 @@
 A host is cut into words by unigram Viterbi: of all ways to split its letter runs, the
 one of highest probability under the word counts of the pages' own texts. Multinomial
 naive Bayes over the words of host and path, hashed into a table of fixed size, learns
-from the pages that the rules decide, and from hosts with a seed word, and judges the
-rest.
+from the pages that the rules decide (and from hosts with a seed word, if any are given),
+and judges the rest.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from readroute.llm.common import materialize, pick
 
 #: (verdict, host and path): a rule holds for the host and all below it.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Words that make a host a block example where no rule decides.
+#: Words that may be given as `seeds`: they make a host a block example where no rule decides.
 SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
 #: Longest known word that segmentation looks up, in letters: a label of a host name has no more (fixed by DNS).
 LONGEST = 63
@@ -125,7 +125,7 @@ def bayes(examples: DataFrame) -> np.ndarray:
     return np.append(odds, math.log(rows[True] / rows[False]))
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = SEEDS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", longest: int = LONGEST) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, seeds: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url", html_col: str = "html", longest: int = LONGEST) -> DataFrame:
     """(id, host, path, rule, verdict, score, host_words) of each page.
 
     score is naive Bayes' log odds of block; the verdict is the rule's if one fits,

@@ -3,10 +3,29 @@ import random
 import numpy as np
 
 from readroute.llm.common import split_key
-from readroute.llm.toxicity import FACTORS, Machine, learn, present_terms, toxicity, train, value
+from readroute.llm.toxicity import FACTORS, Batch, Machine, learn, present_terms, toxicity, train
 from pyspark.sql import functions as F
 
 
+def value(x, w0, w, v):
+    """The machine's value of dense rows, and their sums of factors."""
+    xv = x @ v
+    return w0 + x @ w + 0.5 * (xv**2 - x @ v**2).sum(1), xv
+
+
+def test_flat_batches_have_the_values_of_dense_rows():
+    rng = np.random.default_rng(4)
+    x = (rng.random((9, 30)) < 0.2).astype(float)
+    x[3] = 0
+    w, v = rng.normal(size=30), rng.normal(size=(30, FACTORS))
+    text, term = np.nonzero(x)
+    own, at = np.unique(term, return_inverse=True)
+    b = Batch(np.arange(9), text, np.searchsorted(text, np.arange(10)), own, at)
+    for got, want in zip(b.value(0.3, w, v), value(x, 0.3, w, v)):
+        assert np.allclose(got, want)
+    assert np.allclose(b.by_feature(np.ones(len(at))), x.sum(0)[own])
+
+
 def tables(spark, n=900):
     """Toxic only where an insult meets a group: neither word alone tells."""
     rng, docs, labels = random.Random(4), [], []

@@ -1,7 +1,7 @@
 import itertools
 import math
 
-from readroute.llm.url_filter import RULES, segment, url_filter
+from readroute.llm.url_filter import RULES, SEEDS, segment, url_filter
 
 URLS = [
     "http://a.example.com/en/7?x", "https://A.Example.COM/en/8#/x", "com/en/", None, "", "http://com/en/", "http://com", "x://net/de/8", "x://example.net/de/8",
@@ -31,7 +31,7 @@ def ruled(host, path):
 
 def test_rules_and_parts(spark):
     pages = spark.createDataFrame([*enumerate(URLS), (3, URLS[0]), (None, URLS[1])], "page_id long, url string").selectExpr("*", "'<p>good words farm</p>' as html", "1 as id", "2 as host", "'x' as verdict", "3 as HTML", "4 as words")
-    rows = url_filter(pages).collect()
+    rows = url_filter(pages, seeds=SEEDS).collect()
     assert len(rows) == len(URLS) + 2
     urls = dict(enumerate(URLS))
     for r in rows:
@@ -81,3 +81,14 @@ def test_long_words_and_runs(spark):
     assert segment("q" * 5000, counts, 100) == ["q" * 5000]
     pages = spark.createDataFrame([(1, f"http://the{long}.io/", f"{long} the the"), (2, "http://the.the/", None), (3, "http://1.2/", "")], "page_id long, url string, html string")
     assert {r.page_id: r.host_words for r in url_filter(pages).collect()} == {1: ["the", long, "io"], 2: ["the", "the"], 3: []}
+
+
+def test_rules_alone_teach_by_default_and_empty_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert url_filter(spark.createDataFrame([], schema)).count() == 0
+    pages = [(k, f"http://bad{k}.com/en/win-prize-{k}", "<p>win prize bad good news</p>") for k in range(20)] + [(50 + k, f"http://good{k}.net/de/news-{k}", "<p>good news</p>") for k in range(20)]
+    pages += [(100, "http://spam.io/win-prize", ""), (101, "http://spam.io/news", ""), (102, "http://spam.io/", None)]
+    rows = {r.page_id: r for r in url_filter(spark.createDataFrame(pages, schema)).collect()}
+    assert rows[100].verdict == "block" and rows[101].verdict == "allow" and rows[102].verdict == "allow"
+    seeded = {r.page_id: r for r in url_filter(spark.createDataFrame(pages, schema), seeds=SEEDS).collect()}
+    assert seeded[102].verdict == "block" and seeded[102].score > rows[102].score
