@@ -133,3 +133,10 @@ def test_small_memory(docs_of, prose, libraries, monkeypatch):
             assert [fresh.groups[k] for k in again] == known.groups
     want = [len(f[0]) if (f := tokens_of(t, libraries)) else 0 for t in texts]
     assert seen == want
+
+
+def test_counts_from_distinct_parts_are_those_from_texts(docs_of, prose):
+    docs = docs_of([*ODD, *[prose(60, k % 3) for k in range(6)]]).selectExpr("doc_id as id", "text").repartition(3)
+    one = {(r.pair, r.n, r.best) for r in ta.pair_counts(docs, A, B).collect()}
+    two = {(r.pair, r.n, r.best) for r in ta.distinct_pair_counts(docs, A, B).collect()}
+    assert one == {r for r in two if r[0] >= 0} and {r[:2] for r in two if r[0] < 0} <= {(-1, 0)} and len(one) > 200
