@@ -25,6 +25,16 @@ READ = f"struct<name:string,bases:string,quals:string,tags:array<{TAG}>>"
 FRAGMENT = f"fid long, reads array<{READ}>"
 
 
+def column_name(kind: str, name: str) -> str:
+    """The column of a group or stream; names that differ in case alone have columns that Spark tells apart."""
+    upper = sum(1 << k for k, c in enumerate(name) if c.isupper())
+    return f"{kind}_{name}" + f"~{upper:x}" * bool(upper)
+
+
+def column(kind: str, name: str) -> Column:
+    return F.col(f"`{column_name(kind, name)}`")
+
+
 def revcomp_text(bases: str) -> str:
     return bases.translate(str.maketrans(_FROM, _TO))[::-1]
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.functions.seq import READ, TAG, overlay_tags, revcomp
+from readroute.functions.seq import READ, TAG, column, overlay_tags, revcomp
 from readroute.operators.qc import qc_json
 from readroute.plans.analyze import BIN_PLACES, OUT_PLACES, targets
 from readroute.plans.spec import Spec, TagRule, Template, Use, pattern_parts
@@ -15,9 +15,9 @@ from readroute.plans.spec import Spec, TagRule, Template, Use, pattern_parts
 
 def piece(use: Use, raw: bool) -> tuple[Column, Column, Column]:
     """(present, bases, quals) of a stream as used."""
-    s = F.col(f"{'s' if raw else 'c'}_{use.stream}")
+    s = column("s" if raw else "c", use.stream)
     bases, quals = (revcomp(s["bases"]), F.reverse(s["quals"])) if use.reverse else (s["bases"], s["quals"])
-    return F.col(f"s_{use.stream}").isNotNull(), bases, quals
+    return column("s", use.stream).isNotNull(), bases, quals
 
 
 def body(template: Template) -> Column:

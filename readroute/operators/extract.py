@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.functions.seq import cut, endpoint, fit_quals
+from readroute.functions.seq import column, column_name, cut, endpoint, fit_quals
 from readroute.plans.spec import Group, Span, Spec
 
 #: Rows of a table of tags or combinations up to which it is broadcast; a larger one is joined by key.
@@ -22,16 +22,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def tag_text(group: Group) -> Column:
     """The declared sequence of the tag that a group matched."""
     if len(group.tags) > LITERAL_TAGS:
-        return F.col(f"tag_{group.name}")
-    return F.try_element_at(F.array(*[F.lit(t.seq) for t in group.tags]), F.col(f"hit_{group.name}")["tag_idx"] + 1)
+        return column("tag", group.name)
+    return F.try_element_at(F.array(*[F.lit(t.seq) for t in group.tags]), column("hit", group.name)["tag_idx"] + 1)
 
 
 def with_tag_texts(df: DataFrame, spec: Spec) -> DataFrame:
     """Adds `tag_<group>`, the tag's sequence, for the groups of many tags."""
     for g in spec.groups:
         if len(g.tags) > LITERAL_TAGS:
-            known = df.sparkSession.createDataFrame([(i, t.seq) for i, t in enumerate(g.tags)], f"_tag int, `tag_{g.name}` string")
-            df = df.withColumn("_tag", F.col(f"hit_{g.name}")["tag_idx"]).join(small(known, len(g.tags)), "_tag", "left").drop("_tag")
+            known = df.sparkSession.createDataFrame([(i, t.seq) for i, t in enumerate(g.tags)], f"_tag int, `{column_name('tag', g.name)}` string")
+            df = df.withColumn("_tag", column("hit", g.name)["tag_idx"]).join(small(known, len(g.tags)), "_tag", "left").drop("_tag")
     return df
 
 
@@ -46,7 +46,7 @@ def bounds(span: Span) -> tuple[Column, Column, Column]:
         length = F.length(F.try_element_at("reads", F.lit(span.file + 1))["bases"])
         start = endpoint(span.start, length)
         return F.lit(span.file), start, F.greatest(start, endpoint(span.end, length))
-    hit = F.col(f"hit_{span.group}")
+    hit = column("hit", span.group)
     file = hit["file"]
     if span.kind == "match":
         return file, hit["start"], hit["end"]
@@ -59,7 +59,7 @@ def bounds(span: Span) -> tuple[Column, Column, Column]:
         end = F.greatest(hit["start"] - span.offset, F.lit(0))
         start = F.lit(0) if span.length is None else F.greatest(end - span.length, F.lit(0))
         return file, F.when(hit.isNotNull(), start), end
-    other = F.col(f"hit_{span.other}")
+    other = column("hit", span.other)
     wrong = (hit["file"] != other["file"]) | (hit["end"] > other["start"])
     start = F.when(wrong, F.raise_error(F.concat(F.lit(f"@{span.group}..@{span.other} is out of order in fragment "), F.col("fid").cast("string"))).cast("int")).otherwise(hit["end"])
     return file, F.when(hit.isNotNull() & other.isNotNull(), start), other["start"]
@@ -78,7 +78,7 @@ def corrected(span: Span, spec: Spec) -> Column | None:
     """The declared tag instead of a group's own observed bases; qualities are fitted to it."""
     if span.kind != "match":
         return None
-    hit = F.col(f"hit_{span.group}")
+    hit = column("hit", span.group)
     bases = tag_text(spec.group(span.group))
     quals = _of(hit["file"], hit["start"], hit["end"])["quals"]
     return F.when(hit.isNotNull(), F.struct(bases.alias("bases"), fit_quals(F.when(hit["strand"] == 1, F.reverse(quals)).otherwise(quals), F.length(bases)).alias("quals")))
@@ -90,9 +90,9 @@ def extract(df: DataFrame, spec: Spec) -> DataFrame:
         df = with_tag_texts(df, spec)
     columns = {}
     for name, span in spec.extracts:
-        columns[f"s_{name}"] = stream(span)
+        columns[column_name("s", name)] = stream(span)
         own = corrected(span, spec)
-        columns[f"c_{name}"] = columns[f"s_{name}"] if own is None else own
+        columns[column_name("c", name)] = columns[column_name("s", name)] if own is None else own
     return df.withColumns(columns) if columns else df
 
 

@@ -12,7 +12,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readroute.functions.seq import IUPAC, cut, endpoint, mask_no_call
+from readroute.functions.seq import IUPAC, column, column_name, cut, endpoint, mask_no_call
 from readroute.operators.align import HIT, search_column
 from readroute.operators.extract import stream
 from readroute.plans.analyze import upstream
@@ -32,7 +32,7 @@ def window(group: Group) -> tuple[Column, Column, Column] | None:
     """(file, start, end) of a group's one window; null start if there is none."""
     if group.window_from:
         name, lo, hi = group.window_from
-        up = F.col(f"hit_{name}")
+        up = column("hit", name)
         length = F.length(F.coalesce(F.try_element_at("reads", up["file"] + 1)["bases"], F.lit("")))
         start, end = F.least(up["end"] + lo, length), F.least(up["end"] + hi, length)
         return up["file"], start, end
@@ -129,7 +129,7 @@ def anchored_by_join(df: DataFrame, group: Group, at: tuple[Column, Column, Colu
         df = df.withColumn(key, F.when(fits, mask_no_call(cut(text, first, first + n)))).join(table, key, "left")
         parts.append(_at_place(F.coalesce(hits, F.array().cast(_OWN)), file, first.cast("int"), n))
         made += [key, hits]
-    return df.withColumn(f"acc_{group.name}", F.array_sort(F.concat(*parts).cast(f"array<{HIT}>"))).drop(*made)
+    return df.withColumn(column_name("acc", group.name), F.array_sort(F.concat(*parts).cast(f"array<{HIT}>"))).drop(*made)
 
 
 def exact_places(text: Column, tag: str, index: int) -> Column:
@@ -156,7 +156,7 @@ def searched(text: Column, group: Group) -> Column:
 
 
 def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
-    name, none = f"acc_{group.name}", F.array().cast(f"array<{HIT}>")
+    name, none = column_name("acc", group.name), F.array().cast(f"array<{HIT}>")
     if group.match:
         streams = [stream(dict(spec.extracts)[s]) for s in group.match]
         joined = F.concat(*[s["bases"] for s in streams])
@@ -178,14 +178,14 @@ def accepted(df: DataFrame, group: Group, spec: Spec, files: int) -> DataFrame:
         df = df.withColumn(name, F.array_sort(F.concat(*[F.coalesce(x, none) for x in found])))
     needs = upstream(group, spec)
     if needs:
-        met = reduce(lambda a, b: a & b, [F.col(f"hit_{u}").isNotNull() for u in needs])
-        df = df.withColumn(name, F.when(met, F.col(name)).otherwise(none))
+        met = reduce(lambda a, b: a & b, [column("hit", u).isNotNull() for u in needs])
+        df = df.withColumn(name, F.when(met, column("acc", group.name)).otherwise(none))
     return df
 
 
 def best(group: Group) -> Column:
     """The least match; with mode=nearest and delta, only if no other tag comes near it."""
-    found = F.col(f"acc_{group.name}")
+    found = column("acc", group.name)
     first = F.array_min(found)
     if group.nearest and group.delta:
         other = F.array_min(F.filter(found, lambda x: x["tag_idx"] != first["tag_idx"]))
@@ -199,7 +199,7 @@ LIMIT_NAMES = {"minFindsPerGroup": "min_finds_per_group", "maxFindsPerGroup": "m
 
 def find_failure(group: Group) -> Column | None:
     """The first find limit that the accepted matches break, as a struct; null if none."""
-    found = F.col(f"acc_{group.name}")
+    found = column("acc", group.name)
     size = F.size(found)
 
     def fails(name: str, count: Column) -> Column:
@@ -238,7 +238,7 @@ def match_groups(df: DataFrame, spec: Spec, files: int) -> DataFrame:
         df = accepted(df, group, spec, files)
         broken = find_failure(group)
         going = F.col("failure").isNull()
-        df = df.withColumn(f"hit_{group.name}", F.when(going, best(group)))
+        df = df.withColumn(column_name("hit", group.name), F.when(going, best(group)))
         if broken is not None:
             df = df.withColumn("failure", F.coalesce("failure", broken.cast(FAILURE)))
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readroute.functions.seq import cut
+from readroute.functions.seq import column, cut
 from readroute.operators.extract import tag_text
 from readroute.plans.spec import Group, Spec
 
@@ -17,7 +17,7 @@ def _text(value: Column) -> Column:
 
 def group_object(group: Group) -> Column:
     """A matched group: tag, place and observed bases (if it has a place), edits, strand."""
-    hit = F.col(f"hit_{group.name}")
+    hit = column("hit", group.name)
     tag = tag_text(group)
     observed = cut(F.try_element_at("reads", hit["file"] + 1)["bases"], hit["start"], hit["end"])
     place = F.when(hit["file"] >= 0, F.concat(F.lit(',"loc":"'), F.concat_ws(":", hit["file"], hit["start"], hit["end"]), F.lit('","obs":"'), observed, F.lit('"'))).otherwise("")

@@ -15,6 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readroute.functions.seq import column
 from readroute.operators.extract import small
 from readroute.plans.analyze import resolver, targets
 from readroute.plans.spec import Spec, Term
@@ -24,7 +25,7 @@ ROUTE = "struct<target:int,sample:string,sub_sample:string>"
 
 def satisfied(term: Term, spec: Spec) -> Column:
     """The term's group matched, by one of its members if it names any."""
-    hit = F.col(f"hit_{term.group}")
+    hit = column("hit", term.group)
     if not term.members:
         return hit.isNotNull()
     place = resolver(spec.group(term.group))
@@ -84,13 +85,13 @@ def with_route(df: DataFrame, spec: Spec) -> DataFrame:
         # a fragment without a match has a null key, which joins with nothing
         classes, keys = table.classes(), []
         for k, (group, own) in enumerate(zip(table.named, classes, strict=True)):
-            key, tag = f"_k{n}_{k}", F.col(f"hit_{group}")["tag_idx"]
+            key, tag = f"_k{n}_{k}", column("hit", group)["tag_idx"]
             if all(t == c for t, c in own.items()):
                 df = df.withColumn(key, tag)
             else:
                 df = df.withColumn(f"{key}t", tag).join(small(spark.createDataFrame(list(own.items()), f"{key}t int, {key} int"), len(own)), f"{key}t", "left").drop(f"{key}t")
             keys.append(key)
-        met = reduce(lambda a, b: a & b, [F.col(f"hit_{g}").isNotNull() for g in table.open_], F.lit(True))
+        met = reduce(lambda a, b: a & b, [column("hit", g).isNotNull() for g in table.open_], F.lit(True))
         if not keys:
             first = min(t for t, _ in table.samples)
             found.append(F.when(met, F.struct(F.lit(first).alias("target"), F.lit(names[first][0]).alias("sample"), F.lit(names[first][1]).cast("string").alias("sub_sample")).cast(ROUTE)))
@@ -117,7 +118,7 @@ def route(df: DataFrame, spec: Spec) -> DataFrame:
     needed = list(dict.fromkeys(u.stream for t in spec.templates for u in t.uses))
     missing: Column = F.lit(None).cast("string")
     for name in reversed(needed):
-        missing = F.when(F.col(f"s_{name}").isNull(), F.lit(name)).otherwise(missing)
+        missing = F.when(column("s", name).isNull(), F.lit(name)).otherwise(missing)
     df = with_route(df, spec).withColumns({"removal": F.when(~broken, removal), "missing": missing})
     gone, lacks = F.col("removal").isNotNull(), F.col("missing").isNotNull()
     sampled = bool(spec.samples)

@@ -230,3 +230,13 @@ def test_exact_search_by_columns_is_the_approximate_one(spark, monkeypatch):
     found = df.select("fid", match.searched(F.col("b"), group).alias("a"), align.search_column(F.col("b"), group).alias("c")).orderBy("fid").collect()
     assert match.overlaps_itself("ACGA") and not any(match.overlaps_itself(t.seq) for t in group.tags)
     assert [r.a for r in found] == [r.c for r in found] and sum(len(r.a or []) for r in found) > 100
+
+
+def test_names_with_dots_hyphens_and_case(go):
+    """Groups and streams whose names Spark would read as fields, or take for one another."""
+    tags = ",".join("".join("ACGT"[k >> (2 * i) & 3] for i in range(4)) for k in range(80))
+    d = go(["ACGTAAAA", "TCGTAAAA", "GGGGCCCC"], groups=["a.b={A,C}", "a.b::loc=0:0:1,anchor=5p", "A.b={T}", "A.b::loc=0:0:1,anchor=5p", "x-y={" + tags + "}", "x-y::loc=0:4:8,anchor=5p,prev=a.b"], extracts=["s.1=@a.b", "S.1=@A.b", "t-2=@x-y", "rest=0:4:end"], templates=["rest"], tags=["CB=s.1+t-2", "XA=S.1"], samples=["one=a.b::A+x-y", "two=A.b"], qc_tag="ZS")
+    rows = d.records().orderBy("fid").collect()
+    assert [r.read_group for r in rows] == ["one", "two"]
+    assert [{t.tag: t.value for t in r.tags if t.tag != "ZS"} for r in rows[:2]] == [{"CB": "A-AAAA", "CY": "I IIII"}, {"XA": "T"}]
+    assert [t.value for t in rows[0].tags if t.tag == "ZS"][0].count('"g":') == 2
