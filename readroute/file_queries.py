@@ -138,7 +138,7 @@ def bam_file(spark, sf_dir):
     return own.select("name", F.col("a.bases").alias("b1"), F.col("a.quals").alias("q1"), F.col("b.bases").alias("b2"), seq.render_tags(F.col("a.tags")).alias("tags"))
 
 
-@query("single_files", "WITH k AS (SELECT fid, CASE substr(b1, 1, 1) WHEN 'A' THEN 's1.fq.gz' WHEN 'C' THEN 's2.fq.gz' ELSE 'un.bam' END AS dest, b1, b2 FROM r), o AS (SELECT dest, fid, CASE WHEN dest = 'un.bam' THEN b1 ELSE substr(b1, 5) END AS b, 1 AS k FROM k UNION ALL SELECT dest, fid, b2, 2 FROM k WHERE dest = 'un.bam') SELECT dest, row_number() OVER (PARTITION BY dest ORDER BY fid, k) - 1 AS place, b AS bases FROM o")
+@query("single_files", ", k AS (SELECT fid, CASE substr(b1, 1, 1) WHEN 'A' THEN 's1.fq.gz' WHEN 'C' THEN 's2.fq.gz' ELSE 'un.bam' END AS dest, b1, b2 FROM r), o AS (SELECT dest, fid, CASE WHEN dest = 'un.bam' THEN b1 ELSE substr(b1, 5) END AS b, 1 AS k FROM k UNION ALL SELECT dest, fid, b2, 2 FROM k WHERE dest = 'un.bam') SELECT dest, row_number() OVER (PARTITION BY dest ORDER BY fid, k) - 1 AS place, b AS bases FROM o")
 def single_files(spark, sf_dir):
     """One file for each destination, BGZF and BAM, in the order of fragments: every record and its place."""
     d = run(spark, sf_dir, **_INDEX, samples=["s1=i::A", "s2=i::C"], extracts=["x=0:4:end"], templates=["x"], out="%sample.fq.gz", unassigned="un.bam")

@@ -101,7 +101,7 @@ def without_alignment_tags(tags: Column) -> Column:
 
 def overlay_tags(below: Column, above: Column) -> Column:
     """Tags of `below` with those of `above` put in their place or added."""
-    kept = F.transform(below, lambda b: F.coalesce(F.element_at(F.filter(above, lambda a: a["tag"] == b["tag"]), -1), b))
+    kept = F.transform(below, lambda b: F.coalesce(F.try_element_at(F.filter(above, lambda a: a["tag"] == b["tag"]), F.lit(-1)), b))
     return F.concat(kept, F.filter(above, lambda a: ~F.exists(below, lambda b: b["tag"] == a["tag"])))
 
 

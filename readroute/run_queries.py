@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readroute import cli
+from readroute.functions import seq
 from readroute.operators.qc import qc_json
 from readroute.plans.analyze import analyze
 from readroute.plans.demux import Demux
@@ -164,3 +165,16 @@ def command_line_reports(spark, sf_dir):
         raise RuntimeError("the run failed")
     report = spark.read.option("header", True).option("sep", "\t").schema("pool string, sample string, sub_sample string, reads long, frac_of_pool string, frac_bases_unextracted string").csv(f"{folder}/p.tsv")
     return report.drop("sub_sample")
+
+
+@query("tags_overlaid", f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'XI:i:' || event_id || chr(9) || 'RX:Z:' || substr({_EVENT}, 1, 4) || chr(9) || 'XZ:Z:' || event_type ELSE 'XI:i:' || event_id || chr(9) || 'XZ:Z:' || event_type || chr(9) || 'RX:Z:' || substr({_EVENT}, 1, 4) END AS tags FROM events")
+def tags_overlaid(spark, sf_dir):
+    """Tags that come with the reads stay, a new one takes the place of an old one or is added at the end."""
+    e = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type"))
+    key = F.col("event_id")
+    old = F.when(key % 3 == 0, F.lit("RX:Z:OLD"))
+    comment = F.concat_ws("\t", F.concat(F.lit("XI:i:"), key.cast("string")), old, F.concat(F.lit("XZ:Z:"), "event_type"))
+    read = F.struct(key.cast("string").alias("name"), synthetic(key, "1", BASES).alias("bases"), synthetic(key, "q", QUALS).alias("quals"), seq.comment_tags(comment).alias("tags")).cast(seq.READ)
+    spec = analyze(parse(extracts=["u=0:0:4"], tags=["RX=u", "RX::qual=none"]))
+    found = Demux(e.select(key.alias("fid"), F.array(read).alias("reads")), spec, 1).records()
+    return found.select(F.col("fid").alias("event_id"), seq.render_tags(F.col("tags")).alias("tags"))
