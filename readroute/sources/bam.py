@@ -232,7 +232,9 @@ class _Reader(DataSourceReader):
             out += [BamRange(r, n_ref) for r in parts]
         return out
 
-    def read(self, partition: BamRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: BamRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # files without a byte have no range
+            return
         rows: list[tuple] = []
         n = 0
         tags = pa.list_(pa.struct([(c, pa.string()) for c in ("tag", "type", "value")]))

@@ -41,7 +41,9 @@ class _Counts(DataSourceReader):
     def partitions(self) -> list[Counted]:
         return [Counted(k, n, r) for k, files in enumerate(self.streams) for n, r in enumerate(r for f in files for r in ranges(f, self.size))]
 
-    def read(self, partition: Counted) -> Iterator[tuple]:
+    def read(self, partition: Counted | None) -> Iterator[tuple]:
+        if partition is None:  # files without a byte have no range
+            return
         yield partition.stream, partition.place, partition.part.path, partition.part.start, partition.part.end, partition.part.packed, count_lines(partition.part)
 
 
