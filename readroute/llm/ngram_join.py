@@ -20,7 +20,9 @@ Two texts link if 100 * |A and B| >= 80 * |A or B|. All links are found:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from readroute.llm.components import components, local_forest
 SHINGLE = 5
 #: Most sets, and shingles, of one block of a tile.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
-#: Part keys that one task of the candidate stage sorts.
+#: Part keys, at most, that one task of the candidate stage sorts.
 KEYS_PER_TASK = 1_500_000
 #: Sets up to which the candidates are broadcast to the texts; more are joined by id.
 BROADCAST_SETS = 200_000
@@ -236,10 +238,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
 
 
-def candidate_edges(texts: DataFrame, tasks: int) -> DataFrame:
-    """(u, v) between ids of sets: a forest over everything that may link."""
+def key_tasks(sizes: DataFrame, only: list[int] | None = None) -> int:
+    """Tasks for the part keys of the sets (n), or of those in the bands `only`: an upper bound by KEYS_PER_TASK.
+
+    A set of n shingles is in a band that differs in 5n/16 at most and in one of n/4, and has
+    a key for each part that it fills. Small sets so have several keys a shingle, large ones 0.6.
+    """
+    n = F.col("n")
+    filled = [F.least(n, differ + 1 + F.greatest(F.lit(8), differ / 5 + 4)) for differ in (n * 5 / 16, n / 4)]
+    if only is not None:
+        sizes = sizes.filter(reduce(Column.__or__, [n.between(int(LEAST[b]), int(LEAST[b + 2]) - 1) for b in only]))
+    keys = sizes.agg(F.sum((filled[0] + filled[1]) * F.when(n < SMALL, 3).otherwise(1))).first()[0] or 0
+    return max(4, math.ceil(keys / KEYS_PER_TASK))
+
+
+def candidate_edges(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, v) between ids of sets: a forest over everything that may link; sizes: the n of each text's set."""
     salts, only, out = [0, 1, 2], None, None
     while True:
+        tasks = key_tasks(sizes, only)
         blobs = texts.select("text").mapInArrow(_emit(salts, only, tasks), "kind int, task int, blob binary")
         found = materialize(blobs.repartitionById(tasks, F.col("task")).mapInArrow(_match, "sid long, scheme int, token long, need int"))
         schemes = found.filter("sid is not null").groupBy("sid", "scheme").agg(F.collect_list("token").alias("tokens"), F.max("need").alias("need"))
@@ -405,11 +422,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ids are whole numbers, or texts of such; others fail. Shingles and sets are told apart by 64-bit hashes.
     """
     picked = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("h"))
-    sized = materialize(picked.mapInArrow(_sets, "id long, h long, n long, sid long"))
+    sized = materialize(picked.mapInArrow(_sets, "id long, h long, n long, sid long").hint("rebalance"))  # small rows: few files
     full = sized.filter("n > 0")
     sets = full.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "h")).alias("rep"))
-    total = full.agg(F.sum("n")).first()[0] or 0
-    edges = candidate_edges(picked, max(4, int(0.6 * total // KEYS_PER_TASK)))
+    edges = candidate_edges(picked, full.select("n"))
     joined = components(set_links(picked, sets.drop("low"), edges)).select(F.col("node").alias("sid"), "component")
     least = sets.join(joined, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), "low")
     lowest = least.join(least.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("sid", "component_id")

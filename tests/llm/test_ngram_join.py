@@ -76,6 +76,26 @@ def test_empty_table(docs_of):
     assert [tuple(r) for r in nj.ngram_join(docs_of([(5, None)])).collect()] == [(5, 0, 5)]
 
 
+def test_tasks_follow_the_keys_and_small_rows_take_few_files(docs_of, monkeypatch):
+    """Short texts have several part keys a shingle; a later round has those of a few bands only."""
+    monkeypatch.setattr(nj, "KEYS_PER_TASK", 2000)
+    emit, write, rounds, written = nj._emit, nj.materialize, [], []
+    monkeypatch.setattr(nj, "_emit", lambda *a: rounds.append(a) or emit(*a))
+    monkeypatch.setattr(nj, "materialize", lambda df: written.append(write(df)) or written[-1])
+    rng = random.Random(5)
+    docs = docs_of([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))) for i in range(2000)]).repartition(40)
+    assert nj.ngram_join(docs).count() == 2000
+    held = Counter()
+    for r in docs.select("text").mapInArrow(emit(*rounds[0]), "kind int, task int, blob binary").filter("kind = 0").collect():
+        held[r.task] += len(nj._unpack(bytes(r.blob))[1])
+    assert max(held.values()) <= nj.KEYS_PER_TASK
+    assert len(written[0].inputFiles()) <= 4  # not one for each of 40 partitions
+    sizes = docs.sparkSession.createDataFrame([(8,)] * 1000 + [(4000,)] * 20, "n long")
+    band = int(np.searchsorted(nj.LEAST, 8, "right")) - 1
+    assert nj.key_tasks(sizes) == 52 and nj.key_tasks(sizes, [band]) == nj.key_tasks(sizes, [band - 1, band]) == 24
+    assert nj.key_tasks(sizes, [band + 1]) == nj.key_tasks(sizes.limit(0)) == 4
+
+
 def test_bands_and_parts_lose_no_pair():
     assert all(nj.LEAST[j + 1] > 1.25 * (nj.LEAST[j] - 1) for j in range(len(nj.LEAST) - 1))
     rng = np.random.default_rng(0)
