@@ -101,8 +101,12 @@ def raw_bin_of_one_input(spark, sf_dir):
 
 @query("destinations", "WITH t(dest) AS (VALUES ('s1.x20.R1.fq'), ('s1.x20.R2.fq'), ('s2.libx20.R1.fq'), ('s2.libx20.R2.fq'), ('un.0.fq'), ('un.1.fq')) SELECT dest, (SELECT count(*) FROM orders) * CASE WHEN dest LIKE 'un%' THEN 1 ELSE 0 END AS n FROM t")
 def destinations(spark, sf_dir):
-    """Every declared destination, those without records too (no fragment begins with twelve of one base)."""
-    d = run(spark, sf_dir, groups=["g={AAAAAAAAAAAA,CCCCCCCCCCCC}", "g::loc=0:0:12,anchor=5p"], samples=["s1=g::AAAAAAAAAAAA", "s2::lib=g::CCCCCCCCCCCC"], out="%sample%2E%sub_samplex20.R%ordinal.fq", unassigned="un.%source.fq")
+    """Every declared destination, those without records too: a sample asks for two first bases at once, so no fragment is its own.
+
+    Twelve of one base alone would not do: of nine million orders three begin so.
+    """
+    groups = ["g={AAAAAAAAAAAA,CCCCCCCCCCCC}", "g::loc=0:0:12,anchor=5p", "h={A,C}", "h::loc=0:0:1,anchor=5p"]
+    d = run(spark, sf_dir, groups=groups, samples=["s1=g::AAAAAAAAAAAA+h::C", "s2::lib=g::CCCCCCCCCCCC+h::A"], out="%sample%2E%sub_samplex20.R%ordinal.fq", unassigned="un.%source.fq")
     declared = spark.createDataFrame([(x,) for x in d.destinations()], "dest string")
     return declared.join(d.records().groupBy("dest").agg(F.count("*").alias("n")), "dest", "left").select("dest", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
