@@ -7,7 +7,8 @@ Two texts link if 100 * |A and B| >= 80 * |A or B|. All links are found:
    or in neighbours, and differ in at most d(band) shingles. The space of hashes is cut
    into more than d parts, so a linked pair agrees on a whole part; its digest is a key
    that both emit. A set whose shingles fall into d parts or fewer could agree on empty
-   parts only: then the band is dealt anew with another salt until no set is left.
+   parts only, but with another such set alone: these are dealt anew among themselves,
+   with other salts, until no set is left.
 3. Sets under one key are joined into candidate components, which bound the tiles.
 4. Tiles. Within a tile sets are ordered by size; for each the window of possible
    partners is screened by hashed bitmaps, whose bit counts bound the overlap from
@@ -128,15 +129,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit(salts: list[int], only: list[int] | None, tasks: int):
-    """Blobs of part keys by task (kind 0), what each scheme of a set needs (1), unsafe bands (2).
+    """Blobs of part keys by task (kind 0), what each scheme of a set needs (1), unsafe sets and their bands (2).
 
-    A scheme of a set is a band and a salt, written as salt place * 2 + band parity, as
+    A set is unsafe in a band if it may have a partner with which it agrees on no part. Sets that
+    may link to one of SMALL shingles or more meet it with the first salt only. A scheme of a set is a band and a salt, written as salt place * 2 + band parity, as
     a set is in two neighbouring bands only.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries, digests, dealt, unsafe, seen, n = [], [], [], set(), set(), 0
+            entries, digests, dealt, unsafe, seen, n = [], [], [], [], set(), 0
             for _, data, offsets in text_chunks(batch, "text"):
                 keys, bounds = shingle_sets(data, offsets)
                 ids, size = set_ids(keys, bounds), np.diff(bounds)
@@ -151,13 +153,15 @@ def _emit(salts: list[int], only: list[int] | None, tasks: int):
                         own_band = np.where(size < SMALL, band, -1) if place else band
                         owner, digest, need = part_keys(keys, bounds, own_band, salt)
                         takes = own_band >= 0
-                        safe |= takes & (need > 0)
+                        safe |= takes & (need > 0) & ((size * 5 // 4 < SMALL) | (place == 0))
                         entries.append((ids[takes], own_band[takes] % 2 + 2 * place, np.maximum(need[takes], 1)))
                         dealt.append((n + np.cumsum(takes) - 1)[owner])
                         digests.append(digest)
                         n += int(takes.sum())
-                    unsafe |= set(band[~safe & (band >= 0)].tolist())
-            out = [(2, 0, int(b).to_bytes(8, "little")) for b in sorted(unsafe)]
+                    left = ~safe & (band >= 0)
+                    unsafe.append((ids[left], band[left]))
+            left = [np.concatenate([u[k] for u in unsafe]) if unsafe else np.zeros(0, np.int64) for k in range(2)]
+            out = [(2, int(left[0][0]) % tasks, _pack(left[0], np.zeros(0, np.uint32), left[1].astype(np.uint8)))] if len(left[0]) else []
             if n:
                 sid, scheme, need = (np.concatenate([e[k] for e in entries]) for k in range(3))
                 entry, digest = np.concatenate(dealt).astype(np.uint32), np.concatenate(digests)
@@ -189,23 +193,23 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, scheme, token, null) of the keys that several sets of a task have; (sid, scheme, null, need);
-    and unsafe bands as (null, band, null, null)."""
+    """(sid, scheme, token, holders, null) of the keys that several sets of a task have; (sid, scheme, null,
+    null, need); and (sid, band, null, null, 0) of unsafe sets."""
 
-    def out(sid, scheme, token, need) -> pa.RecordBatch:
+    def out(sid, scheme, token=None, holders=None, need=None) -> pa.RecordBatch:
         n = len(scheme)
-        columns = [pa.nulls(n, kind) if x is None else pa.array(x).cast(kind) for x, kind in ((sid, pa.int64()), (scheme, pa.int32()), (token, pa.int64()), (need, pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["sid", "scheme", "token", "need"])
+        columns = [pa.nulls(n, kind) if x is None else pa.array(x).cast(kind) for x, kind in ((sid, pa.int64()), (scheme, pa.int32()), (token, pa.int64()), (holders, pa.int32()), (need, pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["sid", "scheme", "token", "holders", "need"])
 
     sids, schemes, tokens = [], [], []
     for batch in batches:
         for kind, task, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sid, ints, code = _unpack(blob)
             if kind == 2:
-                yield out(None, [int.from_bytes(blob, "little")], None, None)
+                yield out(sid, code, need=np.zeros(len(sid)))
                 continue
-            sid, ints, code = _unpack(blob)
             if kind == 1:
-                yield out(sid, code, None, ints)
+                yield out(sid, code, need=ints)
                 continue
             count = code & 31
             sids.append(np.repeat(sid, count))
@@ -220,9 +224,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (sid[order][1:] != sid[order][:-1]))]
     same = token[order][1:] == token[order][:-1]
     order = order[np.append(same, False) | np.append(False, same)]
+    if not len(order):
+        return
+    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
+    runs = np.diff(np.append(first, len(order)))
+    holders = np.repeat(runs, runs)
     for lo in range(0, len(order), 1 << 17):
         at = order[lo : lo + (1 << 17)]
-        yield out(sid[at], scheme[at], token[at], None)
+        yield out(sid[at], scheme[at], token[at], holders[lo : lo + (1 << 17)])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +262,28 @@ def key_tasks(sizes: DataFrame, only: list[int] | None = None) -> int:
 
 
 def candidate_edges(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(u, v) between ids of sets: a forest over everything that may link; sizes: the n of each text's set."""
+    """(u, v) between ids of sets: a forest over everything that may link; sizes: (id, h, n, sid) of each text (id, text, h)."""
     salts, only, out = [0, 1, 2], None, None
     while True:
         tasks = key_tasks(sizes, only)
         blobs = texts.select("text").mapInArrow(_emit(salts, only, tasks), "kind int, task int, blob binary")
-        found = materialize(blobs.repartitionById(tasks, F.col("task")).mapInArrow(_match, "sid long, scheme int, token long, need int"))
-        schemes = found.filter("sid is not null").groupBy("sid", "scheme").agg(F.collect_list("token").alias("tokens"), F.max("need").alias("need"))
-        alive = schemes.filter(F.size("tokens") >= F.col("need")).select(F.explode("tokens").alias("token"), "sid")
+        found = materialize(blobs.repartitionById(tasks, F.col("task")).mapInArrow(_match, "sid long, scheme int, token long, holders int, need int"))
+        held = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("holders", "token")))
+        schemes = found.filter("need is null or need > 0").groupBy("sid", "scheme").agg(held.alias("held"), F.max("need").alias("need"))
+        # two sets that agree on `need` keys at least agree on one of the others and their rarest: the rest join no one
+        rare = F.slice(F.array_sort("held"), F.lit(1), F.size("held") - F.col("need") + 1)
+        alive = schemes.filter(F.size("held") >= F.col("need")).select(F.explode(F.transform(rare, lambda x: x["token"])).alias("token"), "sid")
         edges = alive.repartitionById(tasks, F.shiftright("token", 32).cast("int")).mapInArrow(_forest, "u long, v long")
         out = edges if out is None else out.unionAll(edges)
-        only = [r[0] for r in found.filter("sid is null").select("scheme").distinct().collect()]  # bands: under 120
+        unsafe = found.filter("need = 0")
+        only = [r[0] for r in unsafe.select("scheme").distinct().collect()]  # bands: under 120
         if not only:
             return out
+        # what is unsafe can miss such sets only, so no others are dealt anew: a text of each
+        sizes = materialize(sizes.join(unsafe.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.struct("id", "h")).alias("rep")).select("rep.id", "rep.h", "n", "sid"))
+        few = sizes.select(F.col("id").alias("rep_id"), F.col("h").alias("rep_h"))
+        few = F.broadcast(few) if sizes.count() <= BROADCAST_SETS else few
+        texts = materialize(texts.join(few, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h")), "left_semi"))
         salts = [salts[-1] + k for k in (1, 2, 3)]
 
 
@@ -425,7 +443,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sized = materialize(picked.mapInArrow(_sets, "id long, h long, n long, sid long").hint("rebalance"))  # small rows: few files
     full = sized.filter("n > 0")
     sets = full.groupBy("sid").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "h")).alias("rep"))
-    edges = candidate_edges(picked, full.select("n"))
+    edges = candidate_edges(picked, full)
     joined = components(set_links(picked, sets.drop("low"), edges)).select(F.col("node").alias("sid"), "component")
     least = sets.join(joined, "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), "low")
     lowest = least.join(least.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("sid", "component_id")

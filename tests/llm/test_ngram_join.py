@@ -167,3 +167,30 @@ def test_whole_table_against_an_exact_count(spark):
         low[find(i)] = min(low.get(find(i), r.doc_id), r.doc_id)
     want = sorted((r.doc_id, len(sets[i]), low[find(i)]) for i, r in enumerate(rows))
     assert sorted(map(tuple, nj.ngram_join(docs).collect())) == want
+
+
+def test_only_unsafe_sets_are_dealt_anew(docs_of, monkeypatch):
+    """Among enough sets some are unsafe under any salts, so a band dealt anew as a whole would never be done."""
+    emit, rounds, few = nj._emit, [], nj.DIFFER + 1 + np.maximum(1, nj.DIFFER // 12)
+
+    def counted(*a):
+        rounds.append(a)
+        assert len(rounds) < 20
+
+        def with_few_parts(batches):  # in a worker
+            parts, nj.PARTS = nj.PARTS, few
+            try:
+                yield from emit(*a)(batches)
+            finally:
+                nj.PARTS = parts
+
+        return with_few_parts
+
+    monkeypatch.setattr(nj, "_emit", counted)
+    rng, docs = random.Random(11), []
+    while len(docs) < 420:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([9, 14, 56, 60, 68, 74, 90]))]
+        docs += [(len(docs) + k, " ".join(edited(rng, words, 0.01) if k else words)) for k in range(3)]
+    found = nj.ngram_join(docs_of(docs))
+    assert sorted(map(tuple, found.collect()), key=str) == brute(docs)
+    assert len(rounds) > 1
