@@ -25,3 +25,8 @@ def same(spark, tmp_path):
 
 def test_destinations_of_reads_that_begin_with_twelve_of_one_base(same):
     same("destinations", orders="SELECT unnest([5, 954206, 4075912, 4722518]) AS o_orderkey")
+
+
+def test_search_of_tags_that_were_alike(same):
+    parts = "SELECT unnest([2609, 60416, 89312]) AS p_partkey"
+    same("search_tag_table", part=parts, lineitem=f"SELECT p_partkey AS l_partkey, o AS l_orderkey, 1 AS l_linenumber FROM ({parts}), range(100) v(o)")
